@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import forms, leakage, sitelines
-from tamarack.session import table
+from tamarack.llm import forms, leakage, neardup, residue, setjoin, sitelines
+from tamarack.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,37 @@ def p3_clean_documents(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.without_lines(docs, sitelines.repeated_lines(docs, fields), fields)
 
 
+def _residue_records(spark: SparkSession, root: str) -> DataFrame:
+    legal = table(spark, root, "legal_documents").select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
+    warm = table(spark, root, "task2_warmup").select(F.lit("task2_warmup").alias("table_name"), F.col("query_id").alias("record_id"), F.col("answer").alias("text"))
+    return legal.unionByName(warm)
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_records(_residue_records(spark, root))
+
+
+def p6_residue_units(spark: SparkSession, root: str) -> DataFrame:
+    units, labels = residue.residue_units(_residue_records(spark, root))
+    return units.select("table_name", "record_id", "unit", "text").join(labels, "unit").select("table_name", "record_id", "label", "text").distinct()
+
+
+def _passages(spark: SparkSession, root: str) -> DataFrame:
+    """(id, text) of legal documents without residue: passage, or retrieval_text without its site lines."""
+    docs = table(spark, root, "legal_documents").select("id", "source", "passage", "retrieval_text")
+    legal = docs.select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
+    gone = setjoin.small(materialise(residue.residue_records(legal).select(F.col("record_id").alias("id")), "residue"))
+    bare = docs.where("passage IS NULL")
+    lines = sitelines.repeated_lines(docs, ["retrieval_text"]).join(setjoin.small(bare.select("id").distinct()), "id", "left_semi")
+    cleaned = sitelines.without_lines(bare, lines, ["retrieval_text"]).select("id", F.col("retrieval_text").alias("text"))
+    return docs.where("passage IS NOT NULL").select("id", F.col("passage").alias("text")).join(gone, "id", "left_anti").unionByName(cleaned)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    members, pairs = neardup.near_duplicates(_passages(spark, root), run=3, threshold=0.7)
+    return neardup.pairs_of_ids(members, pairs)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -49,6 +80,9 @@ QUERIES: dict[str, Query] = {
     "p2_consistent_questions": p2_consistent_questions,
     "p3_found": p3_found,
     "p3_clean_documents": p3_clean_documents,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_residue_units": p6_residue_units,
     "p8_found": p8_found,
     "p8_leak_report": p8_leak_report,
 }
