@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import forms, leakage, neardup, residue, setjoin, sitelines
+from tamarack.llm import forms, leakage, neardup, pairs, residue, setjoin, sitelines
 from tamarack.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, root, "qa_examples").where("split <> 'public'"))
+
+
+def p1_defects_by_source(spark: SparkSession, root: str) -> DataFrame:
+    found = p1_found(spark, root)
+    sources = table(spark, root, "qa_examples").where("split <> 'public'").select("id", "source").distinct()
+    return sources.join(found, "id").groupBy("source", "defect").agg(F.count("*").alias("pairs"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     qa = forms.inconsistent_records(table(spark, root, "qa_examples"), "id", "question", "qa_examples")
     legal = forms.inconsistent_records(table(spark, root, "legal_documents"), "id", "raw_text", "legal_documents")
@@ -61,8 +71,8 @@ def _passages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    members, pairs = neardup.near_duplicates(_passages(spark, root), run=3, threshold=0.7)
-    return neardup.pairs_of_ids(members, pairs)
+    members, linked = neardup.near_duplicates(_passages(spark, root), run=3, threshold=0.7)
+    return neardup.pairs_of_ids(members, linked)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -76,6 +86,8 @@ def p8_leak_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_defects_by_source": p1_defects_by_source,
     "p2_found": p2_found,
     "p2_consistent_questions": p2_consistent_questions,
     "p3_found": p3_found,
