@@ -94,7 +94,7 @@ def is_refusal(answer: str) -> bool:
     refused, other = False, 0
     for sentence in _SENTENCE.split(answer.strip().lower().replace("’", "'")):
         rest = _OPEN.sub("", sentence.strip(" -*>\"“”"))
-        if (m := _REFUSAL.search(rest)) and m.start() <= 60:
+        if (m := _REFUSAL.search(rest, 0, 220)) and m.start() <= 60:
             refused = True
         elif rest and not _RESTATE.match(rest) and not _OPEN_ONLY.match(sentence.strip()):
             other += len(_WORD.findall(rest))
@@ -208,7 +208,7 @@ def is_truncated(answer: str) -> bool:
     if open_structures(text):
         return True
     end = text.rstrip("*_`\"'”’»)] \t\n")
-    if not end or _MARKER.search(text) or _INTRO.search(text):
+    if not end or _MARKER.search(text[-16:]) or _INTRO.search(text[-40:]):
         return True
     last = end[-1]
     if last in ".!?":
@@ -216,7 +216,7 @@ def is_truncated(answer: str) -> bool:
     if last in ",;:-–—…/&+=":
         return True
     # A complete sentence with a few words after its end, in lower case, is an inserted phrase and no new sentence.
-    tail = re.split(r"[.!?]\s+", end)[-1]
+    tail = re.split(r"[.!?]\s+", end[-200:])[-1]
     if tail != end and tail[:1].islower() and len(tail.split()) <= 4:
         return False
     return True
