@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import forms, leakage, neardup, pairs, residue, setjoin, sitelines
+from tamarack.llm import forms, leakage, neardup, overlap, pairs, residue, setjoin, sitelines
 from tamarack.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,22 @@ def p3_clean_documents(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.without_lines(docs, sitelines.repeated_lines(docs, fields), fields)
 
 
+def _split_records(spark: SparkSession, root: str) -> DataFrame:
+    side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "public"), 1)
+    return table(spark, root, "qa_examples").select("id", side.alias("side"), "question", "answer")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    found = overlap.overlaps(_split_records(spark, root))
+    return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p4_overlap_counts(spark: SparkSession, root: str) -> DataFrame:
+    found = overlap.overlaps(_split_records(spark, root))
+    held = table(spark, root, "qa_examples").where("split <> 'train'").select(F.col("id").alias("eval_id"), "split", "source").distinct()
+    return held.join(found, "eval_id").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("records"))
+
+
 def _residue_records(spark: SparkSession, root: str) -> DataFrame:
     legal = table(spark, root, "legal_documents").select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
     warm = table(spark, root, "task2_warmup").select(F.lit("task2_warmup").alias("table_name"), F.col("query_id").alias("record_id"), F.col("answer").alias("text"))
@@ -92,6 +108,8 @@ QUERIES: dict[str, Query] = {
     "p2_consistent_questions": p2_consistent_questions,
     "p3_found": p3_found,
     "p3_clean_documents": p3_clean_documents,
+    "p4_found": p4_found,
+    "p4_overlap_counts": p4_overlap_counts,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_residue_units": p6_residue_units,
