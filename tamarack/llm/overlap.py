@@ -6,8 +6,7 @@ records are streamed through backward search of the shards that can hold a match
 each evaluation record; matches on one diagonal are merged to maximal spans, and spans are counted as shared runs of
 words. The likeness that follows from the counts is exact.
 
-Which shards can hold a match comes from the rarest runs of words of each record (prefix filter, see ``setjoin``): two
-records at or above the threshold share at least ``LEAST`` of them. The filter loses no pair; without it each training
+Which shards a training record visits comes from the byte signatures of ``setjoin``: without that routing each training
 record would visit every shard, which grows with the square of the input.
 
 Null and empty answers, and answers without words, count as missing: then questions alone are compared. Records with
@@ -28,8 +27,8 @@ from tamarack.llm import setjoin
 from tamarack.llm.words import distinct_sorted, list_array, list_parts, mix, run_hashes, word_hashes
 from tamarack.session import materialise
 
-#: Words of a run; shared rare runs that a pair needs; evaluation records in one shard; visits in one task of a shard.
-RUN, LEAST, SHARD, VISITS = 3, 2, 256, 4096
+#: Words of a run; evaluation records in one shard; visits in one task of a shard.
+RUN, SHARD, VISITS = 3, 256, 4096
 
 
 def record_words(records: DataFrame) -> DataFrame:
@@ -75,35 +74,42 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sorted(*run_hashes(offsets, values.view(np.uint64), RUN))
 
 
-def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([list_array(*_grams(batch.column(0)))], ["grams"])
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, entry, size) of a batch (kind, side, has, sig, words).
 
+    The entry also says which texts may meet. Texts of kind 1 meet kind 1. Of kind 0, training texts without an answer
+    meet all, others meet evaluation texts without an answer only, so each pair meets in one class of entries.
+    """
+    offsets, grams = _grams(batch.column(4))
+    keys = setjoin.entries(setjoin.signatures(offsets, grams))
+    kind, side, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+    classes = ((kind == 0) & ((side == 0) | ~has), (kind == 0) & (((side == 0) & ~has) | ((side == 1) & has)), kind == 1)
+    rows = np.concatenate([np.repeat(np.flatnonzero(c), keys.shape[1]) for c in classes])
+    with np.errstate(over="ignore"):
+        entry = np.concatenate([mix(keys[c].ravel().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.int64) for k, c in enumerate(classes)])
+    return rows, entry, np.diff(offsets)
 
-def _postings(texts: DataFrame, sketch: np.ndarray, threshold: float) -> DataFrame:
-    """(entry, rec, side, n): the rarest runs of each text; the entry also says which texts may meet.
 
-    Texts of kind 1 meet kind 1. Of kind 0, training texts without an answer meet all, others meet evaluation texts
-    without an answer only, so each pair meets in one class of entries.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(sketch)
+def _postings(texts: DataFrame) -> DataFrame:
+    """(entry, rec, side, n): the entries of each text that a text of the other side may share."""
+
+    def sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        rows, entry, _ = _entries(batch)
+        return entry, batch.column(1).to_numpy(zero_copy_only=False)[rows]
+
+    read = texts.select("kind", "side", "has", "sig", "words")
+    name, parts = setjoin.build_sieve(read, sides, self_join=False)
+    sent = texts.sparkSession.sparkContext.broadcast(parts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, grams = _grams(batch.column(4))
-            owner, entry = setjoin.rarest(offsets, grams, sent.value, threshold, LEAST)
-            kind, side, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            sizes = np.diff(offsets)
-            parts = []
-            for meet in (0, 1, 2):
-                fits = {0: (kind == 0) & ((side == 0) | ~has), 1: (kind == 0) & (((side == 0) & ~has) | ((side == 1) & has)), 2: kind == 1}[meet]
-                chosen = fits[owner]
-                parts.append((owner[chosen], entry[chosen] * 4 + meet))
-            rows, entries = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            rows, entry, sizes = _entries(batch)
+            kept = setjoin.sieve_of(name, sent.value).keeps(entry)
+            rows, entry = rows[kept], entry[kept]
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(entries), batch.column(3).take(at), batch.column(1).take(at), pa.array(sizes[rows], pa.int32())], ["entry", "rec", "side", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(entry), batch.column(3).take(at), batch.column(1).take(at), pa.array(sizes[rows], pa.int32())], ["entry", "rec", "side", "n"])
 
-    return texts.select("kind", "side", "has", "sig", "words").mapInArrow(index, "entry bigint, rec bigint, side int, n int")
+    return read.mapInArrow(index, "entry bigint, rec bigint, side int, n int")
 
 
 class FmIndex:
@@ -227,14 +233,12 @@ def overlaps(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     keys = ["side", "kind", "sig"]
     repeated = words.groupBy(*keys).agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select(*keys, "first")
     texts = words.join(setjoin.small(repeated), keys, "left").where("first IS NULL OR first = row").drop("first", "row", "id")
-    sketch = setjoin.frequency_sketch(words.select("words").mapInArrow(_with_grams, "grams array<bigint>"), "grams")
-    postings = materialise(_postings(texts, sketch, threshold), "postings")
+    postings = materialise(_postings(texts), "postings")
     spread = setjoin.blocks(postings, left=F.col("side") == 0)
     a, b = spread.where("side = 0").alias("a"), spread.where("side = 1").alias("b")
     alike = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9
     met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("entry", "bi", "bj")]).where(alike)
-    tally = met.select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b"), F.greatest("a.n", "b.n").alias("n")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    routed = materialise(tally.where(F.col("shared") >= F.least(F.lit(LEAST), F.ceil(F.col("n") * threshold - 1e-9))).select("a", "b"), "routed")
+    routed = materialise(met.select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b")).distinct(), "routed")
 
     evaluated = texts.where("side = 1").join(setjoin.small(routed.select(F.col("b").alias("sig")).distinct()), "sig", "left_semi")
     shards = max(1, -(-routed.select("b").distinct().count() // SHARD))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import forms, leakage, neardup, overlap, pairs, residue, setjoin, sitelines
+from tamarack.llm import forms, leakage, neardup, overlap, pairs, residue, setjoin, sitelines, splits
 from tamarack.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,37 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.pairs_of_ids(members, linked)
 
 
+def _related(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    thread = F.regexp_extract("id", r"(?<!\d)(\d{8})(?!\d)", 1)
+    qa = table(spark, root, "qa_examples").select(F.col("id").alias("record_id"), thread.alias("thread"), F.lower(F.trim("author")).alias("author"), "question")
+    warm = table(spark, root, "task2_warmup").select(F.col("query_id").alias("record_id"), F.lit(None).cast("string").alias("thread"), F.lit(None).cast("string").alias("author"), "question")
+    records = qa.unionByName(warm).where("record_id IS NOT NULL")
+    one = lambda name: F.when(F.col(name) != "", F.array(name))
+    keys = {"thread": one("thread"), "author": one("author"), "document": splits.document_numbers(F.col("question"))}
+    return records, splits.related_groups(records, keys)
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _related(spark, root)[1]
+
+
+def _assigned(spark: SparkSession, root: str) -> DataFrame:
+    records, grouped = _related(spark, root)
+    targets = table(spark, root, "split_targets").orderBy(F.desc("target_share"), "split_name").collect()
+    return splits.assign(records, grouped, [(r.split_name, r.target_share) for r in targets])
+
+
+def p7_assignment(spark: SparkSession, root: str) -> DataFrame:
+    return _assigned(spark, root)
+
+
+def p7_split_shares(spark: SparkSession, root: str) -> DataFrame:
+    sizes = _assigned(spark, root).groupBy("split").agg(F.count("*").alias("records"))
+    targets = table(spark, root, "split_targets").withColumnRenamed("split_name", "split")
+    total = sizes.agg(F.sum("records").alias("total"))
+    return targets.join(sizes, "split", "left").crossJoin(F.broadcast(total)).select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), (F.coalesce("records", F.lit(0)) / F.col("total")).alias("share"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -113,6 +144,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_residue_units": p6_residue_units,
+    "p7_found": p7_found,
+    "p7_assignment": p7_assignment,
+    "p7_split_shares": p7_split_shares,
     "p8_found": p8_found,
     "p8_leak_report": p8_leak_report,
 }

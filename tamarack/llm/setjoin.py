@@ -1,30 +1,37 @@
-"""Similarity joins over sets of word runs: an inverted index with count filtering, exact for its threshold.
+"""Candidate search for similarity joins over sets: a byte-position inverted index with count filtering.
 
-A record's set holds the hashes of its runs of words. Each hash is read as a position (its upper bits) and a byte
-(its lowest bits); the inverted index maps (position, byte) to records. For two sets of likeness ``t`` or more, the
-``n - ceil(t n) + k`` rarest entries of each share at least ``k`` entries, so the index holds only those, shared
-entries are tallied per pair, pairs below the guaranteed minimum are dropped, and the rest are verified on their
-whole sets. The order of rarity comes from a count sketch of fixed size over all records; it decides how fast the
-join is, never what it finds.
+Each set gets a signature of ``POSITIONS`` bytes: byte p is a byte of the set's smallest hash in the p-th of as many
+orders (one-permutation min-hashing in ``ROUNDS`` rounds of ``BINS`` bins, empty bins filled from others). Two sets of
+likeness t agree in a share t of the positions. The inverted index maps (position, bytes) to records by words of
+``WIDTH`` neighbouring bytes; pairs that share an entry are candidates, their shared positional bytes are tallied, and
+pairs below ``guaranteed_bytes`` are dropped before anything larger than a signature is read.
 
-Entries that many records share are split into blocks; a pair of blocks is one join key, so no task holds all
-records of an entry. Equal sets are joined once, through one representative.
+With 112 entries of 8 bytes a pair of likeness 0.70 shares an entry with probability 0.9987, of 0.75 with 0.99999;
+unrelated records (likeness 0.15) with 0.00003, which is why longer entries are used than single bytes: their lists
+would hold 1/256 of all records each, and their tally grows with the square of the input.
+
+A sieve of fixed size drops the entries that no second record can share before they are shuffled. Entries that many
+records share are split into blocks; a pair of blocks is one join key, so no task holds all records of an entry.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.words import list_parts
+from tamarack.llm.words import mix
 
-#: Counters in the sketch: 2**17 eight-byte numbers, about 1 MB, however large the input is.
-SKETCH_BITS = 17
+ROUNDS, BINS, WIDTH = 28, 32, 8
+POSITIONS = ROUNDS * BINS
+#: Bits of each of the sieve's two bitmaps (16 MB each at most), however large the input is.
+SIEVE_BITS = 27
+_BLOCK_BITS = 20
 #: Records of one index entry in one block; larger entries become several blocks.
 BLOCK = 256
 #: Rows up to which a helper table of a few columns is broadcast.
@@ -36,43 +43,115 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.int64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def guaranteed_bytes(threshold: float) -> int:
+    """Shared positional bytes that a pair at the threshold has but for a chance below one in a billion."""
+    return int(np.floor(POSITIONS * threshold - 9 * np.sqrt(POSITIONS * threshold * (1 - threshold))))
 
 
-def frequency_sketch(sets: DataFrame, *columns: str) -> np.ndarray:
-    """Counts of set entries over all rows of the array ``columns``, in 2**SKETCH_BITS counters.
+def signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(records, POSITIONS) bytes; an empty set has the signature of zeros."""
+    count, sizes = len(offsets) - 1, np.diff(offsets)
+    out = np.zeros((count, POSITIONS), np.uint8)
+    owner = np.repeat(np.arange(count), sizes) * BINS
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for r in range(ROUNDS):
+        with np.errstate(over="ignore"):
+            h = mix((values.view(np.uint64) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * r))
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93))
+        least = np.full(count * BINS, most, np.uint64)
+        np.minimum.at(least, owner + (h >> np.uint64(59)).astype(np.int64), h << np.uint64(5))
+        least = least.reshape(count, BINS)
+        own = least != most
+        rows, bins = np.nonzero(~own & (sizes > 0)[:, None])
+        step = 0
+        while len(rows):  # an empty bin takes the value of a full one, tried in the same sequence for all records
+            step += 1
+            donor = (bins * 7 + step * 13 + (bins * step) % 5 + r) % BINS if step < 64 else (bins + step) % BINS
+            full = own[rows, donor]
+            with np.errstate(over="ignore"):
+                least[rows[full], bins[full]] = mix(least[rows[full], donor[full]] + np.uint64(step) * np.uint64(0xC2B2AE3D27D4EB4F) + bins[full].astype(np.uint64))
+            rows, bins = rows[~full], bins[~full]
+        out[:, r * BINS : (r + 1) * BINS] = (mix(least) >> np.uint64(40)).astype(np.uint8)
+    out[sizes == 0] = 0
+    return out
 
-    Each task sends one sketch, eight tasks add them up, the driver gets eight arrays of fixed size.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for column in batch.columns:
-                total += np.bincount(_bucket(list_parts(column)[1]), minlength=1 << SKETCH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["b"])
+def entries(signature: np.ndarray) -> np.ndarray:
+    """(records, POSITIONS / WIDTH) keys of (position, bytes)."""
+    words = np.ascontiguousarray(signature).view(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(words * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, words.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(b), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["b"])
 
-    parts = sets.select(*columns).mapInArrow(count, "b binary").repartition(8).mapInArrow(add, "b binary").collect()
-    return sum((np.frombuffer(zlib.decompress(r.b), np.int64) for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+class Sieve:
+    """Two bitmaps over hashed entries; an entry may have a partner only if its bit is set in both."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.both = a & b
+
+    def keeps(self, keys: np.ndarray) -> np.ndarray:
+        slot = _slot(keys)
+        return (self.both[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
 
+_sieves: dict[str, Sieve] = {}
+
+
+def sieve_of(name: str, parts: list) -> Sieve:
+    """The sieve sent to a worker, built once in each process."""
+    if name not in _sieves:
+        a, b = (np.zeros(1 << (SIEVE_BITS - 3), np.uint8) for _ in range(2))
+        width = 1 << (_BLOCK_BITS - 3)
+        for block, x, y in parts:
+            a[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(x), np.uint8)
+            b[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(y), np.uint8)
+        _sieves.clear()
+        _sieves[name] = Sieve(a, b)
+    return _sieves[name]
+
+
+def build_sieve(keyed: DataFrame, keys_of: Callable, self_join: bool) -> tuple[str, list]:
+    """Bitmaps of all entries of ``keyed``, merged block by block.
+
+    ``keys_of(batch)`` gives (keys, side). For a join of two sides the bitmaps are of the entries of side 0 and 1, for
+    a join of a table with itself of the entries seen and of those seen again.
+    """
+    count, width = 1 << (SIEVE_BITS - _BLOCK_BITS), 1 << (_BLOCK_BITS - 3)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.zeros(1 << SIEVE_BITS, bool) for _ in range(2))
+        for batch in batches:
+            keys, side = keys_of(batch)
+            slot = _slot(keys)
+            if self_join:
+                distinct, seen = np.unique(slot, return_counts=True)
+                b[distinct[(seen > 1) | a[distinct]]] = True
+                a[distinct] = True
+            else:
+                a[slot[side == 0]] = True
+                b[slot[side == 1]] = True
+        packed = [np.packbits(x, bitorder="little").reshape(count, width) for x in (a, b)]
+        used = np.flatnonzero(packed[0].any(axis=1) | packed[1].any(axis=1))
+        for part in np.array_split(used, max(1, len(used) // 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([zlib.compress(p[k].tobytes(), 1) for k in part], pa.binary()) for p in packed)], ["block", "a", "b"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
+                p, q = held.get(block, (np.zeros_like(x), np.zeros_like(y)))
+                held[block] = [p | x, q | y | (p & x if self_join else 0)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *(pa.array([zlib.compress(v[k].tobytes(), 1) for v in held.values()], pa.binary()) for k in (0, 1))], ["block", "a", "b"])
 
-def rarest(offsets: np.ndarray, grams: np.ndarray, sketch: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, entry) of the index entries of each set: its rarest entries, as many as the guarantee needs."""
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort((owner << 24) | np.minimum(sketch[_bucket(grams)], (1 << 24) - 1), kind="stable")
-    rank = np.arange(len(grams)) - np.repeat(offsets[:-1], sizes)
-    keep = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + least)
-    chosen = rank < keep[owner]
-    return owner[chosen], grams[order][chosen]
+    kind = "block int, a binary, b binary"
+    parts = keyed.mapInArrow(collect, kind).repartition(16, "block").mapInArrow(merge, kind).collect()
+    return uuid.uuid4().hex, [(r.block, bytes(r.a), bytes(r.b)) for r in parts]
 
 
 def blocks(postings: DataFrame, left: Column | None = None) -> DataFrame:
@@ -84,11 +163,9 @@ def blocks(postings: DataFrame, left: Column | None = None) -> DataFrame:
     heavy = postings.groupBy("entry").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("entry", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     marked = postings.join(small(heavy), "entry", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     marked = marked.withColumn("b", F.pmod(F.xxhash64("rec"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    spread = marked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     if left is None:
-        spread = marked.withColumn("o", other)
         return spread.withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("nb", "o")
-    spread = marked.withColumn("o", other)
     return spread.withColumn("bi", F.when(left, F.col("b")).otherwise(F.col("o"))).withColumn("bj", F.when(left, F.col("o")).otherwise(F.col("b"))).drop("nb", "o", "b")
 
 
