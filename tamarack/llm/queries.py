@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import forms, leakage, neardup, overlap, pairs, residue, setjoin, sitelines, splits
+from tamarack.llm import forms, leakage, mixing, neardup, overlap, pairs, reading, residue, setjoin, sitelines, splits
 from tamarack.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,29 @@ def p8_leak_report(spark: SparkSession, root: str) -> DataFrame:
     return hits.join(F.broadcast(items), "item_id")
 
 
+def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    return mixing.mix(docs, table(spark, root, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return _mixed(spark, root)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return _mixed(spark, root)[1]
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return reading.reading_levels(table(spark, root, "documents"), table(spark, root, "reading_labels")).select("doc_id", "band")
+
+
+def p10_profile(spark: SparkSession, root: str) -> DataFrame:
+    levels = reading.reading_levels(table(spark, root, "documents"), table(spark, root, "reading_labels"))
+    sources = table(spark, root, "documents").select("doc_id", "source")
+    return levels.join(sources, "doc_id").groupBy("source", "band").agg(F.count("*").alias("documents"), F.avg("level").alias("level"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_defects_by_source": p1_defects_by_source,
@@ -149,5 +172,9 @@ QUERIES: dict[str, Query] = {
     "p7_split_shares": p7_split_shares,
     "p8_found": p8_found,
     "p8_leak_report": p8_leak_report,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
 }
 ORACLES: dict[str, str] = {}
