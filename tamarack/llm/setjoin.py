@@ -29,6 +29,8 @@ from tamarack.llm.words import mix
 
 ROUNDS, BINS, WIDTH = 28, 32, 8
 POSITIONS = ROUNDS * BINS
+#: Values of one part in computing signatures.
+_PART = 1 << 17
 #: Bits of each of the sieve's two bitmaps (16 MB each at most), however large the input is.
 SIEVE_BITS = 27
 _BLOCK_BITS = 20
@@ -50,19 +52,35 @@ def guaranteed_bytes(threshold: float) -> int:
 
 def signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     """(records, POSITIONS) bytes; an empty set has the signature of zeros."""
-    count, sizes = len(offsets) - 1, np.diff(offsets)
+    count = len(offsets) - 1
     out = np.zeros((count, POSITIONS), np.uint8)
+    first = 0
+    while first < count:  # parts whose arrays stay in the processor's cache
+        last = min(count, max(first + 1, int(np.searchsorted(offsets, offsets[first] + _PART, side="right")) - 1))
+        _signatures(offsets[first : last + 1] - offsets[first], values[offsets[first] : offsets[last]].view(np.uint64), out[first:last])
+        first = last
+    return out
+
+
+def _signatures(offsets: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    count, sizes = len(offsets) - 1, np.diff(offsets)
     owner = np.repeat(np.arange(count), sizes) * BINS
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    some = (sizes > 0)[:, None]
+    h, spare = np.empty_like(values), np.empty_like(values)
     for r in range(ROUNDS):
         with np.errstate(over="ignore"):
-            h = mix((values.view(np.uint64) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * r))
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93))
+            np.multiply(values, np.uint64(0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D * 2 * r & 0xFFFFFFFFFFFFFFFF), out=h)
+            np.right_shift(h, np.uint64(32), out=spare)
+            np.bitwise_xor(h, spare, out=h)
+            np.multiply(h, np.uint64(0xD6E8FEB86659FD93), out=h)
         least = np.full(count * BINS, most, np.uint64)
-        np.minimum.at(least, owner + (h >> np.uint64(59)).astype(np.int64), h << np.uint64(5))
+        np.right_shift(h, np.uint64(59), out=spare)
+        np.left_shift(h, np.uint64(5), out=h)
+        np.minimum.at(least, owner + spare.view(np.int64), h)
         least = least.reshape(count, BINS)
         own = least != most
-        rows, bins = np.nonzero(~own & (sizes > 0)[:, None])
+        rows, bins = np.nonzero(~own & some)
         step = 0
         while len(rows):  # an empty bin takes the value of a full one, tried in the same sequence for all records
             step += 1
@@ -73,7 +91,6 @@ def signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
             rows, bins = rows[~full], bins[~full]
         out[:, r * BINS : (r + 1) * BINS] = (mix(least) >> np.uint64(40)).astype(np.uint8)
     out[sizes == 0] = 0
-    return out
 
 
 def entries(signature: np.ndarray) -> np.ndarray:
