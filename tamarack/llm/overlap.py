@@ -91,25 +91,30 @@ def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    """(entry, rec, side, n): the entries of each text that a text of the other side may share."""
-
-    def sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        rows, entry, _ = _entries(batch)
-        return entry, batch.column(1).to_numpy(zero_copy_only=False)[rows]
+    """(entry, rec, side, n): the entries of each text that a text of the other side may share.
 
+    A sieve of the evaluation side's entries, the smaller side, goes over the training side, and one of the training
+    entries that are left goes back.
+    """
     read = texts.select("kind", "side", "has", "sig", "words")
-    name, parts = setjoin.build_sieve(read, sides, self_join=False)
-    sent = texts.sparkSession.sparkContext.broadcast(parts)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, entry, sizes = _entries(batch)
-            kept = setjoin.sieve_of(name, sent.value).keeps(entry)
-            rows, entry = rows[kept], entry[kept]
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(entry), batch.column(3).take(at), batch.column(1).take(at), pa.array(sizes[rows], pa.int32())], ["entry", "rec", "side", "n"])
+    def sifted(part: DataFrame, name: str, parts: list) -> DataFrame:
+        sent = texts.sparkSession.sparkContext.broadcast(parts)
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, entry, sizes = _entries(batch)
+                kept = setjoin.sieve_of(name, sent.value).keeps(entry)
+                rows, entry = rows[kept], entry[kept]
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(entry), batch.column(3).take(at), batch.column(1).take(at), pa.array(sizes[rows], pa.int32())], ["entry", "rec", "side", "n"])
+
+        return materialise(part.mapInArrow(index, "entry bigint, rec bigint, side int, n int"), "postings")
 
-    return read.mapInArrow(index, "entry bigint, rec bigint, side int, n int")
+    held = read.where("side = 1")
+    train = sifted(read.where("side = 0"), *setjoin.build_sieve(held, lambda batch: _entries(batch)[1], again=False))
+    back = setjoin.build_sieve(train.select("entry"), lambda batch: batch.column(0).to_numpy(), again=False)
+    return train.union(sifted(held, *back))
 
 
 class FmIndex:
@@ -233,7 +238,7 @@ def overlaps(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     keys = ["side", "kind", "sig"]
     repeated = words.groupBy(*keys).agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select(*keys, "first")
     texts = words.join(setjoin.small(repeated), keys, "left").where("first IS NULL OR first = row").drop("first", "row", "id")
-    postings = materialise(_postings(texts), "postings")
+    postings = _postings(texts)
     spread = setjoin.blocks(postings, left=F.col("side") == 0)
     a, b = spread.where("side = 0").alias("a"), spread.where("side = 1").alias("b")
     alike = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9

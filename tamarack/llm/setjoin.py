@@ -31,7 +31,7 @@ ROUNDS, BINS, WIDTH = 28, 32, 8
 POSITIONS = ROUNDS * BINS
 #: Values of one part in computing signatures.
 _PART = 1 << 17
-#: Bits of each of the sieve's two bitmaps (16 MB each at most), however large the input is.
+#: Bits of a sieve (16 MB at most), however large the input is.
 SIEVE_BITS = 27
 _BLOCK_BITS = 20
 #: Records of one index entry in one block; larger entries become several blocks.
@@ -105,14 +105,17 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 class Sieve:
-    """Two bitmaps over hashed entries; an entry may have a partner only if its bit is set in both."""
+    """A bitmap over hashed entries; an entry may have a partner only if its bit is set."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.both = a & b
+    def __init__(self, parts: list) -> None:
+        width = 1 << (_BLOCK_BITS - 3)
+        self.bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+        for block, packed in parts:
+            self.bits[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
     def keeps(self, keys: np.ndarray) -> np.ndarray:
         slot = _slot(keys)
-        return (self.both[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 _sieves: dict[str, Sieve] = {}
@@ -121,54 +124,51 @@ _sieves: dict[str, Sieve] = {}
 def sieve_of(name: str, parts: list) -> Sieve:
     """The sieve sent to a worker, built once in each process."""
     if name not in _sieves:
-        a, b = (np.zeros(1 << (SIEVE_BITS - 3), np.uint8) for _ in range(2))
-        width = 1 << (_BLOCK_BITS - 3)
-        for block, x, y in parts:
-            a[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(x), np.uint8)
-            b[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(y), np.uint8)
         _sieves.clear()
-        _sieves[name] = Sieve(a, b)
+        _sieves[name] = Sieve(parts)
     return _sieves[name]
 
 
-def build_sieve(keyed: DataFrame, keys_of: Callable, self_join: bool) -> tuple[str, list]:
-    """Bitmaps of all entries of ``keyed``, merged block by block.
+def build_sieve(keyed: DataFrame, keys_of: Callable, again: bool) -> tuple[str, list]:
+    """The bitmap of the entries ``keys_of(batch)`` of all batches of ``keyed``, or of those seen ``again``.
 
-    ``keys_of(batch)`` gives (keys, side). For a join of two sides the bitmaps are of the entries of side 0 and 1, for
-    a join of a table with itself of the entries seen and of those seen again.
+    It is merged block by block; what reaches the driver is the bitmap, whose size is fixed.
     """
     count, width = 1 << (SIEVE_BITS - _BLOCK_BITS), 1 << (_BLOCK_BITS - 3)
+    kind = "block int, seen binary, twice binary"
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = (np.zeros(1 << SIEVE_BITS, bool) for _ in range(2))
+        seen = np.zeros(1 << SIEVE_BITS, bool)
+        twice = np.zeros(1 << SIEVE_BITS if again else 0, bool)
         for batch in batches:
-            keys, side = keys_of(batch)
-            slot = _slot(keys)
-            if self_join:
-                distinct, seen = np.unique(slot, return_counts=True)
-                b[distinct[(seen > 1) | a[distinct]]] = True
-                a[distinct] = True
-            else:
-                a[slot[side == 0]] = True
-                b[slot[side == 1]] = True
-        packed = [np.packbits(x, bitorder="little").reshape(count, width) for x in (a, b)]
-        used = np.flatnonzero(packed[0].any(axis=1) | packed[1].any(axis=1))
+            slot = _slot(keys_of(batch))
+            if again:
+                distinct, times = np.unique(slot, return_counts=True)
+                twice[distinct[(times > 1) | seen[distinct]]] = True
+                slot = distinct
+            seen[slot] = True
+        first = np.packbits(seen, bitorder="little").reshape(count, width)
+        second = np.packbits(twice, bitorder="little").reshape(count, width) if again else None
+        used = np.flatnonzero(first.any(axis=1))
         for part in np.array_split(used, max(1, len(used) // 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([zlib.compress(p[k].tobytes(), 1) for k in part], pa.binary()) for p in packed)], ["block", "a", "b"])
+            packed = [pa.array([zlib.compress(x[k].tobytes(), 1) if x is not None else b"" for k in part], pa.binary()) for x in (first, second)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *packed], ["block", "seen", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
         for batch in batches:
             for block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
-                p, q = held.get(block, (np.zeros_like(x), np.zeros_like(y)))
-                held[block] = [p | x, q | y | (p & x if self_join else 0)]
+                x = np.frombuffer(zlib.decompress(x), np.uint8)
+                y = np.frombuffer(zlib.decompress(y), np.uint8) if again else None
+                if block in held:
+                    p, q = held[block]
+                    x, y = p | x, (q | y | (p & x)) if again else None
+                held[block] = (x, y)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *(pa.array([zlib.compress(v[k].tobytes(), 1) for v in held.values()], pa.binary()) for k in (0, 1))], ["block", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v[again].tobytes(), 1) for v in held.values()], pa.binary())], ["block", "bits"])
 
-    kind = "block int, a binary, b binary"
-    parts = keyed.mapInArrow(collect, kind).repartition(16, "block").mapInArrow(merge, kind).collect()
-    return uuid.uuid4().hex, [(r.block, bytes(r.a), bytes(r.b)) for r in parts]
+    parts = keyed.mapInArrow(collect, kind).repartition(16, "block").mapInArrow(merge, "block int, bits binary").collect()
+    return uuid.uuid4().hex, [(r.block, bytes(r.bits)) for r in parts]
 
 
 def blocks(postings: DataFrame, left: Column | None = None) -> DataFrame:
