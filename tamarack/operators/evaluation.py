@@ -62,7 +62,7 @@ def validate_answers(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     both = p.join(e, F.col("pid") == F.col("eid"), "full_outer")
     matched = F.col("pid").isNotNull() & F.col("eid").isNotNull()
     words = F.when(F.col("pid").isNotNull(), F.size(F.filter(F.split(F.trim(F.coalesce("answer", F.lit(""))), r"\s+"), lambda w: w != "")))
-    return both.agg(F.count("eid").alias("expected"), F.count("pid").alias("predicted"), F.count_if(F.col("pid").isNull()).alias("missing"), F.count_if(F.col("eid").isNull()).alias("extra"), F.count_if(matched & ~F.col("pq").eqNullSafe(F.col("eq"))).alias("mismatched"), F.count_if(F.col("pid").isNotNull() & (F.trim(F.coalesce("answer", F.lit(""))) == "")).alias("blank"), F.min(words).alias("min_words"), F.max(words).alias("max_words"))
+    return both.agg(F.count("eid").alias("expected"), F.count("pid").alias("predicted"), F.count_if(F.col("pid").isNull()).alias("missing"), F.count_if(F.col("eid").isNull()).alias("extra"), F.count_if(matched & ~F.col("pq").eqNullSafe(F.col("eq"))).alias("mismatched"), F.count_if(F.col("pid").isNotNull() & F.coalesce("answer", F.lit("")).rlike(r"(?U)^\s*$")).alias("blank"), F.min(words).alias("min_words"), F.max(words).alias("max_words"))
 
 
 def truncations(lengths: DataFrame, column: str, limits: tuple[int, ...]) -> DataFrame:
