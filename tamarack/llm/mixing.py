@@ -183,21 +183,22 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, vocab
     spark = docs.sparkSession
     wanted = sorted(((r.source, r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL AND target_share > 0").collect()), key=lambda x: x[0])
     sources = [w[0] for w in wanted]
+    if not wanted:
+        key = docs.schema["key"].dataType.simpleString()
+        nothing = targets.select("source", "target_share", "max_repeats", F.lit(0).cast("bigint").alias("tokens"), F.lit(0.0).alias("share"), F.lit(0).alias("repeats"))
+        return spark.createDataFrame([], f"key {key}, source string, tokens bigint, rate double, copies int"), nothing.where("source IS NOT NULL")
     caps = np.array([max(int(w[2] or 1), 0) for w in wanted], float)
     members = memberships(docs, sources, tokenizers, vocabulary)
-    multipliers, _, _ = fit_rates(members, np.array([w[1] for w in wanted], float), caps) if wanted else (np.zeros((0, 0)), 0.0, np.zeros(0))
+    multipliers, _, _ = fit_rates(members, np.array([w[1] for w in wanted], float), caps)
     sent = spark.sparkContext.broadcast(multipliers)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.select(["s", "tokens", "posterior"])
-            if not len(caps):
-                r, home, most = np.zeros(batch.num_rows), np.zeros(batch.num_rows, int), np.zeros(batch.num_rows, int)
-            else:
-                named, matrix = _posteriors(part, len(caps))
-                r = rates(matrix, matrix @ caps, 1.0, sent.value)
-                home = np.where(named >= 0, named, matrix.argmax(axis=1))
-                most = caps[home].astype(int)
+            named, matrix = _posteriors(part, len(caps))
+            r = rates(matrix, matrix @ caps, 1.0, sent.value)
+            home = np.where(named >= 0, named, matrix.argmax(axis=1))
+            most = caps[home].astype(int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home, pa.int32()), batch.column(1), pa.array(r), pa.array(most, pa.int32())], ["key", "s", "tokens", "rate", "most"])
 
     kind = members.schema["key"].dataType.simpleString()
@@ -213,7 +214,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, vocab
     placed = rated.withColumn("upto", F.sum("rate").over(inner)).join(F.broadcast(sums), ["s", "bucket"])
     end = F.floor(F.col("before") + F.col("upto") + 0.5 + 1e-9)
     start = F.floor(F.col("before") + F.col("upto") - F.col("rate") + 0.5 + 1e-9)
-    names = F.create_map(*[x for k, s in enumerate(sources) for x in (F.lit(k), F.lit(s))]) if sources else F.create_map(F.lit(0), F.lit(""))
+    names = F.create_map(*[x for k, s in enumerate(sources) for x in (F.lit(k), F.lit(s))])
     drawn = placed.select("key", names[F.col("s")].alias("source"), "tokens", "rate", F.least((end - start).cast("int"), "most").alias("copies")).where("copies > 0")
     drawn = materialise(drawn, "drawn")
     by = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("repeats"))

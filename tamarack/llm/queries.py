@@ -122,6 +122,11 @@ def p7_split_shares(spark: SparkSession, root: str) -> DataFrame:
     return targets.join(sizes, "split", "left").crossJoin(F.broadcast(total)).select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), (F.coalesce("records", F.lit(0)) / F.col("total")).alias("share"))
 
 
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    members, linked = neardup.near_duplicates(_passages(spark, root))
+    return neardup.grouped(members, linked)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -165,6 +170,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_overlap_counts": p4_overlap_counts,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_residue_units": p6_residue_units,
     "p7_found": p7_found,
@@ -177,4 +183,25 @@ QUERIES: dict[str, Query] = {
     "p10_found": p10_found,
     "p10_profile": p10_profile,
 }
-ORACLES: dict[str, str] = {}
+
+_LINE_SQL = "lower(trim(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '\\d+', '0', 'g')))"
+_KEYS_SQL = f"""l AS (
+  SELECT DISTINCT id, source, f AS field, i - 1 AS line_no, {_LINE_SQL.format(x="t")} AS k FROM (
+    SELECT id, source, 'retrieval_text' AS f, unnest(string_split(retrieval_text, chr(10))) AS t, generate_subscripts(string_split(retrieval_text, chr(10)), 1) AS i FROM legal_documents
+    UNION ALL
+    SELECT id, source, 'generation_text', unnest(string_split(generation_text, chr(10))), generate_subscripts(string_split(generation_text, chr(10)), 1) FROM legal_documents)
+), n AS (SELECT source, count(DISTINCT id) AS total FROM legal_documents GROUP BY source)
+, o AS (SELECT source, field, k FROM l JOIN n USING (source) WHERE k <> '' GROUP BY source, field, k, total HAVING count(DISTINCT id) >= 3 AND count(DISTINCT id) >= 0.2 * total)"""
+_EVAL_WORDS = "regexp_extract_all(lower(nfc_normalize({x})), '[\\p{{L}}\\p{{Nd}}]+')"
+
+
+def _runs_sql(key: str, name: str) -> str:
+    words = _EVAL_WORDS.format(x="text")
+    return f"SELECT DISTINCT {key}, hash(array_to_string(ws[i:i + 14], ' ')) AS g FROM (SELECT {key}, {words} AS ws, unnest(range(1, len({words}) - 13)) AS i FROM {name})"
+
+
+#: SQL for the queries that SQL can express on whole tables; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {_KEYS_SQL} SELECT id, field, CAST(line_no AS BIGINT) AS line_no FROM l JOIN o USING (source, field, k)",
+    "p8_found": f"WITH d AS ({_runs_sql('doc_id', 'documents')}), e AS ({_runs_sql('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
+}

@@ -61,9 +61,9 @@ def _kept_lines(text: Column, gone: Column) -> Column:
 
 def without_lines(docs: DataFrame, found: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """``docs`` with the found lines removed from ``fields``; rows without found lines pass unchanged."""
-    numbers = found.groupBy("id").agg(*[F.collect_set(F.when(F.col("field") == f, F.col("line_no"))).alias(f"_{k}") for k, f in enumerate(fields)])
-    joined = docs.join(numbers.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left")
+    numbers = found.groupBy("id").agg(*[F.collect_set(F.when(F.col("field") == f, F.col("line_no"))).alias(f"__lines_{k}") for k, f in enumerate(fields)])
+    joined = docs.join(numbers.withColumnRenamed("id", "__lines_id"), F.col(key) == F.col("__lines_id"), "left")
     rebuilt = {}
     for k, f in enumerate(fields):
-        rebuilt[f] = _kept_lines(F.col(f), F.col(f"_{k}"))
-    return joined.withColumns(rebuilt).drop("_id", *[f"_{k}" for k in range(len(fields))])
+        rebuilt[f] = _kept_lines(F.col(f), F.col(f"__lines_{k}"))
+    return joined.withColumns(rebuilt).drop("__lines_id", *[f"__lines_{k}" for k in range(len(fields))])
