@@ -1,7 +1,7 @@
 """Batch ranking: every operator takes all queries at once and is one relational plan.
 
 Token tables are (doc_id, token, tf) and query tables (query_id, token, qtf); rankings are (query_id, doc_id, score,
-rank). Ties go to the smaller document id. Null and empty texts have no tokens and are never ranked.
+rank). Scores are rounded to nine digits, so that sums made in another order tie; ties go to the smaller document id. Null and empty texts have no tokens and are never ranked.
 """
 
 from __future__ import annotations
@@ -23,6 +23,14 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(tokens).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
+#: Query terms that are broadcast at most; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
 def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     """(query_id, token, qtf) of queries (query_id, ...)."""
     return queries.select("query_id", F.explode(tokens).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
@@ -43,14 +51,16 @@ def bm25(posts: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: fl
     """
     lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    frequency = posts.groupBy("token").agg(F.count("*").alias("df"))
+    wanted = _small(asked.select("token").distinct())
+    asked_posts = posts.join(wanted, "token", "left_semi")
+    frequency = asked_posts.groupBy("token").agg(F.count("*").alias("df"))
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plus_one" else F.greatest(F.log(odds), F.lit(1e-6))
-    terms = asked.join(frequency, "token").crossJoin(F.broadcast(stats))
-    met = posts.join(terms, "token").join(lengths, "doc_id")
-    length = F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scored = met.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("qtf") if repeats else part).alias("score"))
+    terms = asked.join(frequency, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight"), F.greatest(F.col("avgdl"), F.lit(1.0)).alias("mean"))
+    # Postings lie by document from here on: scores are summed where they are made, and only the best are shuffled.
+    placed = asked_posts.repartition("doc_id").join(lengths, "doc_id")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
+    scored = placed.join(_small(terms), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, k)
 
 
@@ -62,8 +72,9 @@ def tfidf(posts: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     wanted = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     query_norms = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = weighted.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(query_norms, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+    met = weighted.join(_small(wanted.select("token").distinct()), "token", "left_semi").repartition("doc_id")
+    dots = met.join(_small(wanted), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = dots.join(norms, "doc_id").join(query_norms, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score"))
     return top_k(scored, k)
 
 

@@ -14,7 +14,7 @@ from tamarack.functions import text as T
 from tamarack.operators import chunking, evaluation, hygiene, quality
 from tamarack.operators import ranking as R
 from tamarack.plans.text_queries import legal_sql, w
-from tamarack.session import materialise, table
+from tamarack.session import materialise, spread_table, table
 from tamarack.sources import readers, writers
 
 QUERIES, ORACLES = {}, {}
@@ -32,8 +32,8 @@ def query(sql: str | None = None):
 
 # The search problem of most ranking queries: titles of every twentieth document against all texts.
 def _search(spark, root) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, root, "documents").select("doc_id", "text", "title", "source")
-    posts = R.postings(docs, T.legal_tokens(F.col("text")))
+    docs = spread_table(spark, root, "documents").select("doc_id", "text", "title", "source")
+    posts = materialise(R.postings(docs, T.legal_tokens(F.col("text"))), "postings")
     asked = docs.where("doc_id % 20 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), "title")
     return docs, posts, asked
 
@@ -50,7 +50,7 @@ TFIDF = "i AS (SELECT t, ln((1 + (SELECT n FROM s)) / (1 + df)) + 1 AS idf FROM
 
 
 def _rounded(ranking: DataFrame) -> DataFrame:
-    return ranking.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return ranking.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 def _bm25(spark, root, k: int = 10, **how) -> DataFrame:
@@ -63,27 +63,27 @@ def _tfidf(spark, root, k: int = 10) -> DataFrame:
     return R.tfidf(posts, R.query_terms(asked, T.legal_tokens(F.col("title"))), k=k)
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10")
+@query(f"WITH {POSTS}, {bm25_sql(IDF)} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM b WHERE rank <= 10")
 def r01_bm25(spark, root):
     return _rounded(_bm25(spark, root))
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF, 'qtf')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10")
+@query(f"WITH {POSTS}, {bm25_sql(IDF, 'qtf')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM b WHERE rank <= 10")
 def r02_bm25_repeated_terms(spark, root):
     return _rounded(_bm25(spark, root, repeats=True))
 
 
-@query(f"WITH {POSTS}, {bm25_sql('greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)', k1='1.2')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10")
+@query(f"WITH {POSTS}, {bm25_sql('greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)', k1='1.2')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM b WHERE rank <= 10")
 def r03_bm25_floored(spark, root):
     return _rounded(_bm25(spark, root, k1=1.2, variant="floored"))
 
 
-@query(f"WITH {POSTS}, {TFIDF} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM tr WHERE rank <= 10")
+@query(f"WITH {POSTS}, {TFIDF} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM tr WHERE rank <= 10")
 def r04_tfidf(spark, root):
     return _rounded(_tfidf(spark, root))
 
 
-@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.e, d.e) / (greatest(q.n, 1e-12) * greatest(d.n, 1e-12)) AS score FROM u q, u d WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.e, d.e) / (greatest(q.n, 1e-12) * greatest(d.n, 1e-12)) AS score FROM u q, u d WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
 def r05_nearest_vectors(spark, root):
     v = table(spark, root, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -105,7 +105,7 @@ def r07_rank_fusion(spark, root):
 
 def _chunks(spark, root) -> DataFrame:
     """Articles of legal documents with their document number: the chunks that citations point to."""
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage", F.col("metadata.document_number").alias("number")).distinct()
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage", F.col("metadata.document_number").alias("number")).distinct()
     cut = chunking.articles(d.select("doc_id", "passage"), "passage").where("article IS NOT NULL")
     return cut.join(d.select("doc_id", "number"), "doc_id").select(F.concat_ws("_", F.lit("doc"), "doc_id", F.lit("article"), "article", F.col("occurrence").cast("string")).alias("chunk_id"), "doc_id", T.canonical_number(F.col("number")).alias("number"), "article", "body")
 
@@ -116,13 +116,13 @@ _CITED_SQL = "z AS (SELECT DISTINCT id, article, upper(regexp_replace(number, '\
 
 @query(f"WITH {_CHUNKS_SQL}, {_CITED_SQL} SELECT z.id AS question_id, c.chunk_id FROM z JOIN c USING (number, article) GROUP BY ALL")
 def r08_cited_chunks(spark, root):
-    cited = table(spark, root, "qa_examples").select("id", F.explode(C.citations(F.col("answer"))).alias("c")).where(r"c.document_number RLIKE '^\\d{1,5}/\\d{4}/' AND c.document_type IS NOT NULL")
+    cited = spread_table(spark, root, "qa_examples").select("id", F.explode(C.citations(F.col("answer"))).alias("c")).where(r"c.document_number RLIKE '^\\d{1,5}/\\d{4}/' AND c.document_type IS NOT NULL")
     meta = _chunks(spark, root)
     met = cited.select(F.col("id").alias("question_id"), F.col("c.document_number").alias("number"), F.col("c.article").alias("article")).distinct()
     return met.join(meta.select("chunk_id", "number", "article"), ["number", "article"]).select("question_id", "chunk_id").distinct()
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF)}, d AS (SELECT doc_id, list_distinct({legal_sql('text')}) AS d FROM documents), qq AS (SELECT doc_id AS query_id, list_distinct({legal_sql('title')}) AS q FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), k AS (SELECT query_id, doc_id, len(list_intersect(q, d)) / greatest(1.0, sqrt(len(q) * len(d))) AS score FROM b JOIN d USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 20) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM k")
+@query(f"WITH {POSTS}, {bm25_sql(IDF)}, d AS (SELECT doc_id, list_distinct({legal_sql('text')}) AS d FROM documents), qq AS (SELECT doc_id AS query_id, list_distinct({legal_sql('title')}) AS q FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), k AS (SELECT query_id, doc_id, len(list_intersect(q, d)) / greatest(1.0, sqrt(len(q) * len(d))) AS score FROM b JOIN d USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 20) SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM k")
 def r09_lexical_rerank(spark, root):
     docs, posts, asked = _search(spark, root)
     ranked = R.bm25(posts, R.query_terms(asked, T.legal_tokens(F.col("title"))), k=20)
@@ -143,7 +143,7 @@ def r10_hybrid_retrieve(spark, root):
 
 
 def _complexity(spark, root) -> DataFrame:
-    q = table(spark, root, "qa_examples").select("id", T.normalize_text(F.col("question"), keep_lines=False).alias("t"), F.size(C.citations(F.col("question"))).alias("cites"))
+    q = spread_table(spark, root, "qa_examples").select("id", T.normalize_text(F.col("question"), keep_lines=False).alias("t"), F.size(C.citations(F.col("question"))).alias("cites"))
     return q.select("id", *[c.alias(n) for n, c in R.complexity(F.col("t"), F.col("cites")).items()])
 
 
@@ -176,7 +176,11 @@ def r14_parents(spark, root):
 
 
 def _parents(spark, root) -> DataFrame:
-    chunks = _chunks(spark, root).withColumn("cites", C.citations(F.col("body")))
+    chunks = materialise(_chunks(spark, root), "chunks").withColumn("cites", C.citations(F.col("body")))
+    return materialise(_parent_rows(chunks), "parents")
+
+
+def _parent_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("number").alias("document_number"), "article", F.col("body").alias("text"), C.reference_keys(F.col("cites")).alias("refs"), C.amendment_keys(F.col("body"), F.col("cites")).alias("amends"))
 
 
@@ -200,8 +204,8 @@ def r16_citation_graph(spark, root):
 
 @query(f"WITH d AS (SELECT id, min(question) AS text FROM qa_examples WHERE split = 'train' GROUP BY id), p AS (SELECT id AS doc_id, t, count(*) AS tf FROM (SELECT id, unnest({legal_sql('text')}) AS t FROM d) GROUP BY ALL), q AS (SELECT id AS query_id, t, count(*) AS qtf FROM (SELECT id, unnest({legal_sql('question')}) AS t FROM (SELECT id, min(question) AS question FROM qa_examples WHERE split = 'validation' GROUP BY id)) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT t, count(*) AS df FROM p GROUP BY t), {bm25_sql(IDF)} SELECT query_id, doc_id, round(score, 4) AS score FROM b WHERE rank = 1")
 def r17_question_neighbours(spark, root):
-    one = lambda split: table(spark, root, "qa_examples").where(F.col("split") == split).groupBy("id").agg(F.min("question").alias("question"))
-    posts = R.postings(one("train").withColumnRenamed("id", "doc_id"), T.legal_tokens(F.col("question")))
+    one = lambda split: spread_table(spark, root, "qa_examples").where(F.col("split") == split).groupBy("id").agg(F.min("question").alias("question"))
+    posts = materialise(R.postings(one("train").withColumnRenamed("id", "doc_id"), T.legal_tokens(F.col("question"))), "postings")
     asked = R.query_terms(one("validation").withColumnRenamed("id", "query_id"), T.legal_tokens(F.col("question")))
     ranked = R.top_k(R.bm25(posts, asked, k=20).drop("rank").withColumn("score", F.round("score", 9)), 1)
     return ranked.select("query_id", "doc_id", F.round("score", 4).alias("score"))
@@ -237,23 +241,23 @@ def a08_corpus_report(spark, root):
 
 @query("SELECT CAST(sum(length(raw_text)) AS BIGINT) AS raw_chars, CAST(sum(length(retrieval_text)) AS BIGINT) AS retrieval_chars, CAST(sum(length(generation_text)) AS BIGINT) AS generation_chars, count(*) FILTER (retrieval_text <> generation_text) AS changed FROM legal_documents")
 def a09_sanitation_totals(spark, root):
-    return table(spark, root, "legal_documents").agg(*[F.sum(F.length(f"{n}_text")).alias(f"{n}_chars") for n in ("raw", "retrieval", "generation")], F.count_if(F.col("retrieval_text") != F.col("generation_text")).alias("changed"))
+    return spread_table(spark, root, "legal_documents").agg(*[F.sum(F.length(f"{n}_text")).alias(f"{n}_chars") for n in ("raw", "retrieval", "generation")], F.count_if(F.col("retrieval_text") != F.col("generation_text")).alias("changed"))
 
 
 @query(f"WITH b AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(passage, chr(10))), '\\s+', ' ', 'g'))) AS b FROM (SELECT DISTINCT id, passage FROM legal_documents)), k AS (SELECT id, b, count(*) AS c FROM b WHERE length(b) >= 100 AND length(regexp_replace(b, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(b) >= 0.25 AND len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+')) >= 8 GROUP BY ALL) SELECT id AS doc_id, CAST(sum(c) AS BIGINT) AS blocks, count(*) AS unique_blocks, round(1 - count(*) / sum(c), 6) AS ratio, max(c) AS max_frequency FROM k GROUP BY id")
 def a10_repetition(spark, root):
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), F.regexp_replace("passage", "\n", "\n\n").alias("passage")).distinct()
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), F.regexp_replace("passage", "\n", "\n\n").alias("passage")).distinct()
     return hygiene.repetition(d, "passage").drop("duplicate_char_ratio")
 
 
 @query("WITH l AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(generation_text, chr(10))), '\\s+', ' ', 'g'))) AS line FROM legal_documents), k AS (SELECT id, line, count(*) AS c FROM l WHERE length(line) BETWEEN 20 AND 500 GROUP BY ALL) SELECT line, count(*) AS docs, CAST(sum(c) AS BIGINT) AS total, max(c) AS max_in_one FROM k GROUP BY line HAVING count(*) >= greatest(2, ceil(0.01 * (SELECT count(DISTINCT id) FROM legal_documents)))")
 def a11_line_frequencies(spark, root):
-    return hygiene.line_frequencies(table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text"), "generation_text", report=None)
+    return hygiene.line_frequencies(spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text"), "generation_text", report=None)
 
 
 @query("WITH l AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(generation_text, chr(10))), '\\s+', ' ', 'g'))) AS line FROM legal_documents), k AS (SELECT DISTINCT id, line FROM l WHERE length(line) BETWEEN 20 AND 500) SELECT line, count(*) AS docs FROM k GROUP BY line HAVING count(*) >= greatest(2, ceil(0.01 * (SELECT count(DISTINCT id) FROM legal_documents))) ORDER BY docs DESC, line LIMIT 20")
 def a12_top_lines(spark, root):
-    return hygiene.line_frequencies(table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text"), "generation_text", report=20).select("line", "docs")
+    return hygiene.line_frequencies(spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text"), "generation_text", report=20).select("line", "docs")
 
 
 @query("SELECT source_task, json_valid, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM raw_inventory GROUP BY ALL")
@@ -305,14 +309,14 @@ def a19_macro_f2(spark, root):
 
 @query(f"WITH x AS (SELECT id, min(question) AS q, min(answer) AS a FROM qa_examples WHERE answer IS NOT NULL GROUP BY id), p AS (SELECT id, unnest({w('q')}) AS t, generate_subscripts({w('q')}, 1) AS i FROM x), r AS (SELECT id, unnest({w('a')}) AS t, generate_subscripts({w('a')}, 1) AS i FROM x), pk AS (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY i) AS k FROM p), rk AS (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY i) AS k FROM r), m AS (SELECT pk.id, pk.i AS p, rk.i AS r FROM pk JOIN rk ON pk.id = rk.id AND pk.t = rk.t AND pk.k = rk.k), c AS (SELECT *, CASE WHEN lag(r) OVER (PARTITION BY id ORDER BY p) + 1 = r THEN 0 ELSE 1 END AS fresh FROM m), s AS (SELECT id, count(*) AS m, sum(fresh) AS ch FROM c GROUP BY id) SELECT x.id, round(coalesce((m / len({w('q')})) * (m / len({w('a')})) / (0.9 * m / len({w('q')}) + 0.1 * m / len({w('a')})) * (1 - 0.5 * pow(ch / m, 3)), 0), 6) AS meteor FROM x LEFT JOIN s USING (id)")
 def f26_meteor(spark, root):
-    x = table(spark, root, "qa_examples").where("answer IS NOT NULL").groupBy("id").agg(F.min("question").alias("q"), F.min("answer").alias("a"))
+    x = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").groupBy("id").agg(F.min("question").alias("q"), F.min("answer").alias("a"))
     pairs = x.select("id", T.word_tokens(F.col("q")).alias("q"), T.word_tokens(F.col("a")).alias("a"))
     return M.meteor(pairs, "q", "a").select("id", F.round("meteor", 6).alias("meteor"))
 
 
 @query()
 def f25_rouge_l(spark, root):
-    x = table(spark, root, "qa_examples").where("answer IS NOT NULL").select("id", "question", "answer").distinct()
+    x = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").select("id", "question", "answer").distinct()
     return x.select("id", F.round(M.rouge_l(T.word_tokens(F.col("question")), T.word_tokens(F.col("answer")), 1.2), 6).alias("rouge_l"))
 
 
@@ -337,7 +341,7 @@ def a24_truncations(spark, root):
 
 @query("WITH p AS (SELECT id, min(question) AS q, min(answer) AS a FROM qa_examples WHERE split <> 'public' GROUP BY id), e AS (SELECT id, min(question) AS q FROM qa_examples WHERE split <> 'train' GROUP BY id) SELECT count(e.id) AS expected, count(p.id) AS predicted, count(*) FILTER (p.id IS NULL) AS missing, count(*) FILTER (e.id IS NULL) AS extra, count(*) FILTER (p.q <> e.q) AS mismatched, count(*) FILTER (p.id IS NOT NULL AND regexp_matches(coalesce(p.a, ''), '^[\\s\\x{00a0}]*$')) AS blank FROM p FULL JOIN e USING (id)")
 def a25_validate_answers(spark, root):
-    one = lambda where: table(spark, root, "qa_examples").where(where).groupBy("id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"))
+    one = lambda where: spread_table(spark, root, "qa_examples").where(where).groupBy("id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"))
     return evaluation.validate_answers(one("split <> 'public'"), one("split <> 'train'")).drop("min_words", "max_words")
 
 
@@ -348,25 +352,25 @@ def h01_exact_duplicates(spark, root):
 
 @query()
 def h02_near_duplicates(spark, root):
-    signed = materialise(table(spark, root, "legal_documents").where("passage IS NOT NULL").select(F.col("id").alias("doc_id"), hygiene.simhash(F.col("passage")).alias("sig")), "signed")
+    signed = materialise(spread_table(spark, root, "legal_documents").where("passage IS NOT NULL").select(F.col("id").alias("doc_id"), hygiene.simhash(F.col("passage")).alias("sig")), "signed")
     return hygiene.near_groups(signed)
 
 
 @query()
 def h04_sanitized_views(spark, root):
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "raw_text")
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "raw_text")
     return hygiene.sanitize(d, "raw_text", [r"điều \d+"], [], [r"trang chủ > .*"]).drop("raw_text")
 
 
 @query()
 def h09_group_split(spark, root):
-    records = table(spark, root, "qa_examples").where("split <> 'public'").select("id", "question").distinct().select(T.question_group(F.col("question")).alias("group"))
+    records = spread_table(spark, root, "qa_examples").where("split <> 'public'").select("id", "question").distinct().select(T.question_group(F.col("question")).alias("group"))
     return hygiene.group_split(records, 700)
 
 
 @query(f"WITH {_CHUNKS_SQL}, {_CITED_SQL} SELECT z.id AS question_id, c.chunk_id, 'MEDIUM' AS confidence FROM z JOIN c USING (number, article) GROUP BY ALL")
 def h10_citation_labels(spark, root):
-    cited = table(spark, root, "qa_examples").select(F.col("id").alias("question_id"), F.explode(C.citations(F.col("answer"))).alias("c")).where(r"c.document_number RLIKE '^\\d{1,5}/\\d{4}/' AND c.document_type IS NOT NULL")
+    cited = spread_table(spark, root, "qa_examples").select(F.col("id").alias("question_id"), F.explode(C.citations(F.col("answer"))).alias("c")).where(r"c.document_number RLIKE '^\\d{1,5}/\\d{4}/' AND c.document_type IS NOT NULL")
     answers = cited.select("question_id", F.col("c.document_number").alias("number"), "c.article", "c.clause", F.lit(None).cast("string").alias("point")).distinct()
     chunks = _chunks(spark, root).select("chunk_id", "number", "article", F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("point"))
     return hygiene.citation_labels(answers, chunks).select("question_id", "chunk_id", "confidence")
@@ -374,30 +378,30 @@ def h10_citation_labels(spark, root):
 
 @query("SELECT id, len(regexp_extract_all(passage, '\\.{7,}')) AS placeholders FROM legal_documents WHERE regexp_matches(passage, '\\.{7,}')")
 def h15_form_blanks(spark, root):
-    return table(spark, root, "legal_documents").where(F.col("passage").rlike(r"\.{7,}")).select("id", F.regexp_count("passage", F.lit(r"\.{7,}")).alias("placeholders"))
+    return spread_table(spark, root, "legal_documents").where(F.col("passage").rlike(r"\.{7,}")).select("id", F.regexp_count("passage", F.lit(r"\.{7,}")).alias("placeholders"))
 
 
 @query("SELECT rule, count(*) AS broken FROM (SELECT 'answer_present' AS rule FROM qa_examples WHERE split <> 'public' AND answer IS NULL UNION ALL SELECT 'author_present' FROM qa_examples WHERE author IS NULL UNION ALL SELECT 'question_exists' FROM (SELECT DISTINCT question_id FROM citation_qrels WHERE question_id NOT IN (SELECT id FROM qa_examples)) UNION ALL SELECT 'unique_key' FROM (SELECT id FROM qa_examples GROUP BY id HAVING count(*) > 1)) GROUP BY rule")
 def h13_release_audit(spark, root):
-    qa = table(spark, root, "qa_examples")
+    qa = spread_table(spark, root, "qa_examples")
     rows = quality.violations(qa, "id", {"answer_present": (F.col("split") == "public") | F.col("answer").isNotNull(), "author_present": F.col("author").isNotNull()})
     return quality.gate(rows, quality.missing_references(table(spark, root, "citation_qrels"), "question_id", qa, "id", "question_exists"), quality.repeated_keys(qa, "id"))
 
 
 @query("SELECT 'no_question_overlap' AS rule, question AS key FROM (SELECT question FROM qa_examples WHERE split = 'train' INTERSECT SELECT question FROM qa_examples WHERE split <> 'train')")
 def j13_split_disjointness(spark, root):
-    qa = table(spark, root, "qa_examples")
+    qa = spread_table(spark, root, "qa_examples")
     return quality.overlap(qa.where("split = 'train'"), qa.where("split <> 'train'"), "question", "no_question_overlap")
 
 
 @query("SELECT DISTINCT id FROM legal_documents WHERE id IN (SELECT doc_id FROM raw_inventory WHERE json_valid)")
 def j04_semi_join(spark, root):
-    return table(spark, root, "legal_documents").select("id").distinct().join(table(spark, root, "raw_inventory").where("json_valid").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return spread_table(spark, root, "legal_documents").select("id").distinct().join(table(spark, root, "raw_inventory").where("json_valid").select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
 @query("SELECT 'missing' AS side, id FROM (SELECT DISTINCT id FROM legal_documents EXCEPT SELECT doc_id FROM raw_inventory) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM raw_inventory EXCEPT SELECT id FROM legal_documents)")
 def j12_id_reconciliation(spark, root):
-    a, b = table(spark, root, "legal_documents").select("id").distinct(), table(spark, root, "raw_inventory").select(F.col("doc_id").alias("id")).distinct()
+    a, b = spread_table(spark, root, "legal_documents").select("id").distinct(), table(spark, root, "raw_inventory").select(F.col("doc_id").alias("id")).distinct()
     return a.join(b, "id", "left_anti").select(F.lit("missing").alias("side"), "id").union(b.join(a, "id", "left_anti").select(F.lit("extra").alias("side"), "id"))
 
 
@@ -418,7 +422,7 @@ def j14_band_self_join(spark, root):
 
 @query("SELECT a.id, CASE WHEN regexp_matches(b.answer, '^[\\s\\x{00a0}]*$') THEN 'blank' WHEN b.id IS NULL THEN 'missing' ELSE 'present' END AS state FROM (SELECT DISTINCT id FROM qa_examples) a LEFT JOIN (SELECT id, min(answer) AS answer FROM qa_examples WHERE answer IS NOT NULL GROUP BY id) b USING (id)")
 def j11_prediction_join(spark, root):
-    qa = table(spark, root, "qa_examples")
+    qa = spread_table(spark, root, "qa_examples")
     given = qa.where("answer IS NOT NULL").groupBy("id").agg(F.min("answer").alias("answer"), F.lit(True).alias("there"))
     state = F.when(F.col("answer").rlike(r"(?U)^\s*$"), "blank").when(F.col("there").isNull(), "missing").otherwise("present")
     return qa.select("id").distinct().join(given, "id", "left").select("id", state.alias("state"))
@@ -441,7 +445,7 @@ def v10_token_lengths(spark, root):
 @query("SELECT id, CASE WHEN name IS NULL OR trim(name) = '' THEN coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(link, ''), '([^/]*)/?$', 1), '(?i)\\.aspx$', ''), '-\\d+$', ''), '[-_]+', ' ', 'g')), ''), 'Văn bản ' || id) ELSE name END AS name FROM legal_documents")
 def s08_names_from_links(spark, root):
     named = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", T.name_from_link(F.col("link"), F.col("id"))).otherwise(F.col("name"))
-    return table(spark, root, "legal_documents").select("id", named.alias("name"))
+    return spread_table(spark, root, "legal_documents").select("id", named.alias("name"))
 
 
 @query("SELECT relative_path, CASE WHEN regexp_matches(relative_path, '(?i)context_[^/\\\\]+\\.json$') THEN regexp_extract(relative_path, '(?i)context_([^/\\\\]+)\\.json$', 1) END AS id FROM raw_inventory WHERE regexp_matches(relative_path, '(?i)context_[^/\\\\]+\\.json$')")

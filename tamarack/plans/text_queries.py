@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import citations as C
 from tamarack.functions import text as T
 from tamarack.operators import chunking, hygiene
-from tamarack.session import table
+from tamarack.session import spread_table, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,139 +41,139 @@ def legal_sql(x):
 
 @query("SELECT id, regexp_replace(" + LINES.format(x="passage") + ", '^\\s+|\\s+$', '', 'g') AS plain FROM legal_documents WHERE NOT coalesce(regexp_matches(passage, '\\d\\s+/|/\\s+\\d|/\\s*[a-zđ]+\\s*-'), false) AND NOT coalesce(contains(passage, '&') OR contains(passage, '<'), false)")
 def f01_normalize_text(spark, root):
-    d = table(spark, root, "legal_documents").where(~F.coalesce(F.col("passage").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-"), F.lit(False)) & ~F.coalesce(F.col("passage").contains("&") | F.col("passage").contains("<"), F.lit(False)))
+    d = spread_table(spark, root, "legal_documents").where(~F.coalesce(F.col("passage").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-"), F.lit(False)) & ~F.coalesce(F.col("passage").contains("&") | F.col("passage").contains("<"), F.lit(False)))
     return d.select("id", T.normalize_text(F.col("passage")).alias("plain"))
 
 
 @query()
 def f02_html_to_text(spark, root):
-    return table(spark, root, "qa_examples").select("id", T.html_to_text(F.col("answer")).alias("plain"))
+    return spread_table(spark, root, "qa_examples").select("id", T.html_to_text(F.col("answer")).alias("plain"))
 
 
 @query("WITH t AS (SELECT id, unnest(regexp_extract_all(question, '(?i)\\d{1,5}\\s*/\\s*\\d{4}\\s*/\\s*[a-zđ]+\\s*-\\s*[a-zđ]+')) AS n FROM qa_examples) SELECT id, upper(regexp_replace(n, '\\s+', '', 'g')) AS number FROM t WHERE regexp_matches(n, '^[0-9]')")
 def f03_citation_spacing(spark, root):
-    d = table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("question", F.lit(r"(?iu)\d{1,5}\s*/\s*\d{4}\s*/\s*[a-zđ]+\s*-\s*[a-zđ]+"), F.lit(0))).alias("n"))
+    d = spread_table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("question", F.lit(r"(?iu)\d{1,5}\s*/\s*\d{4}\s*/\s*[a-zđ]+\s*-\s*[a-zđ]+"), F.lit(0))).alias("n"))
     return d.select("id", F.upper(F.regexp_replace(T.normalize_citations(F.col("n")), r"\s+", "")).alias("number"))
 
 
 @query("SELECT doc_id, lower(" + WS.format(x="nfc_normalize(text)") + ") AS canonical FROM documents WHERE NOT regexp_matches(text, '\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\\x{200b}-\\x{200d}\\x{feff}•●▪]')")
 def f04_canonical_text(spark, root):
-    d = table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
+    d = spread_table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
     return d.select("doc_id", T.canonical_text(F.col("text")).alias("canonical"))
 
 
 @query("SELECT doc_id, sha256(lower(" + WS.format(x="nfc_normalize(text)") + ")) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\\x{200b}-\\x{200d}\\x{feff}•●▪]')")
 def f05_fingerprint(spark, root):
-    d = table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
+    d = spread_table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
     return d.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("SELECT id, " + WS.format(x="nfc_normalize(coalesce(question, ''))") + " AS plain FROM qa_examples")
 def f06_minimal_text(spark, root):
-    return table(spark, root, "qa_examples").select("id", T.minimal_text(F.col("question"), keep_lines=False).alias("plain"))
+    return spread_table(spark, root, "qa_examples").select("id", T.minimal_text(F.col("question"), keep_lines=False).alias("plain"))
 
 
 @query("SELECT doc_id, (length(text) >= 100 AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text) >= 0.25 AND len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) >= 8) AS informative FROM documents")
 def f07_informative_block(spark, root):
-    return table(spark, root, "documents").select("doc_id", T.informative(F.col("text")).alias("informative"))
+    return spread_table(spark, root, "documents").select("doc_id", T.informative(F.col("text")).alias("informative"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(strip_accents(replace(lower(coalesce(title, '')), 'đ', 'd')), '[a-z0-9]+'), lambda t: NOT list_contains(['a','an','and','are','at','cach','cho','cua','how','is','la','must','of','the','to','what','when','why'], t)), ' ') AS tokens FROM documents")
 def f08_ascii_tokens(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.array_join(T.ascii_tokens(F.col("title")), " ").alias("tokens"))
+    return spread_table(spark, root, "documents").select("doc_id", F.array_join(T.ascii_tokens(F.col("title")), " ").alias("tokens"))
 
 
 @query("SELECT id, array_to_string(" + legal_sql("question") + ", ' ') AS tokens FROM qa_examples")
 def f09_legal_tokens(spark, root):
-    return table(spark, root, "qa_examples").select("id", F.array_join(T.legal_tokens(F.col("question")), " ").alias("tokens"))
+    return spread_table(spark, root, "qa_examples").select("id", F.array_join(T.legal_tokens(F.col("question")), " ").alias("tokens"))
 
 
 @query("SELECT doc_id, len(" + w("text") + ") AS words FROM documents")
 def f10_word_tokens(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.size(T.word_tokens(F.col("text"))).cast("bigint").alias("words"))
+    return spread_table(spark, root, "documents").select("doc_id", F.size(T.word_tokens(F.col("text"))).cast("bigint").alias("words"))
 
 
 @query("WITH t AS (SELECT id, unnest(" + w("question") + ") AS t, generate_subscripts(" + w("question") + ", 1) AS p FROM (SELECT DISTINCT id, question FROM qa_examples)), u AS (SELECT id, t, min(p) AS p FROM t WHERE length(t) >= 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM u) SELECT id, string_agg(t, ' ' ORDER BY n) AS terms FROM r WHERE n <= 32 GROUP BY id")
 def f11_match_terms(spark, root):
-    return table(spark, root, "qa_examples").select("id", "question").distinct().select("id", F.array_join(T.match_terms(F.col("question")), " ").alias("terms")).where("terms <> ''")
+    return spread_table(spark, root, "qa_examples").select("id", "question").distinct().select("id", F.array_join(T.match_terms(F.col("question")), " ").alias("terms")).where("terms <> ''")
 
 
 @query("WITH t AS (SELECT DISTINCT id, unnest(" + legal_sql("question") + ") AS t FROM qa_examples), u AS (SELECT id, t AS term FROM t UNION SELECT id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) FROM t) SELECT DISTINCT id, term FROM u")
 def f12_expand_terms(spark, root):
-    return table(spark, root, "qa_examples").select("id", F.explode(T.expand_terms(T.legal_tokens(F.col("question")))).alias("term")).distinct()
+    return spread_table(spark, root, "qa_examples").select("id", F.explode(T.expand_terms(T.legal_tokens(F.col("question")))).alias("term")).distinct()
 
 
 @query("SELECT id, 'QG_' || upper(substr(sha256(" + WS.format(x="regexp_replace(regexp_replace(lower(nfc_normalize(question)), '\\d+(?:[.,]\\d+)*', ' <num> ', 'g'), '[^0-9a-zà-ỹđ<>]+', ' ', 'g')") + "), 1, 12)) AS question_group FROM qa_examples WHERE NOT regexp_matches(question, '\\d\\s*/|/\\s*\\d|[^\\x00-\\x7f\\x{00c0}-\\x{024f}\\x{1e00}-\\x{1eff}\\x{0300}-\\x{036f}]|\\d[A-Za-z]|[A-Za-z]\\d') AND NOT regexp_matches(nfc_normalize(question), '\\d[^\\x00-\\x7f]')")
 def f13_question_group(spark, root):
     plain = ~F.col("question").rlike("\\d\\s*/|/\\s*\\d|[^\\x00-\\x7f\u00c0-\u024f\u1e00-\u1eff\u0300-\u036f]|\\d[A-Za-z]|[A-Za-z]\\d") & ~T.nfc(F.col("question")).rlike("\\d[^\\x00-\\x7f]")
-    return table(spark, root, "qa_examples").where(plain).select("id", T.question_group(F.col("question")).alias("question_group"))
+    return spread_table(spark, root, "qa_examples").where(plain).select("id", T.question_group(F.col("question")).alias("question_group"))
 
 
 @query("SELECT id, nullif(upper(regexp_replace(metadata.document_number, '\\s+', '', 'g')), '') AS number FROM legal_documents")
 def f14_canonical_number(spark, root):
-    return table(spark, root, "legal_documents").select("id", T.canonical_number(F.col("metadata.document_number")).alias("number"))
+    return spread_table(spark, root, "legal_documents").select("id", T.canonical_number(F.col("metadata.document_number")).alias("number"))
 
 
 @query("SELECT id, CASE lower(regexp_extract(name, '(?i)(Bộ luật|Luật|Nghị định|Thông tư liên tịch|Thông tư|Nghị quyết|Quyết định|Chỉ thị|Công văn|Pháp lệnh)', 1)) WHEN 'nghị định' THEN 'Nghị định' WHEN 'thông tư liên tịch' THEN 'Thông tư liên tịch' WHEN 'thông tư' THEN 'Thông tư' WHEN 'nghị quyết' THEN 'Nghị quyết' WHEN 'quyết định' THEN 'Quyết định' WHEN 'chỉ thị' THEN 'Chỉ thị' END AS kind, nullif(upper(regexp_extract(name, '(?i)(\\d{1,5}/\\d{4}/[A-ZĐ0-9-]{2,30})', 1)), '') AS number FROM legal_documents WHERE NOT coalesce(regexp_matches(name, '\\s/|/\\s'), false)")
 def f15_document_metadata(spark, root):
-    d = table(spark, root, "legal_documents").where(~F.coalesce(F.col("name").rlike(r"\s/|/\s"), F.lit(False)))
+    d = spread_table(spark, root, "legal_documents").where(~F.coalesce(F.col("name").rlike(r"\s/|/\s"), F.lit(False)))
     return d.select("id", T.document_type(F.col("name")).alias("kind"), T.document_number(F.col("name")).alias("number"))
 
 
 @query()
 def f16_citations(spark, root):
-    d = table(spark, root, "qa_examples").select("id", F.explode(C.citations(F.col("answer"))).alias("c"))
+    d = spread_table(spark, root, "qa_examples").select("id", F.explode(C.citations(F.col("answer"))).alias("c"))
     return d.select("id", "c.*")
 
 
 @query("WITH t AS (SELECT id, unnest(regexp_extract_all(answer, '(?i)điều\\s+(\\d+)', 1)) AS article FROM qa_examples) SELECT article, count(*) AS n FROM t GROUP BY article")
 def f17_cited_articles(spark, root):
-    d = table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("answer", F.lit(r"(?iu)điều\s+(\d+)"), F.lit(1))).alias("article"))
+    d = spread_table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("answer", F.lit(r"(?iu)điều\s+(\d+)"), F.lit(1))).alias("article"))
     return d.groupBy("article").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, round(CASE WHEN length(passage) > 0 THEN len(regexp_extract_all(passage, '(?im)^\\s*(?:chương|mục|điều\\s+\\d+|\\d+[.)]\\s+)')) * 10000.0 / length(passage) ELSE 0 END, 6) AS density FROM legal_documents WHERE passage IS NOT NULL")
 def f18_structure_density(spark, root):
-    return table(spark, root, "legal_documents").where("passage IS NOT NULL").select("id", F.round(T.structure_density(F.col("passage")), 6).alias("density"))
+    return spread_table(spark, root, "legal_documents").where("passage IS NOT NULL").select("id", F.round(T.structure_density(F.col("passage")), 6).alias("density"))
 
 
 @query()
 def f19_simhash(spark, root):
-    return table(spark, root, "documents").select("doc_id", hygiene.simhash(F.col("text")).alias("signature"))
+    return spread_table(spark, root, "documents").select("doc_id", hygiene.simhash(F.col("text")).alias("signature"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(strip_accents(replace(lower(title), 'đ', 'dd')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[1:80] AS safe FROM documents WHERE title IS NOT NULL")
 def f20_safe_id(spark, root):
-    return table(spark, root, "documents").where("title IS NOT NULL").select("doc_id", T.safe_id(F.col("title")).alias("safe"))
+    return spread_table(spark, root, "documents").where("title IS NOT NULL").select("doc_id", T.safe_id(F.col("title")).alias("safe"))
 
 
 @query("SELECT id, trim(regexp_replace(answer, '\\((?:Hình từ Internet|Ảnh minh họa)\\)', '', 'g'), chr(10) || ' ') AS plain FROM qa_examples WHERE contains(answer, '(Hình từ Internet)') AND NOT regexp_matches(answer, '\\d\\s+/|/\\s+\\d|/\\s*[a-zđ]+\\s*-|  |[&<]|\\n\\s*\\n')")
 def f22_sanitize_answer(spark, root):
-    d = table(spark, root, "qa_examples").where(F.col("answer").contains("(Hình từ Internet)") & ~F.col("answer").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-|  |[&<]|\n\s*\n"))
+    d = spread_table(spark, root, "qa_examples").where(F.col("answer").contains("(Hình từ Internet)") & ~F.col("answer").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-|  |[&<]|\n\s*\n"))
     return d.select("id", T.sanitize_answer(F.col("answer")).alias("plain"))
 
 
 @query("SELECT doc_id, substr(text, start, 500) AS anchored FROM (SELECT *, greatest(1, least(greatest(instr(text, substr(text, n_chars // 2, 300)), 1) - 125, n_chars - 500 + 1)) AS start FROM documents)")
 def f23_anchored_window(spark, root):
     body = F.substring(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int"), F.lit(300))
-    return table(spark, root, "documents").select("doc_id", T.anchored_window(F.col("text"), body, most=500).alias("anchored"))
+    return spread_table(spark, root, "documents").select("doc_id", T.anchored_window(F.col("text"), body, most=500).alias("anchored"))
 
 
 @query("WITH t AS (SELECT doc_id, " + w("text") + " AS t FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) AS g FROM t) SELECT doc_id, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS rate FROM g")
 def f24_repetition_rate(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.round(T.repetition_rate(T.word_tokens(F.col("text"))), 6).alias("rate"))
+    return spread_table(spark, root, "documents").select("doc_id", F.round(T.repetition_rate(T.word_tokens(F.col("text"))), 6).alias("rate"))
 
 
 @query("WITH t AS (SELECT id, question AS p, answer AS r, len(" + w("question") + ") / greatest(len(" + w("answer") + "), 1) AS ratio FROM qa_examples WHERE answer IS NOT NULL AND question IS NOT NULL) SELECT id, ratio < 0.55 AS short, ratio > 1.8 AS long, trim(p) = '' AS empty FROM t")
 def f27_error_labels(spark, root):
-    d = table(spark, root, "qa_examples").where("answer IS NOT NULL AND question IS NOT NULL").withColumn("l", T.error_labels(F.col("question"), F.col("answer")))
+    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL AND question IS NOT NULL").withColumn("l", T.error_labels(F.col("question"), F.col("answer")))
     has = lambda name: F.array_contains("l", name)
     return d.select("id", has("LIKELY_MISSING_CONTENT_OR_TRUNCATION").alias("short"), has("EXCESSIVE_VERBOSITY").alias("long"), has("EMPTY_ANSWER").alias("empty"))
 
 
 @query("SELECT id, CASE WHEN n < 200 THEN 'answer_short' WHEN n < 500 THEN 'answer_medium' ELSE 'answer_long' END AS length_slice, CASE WHEN regexp_matches(q, 'xử phạt|mức phạt|phạt bao nhiêu') THEN 'question_penalty' WHEN regexp_matches(q, 'điều kiện|yêu cầu gì') THEN 'question_condition' WHEN regexp_matches(q, 'thủ tục|hồ sơ|trình tự') THEN 'question_procedure' WHEN regexp_matches(q, 'thẩm quyền|cơ quan nào|ai có quyền') THEN 'question_authority' WHEN regexp_matches(q, 'là gì|được hiểu') THEN 'question_definition' ELSE 'question_other' END AS kind FROM (SELECT id, len(" + w("answer") + ") AS n, lower(question) AS q FROM qa_examples WHERE answer IS NOT NULL)")
 def f28_slice_labels(spark, root):
-    d = table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("s", T.slice_labels(F.col("question"), F.col("answer")))
+    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("s", T.slice_labels(F.col("question"), F.col("answer")))
     return d.select("id", F.col("s")[1].alias("length_slice"), F.col("s")[5].alias("kind"))
 
 
@@ -190,19 +190,19 @@ def f30_prompt(spark, root):
 
 @query("SELECT id, substr(sha1(id || chr(31) || coalesce(source, '')), 1, 20) AS stable FROM qa_examples")
 def f31_stable_id(spark, root):
-    return table(spark, root, "qa_examples").select("id", T.stable_id(F.col("id"), F.col("source")).alias("stable"))
+    return spread_table(spark, root, "qa_examples").select("id", T.stable_id(F.col("id"), F.col("source")).alias("stable"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE lang IN ('vi') AND source IN ('luatviet-moi', 'banan-tonghop')")
 def p01_eligible(spark, root):
     from tamarack.operators.quality import eligible
 
-    return eligible(table(spark, root, "documents").withColumn("access_scope", F.col("lang")), ["vi"], source=["luatviet-moi", "banan-tonghop"]).select("doc_id", "source")
+    return eligible(spread_table(spark, root, "documents").withColumn("access_scope", F.col("lang")), ["vi"], source=["luatviet-moi", "banan-tonghop"]).select("doc_id", "source")
 
 
 @query("WITH d AS (SELECT DISTINCT id, passage FROM legal_documents), f AS (SELECT id, passage, CASE WHEN passage IS NOT NULL THEN min(id) OVER (PARTITION BY md5(passage)) END AS first FROM d), i AS (SELECT doc_id, bool_and(json_valid) AS ok FROM raw_inventory GROUP BY doc_id) SELECT id, CASE WHEN NOT coalesce(ok, true) THEN 'invalid_json' WHEN passage IS NULL OR trim(passage) = '' THEN 'empty_passage' WHEN first <> id THEN 'exact_duplicate_alias' ELSE 'INCLUDED' END AS status FROM f LEFT JOIN i ON f.id = i.doc_id")
 def p02_document_status(spark, root):
-    d = table(spark, root, "legal_documents").select("id", "passage").distinct()
+    d = spread_table(spark, root, "legal_documents").select("id", "passage").distinct()
     first = d.where("passage IS NOT NULL").groupBy(F.md5("passage").alias("fp")).agg(F.min("id").alias("first"))
     valid = table(spark, root, "raw_inventory").groupBy("doc_id").agg(F.bool_and("json_valid").alias("ok"))
     j = d.withColumn("fp", F.md5("passage")).join(first, "fp", "left").join(valid, F.col("id") == F.col("doc_id"), "left")
@@ -212,47 +212,47 @@ def p02_document_status(spark, root):
 
 @query("SELECT id, length(passage) >= 200000 AS very_long, len(regexp_extract_all(passage, '(?im)^\\s*(?:chương|mục|điều\\s+\\d+|\\d+[.)]\\s+)')) * 10000.0 / nullif(length(passage), 0) < 0.25 AS low_density FROM legal_documents WHERE passage IS NOT NULL AND passage <> ''")
 def p03_length_flags(spark, root):
-    d = table(spark, root, "legal_documents").where("passage IS NOT NULL AND passage <> ''").withColumn("f", hygiene.length_flags(F.col("passage")))
+    d = spread_table(spark, root, "legal_documents").where("passage IS NOT NULL AND passage <> ''").withColumn("f", hygiene.length_flags(F.col("passage")))
     return d.select("id", F.array_contains("f", "very_long").alias("very_long"), F.array_contains("f", "low_structure_density").alias("low_density"))
 
 
 @query("WITH l AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(retrieval_text, chr(10))), '\\s+', ' ', 'g'))) AS line FROM legal_documents) SELECT CASE WHEN regexp_matches(line, 'điều \\d+|khoản \\d+') THEN 'protected' WHEN line IN ('xin cảm ơn.') THEN 'blacklist' WHEN regexp_matches(line, '^(?:trang chủ > .*|tổng đài hỗ trợ .*)$') THEN 'blacklist' ELSE 'manual_review' END AS class, count(*) AS lines FROM l GROUP BY class")
 def p04_classify_lines(spark, root):
-    lines = table(spark, root, "legal_documents").select("id", F.explode(F.split("retrieval_text", "\n")).alias("line"))
+    lines = spread_table(spark, root, "legal_documents").select("id", F.explode(F.split("retrieval_text", "\n")).alias("line"))
     return lines.groupBy(hygiene.classify_line(F.col("line"), [r"điều \d+", r"khoản \d+"], ["xin cảm ơn."], [r"trang chủ > .*", r"tổng đài hỗ trợ .*"]).alias("class")).agg(F.count("*").alias("lines"))
 
 
 @query("SELECT id, array_to_string(list_filter(string_split(retrieval_text, chr(10)), lambda l: NOT regexp_matches(trim(regexp_replace(lower(l), '\\s+', ' ', 'g')), '^trang chủ > .*$')), chr(10)) AS kept FROM legal_documents")
 def p06_boilerplate_lines(spark, root):
     kept = F.filter(F.split("retrieval_text", "\n"), lambda line: hygiene.classify_line(line, [], [], ["trang chủ > .*"]) != "blacklist")
-    return table(spark, root, "legal_documents").select("id", F.array_join(kept, "\n").alias("kept"))
+    return spread_table(spark, root, "legal_documents").select("id", F.array_join(kept, "\n").alias("kept"))
 
 
 @query()
 def p07_routing_block(spark, root):
-    return table(spark, root, "legal_documents").select("id", hygiene.without_routing(F.col("generation_text")).alias("retrieval"))
+    return spread_table(spark, root, "legal_documents").select("id", hygiene.without_routing(F.col("generation_text")).alias("retrieval"))
 
 
 @query("SELECT id, len(t) < 20 AS very_short, NOT regexp_matches(rtrim(answer), '[.!?:;)\\]]$') AS bad_end FROM (SELECT id, answer, " + w("answer") + " AS t FROM qa_examples WHERE answer IS NOT NULL)")
 def p12_output_flags(spark, root):
-    d = table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("f", T.output_flags(F.col("answer")))
+    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("f", T.output_flags(F.col("answer")))
     return d.select("id", F.array_contains("f", "VERY_SHORT_REVIEW").alias("very_short"), F.array_contains("f", "ENDING_REVIEW").alias("bad_end"))
 
 
 @query("WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents), p AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT doc_id, doc_id || '::c' || lpad(CAST(i // 2 AS VARCHAR), 3, '0') AS chunk_id, string_agg(x, ' ' ORDER BY i) AS chunk FROM p GROUP BY doc_id, i // 2")
 def e01_sentence_chunks(spark, root):
-    return chunking.sentence_chunks(table(spark, root, "documents"), "text").select("doc_id", "chunk_id", "chunk")
+    return chunking.sentence_chunks(spread_table(spark, root, "documents"), "text").select("doc_id", "chunk_id", "chunk")
 
 
 @query()
 def e02_long_text_windows(spark, root):
-    d = table(spark, root, "legal_documents").select("id", F.posexplode(chunking.long_text_windows(F.col("passage"), 600, 80)).alias("ordinal", "body"))
+    d = spread_table(spark, root, "legal_documents").select("id", F.posexplode(chunking.long_text_windows(F.col("passage"), 600, 80)).alias("ordinal", "body"))
     return d
 
 
 @query("SELECT id, ordinal, start, \"end\", substr(passage, start + 1, \"end\" - start) AS body FROM (SELECT DISTINCT id, passage, 0 AS ordinal, 0 AS start, length(passage) AS \"end\" FROM legal_documents WHERE length(passage) <= 1800 AND length(trim(passage, ' ' || chr(10))) = length(passage) AND length(passage) > 0)")
 def e03_window_spans(spark, root):
-    d = table(spark, root, "legal_documents").select("id", "passage").where((F.length("passage") <= 1800) & (F.length(F.trim("passage", F.lit(" \n"))) == F.length("passage"))).distinct()
+    d = spread_table(spark, root, "legal_documents").select("id", "passage").where((F.length("passage") <= 1800) & (F.length(F.trim("passage", F.lit(" \n"))) == F.length("passage"))).distinct()
     cut = d.select("id", "passage", F.posexplode(chunking.window_spans(F.col("passage"))).alias("ordinal", "s"))
     return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
 
@@ -262,28 +262,28 @@ _LINES_SQL = "l AS (SELECT id, unnest(string_split(passage, chr(10))) AS line, g
 
 @query("WITH " + _LINES_SQL + " SELECT id AS doc_id, CAST(segment AS BIGINT) AS segment, max(a) AS article, string_agg(line, chr(10) ORDER BY line_no) AS body FROM s GROUP BY id, segment")
 def e04_articles(spark, root):
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
     return chunking.articles(d, "passage").select("doc_id", "segment", "article", "body")
 
 
 @query("WITH " + _LINES_SQL + ", c AS (SELECT *, first_value(a) OVER (PARTITION BY id, segment ORDER BY line_no) AS article, nullif(regexp_extract(line, '^\\s*(\\d+)[.)]\\s', 1), '') AS cl FROM s), d AS (SELECT *, count(cl) OVER (PARTITION BY id, segment ORDER BY line_no) AS k FROM c) SELECT id AS doc_id, line_no, article, first_value(cl) OVER (PARTITION BY id, segment, k ORDER BY line_no) AS clause FROM d")
 def e05_clauses(spark, root):
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
     return chunking.legal_lines(d, "passage").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "article", "clause")
 
 
 @query()
 def e06_packed_chunks(spark, root):
-    d = table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
     return chunking.pack_segments(chunking.legal_lines(d, "passage"), 600)
 
 
 @query("SELECT doc_id, substr(text, greatest(0, least(CAST(floor((100 + least(n_chars, 900)) / 2) AS INT) - 250, n_chars - 500)) + 1, 500) AS parent FROM documents")
 def e08_parent_window(spark, root):
-    return table(spark, root, "documents").select("doc_id", chunking.parent_window(F.col("text"), F.lit(100), F.least(F.length("text"), F.lit(900)), 500).alias("parent"))
+    return spread_table(spark, root, "documents").select("doc_id", chunking.parent_window(F.col("text"), F.lit(100), F.least(F.length("text"), F.lit(900)), 500).alias("parent"))
 
 
 @query("SELECT doc_id, count(*) AS parts FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: length(l) BETWEEN 20 AND 500)) FROM documents) GROUP BY doc_id")
 def e10_normalized_lines(spark, root):
-    lines = table(spark, root, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")).between(20, 500))
+    lines = spread_table(spark, root, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).where(F.length(F.trim("l")).between(20, 500))
     return lines.groupBy("doc_id").agg(F.count("*").alias("parts"))

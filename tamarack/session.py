@@ -30,6 +30,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``table``, spread over all cores if it is read in fewer parts than there are cores.
+
+    A small file is one part, which would leave a whole text operator to one core; an input of many parts is read as
+    it is, without a shuffle.
+    """
+    df = table(spark, root, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
