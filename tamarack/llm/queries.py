@@ -8,45 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import forms, leakage, mixing, neardup, overlap, pairs, reading, residue, setjoin, sitelines, splits
-from tamarack.session import materialise, table
+from tamarack.session import materialise, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return pairs.defective_pairs(table(spark, root, "qa_examples").where("split <> 'public'"))
+    return pairs.defective_pairs(spread_table(spark, root, "qa_examples").where("split <> 'public'"))
 
 
 def p1_defects_by_source(spark: SparkSession, root: str) -> DataFrame:
     found = p1_found(spark, root)
-    sources = table(spark, root, "qa_examples").where("split <> 'public'").select("id", "source").distinct()
+    sources = spread_table(spark, root, "qa_examples").where("split <> 'public'").select("id", "source").distinct()
     return sources.join(found, "id").groupBy("source", "defect").agg(F.count("*").alias("pairs"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    qa = forms.inconsistent_records(table(spark, root, "qa_examples"), "id", "question", "qa_examples")
-    legal = forms.inconsistent_records(table(spark, root, "legal_documents"), "id", "raw_text", "legal_documents")
+    qa = forms.inconsistent_records(spread_table(spark, root, "qa_examples"), "id", "question", "qa_examples")
+    legal = forms.inconsistent_records(spread_table(spark, root, "legal_documents"), "id", "raw_text", "legal_documents")
     return qa.unionByName(legal)
 
 
 def p2_consistent_questions(spark: SparkSession, root: str) -> DataFrame:
-    qa = table(spark, root, "qa_examples").select("id", "question")
+    qa = spread_table(spark, root, "qa_examples").select("id", "question")
     return forms.with_consistent(qa, {"question": "consistent"}).select("id", "consistent")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.repeated_lines(table(spark, root, "legal_documents"), ["retrieval_text", "generation_text"]).select("id", "field", "line_no")
+    return sitelines.repeated_lines(spread_table(spark, root, "legal_documents"), ["retrieval_text", "generation_text"]).select("id", "field", "line_no")
 
 
 def p3_clean_documents(spark: SparkSession, root: str) -> DataFrame:
     fields = ["retrieval_text", "generation_text"]
-    docs = table(spark, root, "legal_documents").select("id", "source", *fields)
+    docs = spread_table(spark, root, "legal_documents").select("id", "source", *fields)
     return sitelines.without_lines(docs, sitelines.repeated_lines(docs, fields), fields)
 
 
 def _split_records(spark: SparkSession, root: str) -> DataFrame:
     side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "public"), 1)
-    return table(spark, root, "qa_examples").select("id", side.alias("side"), "question", "answer")
+    return spread_table(spark, root, "qa_examples").select("id", side.alias("side"), "question", "answer")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -56,12 +56,12 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_overlap_counts(spark: SparkSession, root: str) -> DataFrame:
     found = overlap.overlaps(_split_records(spark, root))
-    held = table(spark, root, "qa_examples").where("split <> 'train'").select(F.col("id").alias("eval_id"), "split", "source").distinct()
+    held = spread_table(spark, root, "qa_examples").where("split <> 'train'").select(F.col("id").alias("eval_id"), "split", "source").distinct()
     return held.join(found, "eval_id").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("records"))
 
 
 def _residue_records(spark: SparkSession, root: str) -> DataFrame:
-    legal = table(spark, root, "legal_documents").select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
+    legal = spread_table(spark, root, "legal_documents").select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
     warm = table(spark, root, "task2_warmup").select(F.lit("task2_warmup").alias("table_name"), F.col("query_id").alias("record_id"), F.col("answer").alias("text"))
     return legal.unionByName(warm)
 
@@ -77,7 +77,7 @@ def p6_residue_units(spark: SparkSession, root: str) -> DataFrame:
 
 def _passages(spark: SparkSession, root: str) -> DataFrame:
     """(id, text) of legal documents without residue: passage, or retrieval_text without its site lines."""
-    docs = table(spark, root, "legal_documents").select("id", "source", "passage", "retrieval_text")
+    docs = spread_table(spark, root, "legal_documents").select("id", "source", "passage", "retrieval_text")
     legal = docs.select(F.lit("legal_documents").alias("table_name"), F.col("id").alias("record_id"), F.col("passage").alias("text"))
     gone = setjoin.small(materialise(residue.residue_records(legal).select(F.col("record_id").alias("id")), "residue"))
     bare = docs.where("passage IS NULL")
@@ -93,7 +93,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def _related(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     thread = F.regexp_extract("id", r"(?<!\d)(\d{8})(?!\d)", 1)
-    qa = table(spark, root, "qa_examples").select(F.col("id").alias("record_id"), thread.alias("thread"), F.lower(F.trim("author")).alias("author"), "question")
+    qa = spread_table(spark, root, "qa_examples").select(F.col("id").alias("record_id"), thread.alias("thread"), F.lower(F.trim("author")).alias("author"), "question")
     warm = table(spark, root, "task2_warmup").select(F.col("query_id").alias("record_id"), F.lit(None).cast("string").alias("thread"), F.lit(None).cast("string").alias("author"), "question")
     records = qa.unionByName(warm).where("record_id IS NOT NULL")
     one = lambda name: F.when(F.col(name) != "", F.array(name))
@@ -128,17 +128,17 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaked_passages(spread_table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_leak_report(spark: SparkSession, root: str) -> DataFrame:
     items = table(spark, root, "eval_items").select("item_id", "split", F.col("source").alias("item_source"))
-    hits = leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    hits = leakage.leaked_passages(spread_table(spark, root, "documents"), table(spark, root, "eval_items"))
     return hits.join(F.broadcast(items), "item_id")
 
 
 def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, root, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    docs = spread_table(spark, root, "documents").select(F.col("doc_id").alias("key"), "source", "text")
     return mixing.mix(docs, table(spark, root, "source_targets"))
 
 
@@ -151,12 +151,12 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return reading.reading_levels(table(spark, root, "documents"), table(spark, root, "reading_labels")).select("doc_id", "band")
+    return reading.reading_levels(spread_table(spark, root, "documents"), table(spark, root, "reading_labels")).select("doc_id", "band")
 
 
 def p10_profile(spark: SparkSession, root: str) -> DataFrame:
-    levels = reading.reading_levels(table(spark, root, "documents"), table(spark, root, "reading_labels"))
-    sources = table(spark, root, "documents").select("doc_id", "source")
+    levels = reading.reading_levels(spread_table(spark, root, "documents"), table(spark, root, "reading_labels"))
+    sources = spread_table(spark, root, "documents").select("doc_id", "source")
     return levels.join(sources, "doc_id").groupBy("source", "band").agg(F.count("*").alias("documents"), F.avg("level").alias("level"))
 
 
