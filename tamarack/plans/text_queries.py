@@ -194,14 +194,14 @@ def f31_stable_id(spark, root):
 
 
 @query("SELECT doc_id, source FROM documents WHERE lang IN ('vi') AND source IN ('luatviet-moi', 'banan-tonghop')")
-def p01_eligible(spark, root):
+def pred01_eligible(spark, root):
     from tamarack.operators.quality import eligible
 
     return eligible(spread_table(spark, root, "documents").withColumn("access_scope", F.col("lang")), ["vi"], source=["luatviet-moi", "banan-tonghop"]).select("doc_id", "source")
 
 
 @query("WITH d AS (SELECT DISTINCT id, passage FROM legal_documents), f AS (SELECT id, passage, CASE WHEN passage IS NOT NULL THEN min(id) OVER (PARTITION BY md5(passage)) END AS first FROM d), i AS (SELECT doc_id, bool_and(json_valid) AS ok FROM raw_inventory GROUP BY doc_id) SELECT id, CASE WHEN NOT coalesce(ok, true) THEN 'invalid_json' WHEN passage IS NULL OR trim(passage) = '' THEN 'empty_passage' WHEN first <> id THEN 'exact_duplicate_alias' ELSE 'INCLUDED' END AS status FROM f LEFT JOIN i ON f.id = i.doc_id")
-def p02_document_status(spark, root):
+def pred02_document_status(spark, root):
     d = spread_table(spark, root, "legal_documents").select("id", "passage").distinct()
     first = d.where("passage IS NOT NULL").groupBy(F.md5("passage").alias("fp")).agg(F.min("id").alias("first"))
     valid = table(spark, root, "raw_inventory").groupBy("doc_id").agg(F.bool_and("json_valid").alias("ok"))
@@ -211,30 +211,30 @@ def p02_document_status(spark, root):
 
 
 @query("SELECT id, length(passage) >= 200000 AS very_long, len(regexp_extract_all(passage, '(?im)^\\s*(?:chương|mục|điều\\s+\\d+|\\d+[.)]\\s+)')) * 10000.0 / nullif(length(passage), 0) < 0.25 AS low_density FROM legal_documents WHERE passage IS NOT NULL AND passage <> ''")
-def p03_length_flags(spark, root):
+def pred03_length_flags(spark, root):
     d = spread_table(spark, root, "legal_documents").where("passage IS NOT NULL AND passage <> ''").withColumn("f", hygiene.length_flags(F.col("passage")))
     return d.select("id", F.array_contains("f", "very_long").alias("very_long"), F.array_contains("f", "low_structure_density").alias("low_density"))
 
 
 @query("WITH l AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(retrieval_text, chr(10))), '\\s+', ' ', 'g'))) AS line FROM legal_documents) SELECT CASE WHEN regexp_matches(line, 'điều \\d+|khoản \\d+') THEN 'protected' WHEN line IN ('xin cảm ơn.') THEN 'blacklist' WHEN regexp_matches(line, '^(?:trang chủ > .*|tổng đài hỗ trợ .*)$') THEN 'blacklist' ELSE 'manual_review' END AS class, count(*) AS lines FROM l GROUP BY class")
-def p04_classify_lines(spark, root):
+def pred04_classify_lines(spark, root):
     lines = spread_table(spark, root, "legal_documents").select("id", F.explode(F.split("retrieval_text", "\n")).alias("line"))
     return lines.groupBy(hygiene.classify_line(F.col("line"), [r"điều \d+", r"khoản \d+"], ["xin cảm ơn."], [r"trang chủ > .*", r"tổng đài hỗ trợ .*"]).alias("class")).agg(F.count("*").alias("lines"))
 
 
 @query("SELECT id, array_to_string(list_filter(string_split(retrieval_text, chr(10)), lambda l: NOT regexp_matches(trim(regexp_replace(lower(l), '\\s+', ' ', 'g')), '^trang chủ > .*$')), chr(10)) AS kept FROM legal_documents")
-def p06_boilerplate_lines(spark, root):
+def pred06_boilerplate_lines(spark, root):
     kept = F.filter(F.split("retrieval_text", "\n"), lambda line: hygiene.classify_line(line, [], [], ["trang chủ > .*"]) != "blacklist")
     return spread_table(spark, root, "legal_documents").select("id", F.array_join(kept, "\n").alias("kept"))
 
 
 @query()
-def p07_routing_block(spark, root):
+def pred07_routing_block(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", hygiene.without_routing(F.col("generation_text")).alias("retrieval"))
 
 
 @query("SELECT id, len(t) < 20 AS very_short, NOT regexp_matches(rtrim(answer), '[.!?:;)\\]]$') AS bad_end FROM (SELECT id, answer, " + w("answer") + " AS t FROM qa_examples WHERE answer IS NOT NULL)")
-def p12_output_flags(spark, root):
+def pred12_output_flags(spark, root):
     d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("f", T.output_flags(F.col("answer")))
     return d.select("id", F.array_contains("f", "VERY_SHORT_REVIEW").alias("very_short"), F.array_contains("f", "ENDING_REVIEW").alias("bad_end"))
 
