@@ -249,10 +249,10 @@ def overlaps(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     shards = max(1, -(-routed.select("b").distinct().count() // SHARD))
     home = F.pmod(F.xxhash64(F.col("b")), F.lit(shards)).cast("int")
     visits = routed.select("a", home.alias("shard")).distinct()
-    parts = visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
-    visits = visits.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    parts = setjoin.small(materialise(visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")), "parts"))
+    visits = visits.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     visiting = texts.where("side = 0").join(visits.select(F.col("a").alias("sig"), "shard", "part"), "sig").select("shard", "part", "sig", "kind", "has", "words")
-    sharded = evaluated.withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)).cast("int")).join(F.broadcast(parts), "shard")
+    sharded = evaluated.withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)).cast("int")).join(parts, "shard")
     sharded = sharded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "sig", "kind", "has", "words").toDF("shard", "part", "sig", "kind", "has", "words")
     found = visiting.groupBy("shard", "part").cogroup(sharded.groupBy("shard", "part")).applyInPandas(lambda x, y: _search(x, y, threshold), "a bigint, b bigint, likeness double, longest int")
     found = materialise(found, "found")
