@@ -109,6 +109,12 @@ def f13_question_group(spark, root):
     return spread_table(spark, root, "qa_examples").where(plain).select("id", T.question_group(F.col("question")).alias("question_group"))
 
 
+@query()
+def f13_question_group_whole(spark, root):
+    """All questions, those whose masking SQL cannot follow among them."""
+    return spread_table(spark, root, "qa_examples").select("id", T.question_group(F.col("question")).alias("question_group"))
+
+
 @query("SELECT id, nullif(upper(regexp_replace(metadata.document_number, '\\s+', '', 'g')), '') AS number FROM legal_documents")
 def f14_canonical_number(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", T.canonical_number(F.col("metadata.document_number")).alias("number"))
