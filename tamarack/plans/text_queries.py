@@ -263,6 +263,14 @@ def e03_window_spans(spark, root):
     return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
 
 
+@query()
+def e03_window_spans_whole(spark, root):
+    """Windows of all passages, the long ones that are cut and overlap among them."""
+    d = spread_table(spark, root, "legal_documents").select("id", "passage").distinct()
+    cut = d.select("id", "passage", F.posexplode(chunking.window_spans(F.col("passage"))).alias("ordinal", "s"))
+    return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
+
+
 _LINES_SQL = "l AS (SELECT id, unnest(string_split(passage, chr(10))) AS line, generate_subscripts(string_split(passage, chr(10)), 1) - 1 AS line_no FROM (SELECT DISTINCT id, passage FROM legal_documents)), m AS (SELECT *, nullif(lower(regexp_extract(line, '(?i)^\\s*điều\\s+(\\d+[a-zđ]?)', 1)), '') AS a FROM l WHERE trim(line) <> ''), s AS (SELECT *, count(a) OVER (PARTITION BY id ORDER BY line_no) AS segment FROM m)"
 
 

@@ -25,3 +25,31 @@ def test_question_group_of_all_questions(spark, tmp_path):
     got = {r.id: r.question_group for r in QUERIES["f13_question_group_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: group_of(q) for k, q in rows}
     assert got["a"] == got["b"] != got["g"]
+
+
+def spans_of(text, most=1800, overlap=220):
+    """Windows by scanning single characters."""
+    inner = [i for i, c in enumerate(text) if not c.isspace()]
+    out, at = [], inner[0] if inner else 0
+    stop = inner[-1] + 1 if inner else 0
+    while at < stop:
+        until = min(stop, at + most)
+        if until < stop:
+            until = max((i for i in range(at + most * 6 // 10, until) if text[i] in "\n "), default=until)
+        held = [i for i in range(at, until) if not text[i].isspace()]
+        out += [(held[0], held[-1] + 1)] if held else []
+        if until == stop:
+            break
+        at = next(i for i in range(max(at + 1, until - overlap), stop) if not text[i].isspace())
+    return out
+
+
+def test_window_spans_of_long_passages(spark, tmp_path):
+    long = "\n".join(f"Điều {i}. " + " ".join(f"từ{(i * j) % 97}" for j in range(i % 60)) for i in range(1, 120))
+    texts = {"long": long, "outer": f" \n{long}\n ", "solid": "x" * 5000, "astral": "𝒳y " * 1500, "spaces": "a" + " " * 4000 + "b", "short": "Điều 1.", "edge": "z" * 1800, "over": "z " * 901, "blank": "  \n", "none": None}
+    rows = [*texts.items(), ("long", long)]
+    written(spark, tmp_path, "legal_documents", rows, "id string, passage string")
+    got = sorted(tuple(r) for r in QUERIES["e03_window_spans_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted((k, n, a, b, t[a:b]) for k, t in texts.items() if t for n, (a, b) in enumerate(spans_of(t)))
+    spans = [(a, b) for k, _, a, b, _ in got if k == "long"]
+    assert len(spans) > 5 and all(0 < b - c <= 220 for (_, b), (c, _) in zip(spans, spans[1:]))
