@@ -1,9 +1,13 @@
 """Problem 6: template residue, filler text, and error or scripts-required messages.
 
 Texts are cut into units (sentences and lines). A grammar of trusted forms labels seeds; near-duplicates of whole-unit
-seeds are found through partitioned SimHash tables (four bands of 16 bits, so that no pair within Hamming distance 3
-is missed), verified by Hamming distance and by likeness of their text, and labels spread along verified links until
-no unit is new, which labels the connected components that hold a seed. A record with a labelled unit is residue.
+seeds are found through an index of each unit's rarest words, verified by likeness of their text, and labels spread
+along verified links until no unit is new, which labels the connected components that hold a seed. A record with a
+labelled unit is residue.
+
+The search is exact: two units of likeness ``LIKENESS`` or more share one of the n - ceil(LIKENESS * n) + 1 words that
+come first among the n of each in any order that is the same for all units. SimHashes of single sentences cannot do
+this: one changed word of ten moves nine of 64 bits on average.
 
 Slots label their unit but do not spread, for the rest of such a unit is content. Null and empty texts are no
 residue here; an id that is delivered again counts once; equal units are compared once.
@@ -14,21 +18,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import setjoin
-from tamarack.llm.words import consistent_array, word_hashes
+from tamarack.llm.words import consistent_array, words_of
 from tamarack.session import materialise
 
-BANDS, BAND_BITS, DISTANCE = 4, 16, 3
-#: Likeness of two units' words that a link needs beside the Hamming distance.
+#: Likeness of two units' words that a link needs.
 LIKENESS = 0.8
+#: The words counted for the order of the index: at most so many, in one of ``SAMPLE`` units. They change what the search costs, not what it finds.
+COUNTED, SAMPLE = 20_000, 16
 #: Labels spread only over units of at least this many words.
 LEAST_WORDS = 4
 
@@ -122,23 +129,8 @@ def skeletons(units: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(low, pattern=r"[0-9]+", replacement="0")
 
 
-def simhashes(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each record's word hashes; 0 for a record without words."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    step = 4096
-    for k in range(0, len(out), step):
-        part = offsets[k : k + step + 1]
-        sizes = np.diff(part)
-        some = sizes > 0
-        if some.any():
-            bits = np.unpackbits(hashes[part[0] : part[-1]].view(np.uint8).reshape(-1, 8), axis=1)
-            votes = np.add.reduceat(bits, part[:-1][some] - part[0], axis=0, dtype=np.int32)
-            out[k : k + step][some] = np.packbits(votes * 2 >= sizes[some][:, None], axis=1).view(np.uint64).ravel()
-    return out.view(np.int64)
-
-
 def _unit_table(records: DataFrame) -> DataFrame:
-    """(table_name, record_id, unit, label, words, sim, text): each unit once per record; text is its skeleton."""
+    """(table_name, record_id, unit, label, words, text): each unit once per record; text is its skeleton."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,24 +139,42 @@ def _unit_table(records: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(per)), [len(us) for us in per])
             labels = pa.array([seed_label(u) for u in flat], pa.string())
             bare = skeletons(pa.array(flat, pa.large_string()))
-            offsets, hashes = word_hashes(bare, form=False)
-            sizes = np.diff(offsets)
+            sizes = np.diff(words_of(bare, form=False)[0])
             named = labels.is_valid().to_numpy(zero_copy_only=False)
             units = np.array([xxhash.xxh3_64_intdigest(b) for b in bare.to_pylist()], np.uint64).view(np.int64)
             kept = np.flatnonzero(named | (sizes >= LEAST_WORDS))
             kept = kept[np.unique(np.stack([owner[kept], units[kept], named[kept]]), axis=1, return_index=True)[1]] if len(kept) else kept
             at, row = pa.array(kept), pa.array(owner[kept])
-            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(units[kept]), labels.take(at), pa.array(sizes[kept], pa.int32()), pa.array(simhashes(offsets, hashes)[kept]), bare.take(at).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["table_name", "record_id", "unit", "label", "words", "sim", "text"])
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(units[kept]), labels.take(at), pa.array(sizes[kept], pa.int32()), bare.take(at).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["table_name", "record_id", "unit", "label", "words", "text"])
+
+    return records.select("table_name", F.col("record_id").cast("string"), "text").mapInArrow(cut, "table_name string, record_id string, unit bigint, label string, words int, text string")
 
-    return records.select("table_name", F.col("record_id").cast("string"), "text").mapInArrow(cut, "table_name string, record_id string, unit bigint, label string, words int, sim bigint, text string")
 
+def _word_order(units: DataFrame) -> dict[str, int]:
+    """Frequent words of the units with their place; words without one are rarer and come first."""
+    sample = units.where(F.pmod("unit", F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    counted = sample.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "word").limit(COUNTED).collect()
+    return {r.word: len(counted) - k for k, r in enumerate(counted)}
+
+
+def _first_words(units: DataFrame, order: Broadcast) -> DataFrame:
+    """(unit, n, entry) of units (unit, text): those of the n distinct words of each that an alike unit must share one of."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = order.value
+        for batch in batches:
+            sizes, counts, found = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = sorted(set(text.split(" ")), key=lambda w: (place.get(w, 0), w))
+                first = words[: len(words) - ceil(LIKENESS * len(words) - 1e-9) + 1]
+                sizes.append(len(words))
+                counts.append(len(first))
+                found += [xxhash.xxh3_64_intdigest(w) for w in first]
+            owner = np.repeat(np.arange(len(sizes)), counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.array(sizes, np.int32)[owner]), pa.array(np.array(found, np.uint64).view(np.int64))], ["unit", "n", "entry"])
 
-def _bands(units: DataFrame) -> DataFrame:
-    """Partitioned SimHash tables: one row for each unit and band."""
-    mask = F.lit((1 << BAND_BITS) - 1).cast("bigint")
-    parts = F.array(*[F.shiftrightunsigned("sim", BAND_BITS * k).bitwiseAND(mask) for k in range(BANDS)])
-    return units.select("unit", "sim", F.posexplode(parts).alias("band", "value"))
+    return units.select("unit", "text").mapInArrow(index, "unit bigint, n int, entry bigint")
 
 
 def _shared_words(a, b):
@@ -176,20 +186,21 @@ def residue_units(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units, labels) of records (table_name, record_id, text); labels: (unit, label) of all labelled units."""
     given = records.where("text IS NOT NULL AND record_id IS NOT NULL")
     units = materialise(_unit_table(given), "units")
-    seeds = units.where("label IS NOT NULL").groupBy("unit").agg(F.min("label").alias("label"), F.first("sim").alias("sim"), F.first("text").alias("text"), F.max("words").alias("words"))
+    seeds = units.where("label IS NOT NULL").groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text"), F.max("words").alias("words"))
     seeds = materialise(seeds, "seeds")
     labels = seeds.select("unit", "label")
-    others = units.where("label IS NULL").groupBy("unit").agg(F.first("sim").alias("sim")).join(setjoin.small(labels.select("unit")), "unit", "left_anti")
-    tables = materialise(_bands(others), "bands")
+    others = units.where("label IS NULL").join(setjoin.small(labels.select("unit")), "unit", "left_anti")
+    order = records.sparkSession.sparkContext.broadcast(_word_order(others))
+    index = materialise(_first_words(others, order).distinct(), "index")
     front = seeds.where((F.col("label") != "slot") & (F.col("words") >= LEAST_WORDS))
     while True:
-        asked = _bands(front.select("unit", "sim")).select(F.col("unit").alias("seed"), F.col("sim").alias("seed_sim"), "band", "value")
-        near = tables.join(setjoin.small(asked), ["band", "value"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= DISTANCE)
+        asked = _first_words(front, order).select(F.col("unit").alias("seed"), F.col("n").alias("seed_n"), "entry")
+        near = index.join(setjoin.small(asked), "entry").where(F.least("n", "seed_n") >= F.lit(LIKENESS) * F.greatest("n", "seed_n") - 1e-9)
         links = materialise(near.select("unit", "seed").distinct(), "links")
-        texts = units.where("label IS NULL").join(setjoin.small(links.select("unit").distinct()), "unit", "left_semi").groupBy("unit").agg(F.first("text").alias("text"), F.first("sim").alias("sim"), F.max("words").alias("words"))
+        texts = units.where("label IS NULL").join(setjoin.small(links.select("unit").distinct()), "unit", "left_semi").groupBy("unit").agg(F.first("text").alias("text"), F.max("words").alias("words"))
         seeded = front.select(F.col("unit").alias("seed"), F.col("text").alias("seed_text"), "label")
         alike = links.join(texts, "unit").join(seeded, "seed").where(_shared_words(F.col("text"), F.col("seed_text")) >= LIKENESS)
-        fresh = alike.groupBy("unit").agg(F.min("label").alias("label"), F.first("sim").alias("sim"), F.first("text").alias("text"), F.max("words").alias("words"))
+        fresh = alike.groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text"), F.max("words").alias("words"))
         fresh = materialise(fresh.join(setjoin.small(labels.select("unit")), "unit", "left_anti"), "fresh")
         if fresh.isEmpty():
             return units, labels

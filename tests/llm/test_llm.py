@@ -204,6 +204,31 @@ def test_residue_spreads_to_near_copies_only(spark):
     assert residue.residue_records(df.limit(0)).count() == 0
 
 
+def test_residue_finds_every_reworded_copy(spark):
+    seeds = ["Bài viết đang trong quá trình biên soạn, mời quý vị quay lại sau vài hôm.", "Không thể tải trang vì đường truyền giữa hai trạm trung chuyển của mạng lưới tỉnh đang bị nghẽn."]
+    rng = random.Random(9)
+    rows = []
+    for k, seed in enumerate(seeds):
+        ws = seed.split(" ")
+        copies = [["Hm", *ws[1:]]]  # no form of the grammar, and each next copy is alike to the one before
+        for n in range(1, len(ws)):
+            copies.append([*copies[-1][:n], "chữ" + "h" * n, *copies[-1][n + 1 :]])
+        copies += [["Hm", *ws[1:n], "lạ" + "g" * n, *ws[n + 1 :]] for n in range(1, len(ws))]
+        rows += [(f"{k}:{i}", " ".join(c)) for i, c in enumerate([ws, *copies])]
+        rows += [(f"{k}:mix{i}", " ".join(rng.sample(ws[1:], len(ws) // 2) + sentence(rng, 8).split())) for i in range(30)]
+    rows += [(f"o{i}", sentence(rng, rng.randrange(4, 20))) for i in range(100)]
+    sets = {k: set(t.lower().split(" ")) for k, t in rows}
+    want = {k for k, t in rows if residue.seed_label(t)}
+    assert want == {"0:0", "1:0"}
+    front = want
+    while front:
+        front = {k for k in sets.keys() - want if any(likeness(sets[k], sets[s]) >= 0.8 for s in front)}
+        want = want | front
+    df = spark.createDataFrame([("t", *r) for r in rows], "table_name string, record_id string, text string")
+    got = {r.record_id for r in residue.residue_records(df).collect()}
+    assert got == want and len(want) > 40
+
+
 # Problem 7
 
 
