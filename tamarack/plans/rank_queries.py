@@ -122,6 +122,18 @@ def r08_cited_chunks(spark, root):
     return met.join(meta.select("chunk_id", "number", "article"), ["number", "article"]).select("question_id", "chunk_id").distinct()
 
 
+def _cited(spark, root) -> DataFrame:
+    """All citations of the answers in parts: (question_id, number, article, clause, point)."""
+    cited = spread_table(spark, root, "qa_examples").select(F.col("id").alias("question_id"), F.explode(C.citations(F.col("answer"))).alias("c"))
+    return cited.select("question_id", F.col("c.document_number").alias("number"), "c.article", "c.clause", "c.point").distinct()
+
+
+@query()
+def r08_cited_chunks_whole(spark, root):
+    """All citations, those without a type or with a short document number among them."""
+    return _cited(spark, root).join(_chunks(spark, root).select("chunk_id", "number", "article"), ["number", "article"]).select("question_id", "chunk_id").distinct()
+
+
 @query(f"WITH {POSTS}, {bm25_sql(IDF)}, d AS (SELECT doc_id, list_distinct({legal_sql('text')}) AS d FROM documents), qq AS (SELECT doc_id AS query_id, list_distinct({legal_sql('title')}) AS q FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), k AS (SELECT query_id, doc_id, len(list_intersect(q, d)) / greatest(1.0, sqrt(len(q) * len(d))) AS score FROM b JOIN d USING (doc_id) JOIN qq USING (query_id) WHERE rank <= 20) SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM k")
 def r09_lexical_rerank(spark, root):
     docs, posts, asked = _search(spark, root)
@@ -376,6 +388,21 @@ def h10_citation_labels(spark, root):
     return hygiene.citation_labels(answers, chunks).select("question_id", "chunk_id", "confidence")
 
 
+def _parts(spark, root) -> DataFrame:
+    """Chunks of the finest level: the lines of each article, clause or point of a legal document."""
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage", F.col("metadata.document_number").alias("number")).distinct()
+    cut = chunking.legal_lines(d.select("doc_id", "passage").distinct(), "passage").where("article IS NOT NULL").select("doc_id", "article", "occurrence", "clause", "point").distinct()
+    name = lambda level: F.when(F.col(level).isNotNull(), F.concat_ws("_", F.lit(level), level))
+    chunk_id = F.concat_ws("_", F.lit("doc"), "doc_id", F.lit("article"), "article", F.col("occurrence").cast("string"), name("clause"), name("point"))
+    return cut.join(d.select("doc_id", T.canonical_number(F.col("number")).alias("number")).distinct(), "doc_id").select(chunk_id.alias("chunk_id"), "number", "article", "clause", "point")
+
+
+@query()
+def h10_citation_labels_whole(spark, root):
+    """All citations against articles, clauses and points."""
+    return hygiene.citation_labels(_cited(spark, root), _parts(spark, root)).select("question_id", "chunk_id", "confidence", "match_reason")
+
+
 @query("SELECT id, len(regexp_extract_all(passage, '\\.{7,}')) AS placeholders FROM legal_documents WHERE regexp_matches(passage, '\\.{7,}')")
 def h15_form_blanks(spark, root):
     return spread_table(spark, root, "legal_documents").where(F.col("passage").rlike(r"\.{7,}")).select("id", F.regexp_count("passage", F.lit(r"\.{7,}")).alias("placeholders"))

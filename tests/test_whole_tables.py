@@ -53,3 +53,25 @@ def test_window_spans_of_long_passages(spark, tmp_path):
     assert got == sorted((k, n, a, b, t[a:b]) for k, t in texts.items() if t for n, (a, b) in enumerate(spans_of(t)))
     spans = [(a, b) for k, _, a, b, _ in got if k == "long"]
     assert len(spans) > 5 and all(0 < b - c <= 220 for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_citation_labels_of_three_levels(spark, tmp_path):
+    law = "Mở đầu\nĐiều 5. Phạm vi\n1. Một\na) x\nb) y\n2. Hai\nĐiều 6. Hết"
+    docs = [("A", law, ("90/2017/NĐ-CP",)), ("B", "Điều 5. Khác\n1. Một", (None,)), ("C", "Điều 7. Ngắn", ("12/2019",))]
+    written(spark, tmp_path, "legal_documents", [*docs, docs[0]], "id string, passage string, metadata struct<document_number: string>")
+    answers = {
+        "point": "Theo điểm b khoản 1 Điều 5 Nghị định 90/2017/NĐ-CP.", "no_point": "Theo điểm c khoản 1 Điều 5 Nghị định 90/2017/NĐ-CP.", "clause": "Theo khoản 2 Điều 5 Nghị định 90 / 2017 / nđ - cp.",
+        "no_clause": "Theo khoản 9 Điều 5 Nghị định 90/2017/NĐ-CP.", "article": "Theo Điều 6 Nghị định số 90/2017/NĐ-CP.", "bare": "Theo khoản 1 Điều 5.", "only_point": "Theo điểm b Điều 5 Nghị định 90/2017/NĐ-CP.", "short": "Theo Điều 7 số 12/2019.", "null": None,
+    }
+    written(spark, tmp_path, "qa_examples", list(answers.items()), "id string, answer string")
+    got = {}
+    for r in QUERIES["h10_citation_labels_whole"](spark, str(tmp_path)).collect():
+        got.setdefault((r.question_id, r.confidence, r.match_reason), set()).add(r.chunk_id)
+    five, one = "doc_A_article_5_0", "doc_A_article_5_0_clause_1"
+    every = {five, one, f"{one}_point_a", f"{one}_point_b", f"{five}_clause_2"}
+    assert got == {
+        ("point", "HIGH", "point_match"): {f"{one}_point_b"}, ("no_point", "HIGH", "clause_match"): {one, f"{one}_point_a", f"{one}_point_b"}, ("clause", "HIGH", "clause_match"): {f"{five}_clause_2"},
+        ("no_clause", "MEDIUM", "article_match"): every, ("only_point", "MEDIUM", "article_match"): every, ("article", "MEDIUM", "article_match"): {"doc_A_article_6_0"}, ("short", "MEDIUM", "article_match"): {"doc_C_article_7_0"},
+    }
+    cited = {tuple(r) for r in QUERIES["r08_cited_chunks_whole"](spark, str(tmp_path)).collect()}
+    assert ("short", "doc_C_article_7_0") in cited and not {q for q, _ in cited} & {"bare", "null"}
