@@ -45,6 +45,12 @@ def f01_normalize_text(spark, root):
     return d.select("id", T.normalize_text(F.col("passage")).alias("plain"))
 
 
+@query()
+def f01_normalize_text_whole(spark, root):
+    """All passages, those with spaced document numbers and markup among them."""
+    return spread_table(spark, root, "legal_documents").select("id", T.normalize_text(F.col("passage")).alias("plain"))
+
+
 @query()
 def f02_html_to_text(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", T.html_to_text(F.col("answer")).alias("plain"))
@@ -62,12 +68,24 @@ def f04_canonical_text(spark, root):
     return d.select("doc_id", T.canonical_text(F.col("text")).alias("canonical"))
 
 
+@query()
+def f04_canonical_text_whole(spark, root):
+    """All documents, those with document numbers, markup, marks and bullets among them."""
+    return spread_table(spark, root, "documents").select("doc_id", T.canonical_text(F.col("text")).alias("canonical"))
+
+
 @query("SELECT doc_id, sha256(lower(" + WS.format(x="nfc_normalize(text)") + ")) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\\x{200b}-\\x{200d}\\x{feff}•●▪]')")
 def f05_fingerprint(spark, root):
     d = spread_table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
     return d.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
+@query()
+def f05_fingerprint_whole(spark, root):
+    """All documents, as ``f04_canonical_text_whole``."""
+    return spread_table(spark, root, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
+
+
 @query("SELECT id, " + WS.format(x="nfc_normalize(coalesce(question, ''))") + " AS plain FROM qa_examples")
 def f06_minimal_text(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", T.minimal_text(F.col("question"), keep_lines=False).alias("plain"))
@@ -159,6 +177,12 @@ def f22_sanitize_answer(spark, root):
     return d.select("id", T.sanitize_answer(F.col("answer")).alias("plain"))
 
 
+@query()
+def f22_sanitize_answer_whole(spark, root):
+    """All answers, those without a caption and with any layout among them."""
+    return spread_table(spark, root, "qa_examples").select("id", T.sanitize_answer(F.col("answer")).alias("plain"))
+
+
 @query("SELECT doc_id, substr(text, start, 500) AS anchored FROM (SELECT *, greatest(1, least(greatest(instr(text, substr(text, n_chars // 2, 300)), 1) - 125, n_chars - 500 + 1)) AS start FROM documents)")
 def f23_anchored_window(spark, root):
     body = F.substring(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int"), F.lit(300))

@@ -1,6 +1,7 @@
 """Queries over whole tables, against plain Python on fixtures with the rows that their SQL counterparts leave out."""
 
 import hashlib
+import html
 import re
 import unicodedata
 
@@ -75,3 +76,42 @@ def test_citation_labels_of_three_levels(spark, tmp_path):
     }
     cited = {tuple(r) for r in QUERIES["r08_cited_chunks_whole"](spark, str(tmp_path)).collect()}
     assert ("short", "doc_C_article_7_0") in cited and not {q for q, _ in cited} & {"bare", "null"}
+
+
+def normal(text, lines=True):
+    t = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    if re.search(r"(?i)</?(?:table|tr|td|th|p|div|br|li|ul|ol)\b", t):
+        t = re.sub(r"(?i)<li\b[^>]*>", "\n- ", re.sub(r"(?i)</?(?:td|th)\b[^>]*>", " | ", t))
+        t = re.sub(r"(?i)</?(?:p|div|tr)\b[^>]*>|</li>|<(?:br|ul|ol)\b[^>]*>", "\n", t)
+        t = re.sub(r"</?[A-Za-z][^>]*>", "", t)
+    t = unicodedata.normalize("NFC", html.unescape(t))
+    t = re.sub("[•●▪]", "- ", re.sub("[​‌‍﻿]", "", t))
+    t = "\n".join(x.strip() for x in re.sub(r"[^\S\r\n]+", " ", t).split("\n"))
+    t = re.sub(r"\n\s*\n\s*\n+", "\n\n", t).strip()
+    t = re.sub(r"(?i)\b(\d{1,5})\s*/\s*(\d{4})\s*/\s*([A-ZĐ]+)\s*-\s*([A-ZĐ]+)\b", lambda m: f"{m[1]}/{m[2]}/{m[3].upper()}-{m[4].upper()}", t)
+    return t if lines else " ".join(t.split())
+
+
+def sanitized(text):
+    note = r"\((?:Hình từ Internet|Ảnh minh họa)\)"
+    t = re.sub(r"(?s)(?:…\s*){2,}\.?\s*.*$", "", normal(text))
+    t = re.sub(rf"(?is)\n\s*\n[^\n]{{1,300}}?\s*{note}\s*$", "", t)
+    t = "\n".join(re.sub(r"[ \t ]+", " ", x).rstrip() for x in re.sub(rf"(?i){note}", "", t).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+
+ODD = [
+    "Theo 90 / 2017 / nđ - cp và 12/2021/ NĐ-CP", "<p>a</p><ul><li>b &amp; c</li></ul><table><tr><td>x</td></tr></table>", "x​y ‍﻿ • một\n● hai ▪ ba", "Straße &lt; ß Ǆ ΣΑΣ", "é a  b\t c", "a\r\n\r\n \n\n\nb\r c ", "5 < 6 và 7 > 2",
+    "Đáp án.\n\nẢnh chụp (Hình từ Internet)", "Một (Ảnh minh họa) hai  ba\n\n\nbốn", "Xong… … Xem thêm: khác\nnữa", "Không chú thích.", "", None, "1. (HÌNH TỪ INTERNET)\nĐiều 1", "Số 1 / 2020 / tt - btc\n\nHình (Hình từ Internet) \n",
+]
+
+
+def test_normal_forms_of_all_texts(spark, tmp_path):
+    rows = [(str(i), t) for i, t in enumerate(ODD)]
+    for name, kind in (("legal_documents", "id string, passage string"), ("documents", "doc_id string, text string"), ("qa_examples", "id string, answer string")):
+        written(spark, tmp_path, name, rows, kind)
+    run = lambda name: dict(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("f01_normalize_text_whole") == {k: normal(t) for k, t in rows}
+    assert run("f22_sanitize_answer_whole") == {k: sanitized(t) for k, t in rows}
+    assert run("f04_canonical_text_whole") == {k: normal(t, False).casefold() for k, t in rows}
+    assert run("f05_fingerprint_whole") == {k: hashlib.sha256(normal(t, False).casefold().encode()).hexdigest() for k, t in rows}
