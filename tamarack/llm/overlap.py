@@ -1,13 +1,13 @@
 """Problem 4: records of evaluation splits that recur, equal or nearly so, in the training split.
 
-The evaluation records are cut into shards of bounded size, each with a compressed full-text index (FM-index) of its
-words: suffix array, Burrows-Wheeler transform and rank by binary search in the positions of each symbol. Training
-records are streamed through backward search of the shards that can hold a match, which gives their matches with
-each evaluation record; matches on one diagonal are merged to maximal spans, and spans are counted as shared runs of
-words. The likeness that follows from the counts is exact.
+All evaluation records are cut into shards of bounded size, and each shard is written once as a compressed full-text
+index of its words: the transform as steps between the positions of each symbol, and a sample of the suffix array.
+Training records are streamed through backward search of the shards that can hold a match, which gives their matches
+with each evaluation record; matches on one diagonal are merged to maximal spans, and spans are counted as shared runs
+of words. The likeness that follows from the counts is exact.
 
-Which shards a training record visits comes from the byte signatures of ``setjoin``: without that routing each training
-record would visit every shard, which grows with the square of the input.
+Which shards a training record visits comes from the partitioned byte index of ``setjoin``: without that routing each
+training record would visit every shard, which grows with the square of the input.
 
 Null and empty answers, and answers without words, count as missing: then questions alone are compared. Records with
 fewer than three words have no match. An id that is delivered again counts once. Equal records are searched once.
@@ -15,6 +15,7 @@ fewer than three words have no match. An id that is delivered again counts once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from tamarack.llm import setjoin
 from tamarack.llm.words import distinct_sorted, list_array, list_parts, mix, run_hashes, word_hashes
 from tamarack.session import materialise
 
-#: Words of a run; evaluation records in one shard; visits in one task of a shard.
-RUN, SHARD, VISITS = 3, 256, 4096
+#: Words of a run; evaluation records in one shard; visits in one task of a shard; places of the text per kept place
+#: of the suffix array.
+RUN, SHARD, VISITS, SAMPLE = 3, 256, 2048, 16
 
 
 def record_words(records: DataFrame) -> DataFrame:
@@ -75,65 +77,77 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, entry, size) of a batch (kind, side, has, sig, words).
+    """(row, entry, side) of a batch (row, side, kind, has, words).
 
     The entry also says which texts may meet. Texts of kind 1 meet kind 1. Of kind 0, training texts without an answer
     meet all, others meet evaluation texts without an answer only, so each pair meets in one class of entries.
     """
-    offsets, grams = _grams(batch.column(4))
-    keys = setjoin.entries(setjoin.signatures(offsets, grams))
-    kind, side, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+    keys = setjoin.entries(setjoin.signatures(*_grams(batch.column(4))))
+    row, side, kind, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
     classes = ((kind == 0) & ((side == 0) | ~has), (kind == 0) & (((side == 0) & ~has) | ((side == 1) & has)), kind == 1)
-    rows = np.concatenate([np.repeat(np.flatnonzero(c), keys.shape[1]) for c in classes])
+    at = np.concatenate([np.repeat(np.flatnonzero(c), keys.shape[1]) for c in classes])
     with np.errstate(over="ignore"):
         entry = np.concatenate([mix(keys[c].ravel().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.int64) for k, c in enumerate(classes)])
-    return rows, entry, np.diff(offsets)
+    return row[at], entry, side[at].astype(np.int64)
 
 
-def _postings(texts: DataFrame) -> DataFrame:
-    """(entry, rec, side, n): the entries of each text that a text of the other side may share.
+class FmIndex:
+    """Full-text index of word sequences: backward search gives all places of a run of words.
 
-    A sieve of the evaluation side's entries, the smaller side, goes over the training side, and one of the training
-    entries that are left goes back.
+    Written (``to_bytes``) it holds the symbols, the sequences' lengths, the steps between the positions of each symbol
+    in the transform, and every ``SAMPLE``-th place of the suffix array. Read (``from_bytes``) the other places are
+    found by walking from the kept ones, all at once.
     """
-    read = texts.select("kind", "side", "has", "sig", "words")
-
-    def sifted(part: DataFrame, name: str, parts: list) -> DataFrame:
-        sent = texts.sparkSession.sparkContext.broadcast(parts)
-
-        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, entry, sizes = _entries(batch)
-                kept = setjoin.sieve_of(name, sent.value).keeps(entry)
-                rows, entry = rows[kept], entry[kept]
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(entry), batch.column(3).take(at), batch.column(1).take(at), pa.array(sizes[rows], pa.int32())], ["entry", "rec", "side", "n"])
-
-        return materialise(part.mapInArrow(index, "entry bigint, rec bigint, side int, n int"), "postings")
 
-    held = read.where("side = 1")
-    train = sifted(read.where("side = 0"), *setjoin.build_sieve(held, lambda batch: _entries(batch)[1], again=False))
-    back = setjoin.build_sieve(train.select("entry"), lambda batch: batch.column(0).to_numpy(), again=False)
-    return train.union(sifted(held, *back))
-
-
-class FmIndex:
-    """Full-text index of word sequences: backward search gives all places of a run of words."""
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, suffixes: np.ndarray) -> None:
+        self.symbols, self.lengths, self.suffixes = symbols, lengths, suffixes
+        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.size = int(self.starts[-1]) + 1
+        self.ranks = ranks  # symbol * (size + 1) + position in the transform, ascending
+        self.first = np.searchsorted(ranks, np.arange(len(symbols) + 2) * (self.size + 1))
 
-    def __init__(self, sequences: list[np.ndarray]) -> None:
+    @classmethod
+    def of(cls, sequences: list[np.ndarray]) -> FmIndex:
         symbols = np.unique(np.concatenate(sequences)) if sequences else np.zeros(0, np.int64)
-        self.symbols = symbols
-        lengths = np.array([len(s) for s in sequences])
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-        text = np.zeros(self.starts[-1] + 1, np.int64)  # 0 ends a sequence; the last 0 is the text's end
-        for start, s in zip(self.starts, sequences):
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        text = np.zeros(int(starts[-1]) + 1, np.int64)  # 0 ends a sequence; the last 0 is the text's end
+        for start, s in zip(starts, sequences):
             text[start : start + len(s)] = np.searchsorted(symbols, s) + 1
-        self.suffixes = self._suffixes(text)
-        bwt = text[self.suffixes - 1]
-        self.first = np.searchsorted(np.sort(text), np.arange(len(symbols) + 2))
-        order = np.argsort(bwt, kind="stable")  # positions of each symbol in the transform, symbol by symbol
-        self.size = len(text)
-        self.ranks = bwt[order] * (self.size + 1) + order
+        suffixes = cls._suffixes(text)
+        bwt = text[suffixes - 1]
+        order = np.argsort(bwt, kind="stable")
+        whole = int(np.flatnonzero(order == np.flatnonzero(suffixes == 0)[0])[0])
+        order[: whole + 1] = np.roll(order[: whole + 1], 1)  # what stands before the whole text is its end, the least suffix
+        return cls(symbols, lengths, bwt[order] * (len(text) + 1) + order, suffixes)
+
+    def to_bytes(self) -> bytes:
+        symbol, position = np.divmod(self.ranks, self.size + 1)
+        steps = np.diff(position, prepend=0)
+        kept = np.flatnonzero(self.suffixes % SAMPLE == 0)
+        parts = (self.symbols, self.lengths.astype(np.int32), np.bincount(symbol, minlength=len(self.symbols) + 1).astype(np.int32), steps.astype(np.int32), np.diff(kept, prepend=0).astype(np.int32), (self.suffixes[kept] // SAMPLE).astype(np.int32))
+        return np.array([len(p) for p in parts], np.int64).tobytes() + zlib.compress(b"".join(p.tobytes() for p in parts), 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> FmIndex:
+        sizes, flat = np.frombuffer(data[:48], np.int64), zlib.decompress(data[48:])
+        parts, at = [], 0
+        for k, size in enumerate(sizes):
+            kind = np.dtype(np.int64 if k == 0 else np.int32)
+            parts.append(np.frombuffer(flat, kind, int(size), at).astype(np.int64))
+            at += int(size) * kind.itemsize
+        symbols, lengths, counts, steps, kept, places = parts
+        position = np.cumsum(steps)
+        n = len(position)
+        suffixes = np.full(n, -1, np.int64)
+        row, place = np.cumsum(kept), places * SAMPLE
+        suffixes[row] = place
+        for _ in range(SAMPLE - 1):  # the suffix after the one of row r is that of row position[r]
+            row, place = position[row], place + 1
+            inside = place < n
+            row, place = row[inside], place[inside]
+            suffixes[row] = place
+        return cls(symbols, lengths, np.repeat(np.arange(len(counts)), counts) * (n + 1) + position, suffixes)
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
@@ -181,9 +195,9 @@ class FmIndex:
         return run, sequence, at - self.starts[sequence]
 
 
-def shared_runs(evaluation: list[np.ndarray], training: list[np.ndarray]) -> pd.DataFrame:
+def shared_runs(index: FmIndex, training: list[np.ndarray]) -> pd.DataFrame:
     """(t, e, common, longest): distinct shared runs of words of each pair with a match, and its longest span."""
-    index = FmIndex(evaluation)
+    held = len(index.lengths)
     lengths = np.array([max(len(t) - RUN + 1, 0) for t in training])
     owner = np.repeat(np.arange(len(training)), lengths)
     offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -202,7 +216,7 @@ def shared_runs(evaluation: list[np.ndarray], training: list[np.ndarray]) -> pd.
             continue
         t, pos = owner[a:b][run], offset[a:b][run]
         # A run of the training record counts once per evaluation record: by its interval, equal for equal runs.
-        pair = t * len(evaluation) + seq
+        pair = t * held + seq
         distinct = np.unique(np.stack([pair, low[a:b][run]]), axis=1)[0]
         pairs, common = np.unique(distinct, return_counts=True)
         # Matches on one diagonal and next to each other are one maximal span.
@@ -212,51 +226,70 @@ def shared_runs(evaluation: list[np.ndarray], training: list[np.ndarray]) -> pd.
         span = np.diff(np.concatenate([np.flatnonzero(new), [len(p)]])) + RUN - 1
         longest = np.zeros(len(pairs), np.int64)
         np.maximum.at(longest, np.searchsorted(pairs, p[new]), span)
-        out.append(pd.DataFrame({"t": pairs // len(evaluation), "e": pairs % len(evaluation), "common": common, "longest": longest}))
+        out.append(pd.DataFrame({"t": pairs // held, "e": pairs % held, "common": common, "longest": longest}))
     return pd.concat(out) if out else pd.DataFrame({"t": [], "e": [], "common": [], "longest": []}, dtype=np.int64)
 
 
+def _distinct_runs(sequences: list[np.ndarray]) -> np.ndarray:
+    """Number of distinct runs of words of each sequence."""
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int64)
+    flat = np.concatenate(sequences).view(np.uint64) if sequences else np.zeros(0, np.uint64)
+    return np.diff(distinct_sorted(*run_hashes(offsets, flat, RUN))[0])
+
+
+def _indexed(shard: pd.DataFrame) -> pd.DataFrame:
+    """The written index of the evaluation records of one shard, with their rows."""
+    sequences = [np.asarray(s) for s in shard.words]
+    lists = {"rows": shard.row.tolist(), "kinds": shard.kind.tolist(), "answered": shard.has.tolist(), "sizes": _distinct_runs(sequences).tolist()}
+    return pd.DataFrame({"shard": [int(shard.shard.iloc[0])], "index": [FmIndex.of(sequences).to_bytes()]} | {k: [v] for k, v in lists.items()})
+
+
 def _search(visits: pd.DataFrame, shard: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Matches of the training records that visit one shard, above the threshold."""
     kind = {"a": np.int64, "b": np.int64, "likeness": np.float64, "longest": np.int32}
     if not len(visits) or not len(shard):
         return pd.DataFrame({k: pd.Series([], dtype=v) for k, v in kind.items()})
-    training, evaluation = list(visits.words), list(shard.words)
-    met = shared_runs([np.asarray(s) for s in evaluation], [np.asarray(s) for s in training])
-    sizes = [np.array([len(np.unique(run_hashes(np.array([0, len(s)]), np.asarray(s).view(np.uint64), RUN)[1])) for s in part]) for part in (training, evaluation)]
+    held = shard.iloc[0]
+    training = [np.asarray(s) for s in visits.words]
+    met = shared_runs(FmIndex.from_bytes(held["index"]), training)
+    own, other = _distinct_runs(training), np.asarray(held["sizes"])
     t, e, common = met["t"].to_numpy(), met["e"].to_numpy(), met["common"].to_numpy()
-    likeness = common / (sizes[0][t] + sizes[1][e] - common)
+    likeness = common / (own[t] + other[e] - common)
     # kind 0 texts are compared only where either record has no answer.
-    fits = (likeness >= threshold - 1e-9) & (visits.kind.to_numpy()[t] == shard.kind.to_numpy()[e])
-    fits &= (visits.kind.to_numpy()[t] == 1) | ~(visits.has.to_numpy()[t] & shard.has.to_numpy()[e])
-    return pd.DataFrame({"a": visits.sig.to_numpy()[t[fits]], "b": shard.sig.to_numpy()[e[fits]], "likeness": likeness[fits], "longest": met["longest"].to_numpy()[fits].astype(np.int32)})
+    fits = (likeness >= threshold - 1e-9) & (visits.kind.to_numpy()[t] == np.asarray(held["kinds"])[e])
+    fits &= (visits.kind.to_numpy()[t] == 1) | ~(visits.has.to_numpy()[t] & np.asarray(held["answered"])[e])
+    return pd.DataFrame({"a": visits.row.to_numpy()[t[fits]], "b": np.asarray(held["rows"])[e[fits]], "likeness": likeness[fits], "longest": met["longest"].to_numpy()[fits].astype(np.int32)})
 
 
 def overlaps(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(train_id, eval_id, likeness, longest) of all cross-split pairs of records (id, side, question, answer)."""
+    spark = records.sparkSession
     words = materialise(record_words(records), "words")
     keys = ["side", "kind", "sig"]
     repeated = words.groupBy(*keys).agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1").select(*keys, "first")
-    texts = words.join(setjoin.small(repeated), keys, "left").where("first IS NULL OR first = row").drop("first", "row", "id")
-    postings = _postings(texts)
-    spread = setjoin.blocks(postings, left=F.col("side") == 0)
-    a, b = spread.where("side = 0").alias("a"), spread.where("side = 1").alias("b")
-    alike = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9
-    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("entry", "bi", "bj")]).where(alike)
-    routed = materialise(met.select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b")).distinct(), "routed")
-
-    evaluated = texts.where("side = 1").join(setjoin.small(routed.select(F.col("b").alias("sig")).distinct()), "sig", "left_semi")
-    shards = max(1, -(-routed.select("b").distinct().count() // SHARD))
-    home = F.pmod(F.xxhash64(F.col("b")), F.lit(shards)).cast("int")
-    visits = routed.select("a", home.alias("shard")).distinct()
-    parts = setjoin.small(materialise(visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")), "parts"))
-    visits = visits.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    visiting = texts.where("side = 0").join(visits.select(F.col("a").alias("sig"), "shard", "part"), "sig").select("shard", "part", "sig", "kind", "has", "words")
-    sharded = evaluated.withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)).cast("int")).join(parts, "shard")
-    sharded = sharded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "sig", "kind", "has", "words").toDF("shard", "part", "sig", "kind", "has", "words")
-    found = visiting.groupBy("shard", "part").cogroup(sharded.groupBy("shard", "part")).applyInPandas(lambda x, y: _search(x, y, threshold), "a bigint, b bigint, likeness double, longest int")
+    texts = words.join(setjoin.small(repeated), keys, "left").where("first IS NULL OR first = row").drop("first", "id")
+    total, evaluated = words.count(), texts.where("side = 1")
+    routed = setjoin.candidates(texts.select("row", "side", "kind", "has", "words"), _entries, total, sides=True)
+
+    shards = max(1, -(-words.where("side = 1").count() // SHARD))
+    home = lambda row: F.pmod(F.xxhash64(row), F.lit(shards)).cast("int")
+    tasks = max(shards // 16, spark.sparkContext.defaultParallelism)
+    built = evaluated.select(home("row").alias("shard"), "row", "kind", "has", "words").repartition(tasks, "shard").groupBy("shard").applyInPandas(_indexed, "shard int, index binary, rows array<bigint>, kinds array<int>, answered array<boolean>, sizes array<bigint>")
+    index = materialise(built, "index")
+    visits = materialise(routed.select("a", home("b").alias("shard")).distinct(), "visits")
+    parts = setjoin.small(visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")))
+    visiting = texts.where("side = 0").join(visits.join(parts, "shard").select(F.col("a").alias("row"), "shard", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "row")
+    asked = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    tasks = max(-(-visits.count() // VISITS), 2 * spark.sparkContext.defaultParallelism)
+    left = visiting.select("shard", "part", "row", "kind", "has", "words").repartition(tasks, "shard", "part").groupBy("shard", "part")
+    found = left.cogroup(asked.repartition(tasks, "shard", "part").groupBy("shard", "part")).applyInPandas(lambda x, y: _search(x, y, threshold), "a bigint, b bigint, likeness double, longest int")
     found = materialise(found, "found")
-    members = words.select("id", "side", "sig").distinct().join(setjoin.small(found.select(F.col("a").alias("sig")).union(found.select(F.col("b").alias("sig"))).distinct()), "sig", "left_semi")
-    train, held = members.where("side = 0").select(F.col("sig").alias("a"), F.col("id").alias("train_id")), members.where("side = 1").select(F.col("sig").alias("b"), F.col("id").alias("eval_id"))
-    pairs = found.join(train, "a").join(held, "b")
-    return pairs.groupBy("train_id", "eval_id").agg(F.max("likeness").alias("likeness"), F.max("longest").alias("longest"))
+
+    rows = setjoin.small(found.select(F.col("a").alias("row")).union(found.select(F.col("b").alias("row"))).distinct())
+    sigs = materialise(words.join(rows, "row", "left_semi").select("row", *keys), "sigs")
+    pairs = found.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = materialise(pairs.select(F.col("sa").alias("a"), F.col("sb").alias("b"), "likeness", "longest"), "pairs")
+    members = materialise(words.join(setjoin.small(sigs.select(*keys).distinct()), keys, "left_semi").select("id", "side", "sig").distinct(), "members")
+    train, held = members.where("side = 0").select(F.col("sig").alias("a"), F.col("id").alias("x")), members.where("side = 1").select(F.col("sig").alias("b"), F.col("id").alias("y"))
+    best = setjoin.expanded(pairs, train, held)
+    return best.groupBy(F.col("x").alias("train_id"), F.col("y").alias("eval_id")).agg(F.max("likeness").alias("likeness"), F.max("longest").alias("longest"))

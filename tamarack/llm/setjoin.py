@@ -6,18 +6,16 @@ likeness t agree in a share t of the positions. The inverted index maps (positio
 ``WIDTH`` neighbouring bytes; pairs that share an entry are candidates, their shared positional bytes are tallied, and
 pairs below ``guaranteed_bytes`` are dropped before anything larger than a signature is read.
 
-With 112 entries of 8 bytes a pair of likeness 0.70 shares an entry with probability 0.9987, of 0.75 with 0.99999;
-unrelated records (likeness 0.15) with 0.00003, which is why longer entries are used than single bytes: their lists
-would hold 1/256 of all records each, and their tally grows with the square of the input.
+With 84 entries of 7 bytes a pair of likeness 0.70 shares an entry with probability 0.9993, of 0.75 with 0.99999.
 
-A sieve of fixed size drops the entries that no second record can share before they are shuffled. Entries that many
-records share are split into blocks; a pair of blocks is one join key, so no task holds all records of an entry.
+The index is partitioned by entry and never sent anywhere: each record's entries go, packed to some six bytes each, to
+the bucket that owns them, and a bucket finds the entries of several records by sorting. The number of buckets follows
+the number of records, so that a bucket has the same size whatever the input is. Entries that many records share leave
+their bucket as rows and are split into pairs of blocks, so that no task holds all records of an entry.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,23 +24,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.words import mix
+from tamarack.session import materialise
 
-ROUNDS, BINS, WIDTH = 28, 32, 8
+ROUNDS, BINS, WIDTH = 21, 28, 7
 POSITIONS = ROUNDS * BINS
+#: Entries of one record.
+ENTRIES = POSITIONS // WIDTH
 #: Values of one part in computing signatures.
 _PART = 1 << 17
-#: Bits of a sieve (16 MB at most), however large the input is.
-SIEVE_BITS = 27
-_BLOCK_BITS = 20
+#: Entries of one bucket on average, and entries a bucket holds before it lets those of many records go.
+BUCKET, HELD = 1 << 21, 1 << 23
 #: Records of one index entry in one block; larger entries become several blocks.
 BLOCK = 256
 #: Rows up to which a helper table of a few columns is broadcast.
 BROADCAST_ROWS = 200_000
+_LOW = 40
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, written and counted, with a broadcast hint if it has at most ``rows`` rows."""
+    df = materialise(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def guaranteed_bytes(threshold: float) -> int:
@@ -75,8 +77,9 @@ def _signatures(offsets: np.ndarray, values: np.ndarray, out: np.ndarray) -> Non
             np.bitwise_xor(h, spare, out=h)
             np.multiply(h, np.uint64(0xD6E8FEB86659FD93), out=h)
         least = np.full(count * BINS, most, np.uint64)
-        np.right_shift(h, np.uint64(59), out=spare)
-        np.left_shift(h, np.uint64(5), out=h)
+        np.right_shift(h, np.uint64(32), out=spare)
+        np.multiply(spare, np.uint64(BINS), out=spare)
+        np.right_shift(spare, np.uint64(32), out=spare)
         np.minimum.at(least, owner + spare.view(np.int64), h)
         least = least.reshape(count, BINS)
         own = least != most
@@ -84,7 +87,7 @@ def _signatures(offsets: np.ndarray, values: np.ndarray, out: np.ndarray) -> Non
         step = 0
         while len(rows):  # an empty bin takes the value of a full one, tried in the same sequence for all records
             step += 1
-            donor = (bins * 7 + step * 13 + (bins * step) % 5 + r) % BINS if step < 64 else (bins + step) % BINS
+            donor = (bins * 5 + step * 13 + (bins * step) % 11 + r) % BINS if step < 64 else (bins + step) % BINS
             full = own[rows, donor]
             with np.errstate(over="ignore"):
                 least[rows[full], bins[full]] = mix(least[rows[full], donor[full]] + np.uint64(step) * np.uint64(0xC2B2AE3D27D4EB4F) + bins[full].astype(np.uint64))
@@ -94,81 +97,182 @@ def _signatures(offsets: np.ndarray, values: np.ndarray, out: np.ndarray) -> Non
 
 
 def entries(signature: np.ndarray) -> np.ndarray:
-    """(records, POSITIONS / WIDTH) keys of (position, bytes)."""
-    words = np.ascontiguousarray(signature).view(np.uint64)
+    """(records, ENTRIES) keys of (position, bytes)."""
+    wide = np.zeros((len(signature), ENTRIES, 8), np.uint8)
+    wide[:, :, :WIDTH] = signature.reshape(len(signature), ENTRIES, WIDTH)
+    words = wide.view(np.uint64)[:, :, 0]
     with np.errstate(over="ignore"):
-        return mix(words * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, words.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        return mix(words * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Row numbers as their first and the steps between them, in the narrowest type."""
+    steps = np.diff(ids)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if not len(steps) or (steps.min() >= np.iinfo(k).min and steps.max() <= np.iinfo(k).max))
+    return bytes([np.dtype(kind).itemsize]) + int(ids[0]).to_bytes(8, "little", signed=True) + steps.astype(kind).tobytes()
 
 
-class Sieve:
-    """A bitmap over hashed entries; an entry may have a partner only if its bit is set."""
+def unpack_ids(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, f"<i{data[0]}", offset=9).astype(np.int64)
+    return np.cumsum(np.concatenate([[int.from_bytes(data[1:9], "little", signed=True)], steps]))
 
-    def __init__(self, parts: list) -> None:
-        width = 1 << (_BLOCK_BITS - 3)
-        self.bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
-        for block, packed in parts:
-            self.bits[block * width : (block + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
-    def keeps(self, keys: np.ndarray) -> np.ndarray:
-        slot = _slot(keys)
-        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def buckets_of(records: int) -> int:
+    """Buckets of the index of so many records."""
+    return max(1, -(-records * ENTRIES // BUCKET))
 
 
-_sieves: dict[str, Sieve] = {}
+def packed(df: DataFrame, entries_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """(place, bucket, side, ids, low): the index entries of ``df``, a row for each bucket, side and batch.
 
-
-def sieve_of(name: str, parts: list) -> Sieve:
-    """The sieve sent to a worker, built once in each process."""
-    if name not in _sieves:
-        _sieves.clear()
-        _sieves[name] = Sieve(parts)
-    return _sieves[name]
-
-
-def build_sieve(keyed: DataFrame, keys_of: Callable, again: bool) -> tuple[str, list]:
-    """The bitmap of the entries ``keys_of(batch)`` of all batches of ``keyed``, or of those seen ``again``.
-
-    It is merged block by block; what reaches the driver is the bitmap, whose size is fixed.
+    ``entries_of`` gives (row number, entry, side) of the entries of a batch; ``place`` sends a bucket to a partition.
     """
-    count, width = 1 << (SIEVE_BITS - _BLOCK_BITS), 1 << (_BLOCK_BITS - 3)
-    kind = "block int, seen binary, twice binary"
+    places = partition_keys(buckets)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SIEVE_BITS, bool)
-        twice = np.zeros(1 << SIEVE_BITS if again else 0, bool)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = _slot(keys_of(batch))
-            if again:
-                distinct, times = np.unique(slot, return_counts=True)
-                twice[distinct[(times > 1) | seen[distinct]]] = True
-                slot = distinct
-            seen[slot] = True
-        first = np.packbits(seen, bitorder="little").reshape(count, width)
-        second = np.packbits(twice, bitorder="little").reshape(count, width) if again else None
-        used = np.flatnonzero(first.any(axis=1))
-        for part in np.array_split(used, max(1, len(used) // 16)):
-            packed = [pa.array([zlib.compress(x[k].tobytes(), 1) if x is not None else b"" for k in part], pa.binary()) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *packed], ["block", "seen", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
-        for batch in batches:
-            for block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(zlib.decompress(x), np.uint8)
-                y = np.frombuffer(zlib.decompress(y), np.uint8) if again else None
-                if block in held:
-                    p, q = held[block]
-                    x, y = p | x, (q | y | (p & x)) if again else None
-                held[block] = (x, y)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v[again].tobytes(), 1) for v in held.values()], pa.binary())], ["block", "bits"])
+            rec, entry, side = entries_of(batch)
+            entry = entry.view(np.uint64)
+            home = (entry % np.uint64(buckets)).astype(np.int64) * 2 + side
+            low = (entry // np.uint64(buckets)) & np.uint64((1 << _LOW) - 1)
+            order = np.lexsort((rec, home))
+            rec, low, home = rec[order], low[order], home[order]
+            first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(home))
+            words = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]
+            columns = [
+                pa.array(places[home[first] // 2], pa.int32()), pa.array(home[first] // 2, pa.int32()), pa.array(home[first] % 2, pa.int32()),
+                pa.array([pack_ids(rec[a:b]) for a, b in zip(first, ends)], pa.binary()), pa.array([np.ascontiguousarray(words[a:b]).tobytes() for a, b in zip(first, ends)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "bucket", "side", "ids", "low"])
+
+    return df.mapInArrow(pack, "place int, bucket int, side int, ids binary, low binary")
+
+
+class Bucket:
+    """The entries of one task: collects rows, lets entries of many records go, and pairs the rest."""
+
+    def __init__(self, sides: bool) -> None:
+        self.sides = sides
+        self.key, self.rec, self.side = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        self.hot = np.zeros(0, np.uint64)
+        self.waiting: list[tuple] = []
+        self.held = 0
+
+    def add(self, bucket: int, side: int, ids: bytes, low: bytes) -> None:
+        rec = unpack_ids(ids)
+        wide = np.zeros((len(rec), 8), np.uint8)
+        wide[:, : _LOW // 8] = np.frombuffer(low, np.uint8).reshape(len(rec), -1)
+        self.waiting.append((wide.view("<u8")[:, 0] | np.uint64(bucket << _LOW), rec, np.full(len(rec), side, np.int8)))
+        self.held += len(rec)
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, rec, side) of the entries that have many records; the others stay, sorted."""
+        key, rec, side = (np.concatenate([own, *(w[k] for w in self.waiting)]) for k, own in enumerate((self.key, self.rec, self.side)))
+        self.waiting = []
+        order = np.argsort(key, kind="stable")
+        key, rec, side = key[order], rec[order], side[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(start, len(key)))
+        many = (counts > BLOCK) | np.isin(key[start], self.hot)
+        self.hot = np.union1d(self.hot, key[start[many]])
+        out = np.repeat(many, counts)
+        self.key, self.rec, self.side = key[~out], rec[~out], side[~out]
+        self.held = len(self.key)
+        return key[out], rec[out], side[out]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(a, b) of records that share an entry: a < b of one side, or a of side 0 and b of side 1."""
+        key, rec, side = self.key, self.rec, self.side
+        at = np.arange(len(key))
+        for step in range(1, BLOCK):
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                return
+            a, b = at, at + step
+            if self.sides:
+                kept = side[a] != side[b]
+                a, b = a[kept], b[kept]
+                a, b = np.where(side[a] == 0, a, b), np.where(side[a] == 0, b, a)
+                yield rec[a], rec[b]
+            else:
+                x, y = rec[a], rec[b]
+                yield np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+
+
+def _meet(sides: bool) -> Callable:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = Bucket(sides)
+
+        def rows(kind: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(x), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000], t) for c, t in ((kind, pa.int32()), (x, pa.int64()), (y, pa.int64()))], ["kind", "x", "y"])
 
-    parts = keyed.mapInArrow(collect, kind).repartition(16, "block").mapInArrow(merge, "block int, bits binary").collect()
-    return uuid.uuid4().hex, [(r.block, bytes(r.bits)) for r in parts]
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                bucket.add(*row)
+                if bucket.held > HELD:
+                    key, rec, side = bucket.settle()
+                    yield from rows(side.astype(np.int32), key.view(np.int64), rec)
+        key, rec, side = bucket.settle()
+        yield from rows(side.astype(np.int32), key.view(np.int64), rec)
+        met: list[np.ndarray] = []
+        for a, b in bucket.pairs():
+            met.append(np.stack([a, b]))
+            if sum(m.shape[1] for m in met) > 2_000_000:
+                met = [np.unique(np.concatenate(met, axis=1), axis=1)]
+                yield from rows(np.full(met[0].shape[1], 2, np.int32), *met[0])
+                met = []
+        if met:
+            both = np.unique(np.concatenate(met, axis=1), axis=1)
+            yield from rows(np.full(both.shape[1], 2, np.int32), *both)
+
+    return meet
+
+
+def partition_keys(partitions: int) -> np.ndarray:
+    """For each of so many partitions an integer that Spark's hash partitioning sends there.
+
+    Only the balance of the partitions rests on this: integers that are hashed otherwise would still meet their equals.
+    """
+    k = np.arange(max(64, int(partitions * (np.log(partitions) + 12))), dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+        h = turn(turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    home, first = np.unique(np.mod(h.view(np.int32).astype(np.int64), partitions), return_index=True)
+    keys = np.arange(partitions)
+    keys[home] = k[first]
+    return keys
+
+
+def candidates(df: DataFrame, entries_of: Callable, records: int, sides: bool = False) -> DataFrame:
+    """(a, b): pairs of row numbers that share an index entry, once each, written.
+
+    Without ``sides`` all records are of one side and a < b; with it, a is of side 0 and b of side 1.
+    """
+    buckets = max(buckets_of(records), df.sparkSession.sparkContext.defaultParallelism)
+    index = packed(df, entries_of, buckets).repartition(buckets, "place")
+    met = materialise(index.drop("place").mapInArrow(_meet(sides), "kind int, x bigint, y bigint"), "met")
+    pairs = met.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hot = met.where("kind <> 2").select(F.col("x").alias("entry"), F.col("y").alias("rec"), F.col("kind").alias("side"))
+    if not hot.isEmpty():
+        pairs = pairs.union(hot_pairs(hot, sides))
+    return materialise(pairs.distinct(), "candidates")
+
+
+def hot_pairs(postings: DataFrame, sides: bool) -> DataFrame:
+    """(a, b) of postings (entry, rec, side) whose entries have many records, joined block by block."""
+    spread = blocks(postings, left=(F.col("side") == 0) if sides else None)
+    a, b = (spread.where("side = 0").alias("a"), spread.where("side = 1").alias("b")) if sides else (spread.alias("a"), spread.alias("b"))
+    same = (F.col("a.entry") == F.col("b.entry")) & (F.col("a.bi") == F.col("b.bi")) & (F.col("a.bj") == F.col("b.bj"))
+    if not sides:
+        same = same & (F.col("a.rec") < F.col("b.rec")) & ((F.col("a.bi") == F.col("a.bj")) | (F.col("a.b") != F.col("b.b")))
+    return a.join(b, same).select(F.col("a.rec").alias("a"), F.col("b.rec").alias("b"))
 
 
 def blocks(postings: DataFrame, left: Column | None = None) -> DataFrame:
@@ -186,6 +290,26 @@ def blocks(postings: DataFrame, left: Column | None = None) -> DataFrame:
     return spread.withColumn("bi", F.when(left, F.col("b")).otherwise(F.col("o"))).withColumn("bj", F.when(left, F.col("o")).otherwise(F.col("b"))).drop("nb", "o", "b")
 
 
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y, ...) for each pair of classes (a, b, ...): members x of a, from left (a, x), and y of b, from right (b, y).
+
+    Classes of many members are cut into blocks; a pair of blocks is one cell, so that no task holds a whole class.
+    """
+
+    def cut(members: DataFrame, key: str, member: str, block: str) -> tuple[DataFrame, DataFrame]:
+        large = small(members.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(key, F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
+        one = F.coalesce("nb", F.lit(1))
+        return members.join(large, key, "left").select(key, member, F.pmod(F.xxhash64(member), one).cast("int").alias(block)), large
+
+    (left, many_a), (right, many_b) = cut(left, "a", "x", "ia"), cut(right, "b", "y", "ib")
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    cells = pairs
+    for key, many, block in (("a", many_a, "ia"), ("b", many_b, "ib")):
+        cells = cells.join(many, key, "left").withColumn(block, F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).drop("nb")
+    keys = ["a", "ia", "b", "ib"]
+    return cells.join(left, ["a", "ia"]).join(cells.select(*keys).join(right, ["b", "ib"]), keys).select("x", "y", *more)
+
+
 def shared_enough(n_a: Column, n_b: Column, shared: Column, threshold: float) -> Column:
     """Whether sets of sizes ``n_a`` and ``n_b`` with ``shared`` common entries reach the likeness."""
     return shared >= F.lit(threshold) * (n_a + n_b - shared) - 1e-9

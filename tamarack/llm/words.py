@@ -99,6 +99,15 @@ def distinct_sorted(offsets: np.ndarray, hashes: np.ndarray, bits: int = 48) ->
     return np.searchsorted(owner, np.arange(n + 1)), values.astype(np.int64)
 
 
+def set_hash(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each record's set of values."""
+    with np.errstate(over="ignore"):
+        spread = values.astype(np.uint64) * _P1
+        spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(spread ^ (spread >> np.uint64(27)), dtype=np.uint64)])
+        return (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
+
+
 def list_array(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
     """An Arrow list column from offsets and values."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))

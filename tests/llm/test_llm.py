@@ -131,12 +131,46 @@ def test_near_duplicates_against_brute_force(spark):
 def test_hot_entries_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 4)
     postings = spark.createDataFrame([(1, i, 5) for i in range(50)] + [(2, 1, 5), (2, 2, 5)], "entry long, rec long, n int")
+    keys = setjoin.partition_keys(37)
+    rows = spark.createDataFrame([(int(k), n) for n, k in enumerate(keys)], "k int, n int").repartition(37, "k").selectExpr("n", "spark_partition_id() AS p").collect()
+    assert all(r.n == r.p for r in rows)
     spread = setjoin.blocks(postings)
     met = spread.alias("a").join(spread.alias("b"), ["entry", "bi", "bj"]).where("a.rec < b.rec AND (bi = bj OR a.b <> b.b)")
     seen = Counter((r[0], r[1]) for r in met.selectExpr("a.rec", "b.rec").collect())
     assert len(seen) == 50 * 49 // 2 and seen[(1, 2)] == 2 and sum(seen.values()) == 50 * 49 // 2 + 1
 
 
+def test_entries_of_many_records_leave_their_bucket(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, int(k)) for i in range(300) for k in {*rng.integers(0, 2000, 3).tolist(), 5 if i < 120 else 9}]
+    df = spark.createDataFrame(rows, "rec long, side int, entry long")
+    of = lambda batch: tuple(batch.column(k).to_numpy() for k in (0, 2, 1))
+    by = defaultdict(set)
+    for rec, side, entry in rows:
+        by[entry].add((rec, side))
+    same = {(a, b) for members in by.values() for a, _ in members for b, _ in members if a < b}
+    cross = {(a, b) for members in by.values() for a, s in members for b, t in members if (s, t) == (0, 1)}
+    assert setjoin.unpack_ids(setjoin.pack_ids(np.array([5, 4, 1 << 40]))).tolist() == [5, 4, 1 << 40]
+    for block, held in ((256, 1 << 23), (8, 64)):  # no entry is too large, and two are, seen over several rounds
+        monkeypatch.setattr(setjoin, "BLOCK", block)
+        bucket, hot = setjoin.Bucket(False), []
+        for rec, _, entry in rows:
+            bucket.add(0, 0, setjoin.pack_ids(np.array([rec])), int(entry).to_bytes(5, "little"))
+            if bucket.held > held:
+                hot += zip(*(c.tolist() for c in bucket.settle()))
+        hot += zip(*(c.tolist() for c in bucket.settle()))
+        spread = pd.DataFrame(hot, columns=["entry", "rec", "side"])
+        cold = {(int(a), int(b)) for x, y in bucket.pairs() for a, b in zip(x, y)}
+        assert cold | {(a, b) for _, g in spread.groupby("entry") for a in g.rec for b in g.rec if a < b} == same
+        assert set(spread.entry) == (set() if block == 256 else {5, 9})
+    for sides, want in ((False, same), (True, cross)):
+        assert {tuple(r) for r in setjoin.candidates(df, of, 300, sides).collect()} == want
+    hot = df.where("entry IN (5, 9)")
+    assert {tuple(r) for r in setjoin.hot_pairs(hot, True).collect()} == {(a, b) for k in (5, 9) for a, s in by[k] for b, t in by[k] if (s, t) == (0, 1)}
+
+
 def test_signatures_follow_likeness():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.8):
@@ -151,13 +185,16 @@ def test_signatures_follow_likeness():
 def test_fm_index_finds_every_place():
     rng = np.random.default_rng(3)
     texts = [rng.integers(1, 6, rng.integers(1, 40)) for _ in range(12)]
-    index = overlap.FmIndex(texts)
+    index = overlap.FmIndex.of(texts)
+    read = overlap.FmIndex.from_bytes(index.to_bytes())
+    assert (read.suffixes == index.suffixes).all() and (read.ranks == index.ranks).all() and (read.symbols == index.symbols).all()
+    index = read
     asked = np.array([[1, 2, 3], [2, 2, 2], [5, 1, 1], [9, 1, 2]])
     run, seq, place = index.places(*index.search(asked))
     got = set(zip(run.tolist(), seq.tolist(), place.tolist()))
     want = {(q, s, i) for q, row in enumerate(asked) for s, t in enumerate(texts) for i in range(len(t) - 2) if (t[i : i + 3] == row).all()}
     assert got == want
-    met = overlap.shared_runs([np.array([1, 2, 3, 4, 5])], [np.array([9, 1, 2, 3, 4, 9, 1, 2, 3])])
+    met = overlap.shared_runs(overlap.FmIndex.of([np.array([1, 2, 3, 4, 5])]), [np.array([9, 1, 2, 3, 4, 9, 1, 2, 3])])
     assert met[["t", "e", "common", "longest"]].values.tolist() == [[0, 0, 2, 4]]
 
 
