@@ -1,9 +1,9 @@
 """Problem 6: template residue, filler text, and error or scripts-required messages.
 
-Texts are cut into units (sentences and lines). A grammar of trusted forms labels seeds; near-duplicates of whole-unit
-seeds are found through an index of each unit's rarest words, verified by likeness of their text, and labels spread
-along verified links until no unit is new, which labels the connected components that hold a seed. A record with a
-labelled unit is residue.
+Texts are cut into units (sentences and lines). Seeds are trusted: a short list of whole messages (``EXEMPLARS``) and a
+grammar of unfilled slots, codes and filler. Near-duplicates of seeds are found through an index of each unit's rarest
+words, verified by likeness of their text, and labels spread along verified links until no unit is new, which labels
+the connected components that hold a seed. A record with a labelled unit is residue.
 
 The search is exact: two units of likeness ``LIKENESS`` or more share one of the n - ceil(LIKENESS * n) + 1 words that
 come first among the n of each in any order that is the same for all units. SimHashes of single sentences cannot do
@@ -36,22 +36,26 @@ from tamarack.session import materialise
 LIKENESS = 0.8
 #: The words counted for the order of the index: at most so many, in one of ``SAMPLE`` units. They change what the search costs, not what it finds.
 COUNTED, SAMPLE = 20_000, 16
-#: Labels spread only over units of at least this many words.
-LEAST_WORDS = 4
 
 # Forms of unfilled template slots.
 SLOTS = (
-    r"\{\{[^{}\n]{0,60}\}\}", r"\{%[^%\n]{0,60}%\}", r"<%=?[^%\n]{0,60}%>", r"[$#]\{[^{}\n]{1,40}\}", r"\{(?:\d{1,2}|[A-Za-z]+_\w+|[A-Za-z]{3,30})\}", r"%[A-Z][A-Z0-9_]{2,}%", r"(?<!\w)%\(?\w*\)?[sd](?!\w)", r"@@\w+@@", r"\$\$\w+\$\$",
-    r"\[\[[^\[\]\n]{1,40}\]\]", r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)", r"[«‹]\s?[A-Za-z]\w*\s?[»›]", r"<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>", r"[<\[](?:điền|nhập|chèn|ghi rõ|ghi|thêm|insert|enter|your|tên|số|họ tên)\s[^<>\[\]\n]{2,40}[>\]]", r"\[[A-ZÀ-ỸĐ]{2,}(?:[ _][A-ZÀ-ỸĐ]{2,})+\]",
-)
-
-# Messages of a site in place of content, and stand-in text; each matches from the start of a unit.
+    r"\{\{[^{}\n]*\}\}", r"\{%[^%\n]*%\}", r"<%=?[^%\n]*%>", r"[$#]\{[^{}\n]+\}", r"\{(?:\d+|[A-Za-z]+_\w+|[A-Za-z]{3,})\}", r"%[A-Z][A-Z0-9_]{2,}%", r"(?<!\w)%\(?\w*\)?[sd](?!\w)", r"@@\w+@@", r"\$\$\w+\$\$",
+    r"\[\[[^\[\]\n]+\]\]", r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)", r"[«‹]\s?[A-Za-z]\w*\s?[»›]", r"<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>", r"[<\[](?:điền|nhập|chèn|ghi rõ|ghi|thêm|insert|enter|your|tên|số|họ tên)\s[^<>\[\]\n]{2,}[>\]]", r"\[[A-ZÀ-ỸĐ]{2,}(?:[ _][A-ZÀ-ỸĐ]{2,})+\]",
+)
+
+# Whole messages of a site in place of content; units alike to one, or to one of those, are labelled too.
+EXEMPLARS = (
+    "Noscript mode is not supported.", "This page needs JavaScript and cookies.", "Please enable scripts in your browser to continue.", "You need to enable JavaScript to run this app.", "Reload when you are done.", "Checking your browser before accessing this site.",
+    "Đang kiểm tra trình duyệt của bạn trước khi truy cập.", "Trình duyệt của bạn đang tắt chức năng chạy kịch bản.", "Trình duyệt của bạn không hỗ trợ JavaScript.", "Vui lòng bật JavaScript để xem nội dung này.", "Trang web yêu cầu cookie và mã lệnh phía trình duyệt.", "Sau khi bật, hãy tải lại trang.",
+    "Đã xảy ra lỗi khi tải nội dung văn bản.", "Có lỗi xảy ra, vui lòng thử lại sau.", "Kết nối tới cơ sở dữ liệu thất bại.", "Không thể đọc tệp nguồn.", "Máy chủ đang quá tải, vui lòng thử lại sau ít phút.", "Hệ thống đang bảo trì, vui lòng quay lại sau.", "Object reference not set.", "The upstream server did not respond in time.", "Too many requests from your address.",
+    "Bạn không có quyền xem trang này.", "Vui lòng đăng nhập lại để tiếp tục.", "Trang bạn yêu cầu không tồn tại hoặc đã bị di chuyển.", "Quay về trang chủ",
+)
+
+# Codes and headings of such messages, which differ in numbers or stand before one; from the start of a unit.
 MESSAGES = (
-    r"(?:http(?: status)?|error|lỗi|mã lỗi)\s*:?\s*[1-5]\d\d\b(?!.*\b(?:quá|thì)\b)", r"[1-5]\d\d\s*[-–:|]?\s*(?:bad|gateway|not found|forbidden|internal|service|unauthor|error|request|too many|không tìm thấy|lỗi)", r"(?:404 )?(?:page )?not found\b", r"bad gateway", r"(?:internal server error|service unavailable|access denied|gateway time-?out|forbidden)\b",
-    r"traceback\b", r"object reference not set", r"undefined is not a function", r"(?:uncaught )?\w*(?:exception|error) (?:in|at|:) ?\w+", r"không thể (?:đọc tệp|tải (?:trang|nội dung|tệp)|kết nối|hiển thị nội dung)", r"đã xảy ra lỗi", r"có lỗi xảy ra", r"kết nối tới cơ sở dữ liệu thất bại", r"the upstream server", r"too many requests", r"request id [0-9a-f]{6,}", r"mã tham chiếu: ?[0-9a-f]{6,}",
-    r"không tìm thấy trang", r"trang (?:bạn|này|quý khách) (?:yêu cầu |tìm |cần )?(?:không tồn tại|không còn|đã bị)", r"truy cập bị từ chối", r"bạn không có quyền (?:xem|truy cập)", r"phiên (?:làm việc|đăng nhập)(?: của bạn)? đã hết hạn", r"vui lòng (?:đăng nhập|bật|kích hoạt|thử lại|tải lại|chờ|quay lại|xác (?:minh|nhận) (?:bạn|rằng bạn))", r"máy chủ (?:đang|hiện|tạm thời) (?:đang )?(?:quá tải|bảo trì|gián đoạn|không)", r"hệ thống (?:đang|hiện đang) (?:quá tải|bảo trì)", r"quay về trang chủ$", r"oops\b",
-    r"please enable (?:scripts?|javascript|cookies)", r"(?:this|the) (?:page|site) (?:needs|requires) (?:javascript|scripts?|cookies)", r"you need to enable javascript", r"javascript is (?:disabled|required)", r"noscript mode", r"reload when you are done", r"checking [0-9a-f]{3,}\.\.\.", r"checking your browser", r"đang kiểm tra trình duyệt", r"trình duyệt (?:của bạn )?(?:đang tắt|không hỗ trợ|chưa bật|đã tắt)", r"trang (?:web )?(?:này )?(?:yêu cầu|cần) (?:cookie|javascript|mã lệnh|bật)", r"sau khi bật, (?:hãy|vui lòng) tải lại", r"(?:enable|bật) (?:javascript|cookies?)\b.{0,40}$",
-)
+    r"(?:http(?: status)?|error|lỗi|mã lỗi)\s*:?\s*[1-5]\d\d\b(?!.*\b(?:quá|thì)\b)", r"[1-5]\d\d\s*[-–:|]?\s*(?:bad|gateway|not found|forbidden|internal|service|unauthor|error|request|too many|không tìm thấy|lỗi)", r"(?:404 )?(?:page )?not found\b", r"bad gateway", r"(?:(?:internal )?server error|service unavailable|access denied|gateway time-?out|forbidden)\b",
+    r"traceback\b", r"undefined is not a function", r"(?:uncaught )?\w*(?:exception|error) (?:in|at|:) ?\w+", r"request id [0-9a-f]{6,}", r"mã tham chiếu: ?[0-9a-f]{6,}", r"checking [0-9a-f]{3,}\.\.\.", r"không tìm thấy trang", r"truy cập bị từ chối", r"phiên (?:làm việc|đăng nhập)(?: của bạn)? đã hết hạn", r"oops\b", r"(?:enable|bật) (?:javascript|cookies?)\b[^.]*$",
+)
 FILLERS = (
     r"todo\b", r"fixme\b", r"tbd$", r"lorem ipsum\b", r"(?:-{3,} ?)?(?:nội dung|toàn văn|bài viết|phần này|phần trả lời|câu trả lời|văn bản|tài liệu|trang|mục này|chương này|điều này)(?: này)? (?:đang (?:được )?(?:cập nhật|bổ sung|biên soạn|hoàn thiện|xây dựng|trong quá trình \w+ \w+)|chưa có dữ liệu|chưa được (?:cập nhật|nhập)|sẽ (?:được )?(?:bổ sung|cập nhật) sau)\s*(?:[.…!,(]|$)",
     r"(?:đang cập nhật|đang biên soạn|sẽ cập nhật sau)\s*[.…]*$", r"(?:placeholder|sample|dummy) text\b", r"insert (?:text|content) here", r"\(?bản nháp số \d+\)?$", r"(?:nội dung giả|văn bản mẫu|văn bản giả|nội dung mẫu)[.…]*$",
@@ -129,8 +133,18 @@ def skeletons(units: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(low, pattern=r"[0-9]+", replacement="0")
 
 
+def _unit_ids(bare: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(b) for b in bare.to_pylist()], np.uint64).view(np.int64)
+
+
+def exemplars() -> list[tuple[int, str, str]]:
+    """(unit, label, text) of the trusted messages."""
+    bare = skeletons(pa.array([u for text in EXEMPLARS for u in units_of(text)], pa.large_string()))
+    return [(int(u), "message", t) for u, t in zip(_unit_ids(bare), bare.to_pylist())]
+
+
 def _unit_table(records: DataFrame) -> DataFrame:
-    """(table_name, record_id, unit, label, words, text): each unit once per record; text is its skeleton."""
+    """(table_name, record_id, unit, label, text): each unit once per record; text is its skeleton."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,14 +155,14 @@ def _unit_table(records: DataFrame) -> DataFrame:
             bare = skeletons(pa.array(flat, pa.large_string()))
             sizes = np.diff(words_of(bare, form=False)[0])
             named = labels.is_valid().to_numpy(zero_copy_only=False)
-            units = np.array([xxhash.xxh3_64_intdigest(b) for b in bare.to_pylist()], np.uint64).view(np.int64)
-            kept = np.flatnonzero(named | (sizes >= LEAST_WORDS))
+            units = _unit_ids(bare)
+            kept = np.flatnonzero(named | (sizes > 0))
             kept = kept[np.unique(np.stack([owner[kept], units[kept], named[kept]]), axis=1, return_index=True)[1]] if len(kept) else kept
             at, row = pa.array(kept), pa.array(owner[kept])
-            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(units[kept]), labels.take(at), pa.array(sizes[kept], pa.int32()), bare.take(at).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["table_name", "record_id", "unit", "label", "words", "text"])
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(units[kept]), labels.take(at), bare.take(at).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["table_name", "record_id", "unit", "label", "text"])
 
-    return records.select("table_name", F.col("record_id").cast("string"), "text").mapInArrow(cut, "table_name string, record_id string, unit bigint, label string, words int, text string")
+    return records.select("table_name", F.col("record_id").cast("string"), "text").mapInArrow(cut, "table_name string, record_id string, unit bigint, label string, text string")
 
 
 def _word_order(units: DataFrame) -> dict[str, int]:
@@ -182,33 +196,40 @@ def _shared_words(a, b):
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def residue_units(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units, labels) of records (table_name, record_id, text); labels: (unit, label) of all labelled units."""
+def residue_units(records: DataFrame, spread: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(units, labels) of records (table_name, record_id, text); labels: (unit, label) of all labelled units.
+
+    Without ``spread`` the labels are those of the seeds only.
+    """
+    spark = records.sparkSession
     given = records.where("text IS NOT NULL AND record_id IS NOT NULL")
     units = materialise(_unit_table(given), "units")
-    seeds = units.where("label IS NOT NULL").groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text"), F.max("words").alias("words"))
-    seeds = materialise(seeds, "seeds")
+    trusted = spark.createDataFrame(exemplars(), "unit bigint, label string, text string")
+    seeds = units.where("label IS NOT NULL").select("unit", "label", "text").union(trusted)
+    seeds = setjoin.small(seeds.groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text")))
     labels = seeds.select("unit", "label")
-    others = units.where("label IS NULL").join(setjoin.small(labels.select("unit")), "unit", "left_anti")
-    order = records.sparkSession.sparkContext.broadcast(_word_order(others))
+    if not spread:
+        return units, labels
+    others = units.where("label IS NULL").select("unit", "text").join(labels, "unit", "left_anti")
+    order = spark.sparkContext.broadcast(_word_order(others))
     index = materialise(_first_words(others, order).distinct(), "index")
-    front = seeds.where((F.col("label") != "slot") & (F.col("words") >= LEAST_WORDS))
+    front = seeds.where("label <> 'slot'")
     while True:
-        asked = _first_words(front, order).select(F.col("unit").alias("seed"), F.col("n").alias("seed_n"), "entry")
-        near = index.join(setjoin.small(asked), "entry").where(F.least("n", "seed_n") >= F.lit(LIKENESS) * F.greatest("n", "seed_n") - 1e-9)
+        asked = setjoin.small(_first_words(front, order).select(F.col("unit").alias("seed"), F.col("n").alias("seed_n"), "entry"))
+        near = index.join(asked, "entry").where(F.least("n", "seed_n") >= F.lit(LIKENESS) * F.greatest("n", "seed_n") - 1e-9)
         links = materialise(near.select("unit", "seed").distinct(), "links")
-        texts = units.where("label IS NULL").join(setjoin.small(links.select("unit").distinct()), "unit", "left_semi").groupBy("unit").agg(F.first("text").alias("text"), F.max("words").alias("words"))
+        texts = units.where("label IS NULL").join(setjoin.small(links.select("unit").distinct()), "unit", "left_semi").groupBy("unit").agg(F.first("text").alias("text"))
         seeded = front.select(F.col("unit").alias("seed"), F.col("text").alias("seed_text"), "label")
         alike = links.join(texts, "unit").join(seeded, "seed").where(_shared_words(F.col("text"), F.col("seed_text")) >= LIKENESS)
-        fresh = alike.groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text"), F.max("words").alias("words"))
-        fresh = materialise(fresh.join(setjoin.small(labels.select("unit")), "unit", "left_anti"), "fresh")
+        fresh = alike.groupBy("unit").agg(F.min("label").alias("label"), F.first("text").alias("text"))
+        fresh = setjoin.small(fresh.join(labels, "unit", "left_anti"))
         if fresh.isEmpty():
             return units, labels
-        labels = labels.unionByName(fresh.select("unit", "label"))
+        labels = setjoin.small(labels.unionByName(fresh.select("unit", "label")))
         front = fresh
 
 
 def residue_records(records: DataFrame) -> DataFrame:
     """(table_name, record_id) of the records (table_name, record_id, text) that hold a labelled unit."""
     units, labels = residue_units(records)
-    return units.join(setjoin.small(labels.select("unit")), "unit", "left_semi").select("table_name", "record_id").distinct()
+    return units.join(labels.select("unit"), "unit", "left_semi").select("table_name", "record_id").distinct()

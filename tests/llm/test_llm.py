@@ -146,7 +146,7 @@ def test_entries_of_many_records_leave_their_bucket(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, i % 2, int(k)) for i in range(300) for k in {*rng.integers(0, 2000, 3).tolist(), 5 if i < 120 else 9}]
     df = spark.createDataFrame(rows, "rec long, side int, entry long")
-    of = lambda batch: tuple(batch.column(k).to_numpy() for k in (0, 2, 1))
+    of = lambda batch: [tuple(batch.column(k).to_numpy() for k in (0, 2, 1))]
     by = defaultdict(set)
     for rec, side, entry in rows:
         by[entry].add((rec, side))
@@ -227,7 +227,7 @@ def test_overlaps_against_brute_force(spark):
 # Problem 6
 
 
-@pytest.mark.parametrize(("unit", "label"), [("Kính gửi {{ten}} ở xã", "slot"), ("Điều %s 1. Hồ sơ", "slot"), ("«ho_ten» nộp đơn", "slot"), ("[TÊN DOANH NGHIỆP] nộp", "slot"), ("503 - Bad Gateway", "message"), ("Vui lòng bật JavaScript để xem.", "message"), ("test test test test test", "filler"), ("Nội dung đang được cập nhật...", "filler"), ("jhkslsfj oqoepiuoo", "filler"), ("Morbin dorem quisora lapsum vetra.", "filler"), ("Họ và tên: ......... Ngày sinh: ../../....", None), ("Tập giá trị hợp lệ là {x | x > 0}.", None), ("Xem chú thích [1] và [2].", None), ("Nội dung đang được cập nhật trong sổ phải có chữ ký.", None), ("Tỷ lệ 5% số tiền được giữ lại.", None), ("Máy chủ lưu trữ quá tải không phải là lý do từ chối hồ sơ.", None)])
+@pytest.mark.parametrize(("unit", "label"), [("Kính gửi {{ten}} ở xã", "slot"), ("Điều %s 1. Hồ sơ", "slot"), ("«ho_ten» nộp đơn", "slot"), ("[TÊN DOANH NGHIỆP] nộp", "slot"), ("503 - Bad Gateway", "message"), ("Server Error Bạn không có quyền xem trang này.", "message"), ("Kính gửi {{" + "tên của cơ quan nhận đơn " * 9 + "}} ở xã", "slot"), ("Nộp tại [điền tên của " + "cơ quan " * 9 + "]", "slot"), ("Vui lòng bật JavaScript để xem nội dung này.", None), ("test test test test test", "filler"), ("Nội dung đang được cập nhật...", "filler"), ("jhkslsfj oqoepiuoo", "filler"), ("Morbin dorem quisora lapsum vetra.", "filler"), ("Họ và tên: ......... Ngày sinh: ../../....", None), ("Tập giá trị hợp lệ là {x | x > 0}.", None), ("Xem chú thích [1] và [2].", None), ("Nội dung đang được cập nhật trong sổ phải có chữ ký.", None), ("Tỷ lệ 5% số tiền được giữ lại.", None), ("Máy chủ lưu trữ quá tải không phải là lý do từ chối hồ sơ.", None)])
 def test_seed_labels(unit, label):
     assert residue.seed_label(unit) == label
 
@@ -241,7 +241,17 @@ def test_residue_spreads_to_near_copies_only(spark):
     assert residue.residue_records(df.limit(0)).count() == 0
 
 
-def test_residue_finds_every_reworded_copy(spark):
+def test_labels_come_through_links(spark):
+    same, near, far = "Đang kiểm tra trình duyệt của bạn trước khi truy cập.", "Đang kiểm tra trình duyệt của anh trước khi truy cập.", "Đang kiểm tra trình duyệt của anh trước lúc truy cập."
+    rows = [("t", "same", same), ("t", "near", "Lời dẫn. " + near), ("t", "far", far), ("t", "other", "Cơ quan đang kiểm tra hồ sơ của bạn trước khi cấp phép."), ("t", "short", "Quay về trang chủ"), ("t", "none", None)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, text string")
+    assert not any(residue.seed_label(u) for _, _, t in rows if t for u in residue.units_of(t))
+    assert {r.record_id for r in residue.residue_records(df).collect()} == {"same", "near", "far", "short"}
+    units, labels = residue.residue_units(df, spread=False)
+    assert {r.record_id for r in units.join(labels, "unit").collect()} == {"same", "short"}
+
+
+def test_residue_finds_every_reworded_copy(spark, monkeypatch):
     seeds = ["Bài viết đang trong quá trình biên soạn, mời quý vị quay lại sau vài hôm.", "Không thể tải trang vì đường truyền giữa hai trạm trung chuyển của mạng lưới tỉnh đang bị nghẽn."]
     rng = random.Random(9)
     rows = []
@@ -255,7 +265,8 @@ def test_residue_finds_every_reworded_copy(spark):
         rows += [(f"{k}:mix{i}", " ".join(rng.sample(ws[1:], len(ws) // 2) + sentence(rng, 8).split())) for i in range(30)]
     rows += [(f"o{i}", sentence(rng, rng.randrange(4, 20))) for i in range(100)]
     sets = {k: set(t.lower().split(" ")) for k, t in rows}
-    want = {k for k, t in rows if residue.seed_label(t)}
+    monkeypatch.setattr(residue, "EXEMPLARS", (*residue.EXEMPLARS, seeds[1]))
+    want = {k for k, t in rows if residue.seed_label(t) or t in residue.EXEMPLARS}
     assert want == {"0:0", "1:0"}
     front = want
     while front:
