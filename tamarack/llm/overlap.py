@@ -71,24 +71,21 @@ def _sequence_hash(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
 
 
-def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets, values = list_parts(words)
-    return distinct_sorted(*run_hashes(offsets, values.view(np.uint64), RUN))
-
-
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, entry, side) of a batch (row, side, kind, has, words).
 
     The entry also says which texts may meet. Texts of kind 1 meet kind 1. Of kind 0, training texts without an answer
     meet all, others meet evaluation texts without an answer only, so each pair meets in one class of entries.
     """
-    keys = setjoin.entries(setjoin.signatures(*_grams(batch.column(4))))
+    offsets, values = list_parts(batch.column(4))
+    keys = setjoin.entries(setjoin.signatures(*run_hashes(offsets, values.view(np.uint64), RUN)))
     row, side, kind, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
     classes = ((kind == 0) & ((side == 0) | ~has), (kind == 0) & (((side == 0) & ~has) | ((side == 1) & has)), kind == 1)
-    at = np.concatenate([np.repeat(np.flatnonzero(c), keys.shape[1]) for c in classes])
-    with np.errstate(over="ignore"):
-        entry = np.concatenate([mix(keys[c].ravel().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.int64) for k, c in enumerate(classes)])
-    return row[at], entry, side[at].astype(np.int64)
+    for k, members in enumerate(classes):
+        at = np.repeat(np.flatnonzero(members), keys.shape[1])
+        with np.errstate(over="ignore"):
+            entry = mix(keys[members].ravel().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        yield row[at], entry, side[at].astype(np.int64)
 
 
 class FmIndex:

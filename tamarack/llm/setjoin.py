@@ -84,18 +84,28 @@ def _signatures(offsets: np.ndarray, values: np.ndarray, out: np.ndarray) -> Non
         least = least.reshape(count, BINS)
         own = least != most
         rows, bins = np.nonzero(~own & some)
-        step = 0
-        while len(rows):  # an empty bin takes the value of a full one, tried in the same sequence for all records
-            step += 1
-            donor = (bins * 5 + step * 13 + (bins * step) % 11 + r) % BINS if step < 64 else (bins + step) % BINS
+        for step in range(1, 5):  # an empty bin takes the value of a full one, tried in the same sequence for all records
+            if not len(rows):
+                break
+            donor = (bins * 5 + step * 13 + (bins * step) % 11 + r) % BINS
             full = own[rows, donor]
-            with np.errstate(over="ignore"):
-                least[rows[full], bins[full]] = mix(least[rows[full], donor[full]] + np.uint64(step) * np.uint64(0xC2B2AE3D27D4EB4F) + bins[full].astype(np.uint64))
+            least[rows[full], bins[full]] = _borrowed(least[rows[full], donor[full]], step, bins[full])
             rows, bins = rows[~full], bins[~full]
+        if len(rows):  # else that of the next full one to the right
+            some_rows, at = np.unique(rows, return_inverse=True)
+            place = np.where(np.concatenate([own[some_rows]] * 2, axis=1), np.arange(2 * BINS), 4 * BINS)
+            nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]
+            donor = nearest[at, bins] % BINS
+            least[rows, bins] = _borrowed(least[rows, donor], 5, bins)
         out[:, r * BINS : (r + 1) * BINS] = (mix(least) >> np.uint64(40)).astype(np.uint8)
     out[sizes == 0] = 0
 
 
+def _borrowed(value: np.ndarray, step: int, bins: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(value + np.uint64(step * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) + bins.astype(np.uint64))
+
+
 def entries(signature: np.ndarray) -> np.ndarray:
     """(records, ENTRIES) keys of (position, bytes)."""
     wide = np.zeros((len(signature), ENTRIES, 8), np.uint8)
@@ -122,29 +132,27 @@ def buckets_of(records: int) -> int:
     return max(1, -(-records * ENTRIES // BUCKET))
 
 
-def packed(df: DataFrame, entries_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+def packed(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], buckets: int) -> DataFrame:
     """(place, bucket, side, ids, low): the index entries of ``df``, a row for each bucket, side and batch.
 
-    ``entries_of`` gives (row number, entry, side) of the entries of a batch; ``place`` sends a bucket to a partition.
+    ``entries_of`` gives parts (row number, entry, side) of the entries of a batch; ``place`` sends a bucket to a
+    partition.
     """
     places = partition_keys(buckets)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rec, entry, side = entries_of(batch)
+        for rec, entry, side in (part for batch in batches for part in entries_of(batch)):
             entry = entry.view(np.uint64)
             home = (entry % np.uint64(buckets)).astype(np.int64) * 2 + side
             low = (entry // np.uint64(buckets)) & np.uint64((1 << _LOW) - 1)
-            order = np.lexsort((rec, home))
+            order = np.argsort(home.astype(np.uint16) if 2 * buckets <= 1 << 16 else home, kind="stable")
             rec, low, home = rec[order], low[order], home[order]
             first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(home))
-            words = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]
-            columns = [
-                pa.array(places[home[first] // 2], pa.int32()), pa.array(home[first] // 2, pa.int32()), pa.array(home[first] % 2, pa.int32()),
-                pa.array([pack_ids(rec[a:b]) for a, b in zip(first, ends)], pa.binary()), pa.array([np.ascontiguousarray(words[a:b]).tobytes() for a, b in zip(first, ends)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "bucket", "side", "ids", "low"])
+            words = np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8])
+            ids = [pack_ids(rec[a:b]) for a, b in zip(first, ends)]
+            columns = [pa.array(x, pa.int32()) for x in (places[home[first] // 2], home[first] // 2, home[first] % 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array([words[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], ["place", "bucket", "side", "ids", "low"])
 
     return df.mapInArrow(pack, "place int, bucket int, side int, ids binary, low binary")
 

@@ -86,7 +86,8 @@ def distinct_sorted(offsets: np.ndarray, hashes: np.ndarray, bits: int = 48) ->
     values = hashes >> np.uint64(64 - bits)
     if n < 1 << (64 - bits):
         keys = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets)) << np.uint64(bits)) | values
-        keys = np.unique(keys)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         owner = (keys >> np.uint64(bits)).astype(np.int64)
         values = keys & np.uint64((1 << bits) - 1)
     else:
