@@ -44,12 +44,16 @@ REFUSALS = (
 )
 _RESTATES = r"(?:bạn (?:hỏi|đang hỏi|có hỏi|muốn hỏi|vừa hỏi) về|về câu hỏi|câu hỏi của bạn|you (?:asked|ask|are asking) about|regarding your question|cảm ơn (?:bạn|anh|chị|quý khách)|thank you for|mong bạn thông cảm|bạn (?:nên|vui lòng|hãy) (?:gặp|liên hệ|tham khảo|hỏi)|please (?:contact|consult)|vui lòng liên hệ|trân trọng|thân mến|ban tư vấn|chào bạn|xin chào)"
 
-# Closing phrases and captions that may follow a complete answer.
-_CLOSING = re.compile(r"(?:\n|(?<=[.!?…;:\])”\"])\s)\s*[(\[*–-]*\s*(?:trân trọng(?: cảm ơn| kính chào)?|thân mến|thân ái|thân|kính thư|kính chào|ban tư vấn|ban biên tập|chào bạn|cảm ơn(?: bạn)?|xin cảm ơn|(?:best |kind )?regards|sincerely|yours (?:truly|sincerely)|hình từ internet|ảnh minh họa|hình minh họa|nguồn internet|ảnh internet|internet)\s*[)\]*]*[.!,…]*\s*$", re.IGNORECASE)
-#: Longer than any closing phrase: only the end of a text is searched for one.
-_CLOSING_CHARS = 80
-_INTRO = re.compile(r"(?:như sau|bao gồm|gồm|sau đây|dưới đây|cụ thể|as follows|following|including)\s*:?\s*$", re.IGNORECASE)
-_MARKER = re.compile(r"(?:^|\n|[;:.]\s)\s*(?:[a-zđ]\)|\d{1,2}[.)]|[-–*•+])\s*$")
+# What a clause that says again what was asked begins with, and what joins a refusal to it.
+_TOPIC = re.compile(rf"(?:về|đối với|liên quan (?:đến|tới)|với (?:câu hỏi|yêu cầu|nội dung|vấn đề)|trước (?:câu hỏi|yêu cầu)|như bạn hỏi|as (?:for|to)|about|regarding|concerning|with (?:regard|respect) to|in response to|{_RESTATES})\b")
+_JOINS = re.compile(r"(?:vì vậy|vì thế|do đó|do vậy|nên|thì|rằng|nhưng|tuy nhiên|hiện|hiện tại|hiện nay|that|so|but|and|therefore|however|at this time|currently)[\s,:]*")
+
+# Closing phrases and captions that may follow a complete answer, and words that announce a list.
+CLOSINGS = frozenset((
+    "trân trọng", "trân trọng cảm ơn", "trân trọng kính chào", "thân mến", "thân ái", "thân", "kính thư", "kính chào", "ban tư vấn", "ban biên tập", "chào bạn", "cảm ơn", "cảm ơn bạn", "xin cảm ơn",
+    "regards", "best regards", "kind regards", "sincerely", "yours truly", "yours sincerely", "hình từ internet", "ảnh minh họa", "hình minh họa", "nguồn internet", "ảnh internet", "internet",
+))
+INTROS = ("như sau", "bao gồm", "gồm", "sau đây", "dưới đây", "cụ thể", "as follows", "following", "including")
 
 # Frequent words by language; the accents of Vietnamese are left out for its unaccented form.
 _FREQUENT = {
@@ -65,21 +69,24 @@ _VIETNAMESE = re.compile(r"[ăđơưĂĐƠƯạảấầẩẫậắằẳẵặ
 _WORD = re.compile(r"[^\W_]+")
 
 
+_TAG, _UNSEEN = re.compile(r"<[^<>]*>"), re.compile("&\\w+;|[​-‏﻿⁠­]")
+_LABEL = re.compile(r"^(?:trả lời|đáp|answer)\b\W*")
+
+
 def _bare(text: str) -> str:
-    """Without tags, marks at the ends, and white space."""
-    text = re.sub(r"<[^<>]*>", " ", text)
-    text = re.sub(r"&\w+;|[​-‏﻿⁠­]", " ", text)
-    return re.sub(r"^[\W_]+|[\W_]+$", "", text.strip().lower())
+    """Lower case, without tags, white space, and marks at the ends."""
+    text = _UNSEEN.sub(" ", _TAG.sub(" ", text)).lower()
+    first = next((i for i, c in enumerate(text) if c.isalnum()), len(text))
+    last = next((i for i in range(len(text) - 1, first - 1, -1) if text[i].isalnum()), first - 1)
+    return " ".join(text[first : last + 1].split())
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, marks only, or a stand-in for an answer, with or without a leading label."""
     if answer is None:
         return True
-    if len(answer) > 120:
-        return False
-    bare = " ".join(_bare(answer).split())
-    return bare in STAND_INS or re.sub(r"^(?:trả lời|đáp|answer)\s*[:.\-]?\s*", "", bare) in STAND_INS
+    bare = _bare(answer)
+    return bare in STAND_INS or _LABEL.sub("", bare) in STAND_INS
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -89,12 +96,20 @@ _RESTATE = re.compile(rf"^(?:{_RESTATES})")
 _OPEN_ONLY = re.compile(rf"^(?:{_OPENINGS}[\s,.!:]*)+$")
 
 
+def _leads_to_refusal(before: str) -> bool:
+    """Whether what stands before a refusal in its sentence only says what was asked, or joins the refusal on."""
+    before = before.rstrip()
+    if not before or _JOINS.fullmatch(before):
+        return True
+    return before[-1] in ",:;-–—" and _TOPIC.match(before) is not None
+
+
 def is_refusal(answer: str) -> bool:
     """Whether the answer holds a refusal and, but for openings and restatements, nothing else."""
     refused, other = False, 0
     for sentence in _SENTENCE.split(answer.strip().lower().replace("’", "'")):
         rest = _OPEN.sub("", sentence.strip(" -*>\"“”"))
-        if (m := _REFUSAL.search(rest, 0, 220)) and m.start() <= 60:
+        if (m := _REFUSAL.search(rest)) and _leads_to_refusal(rest[: m.start()]):
             refused = True
         elif rest and not _RESTATE.match(rest) and not _OPEN_ONLY.match(sentence.strip()):
             other += len(_WORD.findall(rest))
@@ -165,50 +180,83 @@ def language(text: str) -> str | None:
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-_SIGN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>|```|[()\[\]{}“”«»]")
+_SIGN = re.compile(r"(?m:(?P<item>(?:^|(?<=[;:.]\s))[ \t]*(?:[a-zđ]\)|\d{1,2}[.)]|[-–*•+])(?=\s|$)))|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(?P<single>/?)>|```|[()\[\]{}“”«»\"]")
 _VOID = frozenset("br hr img input meta link wbr".split())
 
 
 def open_structures(text: str) -> list[str]:
     """Pushdown parser: what is still open at the end of the text.
 
-    Fences, tags, brackets and curly quotations are pushed and popped; a closing bracket without an opening one is a
-    list marker and is ignored, and so are apostrophes.
+    Fences, tags, brackets and quotations, curly or straight, are pushed and popped; within a fence only its end
+    counts. A list item is open until a word follows its marker, and an announced list until its first item. A closing
+    sign whose opening one lies deeper closes what was opened since; one without an opening sign is ignored, and so
+    are apostrophes and inches.
     """
     stack: list[str] = []
+    marked = -1
     for m in _SIGN.finditer(text):
-        sign, close, name, single = m.group(), m.group(1), m.group(2), m.group(3)
-        if name is not None:
-            tag = f"<{name.lower()}>"
-            if close and tag in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-            elif not close and not single and name.lower() not in _VOID:
-                stack.append(tag)
-        elif sign == "```":
-            if sign in stack:
-                del stack[stack.index(sign) :]
-            else:
-                stack.append(sign)
+        sign = m.group()
+        if stack and stack[-1] == "```" and sign != "```":
+            continue
+        if m["item"] is not None:
+            marked = m.end()
+            continue
+        if m["tag"] is not None:
+            name = m["tag"].lower()
+            opener = f"<{name}>" if m["close"] else None
+            if not m["close"] and not m["single"] and name not in _VOID:
+                stack.append(f"<{name}>")
         elif sign in "([{“«":
+            opener = None
             stack.append(sign)
-        elif _PAIRS[sign] in stack:
-            del stack[len(stack) - 1 - stack[::-1].index(_PAIRS[sign]) :]
-    if text.count('"') % 2:
-        stack.append('"')
+        elif sign in _PAIRS:
+            opener = _PAIRS[sign]
+        elif sign in stack:
+            opener = sign
+        else:
+            opener = None
+            if sign != '"' or not text[m.start() - 1 : m.start()].isdigit():
+                stack.append(sign)
+        if opener is not None and opener in stack:
+            while stack.pop() != opener:
+                pass
+    if marked >= 0 and not any(c.isalnum() for c in text[marked:]):
+        stack.append("item")
+    elif text.rstrip(" \t\n:").lower().endswith(INTROS):
+        stack.append("list")
     return stack
 
 
+_ENDING = re.compile(r"\n|(?<=[.!?…;:\])”\"])\s")
+_STOP = re.compile(r"[.!?]\s+")
+
+
+def _last(pattern: re.Pattern, text: str) -> re.Match | None:
+    found = None
+    for found in pattern.finditer(text):
+        pass
+    return found
+
+
+def _without_closing(text: str) -> str:
+    """The text without closing phrases and captions after its end."""
+    while True:
+        end = len(text.rstrip(" \t\n)]*.!,…"))
+        cut = _last(_ENDING, text[:end])
+        if cut is None or text[cut.end() : end].lstrip(" \t\n([*–-").lower() not in CLOSINGS:
+            return text
+        text = text[: cut.start()].rstrip()
+
+
 def is_truncated(answer: str) -> bool:
     """Whether the answer breaks off before its sentence, list or structure is complete."""
-    text = answer.rstrip()
-    while (m := _CLOSING.search(text[-_CLOSING_CHARS:])) is not None:
-        text = text[: max(0, len(text) - _CLOSING_CHARS) + m.start()].rstrip()
+    text = _without_closing(answer.rstrip())
     if not text:
         return False
     if open_structures(text):
         return True
     end = text.rstrip("*_`\"'”’»)] \t\n")
-    if not end or _MARKER.search(text[-16:]) or _INTRO.search(text[-40:]):
+    if not end:
         return True
     last = end[-1]
     if last in ".!?":
@@ -216,10 +264,8 @@ def is_truncated(answer: str) -> bool:
     if last in ",;:-–—…/&+=":
         return True
     # A complete sentence with a few words after its end, in lower case, is an inserted phrase and no new sentence.
-    tail = re.split(r"[.!?]\s+", end[-200:])[-1]
-    if tail != end and tail[:1].islower() and len(tail.split()) <= 4:
-        return False
-    return True
+    stop = _last(_STOP, end)
+    return not (stop and end[stop.end() : stop.end() + 1].islower() and len(end[stop.end() :].split()) <= 4)
 
 
 def defect(question: str | None, answer: str | None) -> str | None:

@@ -51,6 +51,31 @@ def test_defects(question, answer, kind):
     assert pairs.defect(question, answer) == kind
 
 
+def test_defects_do_not_depend_on_length():
+    far = "liên quan đến thủ tục cấp giấy phép xây dựng nhà ở riêng lẻ tại nơi bạn cư trú và các giấy tờ phải nộp kèm theo "
+    for n in (1, 10, 130, 1000):
+        for part in (" ", ".", "<p>&nbsp;</p>", "-\n", "\u200b"):
+            assert pairs.defect("Hỏi gì?", part * n) == "empty"
+        assert pairs.defect("Hỏi gì?", f"Về việc bạn đang hỏi {far * (n // 10)}, tôi không thể trả lời câu hỏi này.") == "refusal"
+        assert pairs.defect("Hỏi gì?", f"Về việc này {far * (n // 10)} chủ hộ phải trả lời và tôi không thể trả lời câu hỏi này thay họ.") is None
+        assert pairs.defect("Hỏi gì?", "Bạn phải nộp đơn tại xã." + "\n" * n + "Trân trọng" + " ." * n) is None
+        assert pairs.defect("Hỏi gì?", "Hồ sơ gồm:\na) Đơn;\nb)" + " " * n) == "truncated"
+        assert pairs.defect("Hỏi gì?", "Mức phạt được tính như sau" + " " * n + ":") == "truncated"
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("Hồ sơ gồm (theo mẫu tại Điều 5.", ["("]), ('Luật gọi đó là "hành vi bị cấm.', ['"']), ('Luật gọi đó là "hành vi" bị cấm.', []), ('Ống 21" và 27".', []), ("Xem <ul><li>một.", ["<ul>", "<li>"]), ("```\nx = (1\n```", []), ("```\nx = 1.", ["```"]),
+        ("a) Một;\nb) Hai.", []), ("Gồm:\na) Một;\nb)", ["item"]), ("Gồm: a) Một; b)", ["item"]), ("1. Một\n2.", ["item"]), ("Gồm:\n-", ["item"]), ("Các bước như sau:", ["list"]), ("Khoản 2) và [1] {x}.", []), ("(một [hai) ba.", []), ("“một «hai” ba.", []),
+    ],
+)
+def test_open_structures(text, left):
+    assert pairs.open_structures(text) == left
+    if left:
+        assert pairs.defect("Hỏi gì vậy bạn?", text) == "truncated"
+
+
 def test_defective_pairs_table(spark):
     rows = [("a", "Hỏi gì?", None, 1), ("a", "Hỏi gì?", None, 2), ("b", None, "Đúng vậy.", 1), (None, "x", None, 1), ("c", "Hỏi gì?", "Bạn phải nộp đơn. " * 5000, 1)]
     df = spark.createDataFrame(rows, "id string, question string, answer string, defect int")
