@@ -1,9 +1,11 @@
 """Problem 2: one consistent character form.
 
-A compiled longest-match transducer runs once over the grapheme clusters of a text. Its mapping is made from
-rules (widths, canonical composition, spaces, invisible characters) and from one short table of look-alike
-letters, and is checked for conflicts when it is compiled: no input may have two outputs, and no output may be
-an input again. Look-alikes are resolved by word: a word wholly in another alphabet stays as it is.
+A compiled longest-match transducer runs once over the grapheme clusters of a text. Its mapping is computed before
+from rules (widths, spaces, invisible characters, and every way to write a composed letter with its accents) and from
+one short table of look-alike letters, and is checked for conflicts when it is compiled: no input may have two
+outputs, and no output may be an input again. Clusters that the mapping does not hold, such as three accents or
+invisible characters between them, are composed one by one. Look-alikes are resolved by word, for a word wholly in
+another alphabet stays as it is; a word's result is kept for its next occurrences.
 
 Null stays null and empty stays empty; texts of any length are processed whole.
 """
@@ -13,7 +15,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import permutations
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +49,24 @@ def _script(ch: str) -> str:
     return name.split(" ", 1)[0].title() if ch.isalpha() else ""
 
 
+def _compositions() -> dict[str, str]:
+    """Every way to write a composed letter of the basic plane as a letter and accents, in any order and part-composed."""
+    out: dict[str, str] = {}
+    for cp in (*range(0xC0, 0x2000), *range(0x3040, 0x3100), *range(0xFB1D, 0xFB50)):
+        ch = chr(cp)
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) < 2 or unicodedata.normalize("NFC", ch) != ch:
+            continue
+        for order in permutations(parts[1:]):
+            marks = "".join(order)
+            for cut in range(len(marks) + 1):
+                form = unicodedata.normalize("NFC", parts[0] + marks[:cut]) + marks[cut:]
+                if form != ch and unicodedata.normalize("NFC", form) == ch:
+                    out[form] = ch
+    signs = (chr(cp) for cp in (*range(0x340, 0x3000), *range(0xF900, 0xFB50)))
+    return out | {ch: form for ch in signs if (form := unicodedata.normalize("NFC", ch)) != ch and unicodedata.category(ch) != "Zs"}
+
+
 def _singles() -> dict[str, str]:
     """Context-free rules: width, space and invisible characters."""
     out: dict[str, str] = {}
@@ -59,17 +81,22 @@ def _singles() -> dict[str, str]:
             out[ch] = ""
         elif 0xFF01 <= cp <= 0xFFEE or (0x1D400 <= cp <= 0x1D7FF and kind[0] in "LN"):
             wide = unicodedata.normalize("NFKC", ch)
+            if wide[:1] == " ":  # a wide sign of a space and an accent: the sign itself
+                wide = chr(int(unicodedata.decomposition(ch).split()[-1], 16))
             if wide != ch:
                 out[ch] = wide
     out |= {chr(c): "" for c in range(0x20) if chr(c) not in "\t\n\r"} | {"\x7f": ""}
     return out
 
 
+_MARK = re.compile(r"[\u1100-\u11ff\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]")
+
+
 class Transducer:
     """The compiled mapping; ``run`` gives the consistent form of one text."""
 
     def __init__(self) -> None:
-        self.single = _singles()
+        self.single, self.composed = _singles(), _compositions()
         self.to_latin = {k: v for script in LOOKALIKES.values() for k, v in script.items()}
         self.from_latin: dict[str, dict[str, str]] = {s: {} for s in LOOKALIKES if s != "Latin"}
         for script, letters in LOOKALIKES.items():
@@ -77,36 +104,44 @@ class Transducer:
                 if script != "Latin":
                     self.from_latin[script].setdefault(latin, other)
         self._check()
+        self.machine = ahocorasick.Automaton()
+        for form, value in (self.single | self.composed).items():
+            self.machine.add_word(form, (len(form), value))
+        self.machine.make_automaton()
+        self.bases: dict[str, str] = {}
+        self.scripts: dict[str, str] = {}
         self.invisible = {k for k, v in self.single.items() if v == ""}
         inner = "".join(sorted(re.escape(c) for c in self.invisible if ord(c) < 0x10000))
         self.token = re.compile(rf"(?:[^\W_]|[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff{inner}])+|[^\x20-\x7e\n]")
         self.word = lru_cache(maxsize=200_000)(self._word)
 
     def _check(self) -> None:
-        """No character has two outputs, no output is an input again, and every output is composed."""
-        every = self.single | self.to_latin
-        both = self.single.keys() & self.to_latin.keys()
-        again = {k for k, v in every.items() if any(c in self.single for c in v)} | {k for k, v in self.to_latin.items() if v in self.to_latin}
+        """No input has two outputs, no output is an input again, and every output is composed."""
+        every = self.single | self.to_latin | self.composed
+        both = (self.single.keys() & self.to_latin.keys()) | (self.composed.keys() & (self.single.keys() | self.to_latin.keys()))
+        again = {k for k, v in every.items() if v in self.composed or any(c in self.single for c in v)} | {k for k, v in self.to_latin.items() if v in self.to_latin}
         unstable = {k for k, v in every.items() if unicodedata.normalize("NFC", v) != v}
         if wrong := both | again | unstable:
             raise ValueError(f"conflicting mapping: {sorted(wrong)[:20]}")
 
     def _clusters(self, token: str) -> str:
-        """Longest match over clusters: a base with all the marks that follow it, invisible characters dropped."""
-        single, out, i, n = self.single, [], 0, len(token)
-        while i < n:
-            base = single.get(token[i], token[i])
-            i += 1
-            marks = ""
-            while i < n and base:
-                nxt = single.get(token[i], token[i])
-                if nxt == "" or (len(nxt) == 1 and unicodedata.combining(nxt)):
-                    marks += nxt
-                    i += 1
-                else:
-                    break
-            out.append(unicodedata.normalize("NFC", base + marks))
-        return unicodedata.normalize("NFC", "".join(out))
+        """One pass of the compiled machine: the longest cluster that it holds at each place."""
+        out, last, seen = [], 0, True
+        for end, (length, value) in self.machine.iter_long(token):
+            out += (token[last : end + 1 - length], value)
+            last = end + 1
+            seen = seen and value != ""
+        form = "".join(out) + token[last:]
+        if seen and not _MARK.search(form):
+            return form
+        return unicodedata.normalize("NFC", form)  # accents that a dropped character or their number kept apart
+
+    def _base(self, ch: str) -> str:
+        """The letter below the accents."""
+        if ch not in self.bases:
+            self.bases[ch] = unicodedata.normalize("NFD", ch)[0]
+            self.scripts[ch] = _script(self.bases[ch])
+        return self.bases[ch]
 
     def _word(self, token: str) -> str:
         plain = self._clusters(token)
@@ -115,13 +150,13 @@ class Transducer:
         return re.sub(r"(?:[^\W\d_]|[\u0300-\u036f])+", lambda m: self._letters(m.group()), plain)
 
     def _letters(self, word: str) -> str:
-        bare = {c: unicodedata.normalize("NFD", c)[0] for c in word}
-        scripts = {c: _script(b) for c, b in bare.items()}
+        bare = {c: self._base(c) for c in word}
+        scripts = self.scripts
         own: dict[str, int] = {}
         for c in word:
             if scripts[c] and bare[c] not in self.to_latin and not (scripts[c] == "Latin" and any(bare[c] in m for m in self.from_latin.values())):
                 own[scripts[c]] = own.get(scripts[c], 0) + 1
-        present = set(scripts.values()) - {""}
+        present = {scripts[c] for c in word} - {""}
         if present <= {"Latin"}:
             return unicodedata.normalize("NFC", "".join(self.to_latin.get(c, c) for c in word))
         if len(present) == 1:

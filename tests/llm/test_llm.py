@@ -104,6 +104,24 @@ def test_consistent_form():
     assert forms.consistent_text(None) is None
 
 
+def test_transducer_composes_every_form():
+    import unicodedata
+
+    machine, rng = forms.transducer(), random.Random(2)
+    assert {"e\u0302\u0301": "ế", "\u00ea\u0301": "ế", "o\u0323\u031b": "ợ", "o\u031b\u0323": "ợ"}.items() <= machine.composed.items()
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).isalpha() and chr(c) not in machine.to_latin]
+    for _ in range(4000):
+        plain = unicodedata.normalize("NFC", "".join(rng.choice(letters) + rng.choice(["", "", "\u0301", "\u0323\u0302", "\u0302\u0323\u0303"]) for _ in range(6)))
+        if any(c in machine.to_latin or c in machine.single for c in plain):
+            continue
+        apart = "".join(c + rng.choice(["", "", "\u200b"]) for c in unicodedata.normalize(rng.choice(["NFC", "NFD"]), plain))
+        assert machine.run(apart) == plain == machine.run(plain)
+    broken = forms.Transducer()
+    broken.composed["Ａ"] = "Ä"
+    with pytest.raises(ValueError, match="conflicting"):
+        broken._check()
+
+
 def test_inconsistent_records(spark):
     df = spark.createDataFrame([("a", "Ｘin"), ("a", "Ｘin"), ("b", "xin chào"), ("c", None), ("d", ""), (None, "Ｘ")], "id string, text string").selectExpr("*", "1 AS table_name")
     assert [tuple(r) for r in forms.inconsistent_records(df, "id", "text", "t").collect()] == [("t", "a")]
