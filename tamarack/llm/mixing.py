@@ -3,11 +3,11 @@
 Soft-membership mixing. A classifier of word counts, trained on documents of known source (the labelled table),
 predicts for every document a posterior over the sources of the target table. Document rates (expected copies) between
 0 and the source's repeat cap are fitted by projected-gradient least squares, so that the largest mix that the caps
-allow meets two sets of totals: the tokens drawn from each known source, which have to have the target shares, and the
+allow meets two sets of totals: the tokens drawn from each source, which have to have the target shares, and the
 expected tokens of each domain, by posterior, which should have them. Within a source, documents whose text looks like
 a wanted domain thus get higher rates. Where both can't be met the sources count ``LABEL_WEIGHT`` times as much, and at
-last the rates of each source are shifted to its total. A document without a source in the target table counts by its
-posterior only. Whole copies are then drawn systematically along the running total of the rates within each source, so
+last the rates of each source are shifted to its total. A document without a source in the target table is drawn for
+the most likely one. Whole copies are then drawn systematically along the running total of the rates within each source, so
 that drawn and expected tokens differ by little.
 
 No document state is kept between gradient steps: the projection is of the sum of all steps so far (dual averaging), so
@@ -35,7 +35,7 @@ from tamarack.session import materialise
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Labelled documents that the classifier is trained on at most, its hashed word counts, and the gradient steps.
+#: Labelled documents that the classifier is trained on, its hashed word counts, and the gradient steps.
 FIT, BUCKETS, STEPS = 20_000, 1 << 14, 20
 #: Weight of a source's own total against that of its domain, and the largest error, as a share of the mix, at which
 #: the fit ends; it also ends after two steps that hardly better it.
@@ -92,7 +92,8 @@ class Classifier:
 
 
 def train_classifier(docs: DataFrame, sources: list[str], limit: int = FIT) -> tuple[Classifier, dict[str, float]]:
-    """(classifier, quality) from at most ``limit`` documents of known source, chosen by a hash of the key.
+    """(classifier, quality) from ``limit`` documents of known source, chosen by a hash of the key (of more documents
+    each is chosen with the same chance, so that their number keeps to the limit but for a few in a thousand).
 
     The evidence is scaled on a held-out part of the sample, where the quality is measured too: accuracy, the mean
     probability of the predicted source (equal to the accuracy if posteriors are calibrated), and the share of the
@@ -100,8 +101,10 @@ def train_classifier(docs: DataFrame, sources: list[str], limit: int = FIT) -> t
     held-out document.
     """
     index = {s: k for k, s in enumerate(sources)}
-    labelled = docs.where(F.col("source").isin(sources) & F.col("text").isNotNull()).select("source", "text", F.xxhash64("key").alias("h"), "key")
-    chosen = materialise(labelled.orderBy("h", "key").limit(limit).select("source", "text", (F.pmod(F.shiftright("h", 8), F.lit(HELD_OUT)) == 0).alias("held")), "labelled")
+    labelled = docs.where(F.col("source").isin(sources) & F.col("text").isNotNull()).select("source", "text", F.xxhash64("key").alias("h"))
+    share = min(1.0, limit / max(labelled.count(), 1))
+    taken = F.shiftrightunsigned("h", 32) < int(share * (1 << 32))
+    chosen = materialise(labelled.where(taken).select("source", "text", (F.pmod("h", F.lit(HELD_OUT)) == 0).alias("held")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, documents = np.zeros((len(sources), BUCKETS), np.int64), np.zeros(len(sources), np.int64)
@@ -162,12 +165,12 @@ def memberships(docs: DataFrame, sources: list[str], model: Classifier, tokenize
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(home, matrix) of columns s and posterior: a document's parts in the sources' own totals and in the domains'."""
+    """(home, matrix) of columns s and posterior: the source a document is drawn for, which is its own or else the most
+    likely one, and its parts in the totals of the sources and of the domains."""
     named = batch.column(0).to_numpy(zero_copy_only=False)
     posterior = np.asarray(batch.column(1).flatten(), float).reshape(-1, k)
-    own = np.zeros_like(posterior)
-    own[named >= 0, named[named >= 0]] = 1.0
-    return np.where(named >= 0, named, posterior.argmax(axis=1)), np.concatenate([own, posterior], axis=1)
+    home = np.where(named >= 0, named, posterior.argmax(axis=1))
+    return home, np.concatenate([np.eye(k)[home], posterior], axis=1)
 
 
 def rates(home: np.ndarray, matrix: np.ndarray, caps: np.ndarray, multipliers: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -221,10 +224,7 @@ def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: i
         return multipliers, shifts, {"total": 0.0, "steps": 0.0, "domain_error": 0.0}
     shares = shares / shares.sum()
     total = float(np.min(np.where(shares > 0, homes[1] / np.maximum(shares, 1e-12), np.inf)))
-    named = tokens[:k] > 0
-    # The part of each total that documents without a source hold is not drawn by label: it is left to their domain.
-    target = np.concatenate([np.where(named, shares, 0) * total, shares * total])
-    weight = np.concatenate([np.where(named, LABEL_WEIGHT, 0), np.ones(k)])
+    target, weight = np.tile(shares * total, 2), np.repeat([LABEL_WEIGHT, 1.0], k)
     used, stalled, best = 0, 0, (np.inf, multipliers)
     for used in range(1, steps + 1):
         error = target - drawn
@@ -235,9 +235,8 @@ def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: i
         if np.abs(weight * error).max() <= CLOSE * total or stalled == 2:
             break
         scaled = curvature * np.sqrt(weight)[:, None] * np.sqrt(weight)[None, :]
-        ridge = 1e-3 * max(np.diag(scaled).max(), 1e-9)
-        step = np.sqrt(weight) * np.linalg.solve(scaled + ridge * np.eye(2 * k), np.sqrt(weight) * error)
-        multipliers = multipliers + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        damped = scaled + np.diag(0.02 * weight * tokens + 1.0)  # totals whose documents are all at their bounds have no curvature
+        multipliers = multipliers + np.clip(np.sqrt(weight) * np.linalg.solve(damped, np.sqrt(weight) * error), -1.0, 1.0)
         drawn, curvature, _, _ = expected(multipliers, shifts)
     multipliers = best[1]
     for _ in range(steps):  # a source's total rises with its shift, so that this meets every total the caps allow

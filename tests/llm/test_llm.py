@@ -401,13 +401,13 @@ def test_mix_follows_posteriors(spark):
     rng = random.Random(12)
     own = {"a": "alpha anh arras aster atlas".split(), "b": "beta bison bolero bruma bastion".split()}
     text = lambda d: " ".join(rng.choice(own[d] + VOWELS[:10]) for _ in range(40))
-    docs = [(i, s, text(d)) for i in range(1600) for s, d in [(("a", "a"), ("a", "b"), ("b", "b"), (None, "a"), ("x", "b"))[(0, 1, 1, 2, 2, 2, 3, 4)[i % 8]]]]
+    docs = [(i, s, text(d)) for i in range(1600) for s, d in [(("a", "a"), ("a", "b"), ("b", "b"), (None, "a"), ("x", "b"))[(0, 0, 1, 2, 2, 2, 3, 4)[i % 8]]]]
     df = spark.createDataFrame(docs, "key long, source string, text string")
-    wanted = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    wanted = spark.createDataFrame([("a", 0.65, 2), ("b", 0.35, 1)], "source string, target_share double, max_repeats int")
     model, quality = mixing.train_classifier(df, ["a", "b"])
     assert quality["accuracy"] > 0.6 and abs(quality["accuracy"] - quality["confidence"]) < 0.1
     drawn, shares = mixing.mix(df, wanted)
-    assert all(abs(r.share - 0.5) < 0.02 for r in shares.collect())
+    assert all(abs(r.share - r.target_share) < 0.02 for r in shares.collect())
     rows, looks = drawn.collect(), {k: ("a" if sum(w in own["a"] for w in t.split()) > 5 else "b") for k, _, t in docs}
     source = {k: s for k, s, _ in docs}
     mean = lambda s, d: np.mean([r.rate for r in rows if source[r.key] == s and looks[r.key] == d] or [0.0])
