@@ -44,13 +44,16 @@ def spread_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Only on a single machine (a local master), and where the setting is absent, a temporary folder is made; on a cluster
+    a folder of one machine would lose rows, so there the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = getattr(spark.sparkContext, "_tamarack_folder", None)
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         spark.sparkContext._tamarack_folder = current
     return current
@@ -59,15 +62,26 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _clean() -> None:
+def release_tables() -> int:
+    """Delete the intermediate tables written so far, once the results that read them are stored; their number.
+
+    A session that runs many queries calls this between them; otherwise the tables go when the process ends.
+    """
+    gone = 0
     while _written:
         spark, path = _written.pop()
-        try:
-            jvm, sc = spark._jvm, spark.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the shared folder's owner removes the rest
-            return
+        jvm, sc = spark._jvm, spark.sparkContext
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        gone += 1
+    return gone
+
+
+def _clean() -> None:
+    try:
+        release_tables()
+    except Exception:  # the session has ended; the shared folder's owner removes the rest
+        return
 
 
 atexit.register(_clean)
@@ -77,7 +91,8 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage as ``checkpoint()`` does, survives the loss of executors, and is compressed and
-    columnar, so later stages read only the columns they need. The files go when the process ends.
+    columnar, so later stages read only the columns they need. The files go with ``release_tables`` or when the process
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tamarack-{os.getpid()}-{label}-{uuid.uuid4().hex}"
