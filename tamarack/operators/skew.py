@@ -17,14 +17,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int = HOT) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key and the number of left rows of it in ``count``.
 
     Keys of more than ``hot`` rows, of which there are at most the left rows over ``hot``, are looked up where the left
     rows lie; only rows of other keys are shuffled. ``count`` is dropped. Null keys meet nothing; without rows on
     either side the result is empty. Columns of both sides other than the keys need different names.
     """
-    right = materialise(right, "lookup")
+    right, hot = materialise(right, "lookup"), HOT if hot is None else hot
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right.drop(count)), keys)
     many = bounded(right.where(F.col(count) > hot).drop(count))
