@@ -75,10 +75,13 @@ def _runs(text: str, built: tuple, least: int) -> dict[int, tuple[int, int]]:
     auto, items, size = built
     best: dict[int, tuple[int, int]] = {}
     words: list[str] | None = None
+    upto = spaces = 0
     for end, (length, places) in auto.iter(text):
         if words is None:
             words = text.split(" ")[1:-1]
-        at = text.count(" ", 0, end - length + 2) - 1
+        spaces += text.count(" ", upto, end + 1)  # hits come in the order of their ends
+        upto = end + 1
+        at = spaces - size - 1
         for k, p in places:
             item = items[k]
             a, b = at, p

@@ -25,6 +25,8 @@ from tamarack.session import materialise
 
 #: Ratings that the model is fitted on at most; counters of the word sketch (2**18 eight-byte numbers, 2 MB).
 FIT, SKETCH_BITS = 20_000, 18
+#: Parts of the sketch that are summed apart.
+SLICES = 64
 #: Weight of the squared coefficients in the fit, per rating.
 RIDGE = 0.002
 
@@ -49,10 +51,22 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_sketch(texts: DataFrame) -> np.ndarray:
-    """Counts of words over all texts (column 0); each task sends one sketch, eight tasks add them up."""
+    """Counts of words over all texts (column 0).
 
-    def pack(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["b"])
+    Each task sends its sketch in slices, and a slice is summed in one task, so that no task reads all sketches.
+    """
+    width = (1 << SKETCH_BITS) // SLICES
+    kind = "slice int, counts binary"
+
+    def rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in used], pa.binary())], ["slice", "counts"])
+
+    def add_all(total: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k * width : (k + 1) * width] += np.frombuffer(zlib.decompress(counts), np.int64)
+        return total
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -60,17 +74,13 @@ def word_sketch(texts: DataFrame) -> np.ndarray:
             words = words_of(batch.column(0))[1].dictionary_encode()
             each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
             np.add.at(total, _bucket(each), np.bincount(np.asarray(words.indices), minlength=len(each)) if len(each) else 0)
-        yield pack(total)
+        yield from rows(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(b), np.int64)
-        yield pack(total)
+        yield from rows(add_all(np.zeros(1 << SKETCH_BITS, np.int64), batches))
 
-    parts = texts.mapInArrow(count, "b binary").repartition(8).mapInArrow(add, "b binary").collect()
-    return sum((np.frombuffer(zlib.decompress(r.b), np.int64) for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
+    summed = texts.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).toArrow()
+    return add_all(np.zeros(1 << SKETCH_BITS, np.int64), iter(summed.to_batches()))
 
 
 def features(texts: pa.Array, sketch: np.ndarray) -> np.ndarray:

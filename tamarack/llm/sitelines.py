@@ -13,10 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import materialise
-
-#: Frequent lines are broadcast while there are at most this many (some 40 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 200_000
+from tamarack.operators.skew import lookup
 
 
 def line_key(line: Column) -> Column:
@@ -34,23 +31,21 @@ def line_table(docs: DataFrame, fields: list[str], key: str = "id", source: str
 
 
 def frequent_lines(lines: DataFrame, sizes: DataFrame, share: float, least: int) -> DataFrame:
-    """(source, field, line) of the lines in at least ``share`` of a source's ids and in at least ``least`` ids.
+    """(source, field, line, docs) of the lines in at least ``share`` of a source's ids and in at least ``least`` ids.
 
     Counting is two-step, so that a line in a third of all rows is pre-aggregated before each shuffle.
     """
     once = lines.groupBy("source", "field", "line", "id").agg(F.lit(1).alias("one"))
     counted = once.groupBy("source", "field", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
-    return counted.join(sizes, "source").where(F.col("docs") >= F.ceil(F.col("total") * share - 1e-9)).select("source", "field", "line")
+    return counted.join(sizes, "source").where(F.col("docs") >= F.ceil(F.col("total") * share - 1e-9)).select("source", "field", "line", "docs")
 
 
 def repeated_lines(docs: DataFrame, fields: list[str], share: float = 0.2, least: int = 3, key: str = "id", source: str = "source") -> DataFrame:
     """(id, source, field, line_no) of each line to remove, once each."""
     sizes = docs.where(F.col(key).isNotNull()).select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(key).alias("id")).distinct().groupBy("source").agg(F.count("*").alias("total"))
     lines = line_table(docs, fields, key, source)
-    often = materialise(frequent_lines(lines, sizes, share, least), "lines")
-    if often.count() <= BROADCAST_ROWS:
-        often = F.broadcast(often)
-    found = lines.join(often, ["source", "field", "line"]).select("id", "source", "field", F.col("line_no").cast("bigint").alias("line_no"))
+    often = frequent_lines(lines, sizes, share, least)
+    found = lookup(lines, often, ["source", "field", "line"], "docs").select("id", "source", "field", F.col("line_no").cast("bigint").alias("line_no"))
     return found.distinct()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.forms import consistent
+from tamarack.operators.skew import lookup
 from tamarack.session import materialise
 
 #: Buckets of the running total within a size band: no task orders more than a bucket of a band.
@@ -42,8 +43,8 @@ def _prefixed(kind: str):
 
 def links(keyed: DataFrame) -> DataFrame:
     """(a, b, w): each record of a key linked to the key's smallest record; ``w`` orders links, ties by their ends."""
-    least = keyed.groupBy("key").agg(F.min("record_id").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
-    met = keyed.join(least, "key").where("record_id <> b")
+    least = keyed.groupBy("key").agg(F.min("record_id").alias("b"), F.count("*").alias("m")).where("m > 1")
+    met = lookup(keyed, least, ["key"], "m").where("record_id <> b")
     return met.groupBy(F.col("record_id").alias("a"), "b").agg(F.min(F.xxhash64("key")).alias("w"))
 
 
@@ -74,9 +75,11 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
                 break
         members = members.join(parents.withColumnRenamed("c", "root"), "root", "left").select("record_id", F.coalesce("parent", "root").alias("root"))
         members = materialise(members, "members")
-        px, py = parents.select(F.col("c").alias("x"), F.col("parent").alias("px")), parents.select(F.col("c").alias("y"), F.col("parent").alias("py"))
-        live = live.join(px, "x", "left").join(py, "y", "left").select("a", "b", "w", F.coalesce("px", "x").alias("x"), F.coalesce("py", "y").alias("y")).where("x <> y")
-        live = materialise(live, "live")
+        for end in ("x", "y"):  # every component of a live link has a parent; a hub's links are looked up where they lie
+            sizes = live.groupBy(end).agg(F.count("*").alias("m"))
+            moved = parents.select(F.col("c").alias(end), F.col("parent").alias("up")).join(sizes, end)
+            live = lookup(live, moved, [end], "m").drop(end).withColumnRenamed("up", end).select("a", "b", "w", "x", "y")
+        live = materialise(live.where("x <> y"), "live")
     least = members.groupBy("root").agg(F.min("record_id").alias("group_id"))
     components = members.join(least, "root").select("record_id", F.col("group_id").alias("root"))
     return components, reduce(DataFrame.union, forest, edges.select("a", "b").limit(0))
@@ -108,9 +111,15 @@ def deal(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     return placed.select("group_id", "size", split.alias("split"))
 
 
-def related_groups(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """(record_id, group_id) of the records that are related to another record."""
-    components, _ = spanning_forest(links(key_table(records, keys)))
+def related_groups(records: DataFrame, keys: dict[str, Column], forest_path: str | None = None) -> DataFrame:
+    """(record_id, group_id) of the records that are related to another record.
+
+    ``forest_path`` is a folder in which the spanning forest (a, b) is kept as Parquet, so that later runs can tell why
+    two records are in one group, or add links to it.
+    """
+    components, forest = spanning_forest(links(key_table(records, keys)))
+    if forest_path is not None:
+        forest.distinct().write.mode("overwrite").parquet(forest_path)
     return components.select("record_id", F.col("root").alias("group_id"))
 
 

@@ -11,6 +11,7 @@ import pytest
 
 from tamarack.llm import forms, leakage, mixing, neardup, overlap, pairs, reading, residue, setjoin, sitelines, splits
 from tamarack.llm.words import words_of
+from tamarack.operators import skew
 
 VOWELS = "xin chào các bạn hôm nay trời đẹp quá chúng ta cùng đi chơi ở hồ tây nhé rồi ăn kem uống trà đá ngắm hoa sen nở đầy ao làng quê yên bình nước trong gió mát".split()
 
@@ -323,7 +324,7 @@ def test_residue_finds_every_reworded_copy(spark, monkeypatch):
 # Problem 7
 
 
-def test_related_groups_against_union_find(spark):
+def test_related_groups_against_union_find(spark, tmp_path, monkeypatch):
     rng = random.Random(4)
     rows = [(f"r{i:03d}", [f"k{rng.randrange(150)}"] if rng.random() < 0.8 else None, [f"{rng.randrange(120)}"]) for i in range(200)]
     rows += [(f"h{i}", ["hot"], None) for i in range(100)]
@@ -352,6 +353,23 @@ def test_related_groups_against_union_find(spark):
     assigned = splits.assign(df, splits.related_groups(df, {"k": F.col("k"), "d": F.col("d")}), [("train", 0.8), ("test", 0.2)]).collect()
     assert len(assigned) == len(rows) and len({(r.group_id, r.split) for r in assigned}) == len({r.group_id for r in assigned})
     assert splits.related_groups(df.limit(0), {"k": F.col("k")}).count() == 0
+    folder = str(tmp_path / "forest")
+    splits.related_groups(df, {"k": F.col("k"), "d": F.col("d")}, forest_path=folder)
+    forest = [tuple(r) for r in spark.read.parquet(folder).collect()]
+    assert len(forest) == sum(n - 1 for n in sizes.values() if n > 1) and all(find(a) == find(b) for a, b in forest)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)  # hubs apart from the rest
+    monkeypatch.setattr(skew, "HOT", 20)
+    again = splits.related_groups(df, {"k": F.col("k"), "d": F.col("d")})
+    assert {r.record_id: r.group_id for r in again.collect()} == got
+
+
+def test_split_shares_are_close_to_target(spark):
+    rng = random.Random(7)
+    groups = [(f"g{i}", rng.choice([1, 1, 1, 2, 3, 5, 8])) for i in range(3000)]
+    dealt = splits.deal(spark.createDataFrame(groups, "group_id string, size long"), [("train", 0.8), ("validation", 0.15), ("test", 0.05)]).collect()
+    total = sum(n for _, n in groups)
+    for name, share in (("train", 0.8), ("validation", 0.15), ("test", 0.05)):
+        assert abs(sum(r.size for r in dealt if r.split == name) / total - share) < 0.005
 
 
 # Problem 8
