@@ -28,7 +28,21 @@ def query(sql: str | None = None):
 WS = "regexp_replace(regexp_replace({x}, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), '^ | $', '', 'g')"
 LINES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(coalesce({x}, ''), '\\r\\n?', chr(10), 'g')), '[\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{feff}}]', '', 'g'), '[•●▪]', '- ', 'g'), '[\\t\\f\\v \\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g')"
 WORDS = "regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
-LEGAL = "list_transform(regexp_extract_all(coalesce({x}, ''), '\\d{{1,5}}/\\d{{4}}/[A-ZĐ0-9-]+|[0-9A-Za-zÀ-ỹĐđ]+'), lambda t: lower(t))"
+SPACES = "[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]"
+_LETTER = "[^\\p{{L}}\\p{{N}}_]"
+# Document numbers between two signs, so that their letters can be raised: a lambda over the parts.
+CITES = "array_to_string(list_transform(string_split(regexp_replace({x}, '(?i)(^|" + _LETTER + ")(\\d{{1,5}})" + SPACES + "*/" + SPACES + "*(\\d{{4}})" + SPACES + "*/" + SPACES + "*([A-ZĐ]+)" + SPACES + "*-" + SPACES + "*([A-ZĐ]+)($|" + _LETTER + ")', '\\1' || chr(1) || '\\2/\\3/\\4-\\5' || chr(2) || '\\6', 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN upper(split_part(p, chr(2), 1)) || substr(p, instr(p, chr(2)) + 1) ELSE p END), '')"
+TAGS = "(CASE WHEN regexp_matches({x}, '(?i)</?(table|tr|td|th|p|div|br|li|ul|ol)\\b') THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<li(?: [^>]*)?>', chr(10) || '- ', 'g'), '(?i)</?t[dh](?: [^>]*)?>', ' | ', 'g'), '(?i)<(?:/?(?:p|div|tr)|br|ul|ol|/li)(?: [^>]*)?/?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g') ELSE {x} END)"
+
+
+def normal_sql(x):
+    """The normal form of texts without entities."""
+    lines = LINES.format(x=TAGS.format(x=f"coalesce({x}, '')"))
+    return CITES.format(x=f"regexp_replace({lines}, '^\\s+|\\s+$', '', 'g')")
+
+
+def canonical_sql(x):
+    return f"lower({WS.format(x=normal_sql(x))})"
 
 
 def w(x):
@@ -36,53 +50,40 @@ def w(x):
 
 
 def legal_sql(x):
-    return LEGAL.format(x=x)
+    """Tokens of the normalised text: document numbers are found in either case and with spaces, so nothing is raised."""
+    plain = f"regexp_replace(nfc_normalize(coalesce({x}, '')), '[\\x{{200b}}-\\x{{200d}}\\x{{feff}}]', '', 'g')"
+    sp = SPACES.format() + "*"
+    spaced = f"regexp_replace({plain}, '(\\d{{1,5}}){sp}/{sp}(\\d{{4}}){sp}/{sp}([A-Za-zĐđ]+){sp}-{sp}([A-Za-zĐđ]+)', '\\1/\\2/\\3-\\4', 'g')"
+    return f"list_transform(regexp_extract_all({spaced}, '\\d{{1,5}}/\\d{{4}}/(?:[A-Za-zĐđ]+-[A-Za-zĐđ]+[A-ZĐ0-9-]*|[A-ZĐ0-9-]+)|[0-9A-Za-zÀ-ỹĐđ]+'), lambda t: replace(lower(t), 'ß', 'ss'))"
 
 
-@query("SELECT id, regexp_replace(" + LINES.format(x="passage") + ", '^\\s+|\\s+$', '', 'g') AS plain FROM legal_documents WHERE NOT coalesce(regexp_matches(passage, '\\d\\s+/|/\\s+\\d|/\\s*[a-zđ]+\\s*-'), false) AND NOT coalesce(contains(passage, '&') OR contains(passage, '<'), false)")
-def f01_normalize_text(spark, root):
-    d = spread_table(spark, root, "legal_documents").where(~F.coalesce(F.col("passage").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-"), F.lit(False)) & ~F.coalesce(F.col("passage").contains("&") | F.col("passage").contains("<"), F.lit(False)))
-    return d.select("id", T.normalize_text(F.col("passage")).alias("plain"))
+def first(table_name, *columns, where="true"):
+    """One row per id: rows that are delivered again count once."""
+    return f"(SELECT id, {', '.join(f'min({c}) AS {c}' for c in columns)} FROM {table_name} WHERE {where} GROUP BY id)"
 
 
-@query()
-def f01_normalize_text_whole(spark, root):
-    """All passages, those with spaced document numbers and markup among them."""
+@query("SELECT id, " + normal_sql("passage") + " AS plain FROM legal_documents")
+def f01_normalize_text(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", T.normalize_text(F.col("passage")).alias("plain"))
 
 
-@query()
+@query("SELECT id, " + TAGS.format(x="answer") + " AS plain FROM qa_examples")
 def f02_html_to_text(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", T.html_to_text(F.col("answer")).alias("plain"))
 
 
-@query("WITH t AS (SELECT id, unnest(regexp_extract_all(question, '(?i)\\d{1,5}\\s*/\\s*\\d{4}\\s*/\\s*[a-zđ]+\\s*-\\s*[a-zđ]+')) AS n FROM qa_examples) SELECT id, upper(regexp_replace(n, '\\s+', '', 'g')) AS number FROM t WHERE regexp_matches(n, '^[0-9]')")
+@query("SELECT id, " + CITES.format(x="question") + " AS plain FROM qa_examples")
 def f03_citation_spacing(spark, root):
-    d = spread_table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("question", F.lit(r"(?iu)\d{1,5}\s*/\s*\d{4}\s*/\s*[a-zđ]+\s*-\s*[a-zđ]+"), F.lit(0))).alias("n"))
-    return d.select("id", F.upper(F.regexp_replace(T.normalize_citations(F.col("n")), r"\s+", "")).alias("number"))
+    return spread_table(spark, root, "qa_examples").select("id", T.normalize_citations(F.col("question")).alias("plain"))
 
 
-@query("SELECT doc_id, lower(" + WS.format(x="nfc_normalize(text)") + ") AS canonical FROM documents WHERE NOT regexp_matches(text, '\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\\x{200b}-\\x{200d}\\x{feff}•●▪]')")
+@query("SELECT doc_id, " + canonical_sql("text") + " AS canonical FROM documents")
 def f04_canonical_text(spark, root):
-    d = spread_table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
-    return d.select("doc_id", T.canonical_text(F.col("text")).alias("canonical"))
-
-
-@query()
-def f04_canonical_text_whole(spark, root):
-    """All documents, those with document numbers, markup, marks and bullets among them."""
     return spread_table(spark, root, "documents").select("doc_id", T.canonical_text(F.col("text")).alias("canonical"))
 
 
-@query("SELECT doc_id, sha256(lower(" + WS.format(x="nfc_normalize(text)") + ")) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\\x{200b}-\\x{200d}\\x{feff}•●▪]')")
+@query("SELECT doc_id, sha256(" + canonical_sql("text") + ") AS fingerprint FROM documents")
 def f05_fingerprint(spark, root):
-    d = spread_table(spark, root, "documents").where(~F.col("text").rlike("\\d\\s*/\\s*\\d{4}\\s*/|ß|[&<\u200b-\u200d\ufeff•●▪]"))
-    return d.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
-
-
-@query()
-def f05_fingerprint_whole(spark, root):
-    """All documents, as ``f04_canonical_text_whole``."""
     return spread_table(spark, root, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
@@ -121,15 +122,8 @@ def f12_expand_terms(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", F.explode(T.expand_terms(T.legal_tokens(F.col("question")))).alias("term")).distinct()
 
 
-@query("SELECT id, 'QG_' || upper(substr(sha256(" + WS.format(x="regexp_replace(regexp_replace(lower(nfc_normalize(question)), '\\d+(?:[.,]\\d+)*', ' <num> ', 'g'), '[^0-9a-zà-ỹđ<>]+', ' ', 'g')") + "), 1, 12)) AS question_group FROM qa_examples WHERE NOT regexp_matches(question, '\\d\\s*/|/\\s*\\d|[^\\x00-\\x7f\\x{00c0}-\\x{024f}\\x{1e00}-\\x{1eff}\\x{0300}-\\x{036f}]|\\d[A-Za-z]|[A-Za-z]\\d') AND NOT regexp_matches(nfc_normalize(question), '\\d[^\\x00-\\x7f]')")
-def f13_question_group(spark, root):
-    plain = ~F.col("question").rlike("\\d\\s*/|/\\s*\\d|[^\\x00-\\x7f\u00c0-\u024f\u1e00-\u1eff\u0300-\u036f]|\\d[A-Za-z]|[A-Za-z]\\d") & ~T.nfc(F.col("question")).rlike("\\d[^\\x00-\\x7f]")
-    return spread_table(spark, root, "qa_examples").where(plain).select("id", T.question_group(F.col("question")).alias("question_group"))
-
-
 @query()
-def f13_question_group_whole(spark, root):
-    """All questions, those whose masking SQL cannot follow among them."""
+def f13_question_group(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", T.question_group(F.col("question")).alias("question_group"))
 
 
@@ -138,10 +132,13 @@ def f14_canonical_number(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", T.canonical_number(F.col("metadata.document_number")).alias("number"))
 
 
-@query("SELECT id, CASE lower(regexp_extract(name, '(?i)(Bộ luật|Luật|Nghị định|Thông tư liên tịch|Thông tư|Nghị quyết|Quyết định|Chỉ thị|Công văn|Pháp lệnh)', 1)) WHEN 'nghị định' THEN 'Nghị định' WHEN 'thông tư liên tịch' THEN 'Thông tư liên tịch' WHEN 'thông tư' THEN 'Thông tư' WHEN 'nghị quyết' THEN 'Nghị quyết' WHEN 'quyết định' THEN 'Quyết định' WHEN 'chỉ thị' THEN 'Chỉ thị' END AS kind, nullif(upper(regexp_extract(name, '(?i)(\\d{1,5}/\\d{4}/[A-ZĐ0-9-]{2,30})', 1)), '') AS number FROM legal_documents WHERE NOT coalesce(regexp_matches(name, '\\s/|/\\s'), false)")
+_META = WS.format(x=normal_sql("concat_ws(chr(10), coalesce(name, ''), substr(coalesce(passage, ''), 1, 5000), coalesce(link, ''))"))
+
+
+@query(f"SELECT id, CASE lower(regexp_extract(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(Bộ luật|Luật|Nghị định|Thông tư liên tịch|Thông tư|Nghị quyết|Quyết định|Chỉ thị|Công văn|Pháp lệnh)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)) {' '.join(f'WHEN {chr(39)}{n.lower()}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for n in T.DOCUMENT_TYPES)} END AS document_type, nullif(upper(regexp_extract(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:số\\s*)?(\\d{{1,5}}/(?:\\d{{4}}|[A-ZĐ]{{1,8}})(?:/[A-ZĐ0-9-]{{2,30}})?)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)), '') AS document_number FROM (SELECT id, {_META} AS t FROM legal_documents)")
 def f15_document_metadata(spark, root):
-    d = spread_table(spark, root, "legal_documents").where(~F.coalesce(F.col("name").rlike(r"\s/|/\s"), F.lit(False)))
-    return d.select("id", T.document_type(F.col("name")).alias("kind"), T.document_number(F.col("name")).alias("number"))
+    d = spread_table(spark, root, "legal_documents")
+    return d.select("id", *[c.alias(n) for n, c in T.document_metadata(F.col("name"), F.col("passage"), F.col("link")).items()])
 
 
 @query()
@@ -150,10 +147,14 @@ def f16_citations(spark, root):
     return d.select("id", "c.*")
 
 
-@query("WITH t AS (SELECT id, unnest(regexp_extract_all(answer, '(?i)điều\\s+(\\d+)', 1)) AS article FROM qa_examples) SELECT article, count(*) AS n FROM t GROUP BY article")
+_PLAIN_ANSWER = WS.format(x=normal_sql("answer"))
+
+
+@query(f"WITH t AS (SELECT id, {_PLAIN_ANSWER} AS t FROM qa_examples), c AS (SELECT id, t, unnest(regexp_extract_all(t, '(?i)điều\\s+(\\d+[a-zđ]?)', 1)) AS article FROM t) SELECT id, lower(article) AS article, regexp_matches(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(sửa đổi|bổ sung|bãi bỏ|thay thế|hết hiệu lực)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS amends FROM c GROUP BY ALL")
 def f17_cited_articles(spark, root):
-    d = spread_table(spark, root, "qa_examples").select("id", F.explode(F.regexp_extract_all("answer", F.lit(r"(?iu)điều\s+(\d+)"), F.lit(1))).alias("article"))
-    return d.groupBy("article").agg(F.count("*").alias("n"))
+    d = spread_table(spark, root, "qa_examples").select("id", T.normalize_text(F.col("answer"), keep_lines=False).alias("t"), C.citations(F.col("answer")).alias("c"))
+    keyed = d.select("id", F.explode(C.reference_keys(F.col("c"))).alias("key"), C.amendment_keys(F.col("t"), F.col("c")).alias("amended"))
+    return keyed.select("id", F.split("key", r"\|")[1].alias("article"), F.array_contains("amended", F.col("key")).alias("amends")).distinct()
 
 
 @query("SELECT id, round(CASE WHEN length(passage) > 0 THEN len(regexp_extract_all(passage, '(?im)^\\s*(?:chương|mục|điều\\s+\\d+|\\d+[.)]\\s+)')) * 10000.0 / length(passage) ELSE 0 END, 6) AS density FROM legal_documents WHERE passage IS NOT NULL")
@@ -166,23 +167,34 @@ def f19_simhash(spark, root):
     return spread_table(spark, root, "documents").select("doc_id", hygiene.simhash(F.col("text")).alias("signature"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(strip_accents(replace(lower(title), 'đ', 'dd')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[1:80] AS safe FROM documents WHERE title IS NOT NULL")
+_SAFE = "regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower(coalesce(title, '')), 'đ', 'dd')), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[1:80]"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_SAFE} <> '' THEN {_SAFE} ELSE substr(sha256(coalesce(title, '')), 1, 12) END AS safe FROM documents")
 def f20_safe_id(spark, root):
-    return spread_table(spark, root, "documents").where("title IS NOT NULL").select("doc_id", T.safe_id(F.col("title")).alias("safe"))
+    return spread_table(spark, root, "documents").select("doc_id", T.safe_id(F.col("title")).alias("safe"))
 
 
-@query("SELECT id, trim(regexp_replace(answer, '\\((?:Hình từ Internet|Ảnh minh họa)\\)', '', 'g'), chr(10) || ' ') AS plain FROM qa_examples WHERE contains(answer, '(Hình từ Internet)') AND NOT regexp_matches(answer, '\\d\\s+/|/\\s+\\d|/\\s*[a-zđ]+\\s*-|  |[&<]|\\n\\s*\\n')")
-def f22_sanitize_answer(spark, root):
-    d = spread_table(spark, root, "qa_examples").where(F.col("answer").contains("(Hình từ Internet)") & ~F.col("answer").rlike(r"\d\s+/|/\s+\d|/\s*[a-zđ]+\s*-|  |[&<]|\n\s*\n"))
-    return d.select("id", T.sanitize_answer(F.col("answer")).alias("plain"))
+_NOTE = "\\((?:Hình từ Internet|Ảnh minh họa)\\)"
 
 
-@query()
-def f22_sanitize_answer_whole(spark, root):
-    """All answers, those without a caption and with any layout among them."""
+def sanitized_sql(x):
+    t = f"regexp_replace({normal_sql(x)}, '(?s)(?:…\\s*){{2,}}\\.?\\s*.*$', '')"
+    t = f"regexp_replace(regexp_replace({t}, '(?is)\\n\\s*\\n[^\\n]{{1,300}}?\\s*{_NOTE}\\s*$', ''), '(?i){_NOTE}', '', 'g')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, '[ \\t\\x{{00a0}}]+', ' ', 'g'), '(?m) +$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({t}, '^{SPACES.format()}+|{SPACES.format()}+$', '', 'g')"
+
+
+@query("SELECT id, " + sanitized_sql("answer") + " AS plain FROM qa_examples")
+def f22_sanitize_answer(spark, root):
     return spread_table(spark, root, "qa_examples").select("id", T.sanitize_answer(F.col("answer")).alias("plain"))
 
 
+@query(f"SELECT id, regexp_matches(coalesce(answer, ''), '(?i){_NOTE}') AS media_note, regexp_matches(coalesce(answer, ''), '(?s)(?:…\\s*){{2,}}\\.?\\s*.*$') AS related_questions FROM qa_examples")
+def f22_answer_residue(spark, root):
+    return spread_table(spark, root, "qa_examples").select("id", *[c.alias(n) for n, c in T.answer_residue(F.col("answer")).items()])
+
+
 @query("SELECT doc_id, substr(text, start, 500) AS anchored FROM (SELECT *, greatest(1, least(greatest(instr(text, substr(text, n_chars // 2, 300)), 1) - 125, n_chars - 500 + 1)) AS start FROM documents)")
 def f23_anchored_window(spark, root):
     body = F.substring(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int"), F.lit(300))
@@ -194,17 +206,32 @@ def f24_repetition_rate(spark, root):
     return spread_table(spark, root, "documents").select("doc_id", F.round(T.repetition_rate(T.word_tokens(F.col("text"))), 6).alias("rate"))
 
 
-@query("WITH t AS (SELECT id, question AS p, answer AS r, len(" + w("question") + ") / greatest(len(" + w("answer") + "), 1) AS ratio FROM qa_examples WHERE answer IS NOT NULL AND question IS NOT NULL) SELECT id, ratio < 0.55 AS short, ratio > 1.8 AS long, trim(p) = '' AS empty FROM t")
+_MARKER = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:điều|khoản|nghị\\s*định|thông\\s*tư|luật)(?:[^\\p{L}\\p{N}_]|$)"
+
+
+def numbers_sql(x):
+    return f"list_distinct(regexp_extract_all({x}, '(?:^|[^\\p{{L}}\\p{{N}}_])(\\p{{Nd}}+(?:[.,/]\\p{{Nd}}+)*)', 1))"
+
+
+def repetition_sql(x):
+    """Share of repeated four-word runs of a list of words."""
+    grams = f"list_transform(range(1, len({x}) - 2), lambda i: array_to_string(({x})[i:i + 3], ' '))"
+    return f"(CASE WHEN len({x}) >= 4 THEN 1 - len(list_distinct({grams})) / (len({x}) - 3) ELSE 0 END)"
+
+
+@query(f"WITH t AS (SELECT id, question AS p, answer AS r, {w('question')} AS pw, len({w('question')}) / greatest(len({w('answer')}), 1) AS ratio FROM qa_examples WHERE answer IS NOT NULL AND question IS NOT NULL), l AS (SELECT id, unnest(list_filter([CASE WHEN trim(p) = '' THEN 'EMPTY_ANSWER' END, CASE WHEN ratio < 0.55 THEN 'LIKELY_MISSING_CONTENT_OR_TRUNCATION' END, CASE WHEN ratio > 1.8 THEN 'EXCESSIVE_VERBOSITY' END, CASE WHEN {repetition_sql('pw')} > 0.35 THEN 'TOKEN_REPETITION' END, CASE WHEN regexp_matches(r, '{_MARKER}') AND NOT regexp_matches(p, '{_MARKER}') THEN 'MISSING_LEGAL_STRUCTURE' END, CASE WHEN len(list_filter({numbers_sql('r')}, lambda n: NOT list_contains({numbers_sql('p')}, n))) > 0 THEN 'MISSING_REFERENCE_NUMBER' END, CASE WHEN len(list_filter({numbers_sql('p')}, lambda n: NOT list_contains({numbers_sql('r')}, n))) > 0 THEN 'EXTRA_OR_WRONG_NUMBER' END], lambda x: x IS NOT NULL)) AS label FROM t) SELECT id, label, count(*) AS n FROM l GROUP BY ALL")
 def f27_error_labels(spark, root):
-    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL AND question IS NOT NULL").withColumn("l", T.error_labels(F.col("question"), F.col("answer")))
-    has = lambda name: F.array_contains("l", name)
-    return d.select("id", has("LIKELY_MISSING_CONTENT_OR_TRUNCATION").alias("short"), has("EXCESSIVE_VERBOSITY").alias("long"), has("EMPTY_ANSWER").alias("empty"))
+    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL AND question IS NOT NULL")
+    return d.select("id", F.explode(T.error_labels(F.col("question"), F.col("answer"))).alias("label")).groupBy("id", "label").agg(F.count("*").alias("n"))
+
+
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(q, '{'|'.join(ps)}') THEN 'question_{n}'" for n, ps in T.QUESTION_TYPES) + " ELSE 'question_other' END"
 
 
-@query("SELECT id, CASE WHEN n < 200 THEN 'answer_short' WHEN n < 500 THEN 'answer_medium' ELSE 'answer_long' END AS length_slice, CASE WHEN regexp_matches(q, 'xử phạt|mức phạt|phạt bao nhiêu') THEN 'question_penalty' WHEN regexp_matches(q, 'điều kiện|yêu cầu gì') THEN 'question_condition' WHEN regexp_matches(q, 'thủ tục|hồ sơ|trình tự') THEN 'question_procedure' WHEN regexp_matches(q, 'thẩm quyền|cơ quan nào|ai có quyền') THEN 'question_authority' WHEN regexp_matches(q, 'là gì|được hiểu') THEN 'question_definition' ELSE 'question_other' END AS kind FROM (SELECT id, len(" + w("answer") + ") AS n, lower(question) AS q FROM qa_examples WHERE answer IS NOT NULL)")
+@query(f"SELECT id, unnest(['overall', CASE WHEN n < 200 THEN 'answer_short' WHEN n < 500 THEN 'answer_medium' ELSE 'answer_long' END, CASE WHEN regexp_matches(answer, '{_MARKER}') THEN 'legal_structure_yes' ELSE 'legal_structure_no' END, CASE WHEN regexp_matches(answer, '(?m)^\\s*(?:[-*]|\\d+[.)])\\s+') THEN 'list_yes' ELSE 'list_no' END, CASE WHEN contains(answer, chr(10)) THEN 'multiline_yes' ELSE 'multiline_no' END, {_KIND}]) AS slice FROM (SELECT id, answer, len({w('answer')}) AS n, lower(question) AS q FROM qa_examples WHERE answer IS NOT NULL)")
 def f28_slice_labels(spark, root):
-    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("s", T.slice_labels(F.col("question"), F.col("answer")))
-    return d.select("id", F.col("s")[1].alias("length_slice"), F.col("s")[5].alias("kind"))
+    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL")
+    return d.select("id", F.explode(T.slice_labels(F.col("question"), F.col("answer"))).alias("slice"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-greatest(-60, least(60, value)))), 9) AS p FROM events")
@@ -212,10 +239,22 @@ def f29_sigmoid(spark, root):
     return table(spark, root, "events").select("event_id", F.round(T.sigmoid(F.col("value")), 9).alias("p"))
 
 
-@query("SELECT l_orderkey, '[1] ' || string_agg(l_returnflag, '-' ORDER BY l_linenumber, l_returnflag) || chr(10) || chr(10) || '[2] ' || count(*) AS prompt FROM lineitem GROUP BY l_orderkey")
-def f30_prompt(spark, root):
-    d = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), "-").alias("a"), F.count("*").cast("string").alias("b"))
-    return d.select("l_orderkey", T.prompt(F.array("a", "b")).alias("prompt"))
+def _text_sql(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(f"SELECT id, {_text_sql(T.SYSTEM_PROMPT)} AS system, {_text_sql(T.QUESTION_HEAD)} || coalesce(question, '') || {_text_sql(T.EVIDENCE_TITLE)} || CASE WHEN answer IS NULL THEN {_text_sql(T.NO_EVIDENCE)} ELSE {_text_sql(T.EVIDENCE_HEAD)} || '1 — ' || coalesce(source, '') || ']' || chr(10) || answer END || {_text_sql(T.ANSWER_HEAD)} AS asked FROM qa_examples")
+def f30_messages(spark, root):
+    """Each question with its answer, if it has one, as the evidence."""
+    evidence = F.when(F.col("answer").isNotNull(), F.array(F.struct(F.col("source").alias("source_name"), F.col("answer").alias("text"))))
+    d = spread_table(spark, root, "qa_examples").select("id", T.messages(F.col("question"), evidence).alias("m"))
+    return d.select("id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("asked"))
+
+
+@query("SELECT source, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest FROM (SELECT DISTINCT source, id FROM qa_examples) GROUP BY source")
+def f31_set_hash(spark, root):
+    ids = spread_table(spark, root, "qa_examples").select("source", "id").distinct()
+    return ids.groupBy("source").agg(T.set_hash(F.collect_list("id")).alias("digest"))
 
 
 @query("SELECT id, substr(sha1(id || chr(31) || coalesce(source, '')), 1, 20) AS stable FROM qa_examples")
@@ -258,15 +297,23 @@ def pred06_boilerplate_lines(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", F.array_join(kept, "\n").alias("kept"))
 
 
-@query()
+_ROUTE = "(?im)^[ \\t]*nơi\\s+nhận\\s*:"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(t, '{_ROUTE}') AND start / greatest(length(t), 1) >= 0.85 AND regexp_matches(substr(t, start + 1), '(?im)^[ \\t]*[-–—+]\\s*\\S+|^[ \\t]*(?:kt\\.|tl\\.|tuq\\.)?\\s*(?:bộ\\s+trưởng|thứ\\s+trưởng|chủ\\s+tịch|phó\\s+chủ\\s+tịch)(?:[^\\p{{L}}]|$)') THEN regexp_replace(substr(t, 1, start), '\\s+$', '') ELSE t END AS retrieval FROM (SELECT id, generation_text AS t, length(generation_text) - length(string_split(regexp_replace(generation_text, '{_ROUTE}', chr(1) || 'Nơi nhận:', 'g'), chr(1))[-1]) AS start FROM legal_documents)")
 def pred07_routing_block(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", hygiene.without_routing(F.col("generation_text")).alias("retrieval"))
 
 
-@query("SELECT id, len(t) < 20 AS very_short, NOT regexp_matches(rtrim(answer), '[.!?:;)\\]]$') AS bad_end FROM (SELECT id, answer, " + w("answer") + " AS t FROM qa_examples WHERE answer IS NOT NULL)")
+@query(f"WITH t AS (SELECT id, answer, {w('answer')} AS t FROM qa_examples WHERE answer IS NOT NULL) SELECT id, unnest(list_filter([CASE WHEN len(t) < 20 THEN 'VERY_SHORT_REVIEW' END, CASE WHEN {repetition_sql('t')} > 0.10 THEN 'REPEATED_4GRAM_REVIEW' END, CASE WHEN NOT regexp_matches(answer, '{_MARKER}') THEN 'LEGAL_MARKER_ABSENT' END, CASE WHEN NOT regexp_matches(rtrim(answer), '[.!?:;)\\]]$') THEN 'ENDING_REVIEW' END], lambda x: x IS NOT NULL)) AS flag FROM t")
 def pred12_output_flags(spark, root):
-    d = spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").withColumn("f", T.output_flags(F.col("answer")))
-    return d.select("id", F.array_contains("f", "VERY_SHORT_REVIEW").alias("very_short"), F.array_contains("f", "ENDING_REVIEW").alias("bad_end"))
+    return spread_table(spark, root, "qa_examples").where("answer IS NOT NULL").select("id", F.explode(T.output_flags(F.col("answer"))).alias("flag"))
+
+
+@query(f"SELECT id, len(list_filter(string_split(generation_text, chr(10)), lambda l: list_contains([{', '.join(_text_sql(x.lower()) for x in hygiene.WEB_LINES)}], {WS.format(x='lower(l)')}) OR {' OR '.join(f'starts_with({WS.format(x=chr(108) + chr(111) + chr(119) + chr(101) + chr(114) + chr(40) + chr(108) + chr(41))}, {_text_sql(x.lower())})' for x in hygiene.WEB_PREFIXES)} OR {' OR '.join(f'regexp_matches(l, {_text_sql(chr(40) + chr(63) + chr(105) + chr(41) + x)})' for x in hygiene.WEB_CODE)})) AS web_lines FROM legal_documents")
+def pred05_web_lines(spark, root):
+    found = F.filter(F.split("generation_text", "\n"), hygiene.is_web_line)
+    return spread_table(spark, root, "legal_documents").select("id", F.size(found).cast("bigint").alias("web_lines"))
 
 
 @query("WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents), p AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT doc_id, doc_id || '::c' || lpad(CAST(i // 2 AS VARCHAR), 3, '0') AS chunk_id, string_agg(x, ' ' ORDER BY i) AS chunk FROM p GROUP BY doc_id, i // 2")
@@ -280,19 +327,17 @@ def e02_long_text_windows(spark, root):
     return d
 
 
-@query("SELECT id, ordinal, start, \"end\", substr(passage, start + 1, \"end\" - start) AS body FROM (SELECT DISTINCT id, passage, 0 AS ordinal, 0 AS start, length(passage) AS \"end\" FROM legal_documents WHERE length(passage) <= 1800 AND length(trim(passage, ' ' || chr(10))) = length(passage) AND length(passage) > 0)")
-def e03_window_spans(spark, root):
-    d = spread_table(spark, root, "legal_documents").select("id", "passage").where((F.length("passage") <= 1800) & (F.length(F.trim("passage", F.lit(" \n"))) == F.length("passage"))).distinct()
-    cut = d.select("id", "passage", F.posexplode(chunking.window_spans(F.col("passage"))).alias("ordinal", "s"))
-    return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
+_S = SPACES.format()
 
 
-@query()
-def e03_window_spans_whole(spark, root):
-    """Windows of all passages, the long ones that are cut and overlap among them."""
+@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT id, passage AS t, length(regexp_extract(passage, '^{_S}*')) AS a, length(regexp_replace(passage, '{_S}+$', '')) AS z FROM legal_documents WHERE passage IS NOT NULL),
+ w AS (SELECT id, t, z, 0 AS n, a AS pos, {{until}} AS until FROM (SELECT *, a AS pos FROM d WHERE a < z)
+  UNION ALL SELECT id, t, z, n + 1, pos, {{until}} FROM (SELECT id, t, z, n, b + length(regexp_extract(substr(t, b + 1), '^{_S}*')) AS pos FROM (SELECT *, greatest(pos + 1, until - 220) AS b FROM w WHERE until < z)))
+ SELECT id, row_number() OVER (PARTITION BY id, t ORDER BY n) - 1 AS ordinal, pos AS start, pos + length(body) AS "end", body FROM (SELECT *, regexp_replace(substr(t, pos + 1, until - pos), '{_S}+$', '') AS body FROM w)""".replace("{until}", "CASE WHEN pos + 1800 < z AND regexp_matches(substr(t, pos + 1081, 720), '[\\n ]') THEN pos + 1080 + length(regexp_extract(substr(t, pos + 1081, 720), '(?s)^(.*)[\\n ]', 1)) ELSE least(z, pos + 1800) END"))
+def e03_window_spans(spark, root):
     d = spread_table(spark, root, "legal_documents").select("id", "passage").distinct()
     cut = d.select("id", "passage", F.posexplode(chunking.window_spans(F.col("passage"))).alias("ordinal", "s"))
-    return cut.select("id", F.col("ordinal").cast("int").alias("ordinal"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
+    return cut.select("id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), F.substring("passage", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("body"))
 
 
 _LINES_SQL = "l AS (SELECT id, unnest(string_split(passage, chr(10))) AS line, generate_subscripts(string_split(passage, chr(10)), 1) - 1 AS line_no FROM (SELECT DISTINCT id, passage FROM legal_documents)), m AS (SELECT *, nullif(lower(regexp_extract(line, '(?i)^\\s*điều\\s+(\\d+[a-zđ]?)', 1)), '') AS a FROM l WHERE trim(line) <> ''), s AS (SELECT *, count(a) OVER (PARTITION BY id ORDER BY line_no) AS segment FROM m)"

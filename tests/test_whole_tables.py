@@ -23,7 +23,7 @@ def group_of(question):
 def test_question_group_of_all_questions(spark, tmp_path):
     rows = [("a", "Nghị định 90/2017/NĐ-CP, mức phạt?"), ("b", "Nghị định 12 / 2021 / nđ - cp, mức phạt?"), ("c", "Mẫu 3B năm 2020 là gì?"), ("d", "“Điều” 5 – thế nào…?"), ("e", "Lương 1.500.000đ ß"), ("f", None), ("g", "Điều 5"), ("h", "Luật 45/QH/14 quy định gì?"), ("i", "trị giá 34.11\u200c1.000 đồng, chậm \u200d30 máy"), ("j", "số 1600/2022/TTLT-BMT\u200d, mức")]
     written(spark, tmp_path, "qa_examples", rows, "id string, question string")
-    got = {r.id: r.question_group for r in QUERIES["f13_question_group_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.question_group for r in QUERIES["f13_question_group"](spark, str(tmp_path)).collect()}
     assert got == {k: group_of(q) for k, q in rows}
     assert got["a"] == got["b"] != got["g"]
 
@@ -50,7 +50,7 @@ def test_window_spans_of_long_passages(spark, tmp_path):
     texts = {"long": long, "outer": f" \n{long}\n ", "solid": "x" * 5000, "astral": "𝒳y " * 1500, "spaces": "a" + " " * 4000 + "b", "short": "Điều 1.", "edge": "z" * 1800, "over": "z " * 901, "blank": "  \n", "none": None}
     rows = [*texts.items(), ("long", long)]
     written(spark, tmp_path, "legal_documents", rows, "id string, passage string")
-    got = sorted(tuple(r) for r in QUERIES["e03_window_spans_whole"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["e03_window_spans"](spark, str(tmp_path)).collect())
     assert got == sorted((k, n, a, b, t[a:b]) for k, t in texts.items() if t for n, (a, b) in enumerate(spans_of(t)))
     spans = [(a, b) for k, _, a, b, _ in got if k == "long"]
     assert len(spans) > 5 and all(0 < b - c <= 220 for (_, b), (c, _) in zip(spans, spans[1:]))
@@ -66,7 +66,7 @@ def test_citation_labels_of_three_levels(spark, tmp_path):
     }
     written(spark, tmp_path, "qa_examples", list(answers.items()), "id string, answer string")
     got = {}
-    for r in QUERIES["h10_citation_labels_whole"](spark, str(tmp_path)).collect():
+    for r in QUERIES["h10_citation_labels"](spark, str(tmp_path)).collect():
         got.setdefault((r.question_id, r.confidence, r.match_reason), set()).add(r.chunk_id)
     five, one = "doc_A_article_5_0", "doc_A_article_5_0_clause_1"
     every = {five, one, f"{one}_point_a", f"{one}_point_b", f"{five}_clause_2"}
@@ -74,7 +74,7 @@ def test_citation_labels_of_three_levels(spark, tmp_path):
         ("point", "HIGH", "point_match"): {f"{one}_point_b"}, ("no_point", "HIGH", "clause_match"): {one, f"{one}_point_a", f"{one}_point_b"}, ("clause", "HIGH", "clause_match"): {f"{five}_clause_2"},
         ("no_clause", "MEDIUM", "article_match"): every, ("only_point", "MEDIUM", "article_match"): every, ("article", "MEDIUM", "article_match"): {"doc_A_article_6_0"}, ("short", "MEDIUM", "article_match"): {"doc_C_article_7_0"},
     }
-    cited = {tuple(r) for r in QUERIES["r08_cited_chunks_whole"](spark, str(tmp_path)).collect()}
+    cited = {tuple(r) for r in QUERIES["r08_cited_chunks"](spark, str(tmp_path)).collect()}
     assert ("short", "doc_C_article_7_0") in cited and not {q for q, _ in cited} & {"bare", "null"}
 
 
@@ -111,7 +111,7 @@ def test_normal_forms_of_all_texts(spark, tmp_path):
     for name, kind in (("legal_documents", "id string, passage string"), ("documents", "doc_id string, text string"), ("qa_examples", "id string, answer string")):
         written(spark, tmp_path, name, rows, kind)
     run = lambda name: dict(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
-    assert run("f01_normalize_text_whole") == {k: normal(t) for k, t in rows}
-    assert run("f22_sanitize_answer_whole") == {k: sanitized(t) for k, t in rows}
-    assert run("f04_canonical_text_whole") == {k: normal(t, False).casefold() for k, t in rows}
-    assert run("f05_fingerprint_whole") == {k: hashlib.sha256(normal(t, False).casefold().encode()).hexdigest() for k, t in rows}
+    assert run("f01_normalize_text") == {k: normal(t) for k, t in rows}
+    assert run("f22_sanitize_answer") == {k: sanitized(t) for k, t in rows}
+    assert run("f04_canonical_text") == {k: normal(t, False).casefold() for k, t in rows}
+    assert run("f05_fingerprint") == {k: hashlib.sha256(normal(t, False).casefold().encode()).hexdigest() for k, t in rows}
