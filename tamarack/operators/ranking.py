@@ -1,7 +1,12 @@
 """Batch ranking: every operator takes all queries at once and is one relational plan.
 
-Token tables are (doc_id, token, tf) and query tables (query_id, token, qtf); rankings are (query_id, doc_id, score,
-rank). Scores are rounded to nine digits, so that sums made in another order tie; ties go to the smaller document id. Null and empty texts have no tokens and are never ranked.
+Documents are (doc_id, tokens) or postings (doc_id, token, tf), query tables (query_id, token, qtf); rankings are
+(query_id, doc_id, score, rank). Scores are rounded to nine digits, so that sums made in another order tie; ties go to
+the smaller document id. Null and empty texts have no tokens and are never ranked.
+
+Lexical scores are products of two matrices, impacts of terms in documents and weights of terms in queries. Queries go
+to the workers in blocks of bounded size; a worker makes the impacts of the block's terms for some documents at a time,
+multiplies, and sends only the best ``k`` of each batch, so that neither postings nor scored pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +16,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.operators.skew import bounded
+from tamarack.session import materialise
+
 #: Query vectors sent to the workers at once: a block of fixed size; more queries mean more passes.
 QUERY_BLOCK = 4096
 
@@ -23,12 +32,10 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(tokens).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
-#: Query terms that are broadcast at most; more are joined by a shuffle.
+#: Terms with their frequencies that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+#: Cells of a matrix of documents and terms that is made at once (8 bytes each), and queries in one block.
+CELLS, BLOCK = 1 << 22, 1024
 
 
 def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
@@ -42,40 +49,132 @@ def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(posts: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one") -> DataFrame:
+def term_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, tokens) of documents in that form or of postings (doc_id, token, tf)."""
+    if "tokens" in docs.columns:
+        return docs.select("doc_id", "tokens")
+    return docs.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("token", F.col("tf").cast("int")))).alias("tokens"))
+
+
+def _frequencies(lists: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, df) of the wanted terms, or of all."""
+    terms = lists.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    if wanted is not None:
+        terms = terms.join(bounded(wanted, BROADCAST_TERMS), "token", "left_semi")
+    return terms.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _blocks(terms: DataFrame, block: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Blocks of the queries of terms (query_id, token, weight): query ids, terms, and weights (terms, queries).
+
+    A block is collected at a time; its size is bounded by the number of queries in it and the length of a query.
+    """
+    count = terms.select("query_id").distinct().count()
+    blocks = max(1, -(-count // block))
+    for n in range(blocks if count else 0):
+        rows = (terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else terms).select("query_id", "token", "weight").toArrow()
+        if not rows.num_rows:
+            continue
+        coded = [rows.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "token")]
+        weights = np.zeros((len(coded[1].dictionary), len(coded[0].dictionary)))
+        np.add.at(weights, (np.asarray(coded[1].indices), np.asarray(coded[0].indices)), np.asarray(rows.column("weight")))
+        yield coded[0].dictionary, coded[1].dictionary.to_pylist(), weights
+
+
+def _best_of(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the best ``k`` positive scores of each column, ties by the smaller id."""
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(scores.shape[1])
+    row, query = np.nonzero((scores >= least) & (scores > 0))
+    place = np.asarray(pc.rank(ids, sort_keys="ascending", tiebreaker="first")).astype(np.int64)
+    order = np.lexsort((place[row], -scores[row, query], query))
+    row, query = row[order], query[order]
+    start = np.searchsorted(query, np.arange(scores.shape[1]))
+    kept = np.arange(len(query)) - start[query] < k
+    return row[kept], query[kept]
+
+
+def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int) -> DataFrame:
+    """Best ``k`` documents of every query; ``impact`` turns counts (documents, terms), lengths and norms into impacts."""
+    spark, found = lists.sparkSession, []
+    kinds = [f.dataType.simpleString() for f in (terms.schema["query_id"], lists.schema["doc_id"])]
+    for queries, vocabulary, weights in _blocks(terms, block):
+        sent = spark.sparkContext.broadcast((queries, pa.array(vocabulary, pa.string()), weights))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, known, matrix = sent.value
+            width = len(known)
+            for batch in batches:
+                offsets = np.asarray(batch.column(1).offsets, dtype=np.int64)
+                code = pc.fill_null(pc.index_in(batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=known), -1).to_numpy(zero_copy_only=False)
+                offsets = offsets - offsets[0]
+                extra = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+                step = max(1, CELLS // max(width, matrix.shape[1]))
+                for first in range(0, batch.num_rows, step):
+                    last = min(batch.num_rows, first + step)
+                    part = code[offsets[first] : offsets[last]]
+                    owner = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+                    tf = np.bincount(owner[part >= 0] * width + part[part >= 0], minlength=(last - first) * width).reshape(-1, width)
+                    scores = np.round(impact(tf, np.diff(offsets[first : last + 1]), *[x[first:last] for x in extra]) @ matrix, 9)
+                    ids = batch.column(0).slice(first, last - first)
+                    row, query = _best_of(ids, scores, k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
+
+        found.append(lists.mapInArrow(score, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
+    if not found:
+        return spark.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, rank int")
+    return top_k(reduce(DataFrame.union, found), k)
+
+
+def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one", block: int = BLOCK) -> DataFrame:
     """BM25 ranking of documents for all queries.
 
     ``repeats`` counts a term as often as the query has it. ``variant`` is the inverse document frequency: ``plus_one``
     is ln(1 + (N - df + .5) / (df + .5)), ``floored`` is ln((N - df + .5) / (df + .5)), at least 1e-6.
-    Only postings of asked terms are scored: they are joined to the query terms before anything is summed.
     """
-    lengths = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = _small(asked.select("token").distinct())
-    asked_posts = posts.join(wanted, "token", "left_semi")
-    frequency = asked_posts.groupBy("token").agg(F.count("*").alias("df"))
-    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    lists = term_lists(docs).where(F.size("tokens") > 0)
+    n, mean = lists.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    n, mean = n or 0, max(mean or 1.0, 1.0)
+    odds = (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plus_one" else F.greatest(F.log(odds), F.lit(1e-6))
-    terms = asked.join(frequency, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight"), F.greatest(F.col("avgdl"), F.lit(1.0)).alias("mean"))
-    # Postings lie by document from here on: scores are summed where they are made, and only the best are shuffled.
-    placed = asked_posts.repartition("doc_id").join(lengths, "doc_id")
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = placed.join(_small(terms), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scored, k)
+    asked = materialise(asked, "asked")
+    terms = materialise(asked.join(_frequencies(lists, asked.select("token").distinct()), "token").select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight")), "terms")
+
+    def impact(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / mean))[:, None])
+
+    return _ranked(lists, terms, impact, k, block)
 
 
-def tfidf(posts: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+def tfidf(docs: DataFrame, asked: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """Cosine of tf-idf vectors, idf = ln((1 + N) / (1 + df)) + 1; query terms outside the corpus weigh nothing."""
-    n = posts.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    idf = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = posts.join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    wanted = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    query_norms = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    met = weighted.join(_small(wanted.select("token").distinct()), "token", "left_semi").repartition("doc_id")
-    dots = met.join(_small(wanted), "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(query_norms, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score"))
-    return top_k(scored, k)
+    lists = term_lists(docs).where(F.size("tokens") > 0)
+    n = lists.count()
+    idf = materialise(_frequencies(lists).select("token", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    wanted = materialise(asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"), "idf"), "wanted")
+    norms = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    terms = materialise(wanted.join(norms, "query_id").select("query_id", "token", (F.col("qw") * F.col("idf") / F.col("qn")).alias("weight")), "terms")
+    return _ranked(_with_norms(lists, idf), terms, lambda tf, length, norm: tf / norm[:, None], k, block)
+
+
+def _with_norms(lists: DataFrame, idf: DataFrame) -> DataFrame:
+    """(doc_id, tokens, norm): the length of each document's tf-idf vector."""
+    if idf.count() > BROADCAST_TERMS:
+        counted = lists.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+        norms = counted.join(idf, "token").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+        return lists.join(norms, "doc_id").select("doc_id", "tokens", "norm")
+    rows = idf.toArrow()
+    sent = lists.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), np.asarray(rows.column("idf"))))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = sent.value
+        for batch in batches:
+            offsets = np.asarray(batch.column(1).offsets, dtype=np.int64)
+            code = pc.index_in(batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * len(known) + code, return_counts=True)
+            owner, code = np.divmod(pair, max(len(known), 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sqrt(np.bincount(owner, (tf * weight[code]) ** 2, minlength=batch.num_rows)))], ["doc_id", "tokens", "norm"])
+
+    return lists.mapInArrow(measure, f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, tokens array<string>, norm double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 # The search problem of most ranking queries: titles of every twentieth document against all texts.
 def _search(spark, root) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = spread_table(spark, root, "documents").select("doc_id", "text", "title", "source")
-    posts = materialise(R.postings(docs, T.legal_tokens(F.col("text"))), "postings")
+    posts = materialise(docs.select("doc_id", T.legal_tokens(F.col("text")).alias("tokens")), "tokens")
     asked = docs.where("doc_id % 20 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), "title")
     return docs, posts, asked
 
@@ -94,7 +94,9 @@ FUSED = "fu AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part FROM b WHERE
 
 
 def _fused(spark, root, k: int = 10) -> DataFrame:
-    fused = R.fuse({"bm25": _bm25(spark, root, 20), "tfidf": _tfidf(spark, root, 20)}, 1 << 30, weights={"tfidf": 4.0})
+    docs, lists, asked = _search(spark, root)
+    terms = materialise(R.query_terms(asked, T.legal_tokens(F.col("title"))), "terms")
+    fused = R.fuse({"bm25": R.bm25(lists, terms, 20), "tfidf": R.tfidf(lists, terms, 20)}, 1 << 30, weights={"tfidf": 4.0})
     return R.top_k(fused.drop("rank").withColumn("score", F.round("score", 12)), k)
 
 
@@ -207,7 +209,7 @@ def r16_citation_graph(spark, root):
 @query(f"WITH d AS (SELECT id, min(question) AS text FROM qa_examples WHERE split = 'train' GROUP BY id), p AS (SELECT id AS doc_id, t, count(*) AS tf FROM (SELECT id, unnest({legal_sql('text')}) AS t FROM d) GROUP BY ALL), q AS (SELECT id AS query_id, t, count(*) AS qtf FROM (SELECT id, unnest({legal_sql('question')}) AS t FROM (SELECT id, min(question) AS question FROM qa_examples WHERE split = 'validation' GROUP BY id)) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT t, count(*) AS df FROM p GROUP BY t), {bm25_sql(IDF)} SELECT query_id, doc_id, round(score, 4) AS score FROM b WHERE rank = 1")
 def r17_question_neighbours(spark, root):
     one = lambda split: spread_table(spark, root, "qa_examples").where(F.col("split") == split).groupBy("id").agg(F.min("question").alias("question"))
-    posts = materialise(R.postings(one("train").withColumnRenamed("id", "doc_id"), T.legal_tokens(F.col("question"))), "postings")
+    posts = materialise(one("train").select(F.col("id").alias("doc_id"), T.legal_tokens(F.col("question")).alias("tokens")), "tokens")
     asked = R.query_terms(one("validation").withColumnRenamed("id", "query_id"), T.legal_tokens(F.col("question")))
     ranked = R.top_k(R.bm25(posts, asked, k=20).drop("rank").withColumn("score", F.round("score", 9)), 1)
     return ranked.select("query_id", "doc_id", F.round("score", 4).alias("score"))
@@ -222,7 +224,8 @@ def r18_packed_evidence(spark, root):
 
 @query(f"WITH {POSTS} SELECT t AS token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY t")
 def a01_corpus_statistics(spark, root):
-    return _search(spark, root)[1].groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    posts = R.postings(spread_table(spark, root, "documents"), T.legal_tokens(F.col("text")))
+    return posts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT source, CAST(quantile_cont(n_chars, 0.25) AS BIGINT) AS p25, CAST(floor(quantile_cont(n_chars, 0.5)) AS BIGINT) AS p50, CAST(floor(quantile_cont(n_chars, 0.95)) AS BIGINT) AS p95 FROM documents GROUP BY source".replace("CAST(quantile_cont(n_chars, 0.25)", "CAST(floor(quantile_cont(n_chars, 0.25))"))
