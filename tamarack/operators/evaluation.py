@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions import metrics as M
+from tamarack.functions import text as T
 from tamarack.operators import ranking as R
 
 
@@ -86,7 +88,74 @@ def resume(asked: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return asked.join(done.select(key).distinct(), key, "left_anti")
 
 
-def percentile_at(values: Column, share: float) -> Column:
-    """Floor-index percentile of a column, an aggregate."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * share) + 1).cast("int"))
+def floor_percentiles(df: DataFrame, by: list[str], column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by..., share, value): the value at the place floor((n - 1) * share) of each group's ordered values, nulls left out.
+
+    Values are counted first, so that no group is gathered: a window goes over the distinct values of a group.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*by)
+    upto = F.sum("c").over(whole.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"upto": upto, "n": F.sum("c").over(whole)}).withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    place = F.floor((F.col("n") - 1) * F.col("share"))
+    return placed.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select(*by, "share", F.col(column).alias("value"))
+
+
+def answer_cases(predicted: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, prediction, reference, slices, errors) of expected answers (id, question, answer); a missing prediction is empty."""
+    e = expected.select("id", "question", F.coalesce("answer", F.lit("")).alias("reference"))
+    joined = e.join(predicted.select("id", F.coalesce("answer", F.lit("")).alias("prediction")), "id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+    return joined.select("id", "prediction", "reference", T.slice_labels(F.coalesce("question", F.lit("")), F.col("reference")).alias("slices"), T.error_labels(F.col("prediction"), F.col("reference")).alias("errors"))
+
+
+def scored_cases(cases: DataFrame) -> DataFrame:
+    """``answer_cases`` with ``meteor`` and ``rouge_l``."""
+    tokens = cases.select("id", T.word_tokens(F.col("prediction")).alias("p"), T.word_tokens(F.col("reference")).alias("r"))
+    scores = M.meteor(tokens, "p", "r").join(tokens.select("id", M.rouge_l(F.col("p"), F.col("r"), 1.2).alias("rouge_l")), "id")
+    return cases.join(scores, "id")
+
+
+def answer_report(scored: DataFrame) -> DataFrame:
+    """(section, name, n, meteor, rouge_l): macro averages of all cases and of each slice, counts of errors and empty answers."""
+    means = [F.count("*").alias("n"), F.avg("meteor").alias("meteor"), F.avg("rouge_l").alias("rouge_l")]
+    slices = scored.select(F.explode("slices").alias("name"), "meteor", "rouge_l").groupBy("name").agg(*means).select(F.lit("slice").alias("section"), "name", "n", "meteor", "rouge_l")
+    empty = F.when(F.trim("prediction") == "", F.array(F.lit("EMPTY_RATE"))).otherwise(F.array().cast("array<string>"))
+    labels = scored.select(F.explode(F.concat("errors", empty)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("double")
+    return slices.unionByName(labels.select(F.lit("error").alias("section"), "name", "n", none.alias("meteor"), none.alias("rouge_l")))
+
+
+def best_and_worst(candidate: DataFrame, parent: DataFrame, score: str = "score", top: int = 20) -> DataFrame:
+    """(side, position, id, delta): the ``top`` best gains and worst losses of a run against another, ties by id."""
+    deltas = candidate.select("id", F.col(score).alias("new")).join(parent.select("id", F.col(score).alias("old")), "id").select("id", F.round(F.col("new") - F.col("old"), 12).alias("delta"))
+    sides = []
+    for side, order in (("gain", F.desc("delta")), ("loss", F.asc("delta"))):
+        first = deltas.orderBy(order, "id").limit(top)
+        sides.append(first.withColumn("position", F.row_number().over(Window.orderBy(order, "id"))).select(F.lit(side).alias("side"), "position", "id", "delta"))
+    return sides[0].unionByName(sides[1])
+
+
+def relevant_hits(ranking: DataFrame, gold: DataFrame, gold_parents: DataFrame, parents: DataFrame) -> DataFrame:
+    """``ranking`` with ``relevant``: its document is gold, or its parent is; two joins instead of one with an OR.
+
+    gold (query_id, doc_id), gold_parents (query_id, parent_id), parents (doc_id, parent_id).
+    """
+    yes = F.lit(True)
+    marked = ranking.join(gold.select("query_id", "doc_id").distinct().withColumn("_d", yes), ["query_id", "doc_id"], "left")
+    marked = marked.join(parents.select("doc_id", "parent_id").distinct(), "doc_id", "left").join(gold_parents.select("query_id", "parent_id").distinct().withColumn("_p", yes), ["query_id", "parent_id"], "left")
+    return marked.withColumn("relevant", F.coalesce("_d", F.lit(False)) | F.coalesce("_p", F.lit(False))).drop("_d", "_p")
+
+
+def agent_metrics(queries: DataFrame, ranking: DataFrame, answers: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """One row: recall and reciprocal rank of answerable queries (query_id, answerable), how often abstaining was right,
+    and how often all citations of an answer (query_id, citations, abstained) stand in the ranking."""
+    top = ranking.where(F.col("rank") <= k)
+    first = top.join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    held = top.groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("held"))
+    rows = queries.join(first, "query_id", "left").join(held, "query_id", "left").join(answers.select("query_id", "citations", "abstained"), "query_id", "left")
+    whole = F.size(F.array_except(F.coalesce("citations", F.array().cast("array<string>")), F.coalesce("held", F.array().cast("array<string>")))) == 0
+    can = F.col("answerable")
+    return rows.agg(
+        F.count("*").alias("queries"), F.count_if(can).alias("answerable"), F.avg(F.when(can, F.col("first").isNotNull().cast("double"))).alias("recall"), F.avg(F.when(can, F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr"),
+        F.avg((F.coalesce("abstained", F.lit(True)) != can).cast("double")).alias("abstention_accuracy"), F.avg(whole.cast("double")).alias("citation_integrity"),
+    )

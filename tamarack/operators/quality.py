@@ -57,3 +57,22 @@ def eligible(docs: DataFrame, scopes: list[str], **filters: list[str]) -> DataFr
         raise ValueError("at least one scope is needed")
     kept = docs.where(F.col("access_scope").isin(*scopes))
     return reduce(lambda d, item: d.where(F.col(item[0]).isin(*item[1])), filters.items(), kept)
+
+
+def query_violations(queries: DataFrame, most_chars: int = 2000, most_k: int = 100) -> DataFrame:
+    """(rule, key) of queries (query_id, text, k): ids without white space, text of bounded length, k in range, ids once."""
+    rules = {"query_id_plain": F.col("query_id").cast("string").rlike(r"^\S+$"), "query_text_present": F.trim(F.coalesce("text", F.lit(""))) != "", "query_text_bounded": F.length(F.coalesce("text", F.lit(""))) <= most_chars, "k_in_range": F.col("k").between(1, most_k)}
+    return violations(queries, "query_id", rules).unionByName(repeated_keys(queries, "query_id", "query_id_unique"))
+
+
+def first_of_each(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group."""
+    from pyspark.sql import Window
+
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def reconciled(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(side, key): keys that are ``missing`` of the expected ones, and ``extra`` ones."""
+    a, b = expected.select(key).distinct(), found.select(key).distinct()
+    return a.join(b, key, "left_anti").select(F.lit("missing").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("extra").alias("side"), key))

@@ -81,10 +81,10 @@ def _blocks(terms: DataFrame, block: int) -> Iterator[tuple[list, list[str], np.
         yield coded[0].dictionary, coded[1].dictionary.to_pylist(), weights
 
 
-def _best_of(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) of the best ``k`` positive scores of each column, ties by the smaller id."""
-    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(scores.shape[1])
-    row, query = np.nonzero((scores >= least) & (scores > 0))
+def _best_of(ids: pa.Array, scores: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the best ``k`` scores above ``least`` of each column, ties by the smaller id."""
+    bound = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+    row, query = np.nonzero((scores >= bound) & (scores > least))
     place = np.asarray(pc.rank(ids, sort_keys="ascending", tiebreaker="first")).astype(np.int64)
     order = np.lexsort((place[row], -scores[row, query], query))
     row, query = row[order], query[order]
@@ -185,34 +185,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QU
     zero vector has inner product 0 with all.
     """
     spark, found = vectors.sparkSession, []
-    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("bigint"), "vector")
+    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()]
     blocks = max(1, -(-asked.count() // block))
 
     def unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
-    given = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("vector").cast("array<double>").alias("vector"))
+    given = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL").select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
     for part in range(blocks):
         rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part) if blocks > 1 else asked).collect()
         if not rows:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), unit(np.array([r.vector for r in rows], float))))
+        sent = spark.sparkContext.broadcast((pa.array([r.query_id for r in rows]), unit(np.array([r.vector for r in rows], float)).T))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
+            names, matrix = sent.value
             for batch in batches:
-                docs = batch.column(0).to_numpy()
-                if not len(docs):
+                if not batch.num_rows:
                     continue
-                values = np.asarray(batch.column(1).flatten()).reshape(len(docs), -1)
-                scores = matrix @ unit(values).T
-                keep = min(k, len(docs))
-                order = np.stack([np.lexsort((docs, -row))[:keep] for row in np.round(scores, 12)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep)), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query_id", "doc_id", "score"])
+                scores = np.round(unit(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)) @ matrix, 12)
+                row, query = _best_of(batch.column(0), scores, k, least=-np.inf)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
 
-        found.append(given.mapInArrow(scan, "query_id bigint, doc_id bigint, score double"))
+        found.append(given.mapInArrow(scan, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
     if not found:
-        return spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int")
+        return spark.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, rank int")
     return top_k(reduce(DataFrame.union, found).withColumn("score", F.round("score", 12)), k)
 
 

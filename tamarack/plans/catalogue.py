@@ -1,6 +1,6 @@
-"""All queries of the library's own operators, and their SQL."""
+"""All queries of the core by name, and their SQL."""
 
-from tamarack.plans import rank_queries, text_queries
+from tamarack.plans import rank_queries, release_queries, text_queries
 
-QUERIES = text_queries.QUERIES | rank_queries.QUERIES
-ORACLES = text_queries.ORACLES | rank_queries.ORACLES
+QUERIES = text_queries.QUERIES | rank_queries.QUERIES | release_queries.QUERIES
+ORACLES = text_queries.ORACLES | rank_queries.ORACLES | release_queries.ORACLES

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tamarack.functions import citations as C
 from tamarack.functions import metrics as M
 from tamarack.functions import text as T
-from tamarack.operators import chunking, evaluation, hygiene, quality
+from tamarack.operators import answering, chunking, evaluation, hygiene, quality
 from tamarack.operators import ranking as R
-from tamarack.plans.text_queries import legal_sql, w
+from tamarack.plans.text_queries import WS, canonical_sql, legal_sql, normal_sql, w
 from tamarack.session import materialise, spread_table, table
 from tamarack.sources import readers, writers
 
@@ -38,7 +38,12 @@ def _search(spark, root) -> tuple[DataFrame, DataFrame, DataFrame]:
     return docs, posts, asked
 
 
-POSTS = f"p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({legal_sql('text')}) AS t FROM documents) GROUP BY ALL), q AS (SELECT query_id, t, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({legal_sql('title')}) AS t FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT t, count(*) AS df FROM p GROUP BY t)"
+def posts_sql(docs: str, doc_text: str, queries: str, query_text: str) -> str:
+    """Postings p, query terms q, lengths l, statistics s and frequencies f of docs (doc_id, ...) and queries (query_id, ...)."""
+    return f"p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({legal_sql(doc_text)}) AS t FROM {docs}) GROUP BY ALL), q AS (SELECT query_id, t, count(*) AS qtf FROM (SELECT query_id, unnest({legal_sql(query_text)}) AS t FROM {queries}) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT t, count(*) AS df FROM p GROUP BY t)"
+
+
+POSTS = posts_sql("documents", "text", "(SELECT doc_id AS query_id, title FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL)", "title")
 
 
 def bm25_sql(idf: str, factor: str = "1", k1: str = "1.5", name: str = "b") -> str:
@@ -114,6 +119,15 @@ def _chunks(spark, root) -> DataFrame:
 
 _CHUNKS_SQL = "l AS (SELECT id, number, unnest(string_split(passage, chr(10))) AS line, generate_subscripts(string_split(passage, chr(10)), 1) AS line_no FROM (SELECT DISTINCT id, passage, nullif(upper(regexp_replace(metadata.document_number, '\\s+', '', 'g')), '') AS number FROM legal_documents)), m AS (SELECT *, nullif(lower(regexp_extract(line, '(?i)^\\s*điều\\s+(\\d+[a-zđ]?)', 1)), '') AS a FROM l WHERE trim(line) <> ''), c AS (SELECT 'doc_' || id || '_article_' || a || '_' || (row_number() OVER (PARTITION BY id, a ORDER BY line_no) - 1) AS chunk_id, id AS doc_id, number, a AS article FROM m WHERE a IS NOT NULL)"
 
+ARTICLE_BODIES = "l AS (SELECT id, number, unnest(string_split(passage, chr(10))) AS line, generate_subscripts(string_split(passage, chr(10)), 1) AS line_no FROM (SELECT DISTINCT id, passage, nullif(upper(regexp_replace(metadata.document_number, '\\s+', '', 'g')), '') AS number FROM legal_documents)), m AS (SELECT *, nullif(lower(regexp_extract(line, '(?i)^\\s*điều\\s+(\\d+[a-zđ]?)', 1)), '') AS a FROM l WHERE trim(line) <> ''), sg AS (SELECT *, count(a) OVER (PARTITION BY id ORDER BY line_no) AS seg FROM m), hd AS (SELECT id, seg, number, a AS article, 'doc_' || id || '_article_' || a || '_' || (row_number() OVER (PARTITION BY id, a ORDER BY line_no) - 1) AS chunk_id FROM sg WHERE a IS NOT NULL), bd AS (SELECT id, seg, string_agg(line, chr(10) ORDER BY line_no) AS body FROM sg WHERE seg > 0 GROUP BY ALL), p AS (SELECT * FROM hd JOIN bd USING (id, seg))"
+_CITE = "(?i)điều\\s+(\\d+[a-zđ]?)(?:\\s+(?:bộ\\s+luật|luật|nghị\\s+định|thông\\s+tư(?:\\s+liên\\s+tịch)?|nghị\\s+quyết|quyết\\s+định|chỉ\\s+thị|công\\s+văn|pháp\\s+lệnh))?(?:\\s+(?:số\\s*)?(\\d{1,5}/(?:\\d{4}|[A-ZĐ]{1,8})(?:/[A-ZĐ0-9-]{2,30})?))?"
+
+
+def cited_sql(x: str) -> str:
+    """Rows {article, number} of the citations of a normalised text; number is null where none is named."""
+    return f"unnest(list_transform(list_zip(regexp_extract_all({x}, '{_CITE}', 1), regexp_extract_all({x}, '{_CITE}', 2)), lambda z: {{'article': lower(z[1]), 'number': nullif(upper(regexp_replace(z[2], '\\s+', '', 'g')), '')}}))"
+
+
 def _cited(spark, root) -> DataFrame:
     """All citations of the answers in parts: (question_id, number, article, clause, point)."""
     cited = spread_table(spark, root, "qa_examples").select(F.col("id").alias("question_id"), F.explode(C.citations(F.col("answer"))).alias("c"))
@@ -134,43 +148,53 @@ def r09_lexical_rerank(spark, root):
     return _rounded(R.top_k(again.drop("rank").withColumn("score", F.round("score", 12)), 20))
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {TFIDF}, {FUSED}, bo AS (SELECT fr.query_id, fr.doc_id, fr.score * CASE WHEN x.source = y.source THEN 1.24 ELSE 1.0 END AS score FROM fr JOIN documents x ON x.doc_id = fr.query_id JOIN documents y ON y.doc_id = fr.doc_id) SELECT query_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM bo) WHERE rank <= 10")
-def r10_hybrid_retrieve(spark, root):
-    """Lexical and tf-idf channels, fusion, boost of documents that meet the query's metadata, top 10."""
-    docs = table(spark, root, "documents")
-    fused = _fused(spark, root, 1 << 30)
-    # A query's source stands for its cited number (weight 2), so that the boost can be followed in SQL.
-    cited = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("document_number"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("string").alias("clause"))
-    meta = docs.select("doc_id", F.col("source").alias("document_number"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("string").alias("clause"))
-    boosted = R.boost(fused, cited, meta)
-    return R.top_k(boosted.select("query_id", "doc_id", F.round("score", 12).alias("score")), 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
-
 
 def _complexity(spark, root) -> DataFrame:
     q = spread_table(spark, root, "qa_examples").select("id", T.normalize_text(F.col("question"), keep_lines=False).alias("t"), F.size(C.citations(F.col("question"))).alias("cites"))
     return q.select("id", *[c.alias(n) for n, c in R.complexity(F.col("t"), F.col("cites")).items()])
 
 
-@query()
+_B, _E = "(?:^|[^\\p{L}\\p{N}_])", "(?:$|[^\\p{L}\\p{N}_])"
+
+
+def _marked_sql(words: str, t: str = "t") -> str:
+    """Marks of whole words: signs between words are doubled, so that neighbours don't share one."""
+    return f"regexp_extract_all(regexp_replace({t}, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i){_B}({words}){_E}', 1)"
+
+
+def _words_of(pattern: str) -> str:
+    """The words of a pattern of whole words, with doubled signs between them."""
+    return pattern.removeprefix(r"(?iuU)\b(?:").removesuffix(r")\b").replace("\\s+", "\\s+").replace("\\", "\\\\").replace("\\\\s+", "\\s+")
+
+
+def complexity_sql(table_name: str, key: str, x: str) -> str:
+    """Rows (key, complexity, base_k) of the normalised text x."""
+    entities, conditions, joined = (_marked_sql(_words_of(p)) for p in (R.ENTITIES, R.CONDITIONS, R.CONJUNCTIONS))
+    cites = f"len(list_distinct(list_zip(regexp_extract_all(t, '{_CITE}', 1), regexp_extract_all(t, '{_CITE}', 2))))"
+    score = f"round(0.8 * least(len(list_distinct(list_transform({entities}, lambda e: lower(e)))), 4) + 1.2 * least(len({conditions}), 4) + 1.0 * least({cites}, 3) + 0.6 * least(len({joined}), 5) + 0.8 * greatest(0.0, least(3.0, (CASE WHEN trim(t) = '' THEN 0 ELSE len(regexp_split_to_array(trim(t), '\\s+')) END - 12) / 20.0)), 6)"
+    return f"SELECT {key}, complexity, CASE WHEN complexity < 2.2 THEN 3 WHEN complexity < 5.0 THEN 5 ELSE 8 END AS base_k FROM (SELECT {key}, {score} AS complexity FROM (SELECT {key}, {WS.format(x=normal_sql(x))} AS t FROM {table_name}))"
+
+
+@query(complexity_sql("qa_examples", "id", "question"))
 def r11_query_complexity(spark, root):
     return _complexity(spark, root)
 
 
-CONF = "c8 AS (SELECT query_id, rank, 1 / (1 + exp(-score)) AS s FROM b WHERE rank <= 8), g AS (SELECT *, greatest(0, s - lead(s) OVER (PARTITION BY query_id ORDER BY rank)) AS gap FROM c8), cf AS (SELECT query_id, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 1 ELSE max(gap) END, 6) AS concentration, CASE WHEN count(*) = 1 THEN 1 ELSE min(rank) FILTER (gap = mx) END AS elbow, round(CASE WHEN count(*) = 1 THEN 0 ELSE sum(CASE WHEN rank > 3 THEN s ELSE 0 END) / sum(s) END, 6) AS tail_mass FROM (SELECT *, max(gap) OVER (PARTITION BY query_id) AS mx FROM g) GROUP BY query_id)"
+CONF = "c0 AS (SELECT query_id, rank, score, min(CASE WHEN score BETWEEN 0 AND 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS inside FROM b WHERE rank <= 8), c8 AS (SELECT query_id, rank, CASE WHEN inside = 1 THEN score ELSE 1 / (1 + exp(-greatest(-60, least(60, score)))) END AS s FROM c0), g AS (SELECT *, greatest(0, s - lead(s) OVER (PARTITION BY query_id ORDER BY rank)) AS gap FROM c8), cf AS (SELECT query_id, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 1 ELSE max(gap) END, 6) AS concentration, CASE WHEN count(*) = 1 THEN 1 ELSE min(rank) FILTER (gap = mx) END AS elbow, round(CASE WHEN count(*) = 1 THEN 0 ELSE sum(CASE WHEN rank > 3 THEN s ELSE 0 END) / CASE WHEN sum(s) = 0 THEN 1 ELSE sum(s) END END, 6) AS tail_mass FROM (SELECT *, max(gap) OVER (PARTITION BY query_id) AS mx FROM g) GROUP BY query_id)"
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {CONF} SELECT query_id, concentration, elbow, tail_mass FROM cf WHERE query_id IN (SELECT query_id FROM b GROUP BY 1 HAVING max(score) > 1)")
+@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {CONF} SELECT query_id, concentration, elbow, tail_mass FROM cf")
 def r12_retrieval_confidence(spark, root):
-    ranked = _bm25(spark, root)
-    large = ranked.groupBy("query_id").agg(F.max("score").alias("m")).where("m > 1").select("query_id")
-    return R.confidence(ranked).join(large, "query_id", "left_semi").select("query_id", "concentration", "elbow", "tail_mass")
+    return R.confidence(_bm25(spark, root)).select("query_id", "concentration", "elbow", "tail_mass")
 
 
-@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {CONF} SELECT query_id, CASE WHEN concentration >= 0.2 AND elbow <= 3 THEN greatest(2, least(5, elbow)) WHEN concentration <= 0.05 THEN 5 ELSE 5 END AS k FROM cf WHERE query_id IN (SELECT query_id FROM b GROUP BY 1 HAVING max(score) > 1)")
+@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {CONF}, cx AS ({complexity_sql('(SELECT doc_id AS query_id, title FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL)', 'query_id', 'title')}) SELECT query_id, base_k, CASE WHEN concentration >= 0.2 AND elbow <= 3 THEN greatest(2, least(base_k, elbow)) WHEN concentration <= 0.05 THEN greatest(base_k, 5) ELSE base_k END AS k FROM cf JOIN cx USING (query_id)")
 def r13_dynamic_k(spark, root):
-    ranked = _bm25(spark, root)
-    large = ranked.groupBy("query_id").agg(F.max("score").alias("m")).where("m > 1").select("query_id")
-    return R.confidence(ranked).join(large, "query_id", "left_semi").select("query_id", R.dynamic_k(F.lit(5), F.col("concentration"), F.col("elbow")).alias("k"))
+    """The number of documents by the complexity of the title and the confidence of its ranking."""
+    asked = spread_table(spark, root, "documents").where("doc_id % 20 = 0 AND title IS NOT NULL")
+    plain = asked.select(F.col("doc_id").alias("query_id"), T.normalize_text(F.col("title"), keep_lines=False).alias("t"), F.size(C.citations(F.col("title"))).alias("cites"))
+    base = plain.select("query_id", R.complexity(F.col("t"), F.col("cites"))["base_k"].alias("base_k"))
+    return R.confidence(_bm25(spark, root)).join(base, "query_id").select("query_id", "base_k", R.dynamic_k(F.col("base_k"), F.col("concentration"), F.col("elbow")).alias("k"))
 
 
 @query(f"WITH {POSTS}, {bm25_sql(IDF)} SELECT query_id, source AS parent_id, min(rank) AS rank FROM b JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY ALL")
@@ -188,20 +212,69 @@ def _parent_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("number").alias("document_number"), "article", F.col("body").alias("text"), C.reference_keys(F.col("cites")).alias("refs"), C.amendment_keys(F.col("body"), F.col("cites")).alias("amends"))
 
 
-@query()
-def r15_graph_expansion(spark, root):
-    edges = R.citation_graph(_parents(spark, root)).withColumn("ord", F.xxhash64("dst"))
-    seeds = edges.select("src").distinct().where("src NOT LIKE 'doc:%'").select(F.lit(1).alias("query_id"), F.col("src").alias("node"))
-    seeds = seeds.where(F.pmod(F.xxhash64("node"), F.lit(20)) == 0).withColumns({"score": F.lit(1.0), "rank": F.lit(1)})
-    return R.graph_expand(seeds, edges)
+_BOOST_TITLES = f"WITH {POSTS}, {bm25_sql(IDF)}, {TFIDF}, {FUSED}, bo AS (SELECT fr.query_id, fr.doc_id, fr.score * CASE WHEN x.source = y.source THEN 1.24 ELSE 1.0 END AS score FROM fr JOIN documents x ON x.doc_id = fr.query_id JOIN documents y ON y.doc_id = fr.doc_id) SELECT query_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM bo) WHERE rank <= 10"
 
 
-@query(f"WITH {_CHUNKS_SQL} SELECT 'doc:' || doc_id AS src, chunk_id AS dst, 'CONTAINS' AS relation FROM c UNION SELECT chunk_id, 'doc:' || doc_id, 'CONTAINED_BY' FROM c")
-def r16_graph_containment(spark, root):
-    return R.citation_graph(_parents(spark, root)).where("relation IN ('CONTAINS', 'CONTAINED_BY')")
+@query(_BOOST_TITLES)
+def r08_boosted_fusion(spark, root):
+    """A query's source stands for its cited number (weight 2): every document of the source is boosted."""
+    docs = table(spark, root, "documents")
+    fused = _fused(spark, root, 1 << 30)
+    none = [F.lit(None).cast("string").alias(c) for c in ("article", "clause")]
+    cited = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("document_number"), *none)
+    boosted = R.boost(fused, cited, docs.select("doc_id", F.col("source").alias("document_number"), *none))
+    return R.top_k(boosted.select("query_id", "doc_id", F.round("score", 12).alias("score")), 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query()
+# Hybrid retrieval: questions of every twentieth thread against the articles of the corpus.
+_ASKED = "(SELECT id AS query_id, min(question) AS question FROM qa_examples WHERE CAST(regexp_extract(id, '\\d{8}') AS BIGINT) % 20 = 0 GROUP BY id)"
+
+
+def _hybrid_sql() -> str:
+    bodies = ARTICLE_BODIES.replace("p AS (SELECT * FROM hd", "ar AS (SELECT * FROM hd").replace("l AS (SELECT id, number", "li AS (SELECT id, number").replace("FROM l WHERE", "FROM li WHERE")
+    posts = posts_sql("(SELECT chunk_id AS doc_id, body FROM ar)", "body", "aq", "question")
+    cells = lambda x: f"list_transform({legal_sql(x)}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+    dense = f"vc AS (SELECT 'd' AS side, chunk_id AS k, unnest({cells('body')}) AS c FROM ar UNION ALL SELECT 'q', query_id, unnest({cells('question')}) FROM aq), vn AS (SELECT side, k, c, count(*) AS n FROM vc GROUP BY ALL), vl AS (SELECT side, k, sqrt(sum(n * n)) AS z FROM vn GROUP BY ALL), vs AS (SELECT a.k AS query_id, b.k AS doc_id, sum(a.n * b.n) / (any_value(x.z) * any_value(y.z)) AS score FROM vn a JOIN vn b ON a.c = b.c AND a.side = 'q' AND b.side = 'd' JOIN vl x ON x.side = 'q' AND x.k = a.k JOIN vl y ON y.side = 'd' AND y.k = b.k GROUP BY ALL), dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM vs)"
+    fused = "fp AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part FROM b WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM dn WHERE rank <= 100), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(part) AS score FROM fp GROUP BY ALL))"
+    boosted = f"cq AS (SELECT DISTINCT query_id, x.article AS article, x.number AS number FROM (SELECT query_id, {cited_sql(WS.format(x=normal_sql('question')))} AS x FROM aq)), bm AS (SELECT fr.query_id, fr.doc_id, sum(CASE WHEN cq.number = ar.number THEN 2 ELSE 0 END + CASE WHEN cq.article = ar.article THEN 1 ELSE 0 END) AS m FROM fr JOIN ar ON ar.chunk_id = fr.doc_id JOIN cq ON cq.query_id = fr.query_id WHERE fr.rank <= 50 GROUP BY ALL), br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT fr.query_id, fr.doc_id, round(fr.score, 12) * (1 + 0.12 * coalesce(m, 0)) AS score FROM fr LEFT JOIN bm USING (query_id, doc_id) WHERE fr.rank <= 50))"
+    rerank = f"tq AS (SELECT query_id, list_distinct({legal_sql('question')}) AS q FROM aq), td AS (SELECT chunk_id AS doc_id, list_distinct({legal_sql('body')}) AS d FROM ar), rr AS (SELECT query_id, doc_id, len(list_intersect(q, d)) / greatest(1.0, sqrt(len(q) * len(d))) AS score FROM br JOIN tq USING (query_id) JOIN td USING (doc_id) WHERE rank <= 50)"
+    return f"WITH {bodies}, aq AS {_ASKED}, {posts}, {bm25_sql(IDF)}, {dense}, {fused}, {boosted}, {rerank} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM rr) WHERE rank <= 10"
+
+
+@query(_hybrid_sql())
+def r10_hybrid_retrieve(spark, root):
+    """Two channels of depth 100, fused to 50, boosted by the question's citations, and reranked by shared terms.
+
+    Vectors of hashed terms stand for those of a trained encoder; ``ranking.nearest`` takes any.
+    """
+    chunks = _chunks(spark, root)
+    chunks = materialise(chunks.select(F.col("chunk_id").alias("doc_id"), "number", "article", T.legal_tokens(F.col("body")).alias("tokens")), "chunks")
+    one = spread_table(spark, root, "qa_examples").where(F.regexp_extract("id", r"\d{8}", 0).cast("bigint") % 20 == 0).groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("question"))
+    asked = materialise(one.select("query_id", "question", T.legal_tokens(F.col("question")).alias("tokens")), "asked")
+    terms = materialise(R.query_terms(asked, F.col("tokens")), "terms")
+    vectors = answering.hashed_vectors(chunks, F.col("tokens"))
+    near = R.nearest(vectors, answering.hashed_vectors(asked.select(F.col("query_id").alias("doc_id"), "tokens"), F.col("tokens")).withColumnRenamed("doc_id", "query_id"), 100)
+    fused = R.fuse({"bm25": R.bm25(chunks, terms, 100), "dense": near}, 1 << 30).drop("rank").withColumn("score", F.round("score", 12))
+    kept = materialise(R.top_k(fused, 50), "fused")
+    cited = asked.select("query_id", F.explode(C.citations(F.col("question"))).alias("c")).select("query_id", "c.document_number", "c.article", F.lit(None).cast("string").alias("clause")).distinct()
+    boosted = R.boost(kept.select("query_id", "doc_id", "score", "rank"), cited, chunks.select("doc_id", F.col("number").alias("document_number"), "article", F.lit(None).cast("string").alias("clause")))
+    ranked = R.lexical_rerank(boosted, asked, chunks, 50)
+    return R.top_k(ranked.drop("rank").withColumn("score", F.round("score", 12)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+REFERENCES = f"{ARTICLE_BODIES}, rf AS (SELECT chunk_id AS src, id, {{low}} AS t, {cited_sql(WS.format(x=normal_sql('body')))} AS x FROM p), rl AS (SELECT src, id, x.article AS article, x.number AS number, CASE WHEN regexp_matches(t, 'bãi bỏ|hết hiệu lực') THEN 'REPEALS' WHEN contains(t, 'thay thế') THEN 'REPLACES' WHEN regexp_matches(t, '(?:^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])(sửa đổi|bổ sung)(?:[^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)') THEN 'AMENDS' ELSE 'REFERENCES' END AS relation FROM rf), ed AS (SELECT DISTINCT src, p.chunk_id AS dst, relation FROM rl JOIN p ON (rl.number IS NOT NULL AND rl.number = p.number AND rl.article = p.article) OR (rl.number IS NULL AND rl.id = p.id AND rl.article = p.article) WHERE src <> p.chunk_id), ge AS (SELECT * FROM ed UNION SELECT dst, src, CASE relation WHEN 'AMENDS' THEN 'AMENDED_BY' WHEN 'REPEALS' THEN 'REPEALED_BY' ELSE 'REPLACED_BY' END FROM ed WHERE relation <> 'REFERENCES')".replace("{low}", WS.format(x="lower(body)")).replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {REFERENCES}, n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS n FROM ge) SELECT src AS query_id, dst AS node, relation, 0.72 AS score FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n) AS k FROM n WHERE n <= 2) WHERE k = 1")
+def r15_graph_expansion(spark, root):
+    """Every article with its first neighbours in the citation graph."""
+    edges = materialise(R.citation_graph(_parents(spark, root)), "edges").where("src NOT LIKE 'doc:%' AND dst NOT LIKE 'doc:%'")
+    first = Window.partitionBy("src").orderBy("dst", "relation")
+    seeds = edges.select(F.col("src").alias("query_id"), F.col("src").alias("node"), F.lit(1.0).alias("score"), F.lit(1).alias("rank")).distinct()
+    return R.graph_expand(seeds, edges.withColumn("ord", F.row_number().over(first)))
+
+
+@query(f"WITH {REFERENCES} SELECT 'doc:' || id AS src, chunk_id AS dst, 'CONTAINS' AS relation FROM p UNION SELECT chunk_id, 'doc:' || id, 'CONTAINED_BY' FROM p UNION SELECT src, dst, relation FROM ge")
 def r16_citation_graph(spark, root):
     return R.citation_graph(_parents(spark, root))
 
@@ -236,7 +309,7 @@ def a06_percentiles(spark, root):
 
 @query("SELECT source, quantile_disc(n_chars, 0.5) AS lower_median FROM (SELECT source, n_chars FROM documents) GROUP BY source")
 def a07_floor_percentile(spark, root):
-    return table(spark, root, "documents").groupBy("source").agg(evaluation.percentile_at(F.col("n_chars"), 0.5).alias("lower_median"))
+    return evaluation.floor_percentiles(table(spark, root, "documents"), ["source"], "n_chars", (0.5,)).select("source", F.col("value").alias("lower_median"))
 
 
 @query("SELECT count(*) AS documents, count(*) - count(DISTINCT text) AS repeated, count(*) FILTER (lang IS NULL) AS no_language, count(*) FILTER (regexp_matches(text, '(?i)điều \\d+')) AS citing, count(DISTINCT source) AS sources FROM documents")
@@ -275,16 +348,6 @@ def a14_duplicate_chunks(spark, root):
     return table(spark, root, "documents").groupBy(F.md5("text")).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1).alias("repeated"), F.count_if(F.col("c") > 1).alias("groups"))
 
 
-_GRADE = "CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
-
-
-@query(f"WITH q AS (SELECT DISTINCT question_id, chunk_id, {_GRADE} AS g FROM citation_qrels), b AS (SELECT question_id, max(g) AS best, count(DISTINCT chunk_id) AS chunks FROM q GROUP BY 1) SELECT best, count(*) AS questions, CAST(sum(chunks) AS BIGINT) AS pairs FROM b GROUP BY best")
-def a15_label_coverage(spark, root):
-    g = F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1)
-    best = table(spark, root, "citation_qrels").groupBy("question_id").agg(F.max(g).alias("best"), F.countDistinct("chunk_id").alias("chunks"))
-    return best.groupBy("best").agg(F.count("*").alias("questions"), F.sum("chunks").alias("pairs"))
-
-
 def _judged(spark, root) -> DataFrame:
     """Documents of the query's source are its relevant documents: labels that any engine can follow."""
     docs = table(spark, root, "documents").select("doc_id", "source")
@@ -334,7 +397,7 @@ def a21_paired_runs(spark, root):
 
 @query(f"WITH {_CHUNKS_SQL}, e AS (SELECT 'doc:' || doc_id AS src, chunk_id AS dst FROM c UNION SELECT chunk_id, 'doc:' || doc_id FROM c) SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM e UNION SELECT dst FROM e)) AS nodes, count(*) AS edges FROM e")
 def a23_graph_statistics(spark, root):
-    e = r16_graph_containment(spark, root)
+    e = R.citation_graph(_parents(spark, root)).where("relation IN ('CONTAINS', 'CONTAINED_BY')")
     nodes = e.select("src").union(e.select("dst")).distinct().agg(F.count("*").alias("nodes"))
     return nodes.crossJoin(F.broadcast(e.agg(F.count("*").alias("edges"))))
 
@@ -350,9 +413,15 @@ def a25_validate_answers(spark, root):
     return evaluation.validate_answers(one("split <> 'public'"), one("split <> 'train'")).drop("min_words", "max_words")
 
 
-@query("SELECT md5(text) AS fingerprint, min(doc_id) AS kept, count(DISTINCT doc_id) AS copies FROM documents GROUP BY 1")
+@query(f"SELECT sha256({canonical_sql('text')}) AS fingerprint, min(doc_id) AS kept, count(DISTINCT doc_id) AS copies FROM documents GROUP BY 1")
 def h01_exact_duplicates(spark, root):
-    return hygiene.exact_groups(table(spark, root, "documents"), F.md5("text")).drop("source_ids")
+    return hygiene.exact_groups(spread_table(spark, root, "documents"), T.fingerprint(F.col("text")))[0]
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {canonical_sql('text')}) AS kept FROM documents")
+def h01_duplicate_members(spark, root):
+    groups, members = hygiene.exact_groups(spread_table(spark, root, "documents"), T.fingerprint(F.col("text")))
+    return members.join(groups, "fingerprint").select("doc_id", "kept")
 
 
 @query()
@@ -411,10 +480,11 @@ def j04_semi_join(spark, root):
     return spread_table(spark, root, "legal_documents").select("id").distinct().join(table(spark, root, "raw_inventory").where("json_valid").select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
-@query("SELECT 'missing' AS side, id FROM (SELECT DISTINCT id FROM legal_documents EXCEPT SELECT doc_id FROM raw_inventory) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM raw_inventory EXCEPT SELECT id FROM legal_documents)")
+@query("SELECT 'missing' AS side, id FROM (SELECT id FROM qa_examples WHERE split = 'validation' EXCEPT SELECT question_id FROM citation_qrels) UNION ALL SELECT 'extra', question_id FROM (SELECT question_id FROM citation_qrels EXCEPT SELECT id FROM qa_examples WHERE split = 'validation')")
 def j12_id_reconciliation(spark, root):
-    a, b = spread_table(spark, root, "legal_documents").select("id").distinct(), table(spark, root, "raw_inventory").select(F.col("doc_id").alias("id")).distinct()
-    return a.join(b, "id", "left_anti").select(F.lit("missing").alias("side"), "id").union(b.join(a, "id", "left_anti").select(F.lit("extra").alias("side"), "id"))
+    """Questions of the validation split without a label, and labels of other questions."""
+    a, b = spread_table(spark, root, "qa_examples").where("split = 'validation'").select("id").distinct(), table(spark, root, "citation_qrels").select(F.col("question_id").alias("id")).distinct()
+    return quality.reconciled(a, b, "id")
 
 
 @query(f"WITH {_CHUNKS_SQL}, r AS (SELECT DISTINCT question_id, confidence, regexp_extract(chunk_id, '^doc_(.+)_article_', 1) AS doc_id, regexp_extract(chunk_id, '_article_([^_]+)_', 1) AS article FROM citation_qrels) SELECT question_id, r.doc_id, r.article, confidence, count(c.chunk_id) AS chunks FROM r LEFT JOIN c ON r.doc_id = c.doc_id AND r.article = c.article GROUP BY ALL")
@@ -428,7 +498,8 @@ def j07_label_targets(spark, root):
 
 @query()
 def j14_band_self_join(spark, root):
-    signed = materialise(table(spark, root, "documents").select("doc_id", hygiene.simhash(F.col("text")).alias("sig")), "signed")
+    d = spread_table(spark, root, "legal_documents").where("passage IS NOT NULL").select(F.col("id").alias("doc_id"), "passage").distinct()
+    signed = materialise(d.select("doc_id", hygiene.simhash(F.col("passage"), block=100).alias("sig")), "signed")
     return hygiene.near_pairs(signed)
 
 

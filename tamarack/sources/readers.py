@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
+from tamarack.operators import quality
 from tamarack.sources import schemas
 
 _ALIASES = "MAP<STRING, STRUCT<question_id: STRING, id: STRING, question_model: STRING, question: STRING, answer_model: STRING, answer: STRING>>"
@@ -73,9 +75,28 @@ def parse_contexts(members: DataFrame) -> DataFrame:
 
 
 def contexts_digest(members: DataFrame) -> DataFrame:
-    """One row: SHA-256 over (name, NUL, SHA-256 of the payload) of all members in the order of their names."""
-    line = F.concat("member", F.lit("\u0000"), "sha256")
-    return members.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("members"))
+    """One row: SHA-256 over (name, NUL, SHA-256 of the payload) of all members in the order of their names.
+
+    The order is made by the cluster; the driver takes the sorted lines one part at a time and holds none of them.
+    """
+    digest, count = hashlib.sha256(), 0
+    for row in members.select("member", "sha256").orderBy("member", "sha256").toLocalIterator():
+        digest.update((("\n" if count else "") + f"{row.member}\u0000{row.sha256}").encode())
+        count += 1
+    return members.sparkSession.createDataFrame([(digest.hexdigest(), count)], "digest string, members bigint")
+
+
+def document_violations(docs: DataFrame) -> DataFrame:
+    """(rule, key) of documents (doc_id, title, text, source, access_scope): ids plain and unique, no blank field."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    rules = {"document_id_plain": F.col("doc_id").cast("string").rlike(r"^\S+$")} | {f"{c}_present": filled(c) for c in ("title", "text", "source", "access_scope")}
+    return quality.violations(docs, "doc_id", rules).unionByName(quality.repeated_keys(docs, "doc_id", "document_id_unique"))
+
+
+def question_violations(questions: DataFrame) -> DataFrame:
+    """(rule, key) of questions (id, question): ids present and unique, no blank question."""
+    rules = {"question_id_present": F.trim(F.coalesce("id", F.lit(""))) != "", "question_present": F.trim(F.coalesce("question", F.lit(""))) != ""}
+    return quality.violations(questions, "id", rules).unionByName(quality.repeated_keys(questions, "id", "question_id_unique"))
 
 
 def read_lines(spark: SparkSession, path: str, schema, strict: bool = True) -> DataFrame:
@@ -94,6 +115,6 @@ def read_warmup(spark: SparkSession, path: str, labels: bool) -> DataFrame:
 
 
 def summarize_warmup(rows: DataFrame) -> DataFrame:
-    """One row (records, unique_questions, empty_answers)."""
+    """One row (records, unique_questions, empty_answers, digest); the digest is free of order."""
     blank = F.col("answer").isNull() | (F.trim(F.col("answer").cast("string")) == "")
-    return rows.agg(F.count("*").alias("records"), F.countDistinct("question").alias("unique_questions"), F.count_if(blank).alias("empty_answers"))
+    return rows.agg(F.count("*").alias("records"), F.countDistinct("question").alias("unique_questions"), F.count_if(blank).alias("empty_answers"), F.lower(F.hex(F.coalesce(F.bit_xor(F.xxhash64("id", "question", F.col("answer").cast("string"))), F.lit(0)))).alias("digest"))

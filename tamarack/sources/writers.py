@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import tempfile
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,43 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_json(path: str, value: object) -> None:
+    """One JSON value in a local file, in full or not at all: it is written beside its place and then moved there."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=folder, suffix=".part", delete=False) as part:
+        json.dump(value, part, ensure_ascii=False, indent=2, sort_keys=True)
+        part.flush()
+        os.fsync(part.fileno())
+    os.replace(part.name, path)
+
+
+def check_archive(data: bytes, expected_ids: set[str], member: str = "results.json") -> list[str]:
+    """What is wrong with an answer archive: members, encoding, repeated or missing or unknown ids, fields, blank answers."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = archive.namelist()
+        if names != [member]:
+            return [f"members are {names}"]
+        raw = archive.read(member)
+    found = ["byte-order mark"] if raw.startswith(b"\xef\xbb\xbf") else []
+    repeated: list[str] = []
+
+    def unique(pairs: list[tuple[str, object]]) -> dict:
+        keys = [k for k, _ in pairs]
+        repeated.extend(sorted({k for k in keys if keys.count(k) > 1}) if len(set(keys)) < len(keys) else [])
+        return dict(pairs)
+
+    try:
+        rows = json.loads(raw.decode("utf-8-sig"), object_pairs_hook=unique)
+    except (UnicodeDecodeError, json.JSONDecodeError) as e:
+        return [*found, f"unreadable: {e}"]
+    if not isinstance(rows, dict):
+        return [*found, "not an object"]
+    found += [f"repeated {k}" for k in repeated] + [f"missing {k}" for k in sorted(expected_ids - rows.keys())] + [f"unknown {k}" for k in sorted(rows.keys() - expected_ids)]
+    found += [f"fields of {k}" for k, r in rows.items() if not isinstance(r, dict) or set(r) != {"answer"}]
+    return found + [f"blank {k}" for k, r in rows.items() if isinstance(r, dict) and not str(r.get("answer") or "").strip()]
+
+
 def build_index(chunks: DataFrame, tokens: Column, path: str, buckets: int = 200) -> dict[str, int]:
     """Writes a search index of chunks (doc_id, ...): ``postings`` and ``lengths``, and checks their counts.
 
@@ -37,10 +76,9 @@ def build_index(chunks: DataFrame, tokens: Column, path: str, buckets: int = 200
 
 def append_vectors(spark: SparkSession, docs: DataFrame, encode, path: str) -> None:
     """Appends unit vectors of the documents that ``path`` has none of yet; ``encode`` maps a text column to arrays."""
-    try:
-        done = spark.read.parquet(path).select("doc_id")
-    except Exception:  # nothing written yet
-        done = spark.createDataFrame([], docs.select("doc_id").schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    done = spark.read.parquet(path).select("doc_id") if there else spark.createDataFrame([], docs.select("doc_id").schema)
     todo = docs.join(done, "doc_id", "left_anti").withColumn("v", encode)
     norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
     todo.select("doc_id", F.transform("v", lambda x: (x / norm).cast("float")).alias("vector")).write.mode("append").parquet(path)
