@@ -6,6 +6,11 @@ with the answer that says so. Null and blank texts are no evidence.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +129,19 @@ def neighbour_answers(channels: dict[str, DataFrame], answered: DataFrame, weigh
 def hashed_vectors(docs: DataFrame, tokens: Column, dims: int = 64) -> DataFrame:
     """(doc_id, vector): counts of terms by the hash of the term, the stand-in for a trained encoder.
 
-    Any column of arrays takes its place in ``ranking.nearest``; a text without terms has a zero vector.
+    Any column of arrays takes its place in ``ranking.nearest``; a text without terms has a zero vector. A batch's
+    distinct terms are hashed once.
     """
-    cell = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
-    cells = docs.select("doc_id", F.transform(F.coalesce(tokens, F.array().cast("array<string>")), cell).alias("cells"))
-    count = lambda i: F.size(F.filter("cells", lambda c: c == i)).cast("double")
-    return cells.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), count).alias("vector"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = np.asarray(lists.offsets, dtype=np.int64)
+            coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+            cells = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims for t in coded.dictionary.to_pylist()], np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            counts = np.bincount(owner * dims + cells[np.asarray(coded.indices)] if len(owner) else np.zeros(0, np.int64), minlength=batch.num_rows * dims).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dims, pa.int32()), pa.array(counts))], ["doc_id", "vector"])
+
+    given = docs.select("doc_id", F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("t"))
+    return given.mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector array<double>")
