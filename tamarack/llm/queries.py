@@ -200,8 +200,38 @@ def _runs_sql(key: str, name: str) -> str:
     return f"SELECT DISTINCT {key}, hash(array_to_string(ws[i:i + 14], ' ')) AS g FROM (SELECT {key}, {words} AS ws, unnest(range(1, len({words}) - 13)) AS i FROM {name})"
 
 
+def _form_sql(x: str) -> str:
+    """The consistent form as far as comparisons need it: widths, look-alikes, invisible characters and accents.
+
+    Letters of words in another alphabet are mapped too, alike in all texts, which leaves equality of words as it is.
+    """
+    pairs = [(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)] + [(k, v) for letters in forms.LOOKALIKES.values() for k, v in letters.items()]
+    other, plain = ("".join(p[k] for p in pairs).replace("'", "''") for k in (0, 1))
+    bare = f"regexp_replace({x}, '[\\x{{00ad}}\\x{{034f}}\\x{{061c}}\\x{{180e}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{fe00}}-\\x{{fe0f}}\\x{{feff}}]', '', 'g')"
+    return f"lower(nfc_normalize(translate({bare}, '{other}', '{plain}')))"
+
+
+_WORDS_SQL = "regexp_extract_all({x}, '[\\p{{L}}\\p{{Nd}}]+')"
+_OVERLAP_SQL = f"""WITH d AS (SELECT DISTINCT id, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS side, {_WORDS_SQL.format(x=_form_sql("coalesce(question, '')"))} AS q, {_WORDS_SQL.format(x=_form_sql("coalesce(answer, '')"))} AS a FROM qa_examples),
+ t AS (SELECT id, side, len(a) > 0 AS has, 0 AS kind, q AS ws FROM d UNION ALL SELECT id, side, true, 1, list_concat(q, a) FROM d WHERE len(a) > 0),
+ g AS (SELECT DISTINCT id, side, has, kind, hash(array_to_string(ws[i:i + 2], ' ')) AS g FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM t)),
+ n AS (SELECT id, kind, has, count(*) AS n FROM g GROUP BY ALL),
+ c AS (SELECT x.id AS a, y.id AS b, x.kind AS kind, x.has AS ha, y.has AS hb, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.kind = y.kind AND x.side = 0 AND y.side = 1 AND (x.kind = 1 OR NOT (x.has AND y.has)) GROUP BY ALL)
+ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM c JOIN n p ON p.id = a AND p.kind = c.kind AND p.has = ha JOIN n r ON r.id = b AND r.kind = c.kind AND r.has = hb WHERE c.c >= 0.7 * (p.n + r.n - c.c) - 1e-9"""
+_NUMBER_SQL = "(?i)(?:^|[^\\p{L}\\p{N}])(\\d+\\s*/\\s*\\d{4}\\s*/\\s*\\p{L}{2,}(?:\\s*-\\s*\\p{L}{2,})+)"
+_RELATED_SQL = f"""WITH RECURSIVE r AS (SELECT id, author, question, true AS qa FROM qa_examples UNION ALL SELECT query_id, NULL, question, false FROM task2_warmup),
+ k AS (SELECT DISTINCT id, key FROM (
+  SELECT id, 't:' || nullif(regexp_extract(id, '(?:^|[^0-9])([0-9]{{8}})(?:$|[^0-9])', 1), '') AS key FROM r WHERE qa
+  UNION ALL SELECT id, 'a:' || nullif(lower(trim(author)), '') FROM r
+  UNION ALL SELECT id, 'd:' || upper(regexp_replace(unnest(regexp_extract_all(regexp_replace({_form_sql("question")}, '[\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g'), '{_NUMBER_SQL}', 1)), '\\s+', '', 'g')) FROM r) WHERE key IS NOT NULL),
+ h AS (SELECT key, min(id) AS b FROM k GROUP BY key), s AS (SELECT DISTINCT id AS a, b FROM k JOIN h USING (key) WHERE id <> b), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
+ w AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.a, w.root FROM w JOIN e ON e.b = w.id)
+ SELECT id AS record_id, min(root) AS group_id FROM w GROUP BY id"""
+
 #: SQL for the queries that SQL can express on whole tables; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "p3_found": f"WITH {_KEYS_SQL} SELECT id, field, CAST(line_no AS BIGINT) AS line_no FROM l JOIN o USING (source, field, k)",
+    "p4_found": _OVERLAP_SQL,
+    "p7_found": _RELATED_SQL,
     "p8_found": f"WITH d AS ({_runs_sql('doc_id', 'documents')}), e AS ({_runs_sql('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
 }
