@@ -93,12 +93,13 @@ def floor_percentiles(df: DataFrame, by: list[str], column: str, shares: tuple[f
 
     Values are counted first, so that no group is gathered: a window goes over the distinct values of a group.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy(*by)
-    upto = F.sum("c").over(whole.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumns({"upto": upto, "n": F.sum("c").over(whole)}).withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
-    place = F.floor((F.col("n") - 1) * F.col("share"))
-    return placed.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select(*by, "share", F.col(column).alias("value"))
+    counted = df.where(F.col(column).isNotNull()).groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(column).alias("_value")).agg(F.count("*").alias("_c"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(whole)}).withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    place = F.floor((F.col("_n") - 1) * F.col("share"))
+    return placed.where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "share", F.col("_value").alias("value"))
 
 
 def answer_cases(predicted: DataFrame, expected: DataFrame) -> DataFrame:
@@ -159,3 +160,35 @@ def agent_metrics(queries: DataFrame, ranking: DataFrame, answers: DataFrame, re
         F.count("*").alias("queries"), F.count_if(can).alias("answerable"), F.avg(F.when(can, F.col("first").isNotNull().cast("double"))).alias("recall"), F.avg(F.when(can, F.coalesce(1 / F.col("first"), F.lit(0.0)))).alias("mrr"),
         F.avg((F.coalesce("abstained", F.lit(True)) != can).cast("double")).alias("abstention_accuracy"), F.avg(whole.cast("double")).alias("citation_integrity"),
     )
+
+
+def retrieval_report(ranking: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
+    """(scope, queries, mrr, recall_k..., hit_k..., ndcg_k..., first_ndcg) over the labels of high confidence and over all.
+
+    labels (query_id, doc_id, confidence). Unlabelled queries are left out; ``first_ndcg`` is the gain of the first hit.
+    """
+    scopes = []
+    for scope, part in (("HIGH", labels.where("confidence = 'HIGH'")), ("ALL", labels)):
+        m = M.retrieval_metrics(ranking, part, ks)
+        first = F.when(F.col("rr") > 0, 1 / F.log2(1 / F.col("rr") + 1)).otherwise(0.0)
+        means = [F.round(F.avg(c), 6).alias(n) for c, n in [("rr", "mrr"), *[(f"{x}_{k}", f"{x}_{k}") for k in ks for x in ("recall", "hit", "ndcg")]]]
+        scopes.append(m.agg(F.lit(scope).alias("scope"), F.count("*").alias("queries"), *means, F.round(F.avg(first), 6).alias("first_ndcg")))
+    return scopes[0].unionByName(scopes[1])
+
+
+def token_report(df: DataFrame, by: str, tokens, limits: tuple[int, ...], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(by, name, value): number, mean and percentiles of token counts of each group, and how many exceed each limit.
+
+    ``tokens`` is a column of token counts: of words, or of any tokenizer as a function over batches.
+    """
+    counted = df.select(by, tokens.cast("bigint").alias("n"))
+    sums = counted.groupBy(by).agg(F.count("n").cast("double").alias("count"), F.round(F.avg("n"), 4).alias("mean"), *[F.count_if(F.col("n") > m).cast("double").alias(f"over_{m}") for m in limits])
+    names = [c for c in sums.columns if c != by]
+    flat = sums.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])).alias("x")).select(by, "x.name", "x.value")
+    places = floor_percentiles(counted, [by], "n", shares).select(by, F.concat(F.lit("p"), F.round(F.col("share") * 100).cast("int").cast("string")).alias("name"), F.col("value").cast("double").alias("value"))
+    return flat.unionByName(places)
+
+
+def file_report(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    """``answer_report`` of prediction and reference records (id, question, answer) as ``readers.read_qa`` gives them."""
+    return answer_report(scored_cases(answer_cases(predictions, references)))

@@ -76,3 +76,10 @@ def reconciled(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(side, key): keys that are ``missing`` of the expected ones, and ``extra`` ones."""
     a, b = expected.select(key).distinct(), found.select(key).distinct()
     return a.join(b, key, "left_anti").select(F.lit("missing").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("extra").alias("side"), key))
+
+
+def id_list_violations(answers: DataFrame, most: int = 100) -> DataFrame:
+    """(rule, key) of answers (id, found): lists of ids that are missing, empty, too long, or have an id twice."""
+    size = F.size(F.coalesce("found", F.array().cast("array<string>")))
+    rules = {"ids_present": size > 0, "ids_bounded": size <= most, "ids_unique": size == F.size(F.array_distinct(F.coalesce("found", F.array().cast("array<string>"))))}
+    return violations(answers, "id", rules).unionByName(repeated_keys(answers, "id", "answer_id_unique"))

@@ -256,6 +256,25 @@ def lexical_rerank(ranking: DataFrame, queries: DataFrame, docs: DataFrame, k: i
     return top_k(met.select("query_id", "doc_id", score.alias("score")), k)
 
 
+def model_rerank(ranking: DataFrame, queries: DataFrame, docs: DataFrame, score, k: int = 50) -> DataFrame:
+    """The first ``k`` of a ranking scored anew by a model: ``score`` takes pairs (query, text) and gives numbers.
+
+    queries (query_id, text), docs (doc_id, text). Scores go through a logistic function; the model is loaded where
+    ``score`` first runs on a worker. Null texts are empty ones.
+    """
+    first = ranking.where(F.col("rank") <= k).select("query_id", "doc_id")
+    met = first.join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("q")), "query_id").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("d")), "doc_id")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.asarray(score(batch.column(2).to_pylist(), batch.column(3).to_pylist()), float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(raw, -60, 60))))], ["query_id", "doc_id", "score"])
+
+    kinds = [met.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")]
+    scored = met.select("query_id", "doc_id", "q", "d").mapInArrow(judge, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top_k(scored.withColumn("score", F.round("score", 12)), k)
+
+
 # Words that mark entities, conditions and conjunctions in questions.
 ENTITIES = r"(?iuU)\b(?:người\s+lao\s+động|người\s+sử\s+dụng\s+lao\s+động|người|cá\s+nhân|tổ\s+chức|doanh\s+nghiệp|cơ\s+quan|đơn\s+vị|bên\s+mua|bên\s+bán|người\s+vi\s+phạm|người\s+nộp\s+thuế)\b"
 CONDITIONS = r"(?iuU)\b(?:nếu|khi|trong\s+trường\s+hợp|trừ\s+trường\s+hợp|với\s+điều\s+kiện|tùy\s+theo|đồng\s+thời|ngoại\s+trừ)\b"

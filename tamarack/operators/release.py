@@ -81,6 +81,22 @@ def corpus_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def eda_report(qa: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
+    """(section, name, value): counts, repeats beyond the first, mentions of articles and numbers, lengths at the usual places."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = qa.agg(
+        F.count("*").alias("records"), (F.count("*") - F.countDistinct(T.canonical_text(F.col(question)))).alias("repeated_questions"), F.count_if(F.trim(text(answer)) == "").alias("empty_answers"),
+        F.count_if(text(answer).rlike(r"(?iu)điều\s+\d+")).alias("answers_with_article"), F.count_if(text(answer).rlike(r"\d{1,5}/\d{4}/")).alias("answers_with_number"),
+    )
+    counts = one.select(F.explode(F.array(*[F.struct(F.lit("count").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one.columns])).alias("x")).select("x.*")
+    shares = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+    places = [
+        qa.agg(F.percentile(F.length(text(c)), F.array(*[F.lit(x) for x in shares])).alias("p")).select(F.explode(F.array(*[F.struct(F.lit(f"{name}_chars").alias("section"), F.lit(f"p{x * 100:g}").alias("name"), F.floor(F.col("p")[i]).cast("double").alias("value")) for i, x in enumerate(shares)])).alias("x")).select("x.*")
+        for name, c in (("question", question), ("answer", answer))
+    ]
+    return reduce(DataFrame.unionByName, [counts, *places])
+
+
 def clause_index(chunks: DataFrame) -> DataFrame:
     """(doc_id, article, clause, chunk_id): a chunk under each clause that it holds, its own among them."""
     own = F.when(F.col("clause").isNotNull(), F.array("clause")).otherwise(F.array().cast("array<string>"))

@@ -301,10 +301,13 @@ def a01_corpus_statistics(spark, root):
     return posts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("SELECT source, CAST(quantile_cont(n_chars, 0.25) AS BIGINT) AS p25, CAST(floor(quantile_cont(n_chars, 0.5)) AS BIGINT) AS p50, CAST(floor(quantile_cont(n_chars, 0.95)) AS BIGINT) AS p95 FROM documents GROUP BY source".replace("CAST(quantile_cont(n_chars, 0.25)", "CAST(floor(quantile_cont(n_chars, 0.25))"))
+_SHARES = (0, 25, 50, 75, 90, 95, 99, 100)
+
+
+@query("SELECT source, " + ", ".join(f"CAST(floor(quantile_cont(n_chars, {x / 100})) AS BIGINT) AS p{x}" for x in _SHARES) + " FROM documents GROUP BY source")
 def a06_percentiles(spark, root):
-    p = F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95)))
-    return table(spark, root, "documents").groupBy("source").agg(p.alias("p")).select("source", *[F.floor(F.col("p")[i]).cast("bigint").alias(n) for i, n in enumerate(("p25", "p50", "p95"))])
+    p = F.percentile("n_chars", F.array(*[F.lit(x / 100) for x in _SHARES]))
+    return table(spark, root, "documents").groupBy("source").agg(p.alias("p")).select("source", *[F.floor(F.col("p")[i]).cast("bigint").alias(f"p{x}") for i, x in enumerate(_SHARES)])
 
 
 @query("SELECT source, quantile_disc(n_chars, 0.5) AS lower_median FROM (SELECT source, n_chars FROM documents) GROUP BY source")
@@ -317,11 +320,6 @@ def a08_corpus_report(spark, root):
     return table(spark, root, "documents").agg(F.count("*").alias("documents"), (F.count("*") - F.countDistinct("text")).alias("repeated"), F.count_if(F.col("lang").isNull()).alias("no_language"), F.count_if(F.col("text").rlike(r"(?iu)điều \d+")).alias("citing"), F.countDistinct("source").alias("sources"))
 
 
-@query("SELECT CAST(sum(length(raw_text)) AS BIGINT) AS raw_chars, CAST(sum(length(retrieval_text)) AS BIGINT) AS retrieval_chars, CAST(sum(length(generation_text)) AS BIGINT) AS generation_chars, count(*) FILTER (retrieval_text <> generation_text) AS changed FROM legal_documents")
-def a09_sanitation_totals(spark, root):
-    return spread_table(spark, root, "legal_documents").agg(*[F.sum(F.length(f"{n}_text")).alias(f"{n}_chars") for n in ("raw", "retrieval", "generation")], F.count_if(F.col("retrieval_text") != F.col("generation_text")).alias("changed"))
-
-
 @query(f"WITH b AS (SELECT id, lower(trim(regexp_replace(unnest(string_split(passage, chr(10))), '\\s+', ' ', 'g'))) AS b FROM (SELECT DISTINCT id, passage FROM legal_documents)), k AS (SELECT id, b, count(*) AS c FROM b WHERE length(b) >= 100 AND length(regexp_replace(b, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(b) >= 0.25 AND len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+')) >= 8 GROUP BY ALL) SELECT id AS doc_id, CAST(sum(c) AS BIGINT) AS blocks, count(*) AS unique_blocks, round(1 - count(*) / sum(c), 6) AS ratio, max(c) AS max_frequency FROM k GROUP BY id")
 def a10_repetition(spark, root):
     d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), F.regexp_replace("passage", "\n", "\n\n").alias("passage")).distinct()
@@ -343,11 +341,6 @@ def a13_inventory_histogram(spark, root):
     return table(spark, root, "raw_inventory").groupBy("source_task", "json_valid").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-@query("WITH g AS (SELECT md5(text) AS h, count(*) AS c FROM documents GROUP BY 1) SELECT CAST(sum(c - 1) AS BIGINT) AS repeated, count(*) FILTER (c > 1) AS groups FROM g")
-def a14_duplicate_chunks(spark, root):
-    return table(spark, root, "documents").groupBy(F.md5("text")).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1).alias("repeated"), F.count_if(F.col("c") > 1).alias("groups"))
-
-
 def _judged(spark, root) -> DataFrame:
     """Documents of the query's source are its relevant documents: labels that any engine can follow."""
     docs = table(spark, root, "documents").select("doc_id", "source")
@@ -519,12 +512,6 @@ def v02_grid_search(spark, root):
     return evaluation.pareto(found, "avg_k", "recall")
 
 
-@query("SELECT source, count(*) AS n, round(avg(len(" + w("text") + ")), 4) AS mean_words, count(*) FILTER (len(" + w("text") + ") > 256) AS over_256 FROM documents GROUP BY source")
-def v10_token_lengths(spark, root):
-    d = table(spark, root, "documents").select("source", F.size(T.word_tokens(F.col("text"))).alias("n"))
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n"), 4).alias("mean_words"), F.count_if(F.col("n") > 256).alias("over_256"))
-
-
 @query("SELECT id, CASE WHEN name IS NULL OR trim(name) = '' THEN coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(link, ''), '([^/]*)/?$', 1), '(?i)\\.aspx$', ''), '-\\d+$', ''), '[-_]+', ' ', 'g')), ''), 'Văn bản ' || id) ELSE name END AS name FROM legal_documents")
 def s08_names_from_links(spark, root):
     named = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", T.name_from_link(F.col("link"), F.col("id"))).otherwise(F.col("name"))

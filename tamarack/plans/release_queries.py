@@ -369,3 +369,65 @@ def c05_answer_labels(spark, root):
     ids = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("bigint") * 10)).alias("f"))
     made = ids.select("l_orderkey", release.answer_only_labels(F.slice("f", 1, 2), F.col("f"), 5).alias("x")).where("x IS NOT NULL")
     return made.select("l_orderkey", "x.labels", F.col("x.target_tokens").cast("bigint").alias("target_tokens"))
+
+
+# More reports
+
+_SHARES = (0, 25, 50, 75, 90, 95, 99, 100)
+
+
+@query("WITH q AS (SELECT id, min(question) AS q, min(answer) AS a FROM qa_examples GROUP BY id), c AS (SELECT count(*) AS records, count(*) FILTER (regexp_matches(coalesce(a, ''), '^ *$')) AS empty_answers, count(*) FILTER (regexp_matches(coalesce(a, ''), '(?i)điều\\s+\\d+')) AS answers_with_article, count(*) FILTER (regexp_matches(coalesce(a, ''), '\\d{1,5}/\\d{4}/')) AS answers_with_number FROM q), p AS (SELECT " + ", ".join(f"floor(quantile_cont(length(coalesce({c}, '')), {x / 100})) AS {c}{x}" for c in "qa" for x in _SHARES) + " FROM q) " + " UNION ALL ".join([f"SELECT 'count' AS section, '{n}' AS name, CAST({n} AS DOUBLE) AS value FROM c" for n in ("records", "empty_answers", "answers_with_article", "answers_with_number")] + [f"SELECT '{n}_chars', 'p{x}', CAST({c}{x} AS DOUBLE) FROM p" for c, n in (("q", "question"), ("a", "answer")) for x in _SHARES]))
+def h16_eda_report(spark, root):
+    one = spread_table(spark, root, "qa_examples").groupBy("id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"))
+    return release.eda_report(one).where("name <> 'repeated_questions'")
+
+
+@query("WITH l AS (SELECT id, unnest(string_split(passage, chr(10))) AS line, generate_subscripts(string_split(passage, chr(10)), 1) - 1 AS line_no FROM (SELECT DISTINCT id, passage FROM legal_documents)), m AS (SELECT *, nullif(lower(regexp_extract(line, '(?i)^\\s*điều\\s+(\\d+[a-zđ]?)', 1)), '') AS a, nullif(lower(regexp_extract(line, '(?i)^\\s*chương\\s+([ivxlcdm]+|\\d+)(?:$|[^\\p{L}\\p{N}_])', 1)), '') AS c, nullif(regexp_extract(line, '(?i)^\\s*mục\\s+(\\d+)(?:$|[^\\p{L}\\p{N}_])', 1), '') AS s FROM l), n AS (SELECT *, count(c) OVER (PARTITION BY id ORDER BY line_no) AS k FROM m), o AS (SELECT *, max(c) OVER (PARTITION BY id, k) AS chapter, count(s) OVER (PARTITION BY id, k ORDER BY line_no) AS j FROM n) SELECT doc_id, line_no, article, chapter, section FROM (SELECT id AS doc_id, line_no, a AS article, chapter, max(s) OVER (PARTITION BY id, k, j) AS section FROM o) WHERE article IS NOT NULL")
+def w05_headings(spark, root):
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "passage").distinct()
+    return chunking.headings(d, "passage").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "article", "chapter", "section")
+
+
+def _labelled_ranking(spark, root) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, root, "citation_qrels").select(F.col("question_id").alias("query_id"), F.col("chunk_id").alias("doc_id"), "confidence").distinct()
+    labels = materialise(labels, "labels")
+    chunks = materialise(RQ._chunks(spark, root).select(F.col("chunk_id").alias("doc_id"), T.legal_tokens(F.col("body")).alias("tokens")), "chunks")
+    asked = spread_table(spark, root, "qa_examples").join(labels.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("query_id")).agg(F.min("question").alias("question"))
+    return R.bm25(chunks, R.query_terms(asked, T.legal_tokens(F.col("question"))), 20), labels
+
+
+_LABELLED = "aq AS (SELECT id AS query_id, min(question) AS question FROM qa_examples WHERE id IN (SELECT question_id FROM citation_qrels) GROUP BY id)"
+_BODIES = RQ.ARTICLE_BODIES.replace("p AS (SELECT * FROM hd", "ar AS (SELECT * FROM hd").replace("l AS (SELECT id, number", "li AS (SELECT id, number").replace("FROM l WHERE", "FROM li WHERE")
+_SCOPE = "SELECT '{scope}' AS scope, count(*) AS queries, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(h5 / n, 0)), 6) AS recall_5, round(avg(coalesce(g5 / ideal, 0)), 6) AS ndcg_5 FROM (SELECT query_id, count(*) AS n, list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM lb WHERE {where} GROUP BY 1) z LEFT JOIN (SELECT query_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS h5, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS g5 FROM (SELECT DISTINCT b.query_id, b.doc_id, rank FROM b JOIN lb USING (query_id, doc_id) WHERE rank <= 20 AND {where}) GROUP BY 1) y USING (query_id)"
+
+
+@query(f"WITH {_BODIES}, {_LABELLED}, {RQ.posts_sql('(SELECT chunk_id AS doc_id, body FROM ar)', 'body', 'aq', 'question')}, {RQ.bm25_sql(RQ.IDF)}, lb AS (SELECT DISTINCT question_id AS query_id, chunk_id AS doc_id, confidence FROM citation_qrels), dh AS (SELECT 1) " + _SCOPE.format(scope="HIGH", where="confidence = 'HIGH'") + " UNION ALL " + _SCOPE.format(scope="ALL", where="true").replace("FROM lb WHERE true", "FROM (SELECT DISTINCT query_id, doc_id FROM lb) lb"))
+def v05_label_evaluation(spark, root):
+    """BM25 over articles for the labelled questions, against the labels of high confidence and against all."""
+    ranked, labels = _labelled_ranking(spark, root)
+    return evaluation.retrieval_report(ranked, labels).select("scope", "queries", "mrr", "recall_5", "ndcg_5")
+
+
+@query("WITH n AS (SELECT source, len(" + w("text") + ") AS n FROM documents) SELECT source, count(*) AS n, round(avg(n), 4) AS mean, count(*) FILTER (n > 256) AS over_256, count(*) FILTER (n > 512) AS over_512, quantile_disc(n, 0.0) AS p0 FROM n GROUP BY source")
+def v10_token_lengths(spark, root):
+    d = table(spark, root, "documents").select("source", "text")
+    report = evaluation.token_report(d, "source", F.size(T.word_tokens(F.col("text"))), (256, 512), (0.0,))
+    wide = report.groupBy("source").pivot("name", ["count", "mean", "over_256", "over_512", "p0"]).agg(F.first("value"))
+    return wide.select("source", F.col("count").cast("bigint").alias("n"), "mean", *[F.col(c).cast("bigint").alias(c) for c in ("over_256", "over_512", "p0")])
+
+
+@query(f"SELECT count(*) AS documents, CAST(sum(length(coalesce(raw_text, ''))) AS BIGINT) AS raw_chars, CAST(sum(length({normal_sql('raw_text')})) AS BIGINT) AS normalized_chars, CAST(sum(len(list_filter(string_split({normal_sql('raw_text')}, chr(10)), lambda l: regexp_matches({WS.format(x='lower(l)')}, '^trang chủ > .*$')))) AS BIGINT) AS lines_removed FROM legal_documents")
+def a09_sanitation_totals(spark, root):
+    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "raw_text")
+    return hygiene.sanitation_totals(hygiene.sanitize(d, "raw_text", [], [], ["trang chủ > .*"])).select("documents", "raw_chars", "normalized_chars", "lines_removed")
+
+
+@query("SELECT source_task AS id, count(*) AS n FROM raw_inventory GROUP BY 1 HAVING count(*) > 0")
+def a13_histogram(spark, root):
+    return table(spark, root, "raw_inventory").groupBy(F.col("source_task").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RQ.ARTICLE_BODIES}, g AS (SELECT sha256({canonical_sql('body')}) AS h, count(*) AS c FROM p GROUP BY 1) SELECT CAST(sum(c - 1) AS BIGINT) AS repeated, count(*) FILTER (c > 1) AS groups FROM g")
+def a14_duplicate_chunks(spark, root):
+    groups, _ = hygiene.exact_groups(RQ._chunks(spark, root).select(F.col("chunk_id").alias("doc_id"), "body"), T.fingerprint(F.col("body")))
+    return groups.agg(F.sum(F.col("copies") - 1).alias("repeated"), F.count_if(F.col("copies") > 1).alias("groups"))

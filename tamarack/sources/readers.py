@@ -107,6 +107,18 @@ def read_lines(spark: SparkSession, path: str, schema, strict: bool = True) -> D
     return spark.read.schema(wide).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def line_failures(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(file, line_no, line) of the lines that are no JSON object of the schema, counted from 1; blank lines are skipped.
+
+    Line numbers need whole files, so a file is read by one task; ``read_lines`` is the way to read.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    parsed = whole.where("trim(line) <> ''").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
+    names = [f.name for f in schema.fields]
+    empty = F.forall(F.array(*[F.col(f"r.{n}").cast("string") for n in names]), lambda x: x.isNull())
+    return parsed.where(F.col("r").isNull() | (empty & ~F.col("line").rlike(r"^\s*\{.*\}\s*$"))).select("file", (F.col("n") + 1).alias("line_no"), "line")
+
+
 def read_warmup(spark: SparkSession, path: str, labels: bool) -> DataFrame:
     """(id, question, answer) of a keyed warm-up file; ``labels`` says that answers are lists of document ids."""
     kind = "MAP<STRING, STRUCT<question: STRING, answer: ARRAY<STRING>>>" if labels else "MAP<STRING, STRUCT<question: STRING, answer: STRING>>"

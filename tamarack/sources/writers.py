@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 import zipfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,24 +57,50 @@ def check_archive(data: bytes, expected_ids: set[str], member: str = "results.js
     return found + [f"blank {k}" for k, r in rows.items() if isinstance(r, dict) and not str(r.get("answer") or "").strip()]
 
 
-def build_index(chunks: DataFrame, tokens: Column, path: str, buckets: int = 200) -> dict[str, int]:
-    """Writes a search index of chunks (doc_id, ...): ``postings`` and ``lengths``, and checks their counts.
+def build_index(chunks: DataFrame, tokens: Column, path: str, buckets: int = 200, parents: DataFrame | None = None, indexable: Column | None = None) -> dict[str, int]:
+    """Writes a search index of chunks (doc_id, ...): ``postings``, ``lengths``, ``chunks``, ``parents`` and a manifest.
 
-    Postings lie sorted by token in ``buckets`` files by token hash, so that a query reads the row groups of its tokens
-    only. Fails if the folder is there already or if a chunk was lost.
+    Only ``indexable`` chunks go in. Postings lie sorted by token in ``buckets`` files by token hash, so that a query
+    reads the row groups of its tokens only. Fails if the folder is there already or if a chunk was lost.
     """
-    posts = R.postings(chunks, tokens)
-    posts.repartition(buckets, "token").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
+    kept = chunks if indexable is None else chunks.where(indexable)
     spark = chunks.sparkSession
+    R.postings(kept, tokens).repartition(buckets, "token").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
     written.groupBy("doc_id").agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
+    kept.repartition(buckets, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/chunks")
+    if parents is not None:
+        parents.write.parquet(f"{path}/parents")
     counts = {"documents": spark.read.parquet(f"{path}/lengths").count(), "postings": written.count()}
-    wanted = chunks.where(F.size(tokens) > 0).select("doc_id").distinct().count()
+    wanted = kept.where(F.size(tokens) > 0).select("doc_id").distinct().count()
     if counts["documents"] != wanted:
         raise ValueError(f"index has {counts['documents']} documents, not {wanted}")
+    index_manifest(spark, path, parents is not None).write.json(f"{path}/manifest")
     return counts
 
 
+def index_manifest(spark: SparkSession, path: str, parents: bool = True) -> DataFrame:
+    """(table, records, digest) of an index folder; the digest is free of order."""
+    tables = ("postings", "lengths", "chunks", *(("parents",) if parents else ()))
+    parts = [spark.read.parquet(f"{path}/{t}") for t in tables]
+    rows = [df.agg(F.lit(t).alias("table"), F.count("*").alias("records"), F.lower(F.hex(F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)))).alias("digest")) for t, df in zip(tables, parts)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def index_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, key) of an index folder that is not what its manifest says: tables with other counts or digests."""
+    said = spark.read.schema("table string, records bigint, digest string").json(f"{path}/manifest")
+    found = index_manifest(spark, path, said.where("table = 'parents'").count() > 0)
+    joined = said.alias("s").join(found.alias("f"), "table", "full_outer")
+    count, digest = (F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")), F.lit(n)) for c, n in (("records", "count_matches_manifest"), ("digest", "digest_matches_manifest")))
+    return joined.select(F.explode(F.array_compact(F.array(count, digest))).alias("rule"), F.col("table").alias("key"))
+
+
+def look_up(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id, ...) of a search with their chunks, joined by id."""
+    return hits.join(spark.read.parquet(f"{path}/chunks"), "doc_id")
+
+
 def append_vectors(spark: SparkSession, docs: DataFrame, encode, path: str) -> None:
     """Appends unit vectors of the documents that ``path`` has none of yet; ``encode`` maps a text column to arrays."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -158,6 +158,8 @@ def test_evaluation_reports(spark):
     assert rows(hits, "doc_id", "relevant") == [("w", False), ("x", True), ("y", True)]
     values = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 3), ("b", None)], "g string, v int")
     assert rows(evaluation.floor_percentiles(values, ["g"], "v", (0.0, 0.5, 1.0)), "g", "share", "value") == [("a", 0.0, 1), ("a", 0.5, 1), ("a", 1.0, 9), ("b", 0.0, 3), ("b", 0.5, 3), ("b", 1.0, 3)]
+    clash = values.withColumnsRenamed({"g": "c", "v": "n"})
+    assert rows(evaluation.floor_percentiles(clash, ["c"], "n", (0.5,)), "c", "share", "value") == [("a", 0.5, 1), ("b", 0.5, 3)]
     labels = spark.createDataFrame([("a", "c1", "HIGH"), ("a", "c2", "LOW"), ("a", "c1", "HIGH")], "question_id string, chunk_id string, confidence string")
     answers = spark.createDataFrame([("a",), ("b",), ("c",)], "question_id string")
     cover = release.label_coverage(answers, answers.where("question_id <> 'c'"), labels).first()
@@ -204,6 +206,44 @@ def test_archives_and_files(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "vectors")).collect()) == [1, 2]
 
 
+def test_index_and_its_manifest(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b a", True), (2, "b", True), (3, "c", False), (4, None, True)], "doc_id int, t string, ok boolean")
+    path = str(tmp_path / "index")
+    writers.build_index(chunks, T.legal_tokens(F.col("t")), path, 2, parents=chunks.select(F.col("doc_id").alias("parent_id")), indexable=F.col("ok"))
+    assert writers.index_violations(spark, path).count() == 0 and spark.read.parquet(f"{path}/chunks").count() == 3
+    assert writers.look_up(spark, path, spark.createDataFrame([(7, 2)], "query_id int, doc_id int")).first().t == "b"
+    spark.createDataFrame([(9,)], "parent_id int").write.mode("append").parquet(f"{path}/parents")
+    assert rows(writers.index_violations(spark, path), "rule", "key") == [("count_matches_manifest", "parents"), ("digest_matches_manifest", "parents")]
+
+
+def test_headings_models_and_table_functions(spark, tmp_path):
+    from tamarack.functions import table_functions
+    from tamarack.operators import chunking
+    from tamarack.sources import schemas
+
+    text = "Chương I\nMục 1\nĐiều 1. A\nMục 2\nĐiều 2. B\nChương II\nĐiều 3. C"
+    docs = spark.createDataFrame([("d", text), ("n", None), ("e", "")], "doc_id string, t string")
+    assert [(r.article, r.chapter, r.section) for r in chunking.headings(docs, "t").orderBy("line_no").collect()] == [("1", "i", "1"), ("2", "i", "2"), ("3", "ii", None)]
+    table_functions.register(spark)
+    docs.createOrReplaceTempView("udtf_docs")
+    assert [(r.article, r.body) for r in spark.sql("SELECT c.* FROM udtf_docs d, LATERAL legal_articles(d.t) c WHERE d.doc_id = 'd' ORDER BY ordinal").collect()][1] == ("1", "Điều 1. A\nMục 2")
+    assert spark.sql("SELECT count(*) FROM udtf_docs d, LATERAL text_windows(d.t, 20, 5) c").first()[0] > 3
+    ranking = spark.createDataFrame([(1, "x", 0.9, 1), (1, "y", 0.8, 2)], "query_id int, doc_id string, score double, rank int")
+    again = R.model_rerank(ranking, spark.createDataFrame([(1, "q")], "query_id int, text string"), spark.createDataFrame([("x", None), ("y", "dài")], "doc_id string, text string"), lambda q, d: [len(t) - 1 for t in d]).orderBy("rank").collect()
+    assert [r.doc_id for r in again] == ["y", "x"] and again[0].score == pytest.approx(1 / (1 + 2.718281828459045**-2))
+    (tmp_path / "l.jsonl").write_text('{"id": "1", "question": "a"}\n\nkhông phải\n{"id": "2"}\n', "utf-8")
+    assert rows(readers.line_failures(spark, str(tmp_path / "l.jsonl"), schemas.QA), "line_no", "line") == [(3, "không phải")]
+    found = spark.createDataFrame([("a", ["1", "1"]), ("b", []), ("c", ["x"]), ("c", ["y"]), ("d", None)], "id string, found array<string>")
+    assert rows(quality.id_list_violations(found), "rule", "key") == [("answer_id_unique", "c"), ("ids_present", "b"), ("ids_present", "d"), ("ids_unique", "a")]
+    window = spark.createDataFrame([("x" * 100 + "neo" + "y" * 100, "neo", "Đầu")], "p string, b string, h string").select(T.anchored_window(F.col("p"), F.col("b"), 40, heading=F.col("h")).alias("w")).first().w
+    assert window.startswith("Đầu\nx") and "neo" in window and len(window) == 40
+    ad = "Bạn phải đăng nhập hoặc đăng ký thành viên TVPL Pro để sử dụng được đầy đủ các tiện ích gia tăng liên quan đến nội dung TCVN. Mọi chi tiết xin liên hệ: ĐT: (028) 3930 3279 DĐ: 0906 22 99 66."
+    pages = spark.createDataFrame([("a", f"một\n{ad}\nhai\n{ad}"), ("b", None)], "doc_id string, t string")
+    assert rows(hygiene.paywall_fragments(pages, "t"), "doc_id", "position", "fragment") == [("a", 0, "một"), ("a", 1, "hai")]
+    clean = {r.doc_id: r for r in hygiene.sanitize(pages, "t", [], [], []).collect()}
+    assert "paywall_artifact" in clean["a"].sanitation_flags and clean["b"].sanitation_flags == [] and hygiene.sanitation_totals(hygiene.sanitize(pages, "t", [], [], [])).first().changed == 1
+
+
 def test_ranking_in_blocks(spark):
     import random
 
