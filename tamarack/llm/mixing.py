@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.words import word_hashes
+from tamarack.operators.skew import bounded
 from tamarack.session import materialise
 
 #: Folder of the public tokenizers' files and the vocabulary used to measure size.
@@ -42,8 +43,9 @@ FIT, BUCKETS, STEPS = 20_000, 1 << 14, 20
 LABEL_WEIGHT, CLOSE = 4.0, 1e-3
 #: Parts of the labelled sample that the temperature of the posteriors is fitted on: one in so many.
 HELD_OUT = 5
-#: Buckets of a size class in the running total of a source, and size classes: no task orders more than a bucket.
-STRATA, SIZES_PER_E = 64, 16
+#: Buckets of a size class in the running total of a source at least, size classes, and documents for which there is one
+#: bucket more: no task orders more than a bucket.
+STRATA, SIZES_PER_E, STRATUM = 64, 16, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -279,11 +281,12 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, vocab
     # Systematic drawing along the running total of rates, shorter documents first, so that each draw spans all sizes
     # and drawn tokens follow expected tokens: the total before each bucket, then within the bucket.
     size = F.floor(F.ln("tokens") * SIZES_PER_E).cast("int")
-    rated = rated.withColumn("bucket", size * STRATA + F.pmod(F.shiftright("h", 40), F.lit(STRATA)).cast("int"))
+    strata = max(STRATA, -(-rated.count() // STRATUM))
+    rated = rated.withColumn("bucket", size.cast("bigint") * strata + F.pmod(F.shiftright("h", 20), F.lit(strata)))
     sums = rated.groupBy("s", "bucket").agg(F.sum("rate").alias("r"))
     sums = sums.select("s", "bucket", F.coalesce(F.sum("r").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     inner = Window.partitionBy("s", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rated.withColumn("upto", F.sum("rate").over(inner)).join(F.broadcast(sums), ["s", "bucket"])
+    placed = rated.withColumn("upto", F.sum("rate").over(inner)).join(bounded(sums), ["s", "bucket"])
     end = F.floor(F.col("before") + F.col("upto") + 0.5 + 1e-9)
     start = F.floor(F.col("before") + F.col("upto") - F.col("rate") + 0.5 + 1e-9)
     names = F.create_map(*[x for k, s in enumerate(sources) for x in (F.lit(k), F.lit(s))])

@@ -134,7 +134,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 def p8_leak_report(spark: SparkSession, root: str) -> DataFrame:
     items = table(spark, root, "eval_items").select("item_id", "split", F.col("source").alias("item_source"))
     hits = leakage.leaked_passages(spread_table(spark, root, "documents"), table(spark, root, "eval_items"))
-    return hits.join(F.broadcast(items), "item_id")
+    return hits.join(setjoin.small(items), "item_id")
 
 
 def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.forms import consistent
-from tamarack.operators.skew import lookup
+from tamarack.operators.skew import bounded, lookup
 from tamarack.session import materialise
 
-#: Buckets of the running total within a size band: no task orders more than a bucket of a band.
-BUCKETS = 256
+#: Buckets of the running total within a size band at least, and groups for which there is one bucket more: no task
+#: orders more than a bucket of a band.
+BUCKETS, BUCKET = 256, 1_000_000
 # Fixed value: a document number such as 12/2001/XX-YY, in any case and with spaces around its signs.
 DOCUMENT_NUMBER = r"(?iu)(?<![\p{L}\p{N}])(\d+\s*/\s*\d{4}\s*/\s*\p{L}{2,}(?:\s*-\s*\p{L}{2,})+)"
 
@@ -93,13 +94,14 @@ def deal(groups: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     """
     total = sum(share for _, share in shares)
     banded = groups.withColumn("band", F.floor(F.log2(F.col("size"))).cast("int")).withColumn("h", F.xxhash64("group_id"))
-    banded = banded.withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, -(-groups.count() // BUCKET))
+    banded = banded.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     sums = banded.groupBy("band", "bucket").agg(F.sum("size").alias("s"))
     whole = Window.partitionBy("band")
     before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("band", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"), F.sum("s").over(whole).alias("all"))
     inner = Window.partitionBy("band", "bucket").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = banded.withColumn("upto", F.sum("size").over(inner)).join(F.broadcast(sums), ["band", "bucket"])
+    placed = banded.withColumn("upto", F.sum("size").over(inner)).join(bounded(sums), ["band", "bucket"])
     middle = (F.col("offset") + F.col("upto") - F.col("size") / 2) / F.col("all")
     split, upto = F.lit(shares[-1][0]), []
     running = 0.0
@@ -127,5 +129,5 @@ def assign(records: DataFrame, grouped: DataFrame, shares: list[tuple[str, float
     """(record_id, group_id, split) of every record; unrelated records are groups of their own."""
     every = records.select("record_id").where("record_id IS NOT NULL").distinct().join(grouped, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
     every = materialise(every, "every")
-    dealt = deal(every.groupBy("group_id").agg(F.count("*").alias("size")), shares)
+    dealt = deal(materialise(every.groupBy("group_id").agg(F.count("*").alias("size")), "groups"), shares)
     return every.join(dealt, "group_id").select("record_id", "group_id", "split")

@@ -184,6 +184,16 @@ def test_hot_entries_are_split_into_blocks(spark, monkeypatch):
     assert len(seen) == 50 * 49 // 2 and seen[(1, 2)] == 2 and sum(seen.values()) == 50 * 49 // 2 + 1
 
 
+def test_classes_of_many_members_are_expanded_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 4)
+    members = [(1, f"a{i}") for i in range(30)] + [(2, f"b{i}") for i in range(11)] + [(3, "c")]
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 3, 1.0), (1, 9, 0.7)], "a int, b int, likeness double")
+    left, right = spark.createDataFrame(members, "a int, x string"), spark.createDataFrame(members, "b int, y string")
+    got = Counter(map(tuple, setjoin.expanded(pairs, left, right).collect()))
+    assert set(got.values()) == {1}
+    assert set(got) == {(x, y, n) for a, b, n in ((1, 2, 0.9), (2, 3, 0.8), (3, 3, 1.0)) for c, x in members if c == a for d, y in members if d == b}
+
+
 def test_entries_of_many_records_leave_their_bucket(spark, monkeypatch):
     import pandas as pd
 
