@@ -95,6 +95,16 @@ def r05_nearest_vectors(spark, root):
     return _rounded(R.nearest(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), asked))
 
 
+@query()
+def r05_cell_recall(spark, root):
+    """Recall of the inverted file against the exact search, over all vectors."""
+    v = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    exact, found = R.nearest(v, asked), R.nearest_in_cells(v, asked, cells=16, probes=10)
+    met = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return met.agg(F.count("*").alias("wanted"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+
+
 FUSED = "fu AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part FROM b WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 4.0 / (60 + rank) FROM tr WHERE rank <= 20), fs AS (SELECT query_id, doc_id, sum(part) AS score FROM fu GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM fs)"
 
 
@@ -529,7 +539,7 @@ def s11_warmup_summary(spark, root):
     return readers.summarize_warmup(table(spark, root, "task2_warmup").select(F.col("query_id").alias("id"), "question", "answer"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY sha256('2026:' || doc_id), doc_id LIMIT 150")
 def k07_hash_sample(spark, root):
     """A sampling operator: its bound is the feature."""
     return writers.hash_sample(table(spark, root, "documents").select("doc_id", "source"), "doc_id", 150)

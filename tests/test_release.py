@@ -256,3 +256,21 @@ def test_ranking_in_blocks(spark):
     posts = docs.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     assert sorted(map(tuple, R.bm25(posts, asked, 7).collect())) == sorted(map(tuple, R.bm25(docs, asked, 7).collect()))
     assert R.bm25(docs, asked.limit(0)).count() == 0 and R.tfidf(docs.limit(0), asked).count() == 0
+
+
+def test_inverted_file_reaches_its_recall(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    points = centres[rng.integers(12, size=1500)] + 0.6 * rng.normal(size=(1500, 16))
+    vectors = spark.createDataFrame([(f"d{i}", p.tolist()) for i, p in enumerate(points)] + [("none", None)], "doc_id string, vector array<double>")
+    asked = vectors.where("doc_id LIKE '%0'").withColumnRenamed("doc_id", "query_id")
+    exact = {(r.query_id, r.doc_id) for r in R.nearest(vectors, asked).collect()}
+    for rows in (50_000, 40):  # whole cells, and cells cut into parts
+        monkeypatch.setattr(R, "CELL_ROWS", rows)
+        found = R.nearest_in_cells(vectors, asked, cells=12, probes=4).collect()
+        assert len(exact & {(r.query_id, r.doc_id) for r in found}) >= 0.9 * len(exact) and {r["rank"] for r in found} == set(range(1, 11))
+    every = R.nearest_in_cells(vectors, asked, cells=12, probes=12)
+    assert {(r.query_id, r.doc_id) for r in every.collect()} == exact
+    assert R.nearest_in_cells(vectors.limit(0), asked).count() == 0
