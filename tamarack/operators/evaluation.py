@@ -30,9 +30,12 @@ def paired(candidate: DataFrame, parent: DataFrame, score: str = "score", tolera
     return joined.groupBy("slice").agg(F.count("*").alias("n"), F.count_if(d > tolerance).alias("wins"), F.count_if(d < -tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties"), F.avg(d).alias("delta"))
 
 
-def pareto(trials: DataFrame, cost: str, gain: str) -> DataFrame:
-    """Trials that no cheaper or equally cheap trial reaches in gain; one small table, so one ordered window."""
-    before = Window.orderBy(F.asc(cost), F.desc(gain)).rowsBetween(Window.unboundedPreceding, -1)
+def pareto(trials: DataFrame, cost: str, gain: str, key: str) -> DataFrame:
+    """Trials that no cheaper or equally cheap trial reaches in gain, of equal ones the first by ``key``.
+
+    The trials are one small table, so that one ordered window goes over them.
+    """
+    before = Window.orderBy(F.asc(cost), F.desc(gain), F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
     return trials.withColumn("_best", F.max(gain).over(before)).where(F.col("_best").isNull() | (F.col(gain) > F.col("_best"))).drop("_best")
 
 

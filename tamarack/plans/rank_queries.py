@@ -514,12 +514,15 @@ def j11_prediction_join(spark, root):
     return qa.select("id").distinct().join(given, "id", "left").select("id", state.alias("state"))
 
 
-@query()
+_GRID = "gr AS (SELECT row_number() OVER (ORDER BY low, high, confident, ambiguous, more) - 1 AS trial, * FROM (SELECT unnest([1.6, 2.0, 2.2, 2.6]) AS low), (SELECT unnest([4.0, 5.0, 6.0]) AS high), (SELECT unnest([0.15, 0.20, 0.25, 0.30]) AS confident), (SELECT unnest([0.03, 0.05]) AS ambiguous), (SELECT unnest([5, 6]) AS more) WHERE low < high)"
+
+
+@query(f"WITH {POSTS}, {bm25_sql(IDF)}, {JUDGED}, {CONF}, {_GRID}, fi AS (SELECT query_id, min(rank) AS first FROM b JOIN j USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1), qs AS (SELECT doc_id AS query_id, n_chars / 400.0 AS complexity FROM documents WHERE doc_id % 20 = 0), ro AS (SELECT query_id, complexity, coalesce(elbow, 0) AS elbow, coalesce(concentration, 0) AS gap, first FROM qs JOIN js USING (query_id) LEFT JOIN cf USING (query_id) LEFT JOIN fi USING (query_id)), kk AS (SELECT trial, first, confident, ambiguous, more, elbow, gap, CASE WHEN complexity < low THEN 3 WHEN complexity < high THEN 5 ELSE 8 END AS base FROM ro, gr), tk AS (SELECT trial, first, CASE WHEN elbow = 0 THEN base WHEN gap >= confident AND elbow <= 3 THEN greatest(2, least(base, elbow)) WHEN gap <= ambiguous THEN greatest(base, more) ELSE base END AS k FROM kk), tr2 AS (SELECT trial, round(avg(k), 9) AS avg_k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0 END), 9) AS recall FROM tk GROUP BY trial) SELECT trial, avg_k, recall FROM (SELECT *, max(recall) OVER (ORDER BY avg_k, recall DESC, trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM tr2) WHERE best IS NULL OR recall > best")
 def v02_grid_search(spark, root):
     ranked = materialise(_bm25(spark, root), "ranked")
     questions = table(spark, root, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), (F.col("n_chars") / 400.0).alias("complexity"))
     found = evaluation.grid_search(questions, ranked, _judged(spark, root), evaluation.grid(spark))
-    return evaluation.pareto(found, "avg_k", "recall")
+    return evaluation.pareto(found.select("trial", F.round("avg_k", 9).alias("avg_k"), F.round("recall", 9).alias("recall")), "avg_k", "recall", "trial")
 
 
 @query("SELECT id, CASE WHEN name IS NULL OR trim(name) = '' THEN coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(link, ''), '([^/]*)/?$', 1), '(?i)\\.aspx$', ''), '-\\d+$', ''), '[-_]+', ' ', 'g')), ''), 'Văn bản ' || id) ELSE name END AS name FROM legal_documents")

@@ -183,13 +183,10 @@ def top07_corruption_order(spark, root):
     return release.corruption_order(hygiene.repetition(d, "passage", 60), lengths).drop("paywalled")
 
 
-@query(f"{_SHARED} SELECT 'shared_line' AS section, {_CLASS} AS name, CAST(count(*) AS DOUBLE) AS value FROM f GROUP BY ALL")
-def h05_shared_lines(spark, root):
-    d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text").distinct()
-    return release.sanitation_audit(d, "generation_text", *_RULES).where("section = 'shared_line'")
+_GENERATED = "b AS (SELECT id, lower(trim(regexp_replace(unnest(regexp_split_to_array(coalesce(generation_text, ''), '\\n\\s*\\n+')), '\\s+', ' ', 'g'))) AS b FROM (SELECT DISTINCT id, generation_text FROM legal_documents)), k AS (SELECT id, b, count(*) AS c FROM b WHERE length(b) >= 100 AND length(regexp_replace(b, '[^\\p{L}\\p{N}]', '', 'g')) / length(b) >= 0.25 AND len(regexp_extract_all(b, '[\\p{L}\\p{N}_]+')) >= 8 GROUP BY ALL), r AS (SELECT id, sum(c) AS blocks, count(*) AS uniq, max(c) AS most FROM k GROUP BY id), dd AS (SELECT DISTINCT id, generation_text FROM legal_documents)"
 
 
-@query()
+@query(f"WITH {_GENERATED}, {_SHARED.removeprefix('WITH ').replace('k AS (SELECT DISTINCT id, line', 'kl AS (SELECT DISTINCT id, line').replace('FROM k GROUP BY line', 'FROM kl GROUP BY line')}, t AS (SELECT coalesce(sum(blocks), 0) AS blocks, coalesce(sum(blocks - uniq), 0) AS repeated_blocks, count(*) FILTER (most > 1) AS documents_with_repeats FROM r) SELECT 'severity' AS section, CASE WHEN coalesce(most, 0) >= 20 THEN 'CRITICAL' WHEN round(1 - uniq / blocks, 6) >= 0.2 AND most >= 5 THEN 'REVIEW' ELSE 'OK' END AS name, CAST(count(*) AS DOUBLE) AS value FROM dd LEFT JOIN r USING (id) GROUP BY ALL UNION ALL SELECT 'shared_line', {_CLASS}, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'total', 'blocks', blocks FROM t UNION ALL SELECT 'total', 'repeated_blocks', repeated_blocks FROM t UNION ALL SELECT 'total', 'documents_with_repeats', documents_with_repeats FROM t")
 def h05_sanitation_audit(spark, root):
     d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "generation_text").distinct()
     return release.sanitation_audit(d, "generation_text", *_RULES)
@@ -255,7 +252,10 @@ def a22_agent_metrics(spark, root):
     return m.select("queries", "answerable", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "abstention_accuracy", "citation_integrity")])
 
 
-@query()
+_NEAR = f"d AS (SELECT id AS doc_id, min(question) AS question, min(answer) AS answer FROM qa_examples WHERE split = 'train' GROUP BY id), v AS (SELECT id AS query_id, min(question) AS question FROM qa_examples WHERE split = 'validation' GROUP BY id), {RQ.posts_sql('d', 'question', 'v', 'question')}, {RQ.bm25_sql(RQ.IDF)}, {RQ.TFIDF}, {RQ.FUSED}"
+
+
+@query(f"WITH {_NEAR} SELECT query_id, doc_id AS neighbour_id, md5(answer) AS answer_digest, round(score, 9) AS score FROM fr JOIN d USING (doc_id) WHERE rank = 1")
 def r17_neighbour_answers(spark, root):
     """Answers of the nearest training question by three fused channels, for each validation question."""
     one = lambda split: spread_table(spark, root, "qa_examples").where(F.col("split") == split).groupBy("id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"))
