@@ -298,11 +298,17 @@ def r17_question_neighbours(spark, root):
     return ranked.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query()
+_PACK = f"""WITH RECURSIVE {POSTS}, {bm25_sql(IDF)}, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM (SELECT query_id, CAST(doc_id AS VARCHAR) AS id, source AS document_id, round(score, 9) AS score, text, max(score) OVER (PARTITION BY query_id) AS best FROM b JOIN documents USING (doc_id) WHERE rank <= 20 AND length(trim(text)) > 0) WHERE best <= 0 OR score >= best * 0.35),
+ st AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS docs, '' AS id, '' AS document_id, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS chars FROM (SELECT DISTINCT query_id FROM pl)
+  UNION ALL SELECT query_id, n, used + CASE WHEN ok THEN l ELSE 0 END, CASE WHEN ok THEN list_append(docs, document_id) ELSE docs END, id, document_id, score, CASE WHEN ok THEN l ELSE 0 END FROM (SELECT st.query_id, pl.n, used, docs, pl.id, pl.document_id, pl.score, length(substr(text, 1, 12000 - used)) AS l, used < 12000 AND len(list_filter(docs, lambda x: x = pl.document_id)) < 3 AND length(trim(substr(text, 1, 12000 - used))) > 0 AS ok FROM st JOIN pl ON pl.query_id = st.query_id AND pl.n = st.n + 1))
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS position, id, document_id, round(score, 6) AS score, chars FROM st WHERE chars > 0"""
+
+
+@query(_PACK)
 def r18_packed_evidence(spark, root):
     docs = table(spark, root, "documents")
     pool = _bm25(spark, root, 20).join(docs.select("doc_id", "text", "source"), "doc_id").select("query_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("document_id"), "score", "text")
-    return R.pack_evidence(pool).select("query_id", "position", "id", "document_id", F.round("score", 6).alias("score"), F.length("text").alias("chars"))
+    return R.pack_evidence(pool).select("query_id", F.col("position").cast("bigint").alias("position"), "id", "document_id", F.round("score", 6).alias("score"), F.length("text").cast("bigint").alias("chars"))
 
 
 @query(f"WITH {POSTS} SELECT t AS token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY t")

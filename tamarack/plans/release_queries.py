@@ -215,18 +215,23 @@ def top10_extractive_answers(spark, root):
     return answering.extractive_answers(asked, evidence, T.legal_tokens)
 
 
-@query()
+_CONTEXTS = f"""WITH RECURSIVE {RQ.POSTS}, {RQ.bm25_sql(RQ.IDF)}, pl AS (SELECT query_id, doc_id, source AS parent_id, trim(text, ' ' || chr(10)) AS whole, trim(substr(text, 1, 300), ' ' || chr(10)) AS part, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM b JOIN documents USING (doc_id) WHERE rank <= 10 AND trim(text, ' ' || chr(10)) <> ''),
+ st AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(4000 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS seen, '' AS chunk_id, '' AS parent_id, CAST(0 AS BIGINT) AS chars FROM (SELECT DISTINCT query_id FROM pl)
+  UNION ALL SELECT query_id, n, room - CASE WHEN ok THEN l ELSE 0 END, CASE WHEN ok THEN list_append(seen, parent_id) ELSE seen END, CAST(doc_id AS VARCHAR), parent_id, CASE WHEN ok THEN l ELSE 0 END FROM (SELECT *, room > 0 AND len(seen) < 5 AND NOT list_contains(seen, parent_id) AND l > 0 AS ok FROM (SELECT st.query_id, pl.n, room, seen, doc_id, pl.parent_id, CASE WHEN length(whole) <= room THEN length(whole) ELSE length(substr(part, 1, room)) END AS l FROM st JOIN pl ON pl.query_id = st.query_id AND pl.n = st.n + 1)))"""
+
+
+@query(f"{_CONTEXTS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS position, chunk_id, parent_id, chars FROM st WHERE chars > 0")
 def top05_parent_contexts(spark, root):
     asked, ranked, docs = _excerpts(spark, root)
     chunks = docs.select("doc_id", F.col("source").alias("parent_id"), F.col("text").alias("parent_text"), F.substring("text", 1, 300).alias("retrieval_text"))
-    return answering.parent_contexts(ranked, chunks, 5, 4000).select("query_id", "position", "chunk_id", "parent_id", F.length("text").alias("chars"))
+    return answering.parent_contexts(ranked, chunks, 5, 4000).select("query_id", F.col("position").cast("bigint").alias("position"), "chunk_id", "parent_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query()
+@query(f"{_CONTEXTS}, ev AS (SELECT query_id, array_to_string(list(parent_id ORDER BY n), ',') AS parents, CAST(sum(chars) AS BIGINT) AS chars FROM st WHERE chars > 0 GROUP BY 1), co AS (SELECT query_id, count(*) AS considered FROM b WHERE rank <= 10 GROUP BY 1), aq AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL) SELECT query_id, parents, coalesce(chars, 0) AS chars, coalesce(considered, 0) AS considered FROM aq LEFT JOIN ev USING (query_id) LEFT JOIN co USING (query_id)")
 def r18_evidence_provider(spark, root):
     asked, ranked, docs = _excerpts(spark, root)
     chunks = docs.select("doc_id", F.col("source").alias("parent_id"), F.col("text").alias("parent_text"), F.substring("text", 1, 300).alias("retrieval_text"))
-    return answering.provided_evidence(asked, ranked, chunks, 20, 5, 4000).select("query_id", "parents", "chars", "considered", F.md5("evidence").alias("digest"))
+    return answering.provided_evidence(asked, ranked, chunks, 20, 5, 4000).select("query_id", F.array_join("parents", ",").alias("parents"), F.col("chars").cast("bigint").alias("chars"), "considered")
 
 
 @query(f"WITH {RQ.POSTS}, {RQ.bm25_sql(RQ.IDF)}, c AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY rank) AS ids, list(substr(text, 1, 80) ORDER BY rank) AS quotes FROM b JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id), qq AS (SELECT doc_id AS query_id, title FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), r AS (SELECT query_id, ids, quotes, CASE WHEN ids IS NULL THEN 'abstain' WHEN len(ids) > 1 AND regexp_matches(strip_accents(replace(lower(title), 'đ', 'd')), 'compare|difference|so sanh|khac nhau') THEN 'compare' ELSE 'lookup' END AS route FROM qq LEFT JOIN c USING (query_id)) SELECT query_id, route, CASE route WHEN 'abstain' THEN {_quoted(answering.ABSTAINS)} WHEN 'compare' THEN {_quoted(answering.COMPARES)} || '- ' || quotes[1] || ' [' || ids[1] || ']' || chr(10) || '- ' || quotes[2] || ' [' || ids[2] || ']' ELSE quotes[1] || ' [' || ids[1] || ']' END AS answer, route = 'abstain' AS abstained FROM r")
