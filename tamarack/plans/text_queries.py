@@ -141,9 +141,20 @@ def f15_document_metadata(spark, root):
     return d.select("id", *[c.alias(n) for n, c in T.document_metadata(F.col("name"), F.col("passage"), F.col("link")).items()])
 
 
-@query()
+_ARTICLE = "(?i)điều\\s+(\\d+[a-zđ]?)(?:\\s+(bộ\\s+luật|luật|nghị\\s+định|thông\\s+tư(?:\\s+liên\\s+tịch)?|nghị\\s+quyết|quyết\\s+định|chỉ\\s+thị|công\\s+văn|pháp\\s+lệnh))?(?:\\s+(?:số\\s*)?(\\d{1,5}/(?:\\d{4}|[A-ZĐ]{1,8})(?:/[A-ZĐ0-9-]{2,30})?))?"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT id, {WS.format(x=normal_sql("answer"))} AS t FROM qa_examples),
+ m AS (SELECT id, t, regexp_split_to_array(t, '{_ARTICLE}') AS ps, regexp_extract_all(t, '{_ARTICLE}') AS fs, regexp_extract_all(t, '{_ARTICLE}', 1) AS a, regexp_extract_all(t, '{_ARTICLE}', 2) AS k, regexp_extract_all(t, '{_ARTICLE}', 3) AS n FROM t),
+ u AS (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM m),
+ v AS (SELECT id, t, i, lower(a[i]) AS article, nullif(k[i], '') AS document_type, nullif(upper(regexp_replace(n[i], '\\s+', '', 'g')), '') AS document_number, fs[i] AS f, coalesce(list_sum(list_transform(range(1, i), lambda j: length(ps[j]) + length(fs[j]))), 0) + length(ps[i]) AS pos FROM u),
+ w AS (SELECT *, regexp_extract(substr(t, CAST(greatest(pos - 70, 0) AS BIGINT) + 1, CAST(least(pos, 70) AS BIGINT)), '[^;.:]*$') AS before FROM v),
+ x AS (SELECT *, regexp_extract_all(before, '(?i)khoản\\s+(\\d+[a-zđ]?)', 1) AS cl, regexp_extract_all(before, '(?i)điểm\\s+([a-zđ])', 1) AS pt FROM w),
+ y AS (SELECT id, t, i, article, document_number, document_type, unnest(CASE WHEN len(cl) > 0 THEN list_transform(cl, lambda c: lower(c)) ELSE [NULL] END) AS clause, CASE WHEN len(pt) = 1 THEN lower(pt[1]) END AS point, trim(before || ' ' || f) AS raw FROM x),
+ z AS (SELECT *, concat_ws('|', coalesce(document_number, ''), article, coalesce(clause, ''), coalesce(point, '')) AS key FROM y)
+ SELECT id, article, document_number, document_type, clause, point, key, raw FROM (SELECT *, row_number() OVER (PARTITION BY id, t, key ORDER BY i) AS r FROM z) WHERE r = 1""")
 def f16_citations(spark, root):
-    d = spread_table(spark, root, "qa_examples").select("id", F.explode(C.citations(F.col("answer"))).alias("c"))
+    d = spread_table(spark, root, "qa_examples").select("id", "answer").distinct().select("id", F.explode(C.citations(F.col("answer"))).alias("c"))
     return d.select("id", "c.*")
 
 
@@ -300,7 +311,16 @@ def pred06_boilerplate_lines(spark, root):
 _ROUTE = "(?im)^[ \\t]*nơi\\s+nhận\\s*:"
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(t, '{_ROUTE}') AND start / greatest(length(t), 1) >= 0.85 AND regexp_matches(substr(t, start + 1), '(?im)^[ \\t]*[-–—+]\\s*\\S+|^[ \\t]*(?:kt\\.|tl\\.|tuq\\.)?\\s*(?:bộ\\s+trưởng|thứ\\s+trưởng|chủ\\s+tịch|phó\\s+chủ\\s+tịch)(?:[^\\p{{L}}]|$)') THEN regexp_replace(substr(t, 1, start), '\\s+$', '') ELSE t END AS retrieval FROM (SELECT id, generation_text AS t, length(generation_text) - length(string_split(regexp_replace(generation_text, '{_ROUTE}', chr(1) || 'Nơi nhận:', 'g'), chr(1))[-1]) AS start FROM legal_documents)")
+def routed_sql(t: str, start: str) -> str:
+    """The text t without a last routing block that begins at start."""
+    return f"CASE WHEN regexp_matches({t}, '{_ROUTE}') AND {start} / greatest(length({t}), 1) >= 0.85 AND regexp_matches(substr({t}, {start} + 1), '(?im)^[ \\t]*[-–—+]\\s*\\S+|^[ \\t]*(?:kt\\.|tl\\.|tuq\\.)?\\s*(?:bộ\\s+trưởng|thứ\\s+trưởng|chủ\\s+tịch|phó\\s+chủ\\s+tịch)(?:[^\\p{{L}}]|$)') THEN regexp_replace(substr({t}, 1, {start}), '\\s+$', '') ELSE {t} END"
+
+
+def route_start_sql(t: str) -> str:
+    return f"length({t}) - length(string_split(regexp_replace({t}, '{_ROUTE}', chr(1) || 'Nơi nhận:', 'g'), chr(1))[-1])"
+
+
+@query(f"SELECT id, {routed_sql('t', 'start')} AS retrieval FROM (SELECT id, generation_text AS t, {route_start_sql('generation_text')} AS start FROM legal_documents)")
 def pred07_routing_block(spark, root):
     return spread_table(spark, root, "legal_documents").select("id", hygiene.without_routing(F.col("generation_text")).alias("retrieval"))
 
