@@ -546,7 +546,7 @@ def s07_context_ids(spark, root):
 
 @query("SELECT count(*) AS records, count(DISTINCT question) AS unique_questions, count(*) FILTER (answer IS NULL OR trim(answer) = '') AS empty_answers FROM task2_warmup")
 def s11_warmup_summary(spark, root):
-    return readers.summarize_warmup(table(spark, root, "task2_warmup").select(F.col("query_id").alias("id"), "question", "answer"))
+    return readers.summarize_warmup(table(spark, root, "task2_warmup").select(F.col("query_id").alias("id"), "question", "answer")).drop("digest")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY sha256('2026:' || doc_id), doc_id LIMIT 150")
