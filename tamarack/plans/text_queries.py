@@ -31,7 +31,7 @@ WORDS = "regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 SPACES = "[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]"
 _LETTER = "[^\\p{{L}}\\p{{N}}_]"
 # Document numbers between two signs, so that their letters can be raised: a lambda over the parts.
-CITES = "array_to_string(list_transform(string_split(regexp_replace({x}, '(?i)(^|" + _LETTER + ")(\\d{{1,5}})" + SPACES + "*/" + SPACES + "*(\\d{{4}})" + SPACES + "*/" + SPACES + "*([A-ZĐ]+)" + SPACES + "*-" + SPACES + "*([A-ZĐ]+)($|" + _LETTER + ")', '\\1' || chr(1) || '\\2/\\3/\\4-\\5' || chr(2) || '\\6', 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN upper(split_part(p, chr(2), 1)) || substr(p, instr(p, chr(2)) + 1) ELSE p END), '')"
+CITES = "array_to_string(list_transform(string_split(regexp_replace({x}, '(?i)(^|" + _LETTER + ")(\\p{{Nd}}{{1,5}})" + SPACES + "*/" + SPACES + "*(\\p{{Nd}}{{4}})" + SPACES + "*/" + SPACES + "*([A-ZĐ]+)" + SPACES + "*-" + SPACES + "*([A-ZĐ]+)($|" + _LETTER + ")', '\\1' || chr(1) || '\\2/\\3/\\4-\\5' || chr(2) || '\\6', 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN upper(split_part(p, chr(2), 1)) || substr(p, instr(p, chr(2)) + 1) ELSE p END), '')"
 TAGS = "(CASE WHEN regexp_matches({x}, '(?i)</?(table|tr|td|th|p|div|br|li|ul|ol)\\b') THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<li(?: [^>]*)?>', chr(10) || '- ', 'g'), '(?i)</?t[dh](?: [^>]*)?>', ' | ', 'g'), '(?i)<(?:/?(?:p|div|tr)|br|ul|ol|/li)(?: [^>]*)?/?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g') ELSE {x} END)"
 
 
@@ -53,7 +53,7 @@ def legal_sql(x):
     """Tokens of the normalised text: document numbers are found in either case and with spaces, so nothing is raised."""
     plain = f"regexp_replace(nfc_normalize(coalesce({x}, '')), '[\\x{{200b}}-\\x{{200d}}\\x{{feff}}]', '', 'g')"
     sp = SPACES.format() + "*"
-    spaced = f"regexp_replace({plain}, '(\\d{{1,5}}){sp}/{sp}(\\d{{4}}){sp}/{sp}([A-Za-zĐđ]+){sp}-{sp}([A-Za-zĐđ]+)', '\\1/\\2/\\3-\\4', 'g')"
+    spaced = f"regexp_replace({plain}, '(\\d{{1,5}}){sp}/{sp}(\\d{{4}}){sp}/{sp}([A-Za-zĐđ]+){sp}-{sp}([A-Za-zĐđ]+)($|[^\\p{{L}}\\p{{N}}_])', '\\1/\\2/\\3-\\4\\5', 'g')"
     return f"list_transform(regexp_extract_all({spaced}, '\\d{{1,5}}/\\d{{4}}/(?:[A-Za-zĐđ]+-[A-Za-zĐđ]+[A-ZĐ0-9-]*|[A-ZĐ0-9-]+)|[0-9A-Za-zÀ-ỹĐđ]+'), lambda t: replace(lower(t), 'ß', 'ss'))"
 
 
@@ -217,7 +217,7 @@ def f24_repetition_rate(spark, root):
     return spread_table(spark, root, "documents").select("doc_id", F.round(T.repetition_rate(T.word_tokens(F.col("text"))), 6).alias("rate"))
 
 
-_MARKER = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:điều|khoản|nghị\\s*định|thông\\s*tư|luật)(?:[^\\p{L}\\p{N}_]|$)"
+_MARKER = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:điều|khoản|nghị" + SPACES.format() + "*định|thông" + SPACES.format() + "*tư|luật)(?:[^\\p{L}\\p{N}_]|$)"
 
 
 def numbers_sql(x):

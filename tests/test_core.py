@@ -27,6 +27,9 @@ def test_normalisation(spark):
     assert one(spark, T.normalize_text, "<p>a</p><ul><li>b &amp; c</li></ul>") == "a\n\n\n- b & c".replace("\n\n\n", "\n\n")
     assert one(spark, T.normalize_text, "e\u0301 •x") == "é - x".replace(" - x", " - x")
     assert one(spark, T.normalize_text, None) == "" and one(spark, T.canonical_text, "STRASSE ß") == "strasse ss"
+    joined = "số 6186/ 2006/ QĐ-HĐN\u200d, và 90 / 2017 / nđ - cp2"
+    assert one(spark, T.normalize_citations, joined) == "số 6186/2006/QĐ-HĐN\u200d, và 90 / 2017 / nđ - cp2"
+    assert one(spark, lambda c: c.rlike(T.LEGAL_MARKER), "Theo luật\u200d này") and not one(spark, lambda c: c.rlike(T.LEGAL_MARKER), "luậtsư")
     assert one(spark, T.fingerprint, "A  b") == one(spark, T.fingerprint, "a B")
     assert one(spark, T.ascii_tokens, "Điều của Luật Đất") == ["dieu", "luat", "dat"]
     assert one(spark, T.legal_tokens, "Theo 90/2017/NĐ-CP, điều 3") == ["theo", "90/2017/nđ-cp", "điều", "3"]
