@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tamarack.llm import forms, leakage, mixing, neardup, overlap, pairs, reading, residue, setjoin, sitelines, splits
+from tamarack.llm import forms, leakage, mixing, neardup, overlap, pairs, queries, reading, residue, setjoin, sitelines, splits
 from tamarack.llm.words import words_of
 from tamarack.operators import skew
 
@@ -331,6 +331,18 @@ def test_residue_finds_every_reworded_copy(spark, monkeypatch):
     assert got == want and len(want) > 40
 
 
+def test_near_duplicates_leave_out_residue_found_through_answers(spark, tmp_path):
+    near, far = "Đang kiểm tra trình duyệt của anh trước khi truy cập.", "Đang kiểm tra trình duyệt của anh trước lúc truy cập."
+    rng = random.Random(2)
+    body = [sentence(rng, 60) for _ in range(3)]
+    legal = [("a", body[0], "x"), ("b", body[0] + " thêm", "y"), ("c", f"{far}\n{body[1]}", "x"), ("d", f"{far}\n{body[1]} thêm", "y"), ("e", None, f"{far}\n{body[2]}"), ("f", None, f"{far}\n{body[2]} thêm"), ("w1", body[0], "x")]
+    spark.createDataFrame([*legal, legal[0]], "id string, passage string, retrieval_text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/legal_documents.parquet")
+    spark.createDataFrame([("w1", near), ("w2", "Câu trả lời.")], "query_id string, answer string").write.parquet(f"{tmp_path}/task2_warmup.parquet")
+    marked = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert marked == {("legal_documents", "c"), ("legal_documents", "d"), ("task2_warmup", "w1")}  # far is alike to near only
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == {("a", "b"), ("a", "w1"), ("b", "w1"), ("e", "f")}
+
+
 # Problem 7
 
 
