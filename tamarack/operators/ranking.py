@@ -6,7 +6,8 @@ the smaller document id. Null and empty texts have no tokens and are never ranke
 
 Lexical scores are products of two matrices, impacts of terms in documents and weights of terms in queries. Queries go
 to the workers in blocks of bounded size; a worker makes the impacts of the block's terms for some documents at a time,
-multiplies, and sends only the best ``k`` of each batch, so that neither postings nor scored pairs are shuffled.
+multiplies, and sends only the best ``k`` of its part, so that neither postings nor scored pairs are shuffled. Queries
+of equal terms are scored once.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
 
 #: Terms with their frequencies that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
-#: Cells of a matrix of documents and terms that is made at once (8 bytes each), and queries in one block.
+#: Cells of a matrix of documents, terms or queries that is made at once (8 bytes each), and queries in one block at least.
 CELLS, BLOCK = 1 << 22, 1024
+#: Scores are multiples of ``DIGIT``; one from ``LEAST`` on is above zero once it is rounded.
+DIGIT, LEAST = 1e-9, 5e-10
 
 
 def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
@@ -65,13 +68,27 @@ def _frequencies(lists: DataFrame, wanted: DataFrame | None = None) -> DataFrame
     return terms.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _blocks(terms: DataFrame, block: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+def _alike(asked: DataFrame, *parts: str) -> tuple[DataFrame, DataFrame]:
+    """The query terms of one query of each class of queries equal in ``parts``, and (query_id, first) from each to that one."""
+    asked = materialise(asked, "asked")
+    lists = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("terms"))
+    links = materialise(lists.join(lists.groupBy("terms").agg(F.min("query_id").alias("first")), "terms").select("query_id", "first"), "links")
+    return materialise(asked.join(links.where("query_id = first").select("query_id"), "query_id"), "asked"), links
+
+
+def _for_all(ranking: DataFrame, links: DataFrame) -> DataFrame:
+    """The ranking of the queries of ``_alike`` for all that are equal to them."""
+    return ranking.withColumnRenamed("query_id", "first").join(links, "first").select("query_id", "doc_id", "score", "rank")
+
+
+def _blocks(terms: DataFrame, block: int | None) -> Iterator[tuple[list, list[str], np.ndarray]]:
     """Blocks of the queries of terms (query_id, token, weight): query ids, terms, and weights (terms, queries).
 
-    A block is collected at a time; its size is bounded by the number of queries in it and the length of a query.
+    A block is collected at a time; its size is bounded by the number of queries in it and the length of a query. Where
+    the queries share a small vocabulary, a block takes as many as its weights allow, for each is a pass over the documents.
     """
-    count = terms.select("query_id").distinct().count()
-    blocks = max(1, -(-count // block))
+    count, width = terms.agg(F.countDistinct("query_id"), F.countDistinct("token")).first()
+    blocks = max(1, -(-count // (block or max(BLOCK, CELLS // max(width, 1)))))
     for n in range(blocks if count else 0):
         rows = (terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else terms).select("query_id", "token", "weight").toArrow()
         if not rows.num_rows:
@@ -94,7 +111,44 @@ def _best_of(ids: pa.Array, scores: np.ndarray, k: int, least: float = 0.0) -> t
     return row[kept], query[kept]
 
 
-def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int) -> DataFrame:
+class _Best:
+    """The best ``k`` documents of each query among those seen so far, ties by the smaller id."""
+
+    def __init__(self, queries: int, kind: pa.DataType, k: int):
+        self.k, self.bound, self.filled = k, np.full(queries, LEAST), False
+        self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], kind)
+        self.fresh, self.size = [], 0
+
+    def add(self, ids: pa.Array, scores: np.ndarray) -> None:
+        """Take scores (documents, queries), not rounded yet; only those that reach a bound are looked at."""
+        bound = self.bound
+        if not self.filled and len(scores) > self.k:
+            bound = np.maximum(bound, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k] - DIGIT)
+        row, query = np.divmod(np.flatnonzero(scores >= np.maximum(bound - DIGIT, LEAST / 2)), scores.shape[1])
+        score = np.round(scores[row, query], 9)
+        high = score >= self.bound[query]
+        self.fresh.append((query[high], score[high], ids.take(pa.array(row[high]))))
+        self.size += int(high.sum())
+        if not self.filled or self.size > len(self.query) + CELLS // 64:
+            self.shrink()
+
+    def shrink(self) -> None:
+        """Leave out what is no longer among the best, and raise the bounds."""
+        query = np.concatenate([self.query, *[f[0] for f in self.fresh]])
+        score = np.concatenate([self.score, *[f[1] for f in self.fresh]])
+        ids = pa.concat_arrays([self.ids, *[f[2] for f in self.fresh]])
+        place = np.asarray(pc.rank(ids, sort_keys="ascending", tiebreaker="first")).astype(np.int64)
+        order = np.lexsort((place, -score, query))
+        query = query[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, np.arange(len(self.bound)))[query]
+        last = order[nth == self.k - 1]
+        order = order[nth < self.k]
+        self.query, self.score, self.ids = query[nth < self.k], score[order], ids.take(pa.array(order))
+        self.bound[query[nth == self.k - 1]] = score[last]
+        self.fresh, self.size, self.filled = [], 0, True
+
+
+def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int | None) -> DataFrame:
     """Best ``k`` documents of every query; ``impact`` turns counts (documents, terms), lengths and norms into impacts."""
     spark, found = lists.sparkSession, []
     kinds = [f.dataType.simpleString() for f in (terms.schema["query_id"], lists.schema["doc_id"])]
@@ -102,9 +156,10 @@ def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int) -> D
         sent = spark.sparkContext.broadcast((queries, pa.array(vocabulary, pa.string()), weights))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, known, matrix = sent.value
+            (names, known, matrix), best = sent.value, None
             width = len(known)
             for batch in batches:
+                best = best or _Best(matrix.shape[1], batch.column(0).type, k)
                 offsets = np.asarray(batch.column(1).offsets, dtype=np.int64)
                 code = pc.fill_null(pc.index_in(batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=known), -1).to_numpy(zero_copy_only=False)
                 offsets = offsets - offsets[0]
@@ -115,10 +170,10 @@ def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int) -> D
                     part = code[offsets[first] : offsets[last]]
                     owner = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
                     tf = np.bincount(owner[part >= 0] * width + part[part >= 0], minlength=(last - first) * width).reshape(-1, width)
-                    scores = np.round(impact(tf, np.diff(offsets[first : last + 1]), *[x[first:last] for x in extra]) @ matrix, 9)
-                    ids = batch.column(0).slice(first, last - first)
-                    row, query = _best_of(ids, scores, k)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
+                    best.add(batch.column(0).slice(first, last - first), impact(tf, np.diff(offsets[first : last + 1]), *[x[first:last] for x in extra]) @ matrix)
+            if best:
+                best.shrink()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), best.ids, pa.array(best.score)], ["query_id", "doc_id", "score"])
 
         found.append(lists.mapInArrow(score, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
     if not found:
@@ -126,7 +181,7 @@ def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int) -> D
     return top_k(reduce(DataFrame.union, found), k)
 
 
-def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one", block: int = BLOCK) -> DataFrame:
+def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one", block: int | None = None) -> DataFrame:
     """BM25 ranking of documents for all queries.
 
     ``repeats`` counts a term as often as the query has it. ``variant`` is the inverse document frequency: ``plus_one``
@@ -137,13 +192,13 @@ def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: flo
     n, mean = n or 0, max(mean or 1.0, 1.0)
     odds = (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plus_one" else F.greatest(F.log(odds), F.lit(1e-6))
-    asked = materialise(asked, "asked")
+    asked, links = _alike(asked, "token", *(["qtf"] if repeats else []))
     terms = materialise(asked.join(_frequencies(lists, asked.select("token").distinct()), "token").select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight")), "terms")
 
     def impact(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / mean))[:, None])
 
-    return _ranked(lists, terms, impact, k, block)
+    return _for_all(_ranked(lists, terms, impact, k, block), links)
 
 
 def tfidf(docs: DataFrame, asked: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:

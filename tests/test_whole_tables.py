@@ -5,6 +5,12 @@ import html
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
+from tamarack.functions import metrics as M
+from tamarack.functions import text as T
+from tamarack.operators import ranking as R
+from tamarack.plans import rank_queries
 from tamarack.plans.catalogue import QUERIES
 
 
@@ -115,3 +121,51 @@ def test_normal_forms_of_all_texts(spark, tmp_path):
     assert run("f22_sanitize_answer") == {k: sanitized(t) for k, t in rows}
     assert run("f04_canonical_text") == {k: normal(t, False).casefold() for k, t in rows}
     assert run("f05_fingerprint") == {k: hashlib.sha256(normal(t, False).casefold().encode()).hexdigest() for k, t in rows}
+
+
+def most_rows(df):
+    """Rows of the largest step of a plan, after it has run."""
+    df.collect()
+
+    def walk(node):
+        inner = {"AdaptiveSparkPlanExec": "finalPhysicalPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan"}.get(node.getClass().getSimpleName())
+        rows = node.metrics().get("numOutputRows")
+        below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+        return max([rows.get().value() if rows.isDefined() else 0, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def documents(spark, root, count=600):
+    rows = [(i, f"một{i % 7} hai{i % 11} ba{i % 5}", f"Một{i % 3} hai" if i % 200 else None, "a" if i % 3 else "b") for i in range(1, count + 1)]
+    written(spark, root, "documents", rows, "doc_id long, text string, title string, source string")
+
+
+def test_retrieval_metrics_without_pairs(spark, tmp_path):
+    documents(spark, tmp_path)
+    got = QUERIES["a17_retrieval_metrics"](spark, str(tmp_path))
+    assert most_rows(got) < 1_000  # the pairs of queries and documents of their source are 10,000 and grow with the square
+    ranking = rank_queries._bm25(spark, str(tmp_path))
+    pairs = rank_queries._judged(spark, str(tmp_path))
+    want = M.retrieval_metrics(ranking, pairs, (1, 5, 10)).agg(F.round(F.avg("rr"), 6), F.round(F.avg("recall_5"), 6), F.round(F.avg("hit_5"), 6))
+    assert tuple(got.first()) == tuple(want.first())
+
+
+def test_equal_queries_are_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"t{i % 4}", "all"]) for i in range(300)], "doc_id long, tokens array<string>").repartition(2)
+    asked = spark.createDataFrame([(q, t, 1) for q in range(90) for t in ("all", f"t{q % 3}")], "query_id long, token string, qtf long")
+    sent, top = [], R.top_k
+    monkeypatch.setattr(R, "top_k", lambda scored, *a: sent.append(scored.count()) or top(scored, *a))
+    monkeypatch.setattr(R, "CELLS", 64)  # some documents at a time
+    got = R.bm25(docs, asked, 5)
+    assert sent == [2 * 3 * 5]  # parts, different queries, and the best of them
+    first = {q: [(r.doc_id, r["rank"]) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 88)}
+    assert first[1] == first[88] == [(1 + 4 * i, i + 1) for i in range(5)] and got.count() == 90 * 5
+
+
+def test_tokens_are_those_of_the_normal_form(spark):
+    parts = ["12/2017/NĐ-CP", " 12 / 2017 / nđ\xa0- cp", "12/2017/", "•A", "▪", "\r\n", "\u1680", "\u200b", "a\u0301", "ΑΣ", "İ", "ẞ", "<br>", "&amp;", "x9", "\u2028", "–", "\x85"]
+    texts = spark.createDataFrame([(a + b + c,) for a in parts for b in parts for c in ("", "từ", "/2017")] + [(None,)], "t string")
+    whole = F.regexp_extract_all(T.normalize_text(F.col("t"), keep_lines=False), F.lit(T.LEGAL_TOKEN), F.lit(0))
+    want = F.transform(whole, lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
+    assert texts.where(~T.legal_tokens(F.col("t")).eqNullSafe(want)).count() == 0
