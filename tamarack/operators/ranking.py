@@ -12,7 +12,7 @@ of equal terms are scored once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -60,7 +60,7 @@ def term_lists(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("token", F.col("tf").cast("int")))).alias("tokens"))
 
 
-def _frequencies(lists: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def frequencies(lists: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(token, df) of the wanted terms, or of all."""
     terms = lists.select(F.explode(F.array_distinct("tokens")).alias("token"))
     if wanted is not None:
@@ -81,15 +81,21 @@ def _for_all(ranking: DataFrame, links: DataFrame) -> DataFrame:
     return ranking.withColumnRenamed("query_id", "first").join(links, "first").select("query_id", "doc_id", "score", "rank")
 
 
-def _blocks(terms: DataFrame, block: int | None) -> Iterator[tuple[list, list[str], np.ndarray]]:
-    """Blocks of the queries of terms (query_id, token, weight): query ids, terms, and weights (terms, queries).
+def _block_count(terms: DataFrame, block: int | None) -> int:
+    """Blocks of the queries of terms (query_id, token, weight), of ``block`` queries where that is given.
 
-    A block is collected at a time; its size is bounded by the number of queries in it and the length of a query. Where
-    the queries share a small vocabulary, a block takes as many as its weights allow, for each is a pass over the documents.
+    Where the queries share a small vocabulary, a block takes as many as its weights allow, for each is a pass over the documents.
     """
     count, width = terms.agg(F.countDistinct("query_id"), F.countDistinct("token")).first()
-    blocks = max(1, -(-count // (block or max(BLOCK, CELLS // max(width, 1)))))
-    for n in range(blocks if count else 0):
+    return -(-count // (block or max(BLOCK, CELLS // max(width, 1))))
+
+
+def _blocks(terms: DataFrame, blocks: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Blocks of the queries of terms (query_id, token, weight): query ids, terms, and weights (terms, queries).
+
+    A block is collected at a time; its size is bounded by the number of queries in it and the length of a query.
+    """
+    for n in range(blocks):
         rows = (terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else terms).select("query_id", "token", "weight").toArrow()
         if not rows.num_rows:
             continue
@@ -148,17 +154,24 @@ class _Best:
         self.fresh, self.size, self.filled = [], 0, True
 
 
-def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int | None) -> DataFrame:
-    """Best ``k`` documents of every query; ``impact`` turns counts (documents, terms), lengths and norms into impacts."""
+def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int | None, measure: Callable | None = None) -> DataFrame:
+    """Best ``k`` documents of every query; ``impact`` turns counts (documents, terms), lengths and norms into impacts.
+
+    ``measure`` adds the norms to batches of documents: on the way where one pass is made, else written once.
+    """
     spark, found = lists.sparkSession, []
     kinds = [f.dataType.simpleString() for f in (terms.schema["query_id"], lists.schema["doc_id"])]
-    for queries, vocabulary, weights in _blocks(terms, block):
+    blocks = _block_count(terms, block)
+    if blocks > 1 and (measure or "norm" in lists.columns):
+        lists = materialise(lists.mapInArrow(measure, f"doc_id {kinds[1]}, tokens array<string>, norm double") if measure else lists, "norms")
+        measure = None
+    for queries, vocabulary, weights in _blocks(terms, blocks):
         sent = spark.sparkContext.broadcast((queries, pa.array(vocabulary, pa.string()), weights))
 
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], sent=sent, measure=measure) -> Iterator[pa.RecordBatch]:
             (names, known, matrix), best = sent.value, None
             width = len(known)
-            for batch in batches:
+            for batch in measure(batches) if measure else batches:
                 best = best or _Best(matrix.shape[1], batch.column(0).type, k)
                 offsets = np.asarray(batch.column(1).offsets, dtype=np.int64)
                 code = pc.fill_null(pc.index_in(batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0]), value_set=known), -1).to_numpy(zero_copy_only=False)
@@ -181,11 +194,12 @@ def _ranked(lists: DataFrame, terms: DataFrame, impact, k: int, block: int | Non
     return top_k(reduce(DataFrame.union, found), k)
 
 
-def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one", block: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, repeats: bool = False, variant: str = "plus_one", block: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """BM25 ranking of documents for all queries.
 
     ``repeats`` counts a term as often as the query has it. ``variant`` is the inverse document frequency: ``plus_one``
-    is ln(1 + (N - df + .5) / (df + .5)), ``floored`` is ln((N - df + .5) / (df + .5)), at least 1e-6.
+    is ln(1 + (N - df + .5) / (df + .5)), ``floored`` is ln((N - df + .5) / (df + .5)), at least 1e-6. ``known`` are the
+    frequencies of all terms (token, df), where they have been counted.
     """
     lists = term_lists(docs).where(F.size("tokens") > 0)
     n, mean = lists.agg(F.count("*"), F.avg(F.size("tokens"))).first()
@@ -193,7 +207,7 @@ def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: flo
     odds = (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plus_one" else F.greatest(F.log(odds), F.lit(1e-6))
     asked, links = _alike(asked, "token", *(["qtf"] if repeats else []))
-    terms = materialise(asked.join(_frequencies(lists, asked.select("token").distinct()), "token").select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight")), "terms")
+    terms = materialise(asked.join(frequencies(lists, asked.select("token").distinct()) if known is None else known, "token").select("query_id", "token", ((idf * F.col("qtf")) if repeats else idf).alias("weight")), "terms")
 
     def impact(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / mean))[:, None])
@@ -201,23 +215,25 @@ def bm25(docs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: flo
     return _for_all(_ranked(lists, terms, impact, k, block), links)
 
 
-def tfidf(docs: DataFrame, asked: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def tfidf(docs: DataFrame, asked: DataFrame, k: int = 10, block: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """Cosine of tf-idf vectors, idf = ln((1 + N) / (1 + df)) + 1; query terms outside the corpus weigh nothing."""
     lists = term_lists(docs).where(F.size("tokens") > 0)
+    asked, links = _alike(asked, "token", "qtf")
     n = lists.count()
-    idf = materialise(_frequencies(lists).select("token", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    idf = materialise((frequencies(lists) if known is None else known).select("token", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     wanted = materialise(asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"), "idf"), "wanted")
     norms = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     terms = materialise(wanted.join(norms, "query_id").select("query_id", "token", (F.col("qw") * F.col("idf") / F.col("qn")).alias("weight")), "terms")
-    return _ranked(_with_norms(lists, idf), terms, lambda tf, length, norm: tf / norm[:, None], k, block)
+    lists, measure = _with_norms(lists, idf)
+    return _for_all(_ranked(lists, terms, lambda tf, length, norm: tf / norm[:, None], k, block, measure), links)
 
 
-def _with_norms(lists: DataFrame, idf: DataFrame) -> DataFrame:
-    """(doc_id, tokens, norm): the length of each document's tf-idf vector."""
+def _with_norms(lists: DataFrame, idf: DataFrame) -> tuple[DataFrame, Callable | None]:
+    """(doc_id, tokens, norm), the length of each document's tf-idf vector, or (doc_id, tokens) and what adds it to batches."""
     if idf.count() > BROADCAST_TERMS:
         counted = lists.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
         norms = counted.join(idf, "token").groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-        return lists.join(norms, "doc_id").select("doc_id", "tokens", "norm")
+        return lists.join(norms, "doc_id").select("doc_id", "tokens", "norm"), None
     rows = idf.toArrow()
     sent = lists.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), np.asarray(rows.column("idf"))))
 
@@ -230,7 +246,7 @@ def _with_norms(lists: DataFrame, idf: DataFrame) -> DataFrame:
             owner, code = np.divmod(pair, max(len(known), 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.sqrt(np.bincount(owner, (tf * weight[code]) ** 2, minlength=batch.num_rows)))], ["doc_id", "tokens", "norm"])
 
-    return lists.mapInArrow(measure, f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, tokens array<string>, norm double")
+    return lists, measure
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:

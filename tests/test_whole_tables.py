@@ -169,3 +169,26 @@ def test_tokens_are_those_of_the_normal_form(spark):
     whole = F.regexp_extract_all(T.normalize_text(F.col("t"), keep_lines=False), F.lit(T.LEGAL_TOKEN), F.lit(0))
     want = F.transform(whole, lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
     assert texts.where(~T.legal_tokens(F.col("t")).eqNullSafe(want)).count() == 0
+
+
+def test_boosted_fusion_ranks_once(spark, tmp_path):
+    documents(spark, tmp_path)
+    got = QUERIES["r08_boosted_fusion"](spark, str(tmp_path))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()  # the boost reads the fused ranking twice
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    want = {}
+    for r in rank_queries._fused(spark, str(tmp_path), 1 << 30).collect():
+        score = r.score * (1.24 if source[r.query_id] == source[r.doc_id] else 1)
+        want.setdefault(r.query_id, []).append((-round(score, 12), r.doc_id))
+    want = {(q, d): n + 1 for q, found in want.items() for n, (_, d) in enumerate(sorted(found)[:10])}
+    assert {(r.query_id, r.doc_id): r["rank"] for r in got.collect()} == want
+
+
+def test_equal_queries_of_the_cosine_are_scored_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"t{i % 4}", "all"]) for i in range(300)], "doc_id long, tokens array<string>").repartition(2)
+    asked = spark.createDataFrame([(q, t, 1 + (q > 60)) for q in range(90) for t in ("all", f"t{q % 3}")], "query_id long, token string, qtf long")
+    sent, top = [], R.top_k
+    monkeypatch.setattr(R, "top_k", lambda scored, *a: sent.append(scored.count()) or top(scored, *a))
+    got = R.tfidf(docs, asked, 5)
+    assert sent == [2 * 6 * 5]  # parts, different queries, and the best of them
+    assert [r.doc_id for r in got.where("query_id = 88").orderBy("rank").collect()] == [1 + 4 * i for i in range(5)] and got.count() == 90 * 5
